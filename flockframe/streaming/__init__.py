@@ -1,0 +1,7 @@
+"""Streaming use.
+
+The work rebuilt here has no stream of its own, so there is no streaming operator.
+The stateless operators (``clean_counts``, ``exclude_states``, ``effort_filter``,
+``add_event_columns``) and the aggregation ``annual_counts`` take a streaming
+DataFrame as they stand; ``tests/test_streaming.py`` runs them that way.
+"""
