@@ -11,6 +11,11 @@ SEMI_MAJOR = 6378137.0
 FLATTENING = 1 / 298.257223563
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once; keeps long formulas from multiplying."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _q(sin_phi: Column, e: float) -> Column:
     es = sin_phi * e
     return (1 - e * e) * (sin_phi / (1 - es * es) - (1 / (2 * e)) * F.log((1 - es) / (1 + es)))
@@ -22,8 +27,8 @@ def laea(lon: Column, lat: Column, lat0: float = 40.0, lon0: float = -95.0,
     dlon = F.radians(lon - lon0)
     phi1 = math.radians(lat0)
     if sphere:
-        b, b1, rq, d = F.radians(lat), phi1, sphere, 1.0
-        sin_b = F.sin(b)
+        b1, rq, d = phi1, sphere, 1.0
+        sin_b = F.sin(F.radians(lat))
     else:
         e = math.sqrt(FLATTENING * (2 - FLATTENING))
 
@@ -35,12 +40,18 @@ def laea(lon: Column, lat: Column, lat0: float = 40.0, lon0: float = -95.0,
         rq = SEMI_MAJOR * math.sqrt(qp / 2)
         m1 = math.cos(phi1) / math.sqrt(1 - (e * math.sin(phi1)) ** 2)
         d = SEMI_MAJOR * m1 / (rq * math.cos(b1))
-        sin_b = _q(F.sin(F.radians(lat)), e) / qp
-    sin_b = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sin_b))
-    cos_b = F.sqrt(1 - sin_b * sin_b)
+        sin_b = bind(F.sin(F.radians(lat)), lambda v: _q(v, e) / qp)
     s1, c1 = math.sin(b1), math.cos(b1)
-    k = F.sqrt(2 / (1 + s1 * sin_b + c1 * cos_b * F.cos(dlon))) * rq
-    return k * d * cos_b * F.sin(dlon), (k / d) * (c1 * sin_b - s1 * cos_b * F.cos(dlon))
+
+    def project(p):
+        sin_lat, along = p["s"], p["l"]
+        cos_lat = F.sqrt(F.greatest(1 - sin_lat * sin_lat, F.lit(0.0)))
+        scale = F.sqrt(2 / (1 + s1 * sin_lat + c1 * cos_lat * F.cos(along))) * rq
+        return F.struct((scale * d * cos_lat * F.sin(along)).alias("x"),
+                        ((scale / d) * (c1 * sin_lat - s1 * cos_lat * F.cos(along))).alias("y"))
+
+    xy = bind(F.struct(sin_b.alias("s"), dlon.alias("l")), project)
+    return xy["x"], xy["y"]
 
 
 def equidistant(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -58,14 +69,24 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 def hex_cell(x: Column, y: Column, width: float) -> tuple[Column, Column]:
     """Axial (q, r) of the pointy-top hexagon holding a point; ``width`` is edge to edge."""
     s = width / math.sqrt(3)
-    q = (x * (math.sqrt(3) / 3) - y / 3) / s
-    r = y * (2 / 3) / s
-    t = -q - r
-    rq, rr, rt = (F.floor(v + 0.5) for v in (q, r, t))
-    dq, dr, dt = F.abs(rq - q), F.abs(rr - r), F.abs(rt - t)
-    q_worst = (dq > dr) & (dq > dt)
-    return (F.when(q_worst, -rr - rt).otherwise(rq),
-            F.when(~q_worst & (dr > dt), -rq - rt).otherwise(rr))
+
+    def axial(p):
+        q = (p["x"] * (math.sqrt(3) / 3) - p["y"] / 3) / s
+        r = p["y"] * (2 / 3) / s
+        return F.struct(q.alias("q"), r.alias("r"), (-q - r).alias("t"))
+
+    def nearest(f):
+        near = {k: F.floor(f[k] + 0.5) for k in "qrt"}
+        return F.struct(*[near[k].alias(k) for k in "qrt"],
+                        *[F.abs(near[k] - f[k]).alias("d" + k) for k in "qrt"])
+
+    def settle(n):
+        q_worst = (n["dq"] > n["dr"]) & (n["dq"] > n["dt"])
+        return F.struct(F.when(q_worst, -n["r"] - n["t"]).otherwise(n["q"]).alias("q"),
+                        F.when(~q_worst & (n["dr"] > n["dt"]), -n["q"] - n["t"]).otherwise(n["r"]).alias("r"))
+
+    cell = bind(bind(bind(F.struct(x.alias("x"), y.alias("y")), axial), nearest), settle)
+    return cell["q"], cell["r"]
 
 
 def hex_centre(q: Column, r: Column, width: float) -> tuple[Column, Column]:
@@ -76,10 +97,11 @@ def hex_ring(q: Column, r: Column, width: float) -> Column:
     """The six corners of a cell, counter-clockwise."""
     cx, cy = hex_centre(q, r, width)
     s = width / math.sqrt(3)
-    return F.array(*[
-        F.struct((cx + s * math.cos(math.radians(a))).alias("x"),
-                 (cy + s * math.sin(math.radians(a))).alias("y"))
+    corners = F.array(*[
+        F.struct(F.lit(s * math.cos(math.radians(a))).alias("x"),
+                 F.lit(s * math.sin(math.radians(a))).alias("y"))
         for a in (30, 90, 150, 210, 270, 330)])
+    return F.transform(corners, lambda o: F.struct((cx + o["x"]).alias("x"), (cy + o["y"]).alias("y")))
 
 
 def rectangle(xmin: float, ymin: float, xmax: float, ymax: float) -> list[tuple[float, float]]:

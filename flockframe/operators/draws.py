@@ -24,16 +24,24 @@ def parameter_index(c: Column, dim: int) -> Column:
     return F.get(inner, F.lit(dim - 1)).try_cast("int")
 
 
-def draws_long(wide: DataFrame, ids: list[str], variable: str | None = None,
-               dims: list[str] = ()) -> DataFrame:
-    """Wide draws (columns ``name[i,j]``) -> long with one integer column per dimension."""
+def unpivot_parameters(wide: DataFrame, ids: list[str], variable: str | None = None) -> DataFrame:
+    """Wide draws -> ids, parameter (the column name), value."""
     values = [c for c in wide.columns if c not in ids
               and (variable is None or c == variable or c.startswith(variable + "["))]
     if not values:
         raise ValueError(f"no columns for {variable!r}")
-    quoted = [F.col(f"`{c}`") for c in values]
-    long = wide.unpivot([F.col(i) for i in ids], quoted, "parameter", "value")
-    return long.select(
+    # brackets in column names keep Spark from compiling the plan, so plain names stand in
+    plain = [f"v{i}" for i in range(len(values))]
+    renamed = wide.select(*ids, *[F.col(f"`{c}`").alias(n) for c, n in zip(values, plain)])
+    cells = F.array(*[F.struct(F.lit(c).alias("parameter"), F.col(n).alias("value"))
+                      for c, n in zip(values, plain)])
+    return renamed.select(*ids, F.explode(cells).alias("__c")).select(*ids, "__c.*")
+
+
+def draws_long(wide: DataFrame, ids: list[str], variable: str | None = None,
+               dims: list[str] = ()) -> DataFrame:
+    """Wide draws (columns ``name[i,j]``) -> long with one integer column per dimension."""
+    return unpivot_parameters(wide, ids, variable).select(
         *ids, parameter_name(F.col("parameter")).alias("variable"),
         *[parameter_index(F.col("parameter"), i).alias(d) for i, d in enumerate(dims, 1)], "value")
 

@@ -73,9 +73,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _sides(nodes):
-    left = nodes.select("species", "id", "x", "y")
-    right = nodes.select("species", F.col("id").alias("id2"), F.col("x").alias("x2"),
-                         F.col("y").alias("y2"))
+    """The nodes as left and right side of distance joins, computed once."""
+    left = checkpoint(nodes.select("species", "id", "x", "y"))
+    right = left.select("species", F.col("id").alias("id2"), F.col("x").alias("x2"),
+                        F.col("y").alias("y2"))
     return left, right
 
 

@@ -102,7 +102,8 @@ def near_sites(sites: DataFrame, threshold: float = 160.0, site: str = "locality
     rolled = (near_pairs(left, right, threshold).filter(F.col("distance") < threshold)
               .groupBy("x", "y")
               .agg(F.sum("__size").alias("n_near"),
-                   F.array_join(F.sort_array(F.flatten(F.collect_list("__ids"))), "-").alias("near_ids")))
+                   F.array_join(F.sort_array(F.flatten(F.collect_list("__ids"))).cast("array<string>"),
+                                "-").alias("near_ids")))
     return join_on(sites, rolled, ["x", "y"])
 
 
@@ -124,6 +125,7 @@ def closest(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], *
     groups still open. Left: keys, by, id, x, y; right: keys, id2, x2, y2. With
     ``apart`` only pairs differing in that column (``apart`` left, ``apart``2 right) count.
     """
+    left, right = checkpoint(left), checkpoint(right)
     spread = right.agg(F.min("x2"), F.max("x2"), F.min("y2"), F.max("y2"), F.count(F.lit(1))).first()
     other = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     out_cols = [*dict.fromkeys([*keys, *by]), "id", "id2", "distance"]
@@ -136,7 +138,8 @@ def closest(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], *
     extent = (dx * dx + dy * dy) ** 0.5
     radius = start or max(extent, 1.0) / max(spread[4], 1) ** 0.5
     group = list(dict.fromkeys([*keys, *by]))
-    order = Window.partitionBy(*group).orderBy("distance", "id", "id2")
+    # equal to the millimetre counts as equal
+    order = Window.partitionBy(*group).orderBy(F.round("distance", 3), "id", "id2")
     open_left, done = left, None
     while True:
         pairs = near_pairs(open_left, right, radius, keys).filter(
@@ -225,11 +228,12 @@ def overlaps(cells: DataFrame, regions: DataFrame) -> DataFrame:
     Boxes meet through square grid cells; a pair is taken in the one grid cell
     that holds the corner of the two boxes' common part.
     """
-    size = F.lit(max(float(_largest_side(cells)[0] or 1.0), 1e-9))
-    a = cells.select("cell_id", F.col("ring").alias("cell_ring"), *[
-        c.alias("a_" + n) for n, c in G.bbox(F.col("ring")).items()], F.col("ring"))
-    b = regions.select("poly_id", F.col("ring").alias("poly_ring"), *[
-        c.alias("b_" + n) for n, c in G.bbox(F.col("ring")).items()], F.col("ring"))
+    # rings and boxes are long expressions of their sources: computed once, then plain columns
+    a = checkpoint(cells.select("cell_id", F.col("ring").alias("cell_ring"), "ring", *[
+        c.alias("a_" + n) for n, c in G.bbox(F.col("ring")).items()]))
+    b = checkpoint(regions.select("poly_id", F.col("ring").alias("poly_ring"), "ring", *[
+        c.alias("b_" + n) for n, c in G.bbox(F.col("ring")).items()]))
+    size = F.lit(max(float(_largest_side(a)[0] or 1.0), 1e-9))
     pairs = (_boxed(a, 0.0, size).drop("ring").join(_boxed(b, 0.0, size).drop("ring"), ["__cx", "__cy"])
              .filter((F.col("a_xmin") < F.col("b_xmax")) & (F.col("b_xmin") < F.col("a_xmax"))
                      & (F.col("a_ymin") < F.col("b_ymax")) & (F.col("b_ymin") < F.col("a_ymax")))

@@ -59,11 +59,8 @@ def draw_summary_spread(spark, sf):
 @query(sql("vec", """SELECT 'alpha[' || CAST(pos + 1 AS VARCHAR) || ']' AS parameter,
       CAST(pos + 1 AS INTEGER) AS site, round(exp(avg(e)), 6) AS mean FROM vec WHERE pos < 16 GROUP BY pos"""))
 def param_extract(spark, sf):
-    long_ = draws.draws_long(_wide(spark, sf), ["draw"])
-    table = (_wide(spark, sf).unpivot(["draw"], [F.col(f"`{c}`") for c in _wide(spark, sf).columns[1:]],
-                                      "parameter", "value")
+    table = (draws.unpivot_parameters(_wide(spark, sf), ["draw"])
              .groupBy("parameter").agg(F.avg("value").alias("mean")))
-    del long_
     return draws.param_extract(table, "alpha", ["site"], exp=True).select("parameter", "site", r6("mean"))
 
 
@@ -250,8 +247,6 @@ def _alpha_means(spark, sf):
       JOIN am ON am.species = m.species AND am.site = m.site
       JOIN (SELECT species, sum(exp(mean)) AS total FROM am GROUP BY 1) t ON t.species = m.species) GROUP BY 1, 2"""))
 def site_correction(spark, sf):
-    rows = T.model_rows(spark, sf).filter((F.col("site") + F.col("year")) % 3 != 0)
-    del rows
     return rounded(indices.site_correction(T.model_rows(spark, sf), _alpha_means(spark, sf)), "p_alpha")
 
 
