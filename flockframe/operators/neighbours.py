@@ -50,25 +50,27 @@ def contiguity(nodes: DataFrame, digits: int = 0) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Label every node with the least node id it is linked to: species, id, label.
 
-    Least labels pass along edges and then jump to the label's own label, so the
-    number of rounds grows with the logarithm of the graph's width.
+    In each round a node offers the least label two steps away among its
+    neighbours to itself and to its own label's node, and moves to its label's
+    label; the number of rounds grows with the logarithm of the graph's width.
     """
-    both = checkpoint(edges.select("species", "node1", "node2")
+    both = checkpoint(edges.select("species", F.col("node1").alias("from"), F.col("node2").alias("id"))
                       .union(edges.select("species", "node2", "node1")))
     labels = checkpoint(nodes.select("species", "id", F.col("id").alias("label")))
     while True:
-        near = (both.join(labels, [both["species"] == labels["species"], both["node2"] == labels["id"]])
-                .groupBy(both["species"], both["node1"].alias("id")).agg(F.min("label").alias("__near")))
-        passed = (labels.join(near, ["species", "id"], "left")
-                  .select("species", "id", F.col("label").alias("__was"),
-                          F.least("label", F.coalesce("__near", "label")).alias("__mid")))
-        passed = checkpoint(passed)
-        parent = passed.select("species", F.col("id").alias("__mid"), F.col("__mid").alias("__up"))
-        jumped = checkpoint(passed.join(parent, ["species", "__mid"], "left")
-                            .select("species", "id", "__was",
-                                    F.least("__mid", F.coalesce("__up", "__mid")).alias("label")))
-        labels = jumped.select("species", "id", "label")
-        if jumped.filter(F.col("__was") != F.col("label")).isEmpty():
+        up = labels.select("species", F.col("id").alias("label"), F.col("label").alias("above"))
+        here = labels.join(up, ["species", "label"])
+        near = (both.join(here, ["species", "id"]).groupBy("species", F.col("from").alias("id"))
+                .agg(F.min("above").alias("near")))
+        here = here.join(near, ["species", "id"], "left").withColumn("near", F.coalesce("near", "above"))
+        offers = here.select("species", F.explode(F.array(
+            F.struct("id", F.least("above", "near").alias("to"), F.col("label").alias("was")),
+            F.struct(F.col("label").alias("id"), F.col("near").alias("to"),
+                     F.lit(None).cast(nodes.schema["id"].dataType).alias("was")))).alias("o"))
+        moved = checkpoint(offers.select("species", "o.*").groupBy("species", "id")
+                           .agg(F.min("to").alias("label"), F.max("was").alias("was")))
+        labels = moved.select("species", "id", "label")
+        if moved.filter(F.col("label") != F.col("was")).isEmpty():
             return labels
 
 

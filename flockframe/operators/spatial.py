@@ -128,7 +128,7 @@ def closest(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], *
     left, right = checkpoint(left), checkpoint(right)
     spread = right.agg(F.min("x2"), F.max("x2"), F.min("y2"), F.max("y2"), F.count(F.lit(1))).first()
     other = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    out_cols = [*dict.fromkeys([*keys, *by]), "id", "id2", "distance"]
+    out_cols = list(dict.fromkeys([*keys, *by, "id", "id2", "distance"]))
     if spread[4] == 0 or other[0] is None:
         empty = left.limit(0)
         return (empty.join(right.limit(0), keys) if keys else empty.withColumn(
@@ -284,7 +284,7 @@ def convex_hull(points: DataFrame, keys: list[str], slices: int = 64) -> DataFra
             out[k] = pdf[k].iloc[0]
         return out
 
-    schema = points.select(*keys).schema.add("seq", "int").add("x", "double").add("y", "double")
+    schema = points.select(*keys).schema.add("seq", "integer").add("x", "double").add("y", "double")
     sliced = points.select(*keys, "x", "y").distinct().withColumn(
         "__slice", F.pmod(F.xxhash64("x", "y"), F.lit(slices)))
     partial = sliced.groupBy(*keys, "__slice").applyInPandas(per_group, schema)
