@@ -10,10 +10,15 @@ from ..session import checkpoint, join_on
 WINDOW_BOUND = 1_000_000  # distinct values numbered by a plain window
 
 
-def spans(surveys: DataFrame, keys: list[str], year: str = "year", count: str = "count") -> DataFrame:
-    """Years with non-zero counts per key: number, span, first and last."""
+def spans(surveys: DataFrame, keys: list[str], year: str = "year", count: str = "count",
+          weight: str | None = None) -> DataFrame:
+    """Years with non-zero counts per key: number, span, first and last.
+
+    ``weight`` is the number of non-zero observations behind a row, if rows are sums.
+    """
+    number = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (surveys.filter(F.col(count) > 0)
-            .groupBy(*keys, year).agg(F.count(F.lit(1)).alias("nobs"))
+            .groupBy(*keys, year).agg(number.alias("nobs"))
             .groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("nyears"),
                  (F.max(year) - F.min(year)).alias("span_years"),
@@ -22,30 +27,33 @@ def spans(surveys: DataFrame, keys: list[str], year: str = "year", count: str =
 
 
 def site_coverage(surveys: DataFrame, min_span: int = 10, min_years: int = 2,
-                  site: str = "site_id") -> DataFrame:
+                  site: str = "site_id", **columns) -> DataFrame:
     """Species-site pairs seen over at least ``min_span`` years."""
-    return spans(surveys, ["species", site]).filter(
+    return spans(surveys, ["species", site], **columns).filter(
         (F.col("span_years") >= min_span) & (F.col("nyears") >= min_years))
 
 
 def stratum_coverage(surveys: DataFrame, first_year: int, last_year: int, share: float = 0.67,
-                     stratum: str = "hex_name") -> DataFrame:
+                     stratum: str = "hex_name", **columns) -> DataFrame:
     """Species-stratum pairs whose sightings span a share of the study years."""
     need = (last_year - first_year + 1) * share
-    return spans(surveys, ["species", stratum]).filter(F.col("span_years") >= need)
+    return spans(surveys, ["species", stratum], **columns).filter(F.col("span_years") >= need)
 
 
 def keep_covered(surveys: DataFrame, covered: DataFrame, keys: list[str]) -> DataFrame:
     return surveys.join(covered.select(*keys), keys, "left_semi")
 
 
-def group_category(df: DataFrame, keys: list[str], value: str, which: str = "least") -> DataFrame:
+def group_category(df: DataFrame, keys: list[str], value: str, which: str = "least",
+                   weight: str | None = None) -> DataFrame:
     """One value per group: the least frequent one, or with ``which="most"`` the dominant one.
 
     The least frequent is what the method this follows returns; ties go to the
-    alphabetically first value in both cases.
+    alphabetically first value in both cases. ``weight`` is the number of surveys
+    behind a row, if rows are sums.
     """
-    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    number = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(number.alias("__n"))
     order = F.col("__n") if which == "least" else -F.col("__n")
     return n.groupBy(*keys).agg(F.min_by(value, F.struct(order.alias("n"), F.col(value))).alias(value))
 
@@ -77,15 +85,37 @@ def dense_codes(df: DataFrame, keys: list[str], value: str, code: str = "code",
         *keys, value, (F.col("__pos") - F.col("__first") + 1).cast("int").alias(code))
 
 
-def index_encode(surveys: DataFrame, site: str = "site_id", stratum: str = "hex_name") -> DataFrame:
-    """Add integer yr, date, site and strat codes per species, all starting at 1."""
-    base = surveys.groupBy("species").agg(
-        (F.min("year") - 1).alias("__year0"), (F.min("doy") - 1).alias("__day0"))
-    coded = (surveys
-             .join(base, "species")
-             .join(dense_codes(surveys, ["species"], site, "site"), ["species", site])
-             .join(dense_codes(surveys, ["species"], stratum, "strat"), ["species", stratum]))
-    return (coded
+def survey_cells(surveys: DataFrame, columns: list[str]) -> DataFrame:
+    """Surveys reduced to one row per ``columns`` and year: n, number present, first day.
+
+    All that coverage, strata and codes need, at a small part of the surveys' size;
+    written out, so that the surveys are read once for all of them.
+    """
+    return checkpoint(surveys.groupBy(*columns, "year").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("count") > 0).alias("present"),
+        F.min("doy").alias("doy")))
+
+
+def code_table(cells: DataFrame, site: str = "site_id", stratum: str = "hex_name") -> DataFrame:
+    """species, site and stratum with their integer codes and the species' first year and day."""
+    base = cells.groupBy("species").agg((F.min("year") - 1).alias("__year0"),
+                                        (F.min("doy") - 1).alias("__day0"))
+    return (cells.select("species", site, stratum).distinct()
+            .join(dense_codes(cells, ["species"], site, "site"), ["species", site])
+            .join(dense_codes(cells, ["species"], stratum, "strat"), ["species", stratum])
+            .join(base, "species"))
+
+
+def index_encode(surveys: DataFrame, site: str = "site_id", stratum: str = "hex_name",
+                 cells: DataFrame | None = None) -> DataFrame:
+    """Add integer yr, date, site and strat codes per species, all starting at 1.
+
+    The codes come from the reduced ``cells`` and meet the surveys in one join;
+    surveys of species, sites and strata absent from ``cells`` go.
+    """
+    if cells is None:
+        cells = survey_cells(surveys, ["species", site, stratum])
+    return (surveys.join(code_table(cells, site, stratum), ["species", site, stratum])
             .withColumn("yr", (F.col("year") - F.col("__year0")).cast("int"))
             .withColumn("date", (F.col("doy") - F.col("__day0")).cast("int"))
             .drop("__year0", "__day0"))

@@ -28,6 +28,34 @@ def zero_fill(events: DataFrame, obs: DataFrame, species: DataFrame, *, key: str
     return _unfold(events.join(lists, key, "left"), every, name, count)
 
 
+def grid_sums(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[str], *,
+              key: str = "checklist_id", name: str = "common_name", count: str = "observation_count",
+              list_bound: int = LIST_BOUND) -> DataFrame:
+    """Sum ``total`` and number ``n`` over the zero-filled grid, per ``by`` group and species.
+
+    The grid itself is never built: the zeros only enter through ``n``, the number
+    of kept events of the group. Conflicting checklists are left out.
+    """
+    listed = species.select(F.col(name)).distinct()
+    names = [r[0] for r in listed.limit(list_bound + 1).collect()]
+    if len(names) > list_bound:
+        return zero_fill(events.select(key, *by), obs, species, key=key, name=name, count=count,
+                         list_bound=list_bound).groupBy(*by, name).agg(
+            F.sum(count).alias("total"), F.count(F.lit(1)).alias("n"))
+    every = F.array(*[F.lit(n) for n in sorted(names)]) if names else F.array().cast("array<string>")
+    lists = _checklist_lists(_pairs(obs, key, name, count, True), F.col(name).isin(*names), key, name)
+    kept = _without_conflicts(events.select(key, *by).join(lists, key, "left"))
+    event = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(1).alias("n")))
+    sums = (kept.select(*by, F.explode(F.concat(event, F.coalesce(F.col("__seen"), _no_cells()))).alias("c"))
+            .groupBy(*by, F.col("c.name").alias("__name")).agg(F.sum("c.n").alias("__t")))
+    # at most one row per listed species and group
+    groups = sums.groupBy(*by).agg(
+        F.max(F.when(F.col("__name").isNull(), F.col("__t"))).alias("n"),
+        F.collect_list(F.when(F.col("__name").isNotNull(), F.struct(
+            F.col("__name").alias("name"), F.col("__t").alias("n")))).alias("__seen"))
+    return _fill_absent(groups, every, name, "total", "bigint").select(*by, name, "total", "n")
+
+
 def _pairs(obs, key, name, count, drop_conflicts):
     """One row per checklist and species (and distinct count, if conflicts stay)."""
     if drop_conflicts:
@@ -47,15 +75,25 @@ def _checklist_lists(pairs, listed, key, name):
                                   F.max("__conflict").alias("__conflict"))
 
 
-def _unfold(joined, every, name, count):
-    kept = joined.filter(~F.coalesce(F.col("__conflict"), F.lit(False)))
-    seen = F.coalesce(F.col("__seen"), F.array().cast("array<struct<name:string,n:int>>"))
+def _no_cells(number="int"):
+    return F.array().cast(f"array<struct<name:string,n:{number}>>")
+
+
+def _without_conflicts(joined):
+    return joined.filter(~F.coalesce(F.col("__conflict"), F.lit(False)))
+
+
+def _fill_absent(df, every, name, count, number="int"):
+    """One row per listed name: those in ``__seen`` with their number, the others with 0."""
+    seen = F.coalesce(F.col("__seen"), _no_cells(number))
     absent = F.transform(F.array_except(every, F.transform(seen, lambda s: s["name"])),
-                         lambda s: F.struct(s.alias("name"), F.lit(0).alias("n")))
-    return (kept.withColumn("__cell", F.explode(F.concat(seen, absent)))
-            .drop("__seen", "__conflict")
-            .withColumns({name: F.col("__cell.name"), count: F.col("__cell.n")})
-            .drop("__cell"))
+                         lambda s: F.struct(s.alias("name"), F.lit(0).cast(number).alias("n")))
+    return (df.withColumn("__cell", F.explode(F.concat(seen, absent))).drop("__seen")
+            .withColumns({name: F.col("__cell.name"), count: F.col("__cell.n")}).drop("__cell"))
+
+
+def _unfold(joined, every, name, count):
+    return _fill_absent(_without_conflicts(joined).drop("__conflict"), every, name, count)
 
 
 def _by_chunk(events, obs, listed, key, name, count, drop_conflicts,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import clean, coverage, spatial, trends
 from ..operators.indices import annual_index, stage_labels
 from ..operators.zero_fill import zero_fill
+from ..session import checkpoint
 
 
 def prepare_surveys(events: DataFrame, obs: DataFrame, species: DataFrame, *,
@@ -35,15 +36,23 @@ def prepare_surveys(events: DataFrame, obs: DataFrame, species: DataFrame, *,
 
 def model_tables(surveys: DataFrame, *, first_year: int, last_year: int, min_span: int = 10,
                  stratum_share: float = 0.67) -> DataFrame:
-    """Coverage filters, one region per stratum, and integer codes, for all species at once."""
-    kept = coverage.keep_covered(
-        surveys, coverage.site_coverage(surveys, min_span), ["species", "site_id"])
-    strata = coverage.stratum_coverage(kept, first_year, last_year, stratum_share)
-    kept = coverage.keep_covered(kept, strata, ["species", "hex_name"])
-    if "region" in kept.columns:
-        region = coverage.group_category(kept, ["species", "hex_name"], "region")
-        kept = kept.drop("region").join(region, ["species", "hex_name"], "left")
-    return coverage.index_encode(kept)
+    """Coverage filters, one region per stratum, and integer codes, for all species at once.
+
+    The surveys are read twice: once reduced to site-year sums, from which all
+    filters and codes follow, and once for the final join with those.
+    """
+    place = [c for c in ("site_id", "hex_name", "region") if c in surveys.columns]
+    seen = {"count": "present", "weight": "present"}
+    cells = coverage.survey_cells(surveys, ["species", *place])
+    cells = coverage.keep_covered(cells, coverage.site_coverage(cells, min_span, **seen),
+                                  ["species", "site_id"])
+    strata = coverage.stratum_coverage(cells, first_year, last_year, stratum_share, **seen)
+    cells = checkpoint(coverage.keep_covered(cells, strata, ["species", "hex_name"]))
+    encoded = coverage.index_encode(surveys, cells=cells)
+    if "region" in place:
+        region = coverage.group_category(cells, ["species", "hex_name"], "region", weight="n")
+        encoded = encoded.drop("region").join(region, ["species", "hex_name"], "left")
+    return encoded
 
 
 def trends_and_indices(draws: DataFrame, generations: DataFrame, observed: DataFrame, *,

@@ -175,6 +175,14 @@ def zero_fill_with_conflicts(spark, sf):
                        T.species(spark, sf), drop_conflicts=False)
 
 
+@query(sql("zf", """SELECT site_id, year, species AS common_name, CAST(sum(count) AS BIGINT) AS total, count(*) AS n
+    FROM zf GROUP BY ALL"""))
+def grid_sums(spark, sf):
+    """Sums over the zero-filled grid without building it."""
+    ev = T.events(spark, sf).select("checklist_id", F.col("locality_id").alias("site_id"), "year")
+    return Z.grid_sums(ev, T.counts(spark, sf), T.species(spark, sf), ["site_id", "year"])
+
+
 @query(sql("site_regions sites", """
     SELECT o_orderkey AS checklist_id, o_custkey AS locality_id, s.locality AS locality,
            round(latitude, 6) AS latitude, round(longitude, 6) AS longitude

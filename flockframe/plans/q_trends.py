@@ -224,22 +224,27 @@ def site_years(spark, sf):
       a.n + b.n AS n_surveys
     FROM yearly a JOIN yearly b USING (species) WHERE a.year = 1995 AND b.year = 2001 AND a.mean_count > 0"""))
 def species_trends(spark, sf):
-    """Flagship: zero-filled, coverage-filtered annual means and their end-point trend."""
-    from ..operators import coverage
-
-    surveys = T.surveys(spark, sf).select("species", "site_id", "year", "count")
-    # counts per species, site and year carry all that coverage and means need
-    sums = surveys.groupBy("species", "site_id", "year").agg(
-        F.sum("count").alias("total"), F.count(F.lit(1)).alias("n"))
-    covered = coverage.site_coverage(sums.withColumnRenamed("total", "count"), min_span=4)
-    yearly = coverage.keep_covered(sums, covered, ["species", "site_id"]).groupBy("species").agg(
-        *[f(F.when(F.col("year") == y, F.col(c))).alias(f"{c}_{y}")
-          for y in (T.FIRST_YEAR, T.LAST_YEAR) for c, f in (("total", F.sum), ("n", F.sum))])
-    a = F.try_divide(F.col(f"total_{T.FIRST_YEAR}"), F.col(f"n_{T.FIRST_YEAR}"))
-    b = F.try_divide(F.col(f"total_{T.LAST_YEAR}"), F.col(f"n_{T.LAST_YEAR}"))
+    """Flagship: annual means over the zero-filled grid at covered sites, and their end-point trend."""
+    from ..operators.zero_fill import grid_sums
+
+    first, last = T.FIRST_YEAR, T.LAST_YEAR
+    events = T.events(spark, sf).select("checklist_id", F.col("locality_id").alias("site_id"), "year")
+    sums = grid_sums(events, T.counts(spark, sf), T.species(spark, sf), ["site_id", "year"])
+    seen = F.when(F.col("total") > 0, F.col("year"))
+
+    def at(year, column):
+        return F.sum(F.when(F.col("year") == year, F.col(column))).alias(f"{column}_{year}")
+
+    # coverage and both end years from one pass over each species-site pair
+    pairs = sums.groupBy(F.col("common_name").alias("species"), "site_id").agg(
+        (F.max(seen) - F.min(seen)).alias("span"), F.count(seen).alias("nyears"),
+        *[at(y, c) for y in (first, last) for c in ("total", "n")])
+    yearly = pairs.filter((F.col("span") >= 4) & (F.col("nyears") >= 2)).groupBy("species").agg(
+        *[F.sum(f"{c}_{y}").alias(f"{c}_{y}") for y in (first, last) for c in ("total", "n")])
+    a, b = (F.try_divide(F.col(f"total_{y}"), F.col(f"n_{y}")) for y in (first, last))
     r = C.ratio(a, b)
     return yearly.filter(r.isNotNull()).select(
-        "species", F.lit(T.FIRST_YEAR).alias("start_year"), F.lit(T.LAST_YEAR).alias("end_year"),
+        "species", F.lit(first).alias("start_year"), F.lit(last).alias("end_year"),
         r6(a, "first_index"), r6(b, "last_index"), r6(C.percent_change(r), "percent_change"),
-        r6(C.annual_rate(r, F.lit(T.LAST_YEAR - T.FIRST_YEAR)), "trend"),
-        (F.col(f"n_{T.FIRST_YEAR}") + F.col(f"n_{T.LAST_YEAR}")).alias("n_surveys"))
+        r6(C.annual_rate(r, F.lit(last - first)), "trend"),
+        (F.col(f"n_{first}") + F.col(f"n_{last}")).alias("n_surveys"))
