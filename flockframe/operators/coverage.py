@@ -133,6 +133,12 @@ def sites_by_stratum(encoded: DataFrame) -> DataFrame:
     return slots.join(sizes, ["species", "strat"])
 
 
+def unroll_sites(lists: DataFrame, column: str = "sites") -> DataFrame:
+    """Zero-padded site lists, one array per stratum -> species, strat, slot, site."""
+    return (lists.select("species", "strat", F.posexplode(column).alias("slot", "site"))
+            .withColumn("slot", F.col("slot") + 1).filter(F.col("site") > 0))
+
+
 def season_strata(strat_regions: DataFrame, species_list: DataFrame) -> DataFrame:
     """Season group per species and stratum: 2 where the region has the other season.
 

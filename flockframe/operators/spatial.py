@@ -87,33 +87,36 @@ def near_pairs(left: DataFrame, right: DataFrame, radius, keys: list[str] = (),
             .drop("__cx", "__cy", "__slice", "__r"))
 
 
-def near_sites(sites: DataFrame, threshold: float = 160.0, site: str = "locality_id") -> DataFrame:
+def near_places(sites: DataFrame, threshold: float = 160.0) -> DataFrame:
+    """Pairs of distinct places closer than ``threshold``, each with its number of sites.
+
+    x, y, n_sites, x2, y2, n_sites2, distance; every place also pairs with itself.
+    Sites at one and the same spot form one place, so a much used spot is
+    compared once and its sites are never paired with each other.
+    """
+    places = sites.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_sites"))
+    left = places.withColumn("id", F.struct("x", "y"))
+    right = left.select(*[F.col(c).alias(c + "2") for c in ("id", "x", "y", "n_sites")])
+    return near_pairs(left, right, threshold).filter(F.col("distance") < threshold).drop("id", "id2")
+
+
+def near_sites(sites: DataFrame, threshold: float = 160.0, site: str = "locality_id",
+               list_bound: int = 10_000) -> DataFrame:
     """Per site the number and joined ids of the sites closer than ``threshold`` (itself included).
 
-    ``sites``: site id and equidistant x, y. Sites at one and the same place are
-    first folded into a place, so that a much used place is compared once.
+    ``sites``: site id and equidistant x, y. The number is always exact. Ids are
+    joined to a text where there are at most ``list_bound`` of them; beyond that
+    the text is null and ``near_places`` holds the same fact without long lists.
     """
-    places = sites.groupBy("x", "y").agg(
-        F.count(F.lit(1)).alias("__size"), F.sort_array(F.collect_list(site)).alias("__ids"))
-    places = places.withColumn("id", F.struct("x", "y"))
-    left = places.select("id", "x", "y")
-    right = places.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"),
-                          "__size", "__ids")
-    rolled = (near_pairs(left, right, threshold).filter(F.col("distance") < threshold)
-              .groupBy("x", "y")
-              .agg(F.sum("__size").alias("n_near"),
-                   F.array_join(F.sort_array(F.flatten(F.collect_list("__ids"))).cast("array<string>"),
-                                "-").alias("near_ids")))
-    return join_on(sites, rolled, ["x", "y"])
-
-
-def near_site_pairs(sites: DataFrame, threshold: float = 160.0, site: str = "locality_id") -> DataFrame:
-    """Long form of ``near_sites`` without any list: pairs of different sites, lower id first."""
-    left = sites.select(F.col(site).alias("id"), "x", "y")
-    right = sites.select(F.col(site).alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return (near_pairs(left, right, threshold)
-            .filter((F.col("distance") < threshold) & (F.col("id") < F.col("id2")))
-            .select(F.col("id").alias("site1"), F.col("id2").alias("site2"), "distance"))
+    pairs = near_places(sites, threshold)
+    number = pairs.groupBy("x", "y").agg(F.sum("n_sites2").alias("n_near"))
+    members = sites.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(site).alias("__id"))
+    lists = (join_on(pairs.select("x", "y", "x2", "y2"),
+                     number.filter(F.col("n_near") <= list_bound), ["x", "y"])
+             .join(members, ["x2", "y2"]).groupBy("x", "y")
+             .agg(F.array_join(F.sort_array(F.collect_list("__id")).cast("array<string>"), "-")
+                  .alias("near_ids")))
+    return join_on(join_on(sites, number, ["x", "y"]), lists, ["x", "y"], "left")
 
 
 def closest(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], *, k: int = 1,
@@ -254,11 +257,11 @@ def largest_overlap(cells: DataFrame, regions: DataFrame) -> DataFrame:
     return cells.select("cell_id").join(best, "cell_id", "left")
 
 
-def convex_hull(points: DataFrame, keys: list[str], slices: int = 64) -> DataFrame:
+def convex_hull(points: DataFrame, keys: list[str], slice_rows: int = 50_000) -> DataFrame:
     """Hull vertices per key: keys, seq, x, y, counter-clockwise from the lowest x.
 
-    The hull of the union is the hull of the slices' hulls, so a large group is
-    first reduced slice by slice in separate tasks.
+    The hull of the union is the hull of the slices' hulls, so a group is first
+    reduced in slices of about ``slice_rows`` points in separate tasks.
     """
     def hull_of(pdf):
         pts = sorted(set(zip(pdf["x"], pdf["y"])))
@@ -285,8 +288,11 @@ def convex_hull(points: DataFrame, keys: list[str], slices: int = 64) -> DataFra
         return out
 
     schema = points.select(*keys).schema.add("seq", "integer").add("x", "double").add("y", "double")
-    sliced = points.select(*keys, "x", "y").distinct().withColumn(
-        "__slice", F.pmod(F.xxhash64("x", "y"), F.lit(slices)))
+    distinct = points.select(*keys, "x", "y").distinct()
+    size = distinct.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(float(slice_rows))).alias("__slices"))
+    sliced = join_on(distinct, size, keys).withColumn(
+        "__slice", F.pmod(F.xxhash64("x", "y"), F.col("__slices"))).drop("__slices")
     partial = sliced.groupBy(*keys, "__slice").applyInPandas(per_group, schema)
     return partial.groupBy(*keys).applyInPandas(per_group, schema)
 

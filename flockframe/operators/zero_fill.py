@@ -9,7 +9,8 @@ LIST_BOUND = 10_000  # names that may travel inside the plan as one literal arra
 
 def zero_fill(events: DataFrame, obs: DataFrame, species: DataFrame, *, key: str = "checklist_id",
               name: str = "common_name", count: str = "observation_count",
-              drop_conflicts: bool = True, list_bound: int = LIST_BOUND) -> DataFrame:
+              drop_conflicts: bool = True, list_bound: int = LIST_BOUND, number: str = "int"
+              ) -> DataFrame:
     """Every event with every listed species; a species not reported counts 0.
 
     The shuffle works on whole checklists: observations are reduced to one short
@@ -21,11 +22,30 @@ def zero_fill(events: DataFrame, obs: DataFrame, species: DataFrame, *, key: str
     listed = species.select(F.col(name)).distinct()
     names = [r[0] for r in listed.limit(list_bound + 1).collect()]
     if len(names) > list_bound:
-        return _by_chunk(events, obs, listed, key, name, count, drop_conflicts, list_bound)
+        return _by_chunk(events, obs, listed, key, name, count, drop_conflicts, list_bound, number)
     every = F.array(*[F.lit(n) for n in sorted(names)]) if names else F.array().cast("array<string>")
-    pairs = _pairs(obs, key, name, count, drop_conflicts)
+    pairs = _pairs(obs, key, name, count, drop_conflicts, number)
     lists = _checklist_lists(pairs, F.col(name).isin(*names), key, name)
-    return _unfold(events.join(lists, key, "left"), every, name, count)
+    return _unfold(events.join(lists, key, "left"), every, name, count, number)
+
+
+def grid_parts(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[str], *,
+               key: str = "checklist_id", name: str = "common_name", count: str = "observation_count"
+               ) -> tuple[DataFrame, DataFrame]:
+    """The zero-filled grid in two small parts: reported totals and group sizes.
+
+    totals: by, name, total for reported listed species; sizes: by, n = kept events
+    of the group. A mean over the grid is sum(total) / sum(n), so the zeros need no
+    rows. Conflicting checklists are left out of both.
+    """
+    pairs = _pairs(obs, key, name, count, True)
+    bad = pairs.filter("__conflict").select(key).distinct()
+    kept = events.select(key, *by).join(bad, key, "left_anti")
+    listed = species.select(F.col(name)).distinct()
+    totals = (pairs.join(kept, key).groupBy(*by, name)
+              .agg(F.sum("__n").alias("total"))
+              .join(listed, name, "left_semi"))
+    return totals.select(*by, name, "total"), kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def grid_sums(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[str], *,
@@ -33,35 +53,23 @@ def grid_sums(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[st
               list_bound: int = LIST_BOUND) -> DataFrame:
     """Sum ``total`` and number ``n`` over the zero-filled grid, per ``by`` group and species.
 
-    The grid itself is never built: the zeros only enter through ``n``, the number
-    of kept events of the group. Conflicting checklists are left out.
+    Groups are filled with the absent species after all sums are made, so the grid
+    itself is never built.
     """
-    listed = species.select(F.col(name)).distinct()
-    names = [r[0] for r in listed.limit(list_bound + 1).collect()]
-    if len(names) > list_bound:
-        return zero_fill(events.select(key, *by), obs, species, key=key, name=name, count=count,
-                         list_bound=list_bound).groupBy(*by, name).agg(
-            F.sum(count).alias("total"), F.count(F.lit(1)).alias("n"))
-    every = F.array(*[F.lit(n) for n in sorted(names)]) if names else F.array().cast("array<string>")
-    lists = _checklist_lists(_pairs(obs, key, name, count, True), F.col(name).isin(*names), key, name)
-    kept = _without_conflicts(events.select(key, *by).join(lists, key, "left"))
-    event = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(1).alias("n")))
-    sums = (kept.select(*by, F.explode(F.concat(event, F.coalesce(F.col("__seen"), _no_cells()))).alias("c"))
-            .groupBy(*by, F.col("c.name").alias("__name")).agg(F.sum("c.n").alias("__t")))
-    # at most one row per listed species and group
-    groups = sums.groupBy(*by).agg(
-        F.max(F.when(F.col("__name").isNull(), F.col("__t"))).alias("n"),
-        F.collect_list(F.when(F.col("__name").isNotNull(), F.struct(
-            F.col("__name").alias("name"), F.col("__t").alias("n")))).alias("__seen"))
-    return _fill_absent(groups, every, name, "total", "bigint").select(*by, name, "total", "n")
-
-
-def _pairs(obs, key, name, count, drop_conflicts):
+    totals, sizes = grid_parts(events, obs, species, by, key=key, name=name, count=count)
+    totals = totals.filter(F.col("total").isNotNull())
+    return zero_fill(sizes.withColumn("__group", F.struct(*by)),
+                     totals.select(F.struct(*by).alias("__group"), name, F.col("total").alias("total")),
+                     species, key="__group", name=name, count="total", drop_conflicts=False,
+                     list_bound=list_bound, number="bigint").select(*by, name, "total", "n")
+
+
+def _pairs(obs, key, name, count, drop_conflicts, number="int"):
     """One row per checklist and species (and distinct count, if conflicts stay)."""
     if drop_conflicts:
-        return obs.groupBy(key, name).agg(F.min(count).cast("int").alias("__n"),
+        return obs.groupBy(key, name).agg(F.min(count).cast(number).alias("__n"),
                                           (F.min(count) != F.max(count)).alias("__conflict"))
-    return obs.select(key, name, F.col(count).cast("int").alias("__n"),
+    return obs.select(key, name, F.col(count).cast(number).alias("__n"),
                       F.lit(False).alias("__conflict")).distinct()
 
 
@@ -75,16 +83,13 @@ def _checklist_lists(pairs, listed, key, name):
                                   F.max("__conflict").alias("__conflict"))
 
 
-def _no_cells(number="int"):
+def _no_cells(number):
     return F.array().cast(f"array<struct<name:string,n:{number}>>")
 
 
-def _without_conflicts(joined):
-    return joined.filter(~F.coalesce(F.col("__conflict"), F.lit(False)))
-
-
-def _fill_absent(df, every, name, count, number="int"):
+def _unfold(joined, every, name, count, number):
     """One row per listed name: those in ``__seen`` with their number, the others with 0."""
+    df = joined.filter(~F.coalesce(F.col("__conflict"), F.lit(False))).drop("__conflict")
     seen = F.coalesce(F.col("__seen"), _no_cells(number))
     absent = F.transform(F.array_except(every, F.transform(seen, lambda s: s["name"])),
                          lambda s: F.struct(s.alias("name"), F.lit(0).cast(number).alias("n")))
@@ -92,12 +97,8 @@ def _fill_absent(df, every, name, count, number="int"):
             .withColumns({name: F.col("__cell.name"), count: F.col("__cell.n")}).drop("__cell"))
 
 
-def _unfold(joined, every, name, count):
-    return _fill_absent(_without_conflicts(joined).drop("__conflict"), every, name, count)
-
-
-def _by_chunk(events, obs, listed, key, name, count, drop_conflicts,
-              list_bound, salts: int = 64):
+def _by_chunk(events, obs, listed, key, name, count, drop_conflicts, list_bound, number,
+              salts: int = 64):
     """Long species lists: the list is cut into chunks and each event meets each chunk.
 
     The few chunk keys are salted so that the meeting is spread over many tasks.
@@ -106,7 +107,7 @@ def _by_chunk(events, obs, listed, key, name, count, drop_conflicts,
     chunk = F.pmod(F.xxhash64(name), F.lit(chunks)).cast("int")
     parts = (listed.groupBy(chunk.alias("__chunk")).agg(F.collect_list(name).alias("__every"))
              .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    pairs = _pairs(obs, key, name, count, drop_conflicts)
+    pairs = _pairs(obs, key, name, count, drop_conflicts, number)
     bad = pairs.filter("__conflict").select(key).distinct()
     inside = pairs.join(listed, name, "left_semi")
     lists = (inside.groupBy(key, chunk.alias("__chunk"))
@@ -119,4 +120,4 @@ def _by_chunk(events, obs, listed, key, name, count, drop_conflicts,
             .join(parts, ["__chunk", "__salt"])
             .withColumn("__conflict", F.lit(False))
             .drop("__chunk", "__salt"))
-    return _unfold(grid, F.col("__every"), name, count).drop("__every")
+    return _unfold(grid, F.col("__every"), name, count, number).drop("__every")

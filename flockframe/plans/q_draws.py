@@ -73,9 +73,11 @@ def _with(needs, extra, body):
     return sql(needs, "@@").replace("\n@@", f",\n{extra}\n{body}")
 
 
-@query(_with("g3", _STAGE, "SELECT species, year, stage FROM stages"))
+@query("""WITH g3 AS (SELECT DISTINCT p_brand AS species, greatest(10,
+      CAST(ceil(CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) / 2e0 * 3) AS INTEGER)) AS g FROM part),
+    """ + _STAGE + " SELECT species, year, stage FROM stages")
 def stage_labels(spark, sf):
-    return indices.stage_labels(T.draw_generations(spark, sf), 1980, 2024)
+    return indices.stage_labels(T.generations(spark, sf), 1980, 2024)
 
 
 @query(_with("dsv g3", _STAGE, f"""SELECT d.*, stage FROM (

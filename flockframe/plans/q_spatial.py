@@ -93,12 +93,14 @@ def near_sites(spark, sf):
     return out.select("locality_id", "n_near", "near_ids")
 
 
-@query(_with("sites", _EQ, """SELECT a.locality_id AS site1, b.locality_id AS site2,
-      round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 3) AS distance
-    FROM eq a JOIN eq b ON a.locality_id < b.locality_id AND abs(a.x - b.x) < 150000
+@query(_with("sites", _EQ + """,
+    places AS (SELECT x, y, count(*) AS n_sites FROM eq GROUP BY 1, 2)""", """
+    SELECT round(a.x, 3) AS x, round(a.y, 3) AS y, a.n_sites, round(b.x, 3) AS x2, round(b.y, 3) AS y2,
+      b.n_sites AS n_sites2, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 3) AS distance
+    FROM places a JOIN places b ON abs(a.x - b.x) < 150000
       AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 150000"""))
-def near_site_pairs(spark, sf):
-    return _mm(spatial.near_site_pairs(_plane(spark, sf), 150_000.0), "distance")
+def near_places(spark, sf):
+    return _mm(spatial.near_places(_plane(spark, sf), 150_000.0), "x", "y", "x2", "y2", "distance")
 
 
 _REGIONS_SQL = "regs(poly_id, x0, y0, x1, y1) AS (VALUES " + ", ".join(

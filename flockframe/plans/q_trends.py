@@ -139,11 +139,18 @@ def trend_class(spark, sf):
         "species", "trend_type", "prob_neg", C.probability_class(F.col("prob_neg"), 0.85).alias("class"))
 
 
-@query(sql("periods", """SELECT *, CAST(list_position(['Long-term', 'First-15-year', '15-year',
-      'Previous-three-generation', 'Recent-three-generation'], trend_type) AS INTEGER) AS type_order
-    FROM periods WHERE trend_type <> 'First-15-year'"""))
+_BRAND_PERIODS = """gens AS (SELECT DISTINCT p_brand AS species,
+      CAST(greatest(10, ceil(CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) / 2e0 * 3)) AS INTEGER) AS g FROM part),
+    periods AS (SELECT species, 'Long-term' AS trend_type, 1980 AS start_year, 2024 AS end_year FROM gens
+        UNION ALL SELECT species, '15-year', 2004, 2024 FROM gens
+        UNION ALL SELECT species, 'Previous-three-generation', greatest(1980, 2024 - 2 * g), 2024 - g FROM gens
+        UNION ALL SELECT species, 'Recent-three-generation', 2024 - g, 2024 FROM gens)"""
+
+
+@query(f"WITH {_BRAND_PERIODS} " + """SELECT *, CAST(list_position(['Long-term', 'First-15-year', '15-year',
+      'Previous-three-generation', 'Recent-three-generation'], trend_type) AS INTEGER) AS type_order FROM periods""")
 def trend_periods(spark, sf):
-    p = _periods(spark, sf).drop("period_no")
+    p = trends.standard_periods(T.generations(spark, sf), 1980, 2024).drop("period_no")
     return trends.trend_subset(p, ["Long-term", "15-year", "Previous-three-generation",
                                    "Recent-three-generation"])
 
@@ -225,23 +232,25 @@ def site_years(spark, sf):
     FROM yearly a JOIN yearly b USING (species) WHERE a.year = 1995 AND b.year = 2001 AND a.mean_count > 0"""))
 def species_trends(spark, sf):
     """Flagship: annual means over the zero-filled grid at covered sites, and their end-point trend."""
-    from ..operators.zero_fill import grid_sums
+    from ..operators.zero_fill import grid_parts
 
     first, last = T.FIRST_YEAR, T.LAST_YEAR
     events = T.events(spark, sf).select("checklist_id", F.col("locality_id").alias("site_id"), "year")
-    sums = grid_sums(events, T.counts(spark, sf), T.species(spark, sf), ["site_id", "year"])
+    totals, sizes = grid_parts(events, T.counts(spark, sf), T.species(spark, sf), ["site_id", "year"])
     seen = F.when(F.col("total") > 0, F.col("year"))
 
     def at(year, column):
         return F.sum(F.when(F.col("year") == year, F.col(column))).alias(f"{column}_{year}")
 
-    # coverage and both end years from one pass over each species-site pair
-    pairs = sums.groupBy(F.col("common_name").alias("species"), "site_id").agg(
+    # coverage and end-year totals from one pass over the reported species-site pairs
+    pairs = totals.groupBy(F.col("common_name").alias("species"), "site_id").agg(
         (F.max(seen) - F.min(seen)).alias("span"), F.count(seen).alias("nyears"),
-        *[at(y, c) for y in (first, last) for c in ("total", "n")])
-    yearly = pairs.filter((F.col("span") >= 4) & (F.col("nyears") >= 2)).groupBy("species").agg(
+        *[at(y, "total") for y in (first, last)])
+    covered = pairs.filter((F.col("span") >= 4) & (F.col("nyears") >= 2))
+    effort = sizes.groupBy("site_id").agg(*[at(y, "n") for y in (first, last)])
+    yearly = covered.join(effort, "site_id").groupBy("species").agg(
         *[F.sum(f"{c}_{y}").alias(f"{c}_{y}") for y in (first, last) for c in ("total", "n")])
-    a, b = (F.try_divide(F.col(f"total_{y}"), F.col(f"n_{y}")) for y in (first, last))
+    a, b = (F.try_divide(F.coalesce(f"total_{y}", F.lit(0)), F.col(f"n_{y}")) for y in (first, last))
     r = C.ratio(a, b)
     return yearly.filter(r.isNotNull()).select(
         "species", F.lit(first).alias("start_year"), F.lit(last).alias("end_year"),

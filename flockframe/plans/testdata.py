@@ -97,6 +97,11 @@ def species_list(spark, sf):
         F.when(n % 4 == 0, "ASIA - EUROPE").when(n % 4 == 2, "AFRICA").alias("regions_w_alt_season"))
 
 
+def generations(spark, sf):
+    return species(spark, sf).select(F.col("common_name").alias("species"),
+                                     (brand_number() / 2.0).alias("gen_length"))
+
+
 def surveys(spark, sf, extra: tuple[str, ...] = ()):
     """Zero-filled grid: checklist_id, site_id, year, doy [, extra], species, count."""
     base = events_geo(spark, sf) if extra else events(spark, sf)

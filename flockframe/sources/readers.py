@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import schemas
 
@@ -51,8 +51,7 @@ def rings_from_vertices(vertices: DataFrame) -> DataFrame:
         F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
 
 
-def read_draw_files(spark: SparkSession, paths: str | list[str], columns: list[str],
-                    chain: Column | None = None) -> DataFrame:
+def read_draw_files(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
     """Sampler output, one file per chain: ``#`` lines skipped, chain number from the file name.
 
     ``columns`` are the header names in file order; names like ``alpha.1.2`` come
@@ -68,12 +67,14 @@ def read_draw_files(spark: SparkSession, paths: str | list[str], columns: list[s
                         F.col("_metadata.file_block_start").alias("__block"),
                         F.monotonically_increasing_id().alias("__row"))
     out = tagged.toDF(*renamed.columns, "chain", "__block", "__row")
-    from pyspark.sql import Window
-
-    # a chain file holds its retained iterations (thousands of rows)
-    order = Window.partitionBy("chain").orderBy("__block", "__row")
-    return (out.withColumn("iteration", F.row_number().over(order))
-            .drop("__block", "__row"))
+    # a block is one read split, so its order stays within one task of bounded size
+    block = Window.partitionBy("chain", "__block").orderBy("__row")
+    sizes = out.groupBy("chain", "__block").agg(F.count(F.lit(1)).alias("__size"))
+    earlier = Window.partitionBy("chain").orderBy("__block")
+    offsets = sizes.select("chain", "__block", (F.sum("__size").over(earlier) - F.col("__size")).alias("__off"))
+    return (out.withColumn("__at", F.row_number().over(block)).join(offsets, ["chain", "__block"])
+            .withColumn("iteration", (F.col("__off") + F.col("__at")).cast("int"))
+            .select(*renamed.columns, "chain", "iteration"))
 
 
 def bracketed(name: str) -> str:

@@ -88,6 +88,23 @@ def test_stratum_index_against_the_site_mean(spark):
     assert r.nsmooth == pytest.approx(math.exp(1.0 + 0.5 + 0.18) * mean)
 
 
+def test_stratum_index_with_two_seasons(spark):
+    """Every stratum uses the season level of its own group."""
+    def frame(data, schema):
+        return spark.createDataFrame(data, "species string, draw int, " + schema)
+    yp = spark.createDataFrame([("s", i, 1, 1, 0.0) for i in (1, 2)],
+                               "species string, strat int, draw int, yr int, value double")
+    eff, alpha = frame([("s", 1, 1, 0.0)], "yr int, value double"), frame(
+        [("s", 1, 1, 0.0), ("s", 1, 2, 0.0)], "site int, value double")
+    where = spark.createDataFrame([("s", 1, 1), ("s", 2, 2)], "species string, strat int, site int")
+    season = frame([("s", 1, 1, 1, 0.4), ("s", 1, 2, 1, 2.0)], "seas_strat int, day int, value double")
+    strata = spark.createDataFrame([("s", 1, 1), ("s", 2, 2)], "species string, strat int, seas_strat int")
+    scal = (model.season_level(season, by=("seas_strat",)).join(strata, ["species", "seas_strat"])
+            .withColumns({"sdyear": F.lit(0.0), "sdnoise": F.lit(0.0)}))
+    got = {r.strat: r.n for r in model.stratum_index_from_params(yp, eff, alpha, where, scal).collect()}
+    assert got == {1: pytest.approx(math.exp(0.2)), 2: pytest.approx(math.exp(1.0))}
+
+
 def test_season_level_by_stratum(spark):
     """Two season groups: each stratum takes the level of its own group."""
     season = spark.createDataFrame([("s", 1, g, d, v) for g, d, v in ((1, 1, 0.2), (1, 2, 0.8), (2, 1, 2.0))],

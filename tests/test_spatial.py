@@ -44,9 +44,12 @@ def test_near_pairs_with_a_radius_per_group(spark):
 
 def test_near_sites_folds_equal_places(spark):
     a = [(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 100.0, 0.0), (4, 1000.0, 0.0), (10, 160.0, 0.0)]
-    got = rows(spatial.near_sites(spark.createDataFrame(a, "locality_id long, x double, y double"))
-               .select("locality_id", "n_near", "near_ids"))
+    sites = spark.createDataFrame(a, "locality_id long, x double, y double")
+    got = rows(spatial.near_sites(sites).select("locality_id", "n_near", "near_ids"))
     assert got == [(1, 3, "1-2-3"), (2, 3, "1-2-3"), (3, 4, "1-2-3-10"), (4, 1, "4"), (10, 2, "3-10")]
+    got = {r.locality_id: (r.n_near, r.near_ids) for r in spatial.near_sites(sites, list_bound=3).collect()}
+    assert got[3] == (4, None) and got[1] == (3, "1-2-3")
+    assert spatial.near_places(sites).count() == 8
 
 
 def test_closest_k_against_brute_force(spark):
@@ -147,7 +150,8 @@ def test_measures_of_a_known_polygon(spark):
 
 def test_convex_hull_drops_inner_and_collinear_points(spark):
     pts = [("s", x, y) for x, y in [(0.0, 0.0), (2.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (1.0, 2.0)]]
-    hull = spatial.convex_hull(spark.createDataFrame(pts, "species string, x double, y double"), ["species"])
+    hull = spatial.convex_hull(spark.createDataFrame(pts, "species string, x double, y double"), ["species"],
+                               slice_rows=2)
     assert [(r.x, r.y) for r in hull.orderBy("seq").collect()] == [(0, 0), (4, 0), (4, 4), (0, 4)]
     area = spatial.buffered_hull_area(hull, ["species"], 1.0).first().buffered_area
     assert area == pytest.approx(16 + 16 + math.pi)
