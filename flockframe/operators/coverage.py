@@ -85,37 +85,24 @@ def dense_codes(df: DataFrame, keys: list[str], value: str, code: str = "code",
         *keys, value, (F.col("__pos") - F.col("__first") + 1).cast("int").alias(code))
 
 
-def survey_cells(surveys: DataFrame, columns: list[str]) -> DataFrame:
-    """Surveys reduced to one row per ``columns`` and year: n, number present, first day.
-
-    All that coverage, strata and codes need, at a small part of the surveys' size;
-    written out, so that the surveys are read once for all of them.
-    """
-    return checkpoint(surveys.groupBy(*columns, "year").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("count") > 0).alias("present"),
-        F.min("doy").alias("doy")))
-
-
-def code_table(cells: DataFrame, site: str = "site_id", stratum: str = "hex_name") -> DataFrame:
+def code_table(surveys: DataFrame, site: str = "site_id", stratum: str = "hex_name") -> DataFrame:
     """species, site and stratum with their integer codes and the species' first year and day."""
-    base = cells.groupBy("species").agg((F.min("year") - 1).alias("__year0"),
-                                        (F.min("doy") - 1).alias("__day0"))
-    return (cells.select("species", site, stratum).distinct()
+    cells = checkpoint(surveys.groupBy("species", site, stratum).agg(
+        (F.min("year") - 1).alias("__year0"), (F.min("doy") - 1).alias("__day0")))
+    base = cells.groupBy("species").agg(F.min("__year0").alias("__year0"), F.min("__day0").alias("__day0"))
+    return (cells.select("species", site, stratum)
             .join(dense_codes(cells, ["species"], site, "site"), ["species", site])
             .join(dense_codes(cells, ["species"], stratum, "strat"), ["species", stratum])
             .join(base, "species"))
 
 
-def index_encode(surveys: DataFrame, site: str = "site_id", stratum: str = "hex_name",
-                 cells: DataFrame | None = None) -> DataFrame:
+def index_encode(surveys: DataFrame, site: str = "site_id", stratum: str = "hex_name") -> DataFrame:
     """Add integer yr, date, site and strat codes per species, all starting at 1.
 
-    The codes come from the reduced ``cells`` and meet the surveys in one join;
-    surveys of species, sites and strata absent from ``cells`` go.
+    The codes come from the distinct species-site-stratum triples and meet the
+    surveys in one join.
     """
-    if cells is None:
-        cells = survey_cells(surveys, ["species", site, stratum])
-    return (surveys.join(code_table(cells, site, stratum), ["species", site, stratum])
+    return (surveys.join(code_table(surveys, site, stratum), ["species", site, stratum])
             .withColumn("yr", (F.col("year") - F.col("__year0")).cast("int"))
             .withColumn("date", (F.col("doy") - F.col("__day0")).cast("int"))
             .drop("__year0", "__day0"))

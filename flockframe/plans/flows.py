@@ -38,21 +38,22 @@ def model_tables(surveys: DataFrame, *, first_year: int, last_year: int, min_spa
                  stratum_share: float = 0.67) -> DataFrame:
     """Coverage filters, one region per stratum, and integer codes, for all species at once.
 
-    The surveys are read twice: once reduced to site-year sums, from which all
-    filters and codes follow, and once for the final join with those.
+    The surveys are read twice: their non-zero rows, reduced to site-year sums, decide
+    coverage; then the covered rows are written out and coded from there.
     """
-    place = [c for c in ("site_id", "hex_name", "region") if c in surveys.columns]
-    seen = {"count": "present", "weight": "present"}
-    cells = coverage.survey_cells(surveys, ["species", *place])
-    cells = coverage.keep_covered(cells, coverage.site_coverage(cells, min_span, **seen),
-                                  ["species", "site_id"])
-    strata = coverage.stratum_coverage(cells, first_year, last_year, stratum_share, **seen)
-    cells = checkpoint(coverage.keep_covered(cells, strata, ["species", "hex_name"]))
-    encoded = coverage.index_encode(surveys, cells=cells)
-    if "region" in place:
-        region = coverage.group_category(cells, ["species", "hex_name"], "region", weight="n")
-        encoded = encoded.drop("region").join(region, ["species", "hex_name"], "left")
-    return encoded
+    place = [c for c in ("site_id", "hex_name") if c in surveys.columns]
+    seen = checkpoint(surveys.filter(F.col("count") > 0).groupBy("species", *place, "year")
+                      .agg(F.count(F.lit(1)).alias("n")))
+    columns = {"count": "n", "weight": "n"}
+    sites = checkpoint(coverage.site_coverage(seen, min_span, **columns).select("species", "site_id"))
+    strata = coverage.stratum_coverage(coverage.keep_covered(seen, sites, ["species", "site_id"]),
+                                       first_year, last_year, stratum_share, **columns)
+    kept = checkpoint(coverage.keep_covered(coverage.keep_covered(surveys, sites, ["species", "site_id"]),
+                                            strata, ["species", "hex_name"]))
+    if "region" in kept.columns:
+        region = coverage.group_category(kept, ["species", "hex_name"], "region")
+        kept = kept.drop("region").join(region, ["species", "hex_name"], "left")
+    return coverage.index_encode(kept)
 
 
 def trends_and_indices(draws: DataFrame, generations: DataFrame, observed: DataFrame, *,
