@@ -6,16 +6,13 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from .columns import bind
+
 # WGS84 ellipsoid (fixed values).
 SEMI_MAJOR = 6378137.0
 FLATTENING = 1 / 298.257223563
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once; keeps long formulas from multiplying."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _q(sin_phi: Column, e: float) -> Column:
     es = sin_phi * e
     return (1 - e * e) * (sin_phi / (1 - es * es) - (1 / (2 * e)) * F.log((1 - es) / (1 + es)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import columns as C
 from ..session import join_on
 
 
@@ -34,20 +35,46 @@ def split_rhat(draws: DataFrame, keys: list[str]) -> DataFrame:
     return _rhat(seqs, keys)
 
 
+def rank_normalised(draws: DataFrame, keys: list[str]) -> DataFrame:
+    """Values replaced by normal scores of their (average) ranks among the parameter's draws.
+
+    One parameter holds its retained draws, thousands of rows; equal values are
+    counted before they are ranked.
+    """
+    freq = draws.groupBy(*keys, "value").agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("value"))
+    total = F.sum("__n").over(Window.partitionBy(*keys))
+    # average rank of the tied values, shifted and scaled into (0, 1)
+    p = (upto - (F.col("__n") - 1) / 2 - 0.375) / (total + 0.25)
+    scores = freq.select(*keys, "value", C.normal_quantile(p).alias("__z"))
+    return (join_on(draws, scores, [*keys, "value"])
+            .withColumn("value", F.col("__z")).drop("__z"))
+
+
 def rank_rhat(draws: DataFrame, keys: list[str]) -> DataFrame:
-    """Split R-hat of ranks scaled to (0, 1): robust to heavy tails.
+    """The greater of split R-hat of the normal scores and of the folded normal scores.
 
-    Ranks are taken within one parameter's draws, thousands of rows per task.
+    The first reacts to chains that differ in level, the second (scores of the
+    distance from the median) to chains that differ in spread.
     """
-    order = Window.partitionBy(*keys).orderBy("value")
-    every = Window.partitionBy(*keys)
-    z = (F.rank().over(order) + (F.count(F.lit(1)).over(
-        Window.partitionBy(*keys, "value")) - 1) / 2.0 - 0.375) / (F.count(F.lit(1)).over(every) + 0.25)
-    return split_rhat(draws.withColumn("value", z), keys)
+    draws = draws.select(*keys, "chain", "iteration", "value")
+    middle = draws.groupBy(*keys).agg(F.median("value").alias("__m"))
+    folded = (join_on(draws, middle, keys)
+              .withColumn("value", F.abs(F.col("value") - F.col("__m"))).drop("__m"))
+    level = split_rhat(rank_normalised(draws, keys), keys)
+    spread = split_rhat(rank_normalised(folded, keys), keys)
+    return level.unionByName(spread).groupBy(*keys).agg(F.max("rhat").alias("rhat"))
+
+
+def bulk_ess(draws: DataFrame, keys: list[str]) -> DataFrame:
+    """Effective sample size of the normal scores, each half chain a chain of its own."""
+    scores = rank_normalised(draws.select(*keys, "chain", "iteration", "value"), keys)
+    halves = _halves(scores, keys).withColumn("chain", F.col("chain") * 2 + F.col("__half"))
+    return effective_size(halves, keys).withColumnRenamed("ess", "ess_bulk")
 
 
 def effective_size(draws: DataFrame, keys: list[str]) -> DataFrame:
-    """Effective sample size by initial positive sequences of the pooled autocorrelation.
+    """Effective sample size by initial positive, monotone sums of the pooled autocorrelation.
 
     One parameter's chains (thousands of numbers) go to one Arrow call; the
     parameters are spread over the cluster.
@@ -61,25 +88,32 @@ def effective_size(draws: DataFrame, keys: list[str]) -> DataFrame:
         chains = [g.sort_values("iteration")["value"].to_numpy() for _, g in pdf.groupby("chain")]
         n = min(len(c) for c in chains)
         x = np.stack([c[:n] for c in chains])
-        m = len(x)
-        centred = x - x.mean(axis=1, keepdims=True)
-        size = 2 ** int(np.ceil(np.log2(2 * n)))
-        power = np.abs(np.fft.rfft(centred, size, axis=1)) ** 2
-        acov = np.fft.irfft(power, size, axis=1)[:, :n] / n
-        w = (acov[:, 0] * n / (n - 1)).mean()
-        pooled = w * (n - 1) / n + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
-        rho = 1 - (w - acov.mean(axis=0) * n / (n - 1)) / pooled
-        rho[0] = 1.0
-        pairs = rho[: n // 2 * 2].reshape(-1, 2).sum(axis=1)
-        stop = np.argmax(pairs <= 0) if (pairs <= 0).any() else len(pairs)
-        tau = -1 + 2 * np.minimum.accumulate(pairs[:stop]).sum()
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**out, "ess": [float(m * n / max(tau, 1 / np.log10(m * n)))]})
+        m, ess = len(x), float("nan")
+        if n > 3 and x.std() > 0:
+            centred = x - x.mean(axis=1, keepdims=True)
+            size = 2 ** int(np.ceil(np.log2(2 * n)))
+            power = np.abs(np.fft.rfft(centred, size, axis=1)) ** 2
+            lagged = np.fft.irfft(power, size, axis=1)[:, :n].mean(axis=0) / n
+            within = lagged[0] * n / (n - 1)
+            pooled = lagged[0] + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
+            rho = 1 - (within - lagged) / pooled
+            rho[0] = 1.0
+            pairs = rho[: n // 2 * 2].reshape(-1, 2).sum(axis=1)
+            stop = int(np.argmax(pairs <= 0)) if (pairs <= 0).any() else len(pairs)
+            rest = max(rho[2 * stop], 0.0) if 2 * stop < n else 0.0
+            tau = -1 + 2 * np.minimum.accumulate(pairs[:stop]).sum() + rest
+            ess = float(m * n / max(tau, 1 / np.log10(m * n)))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ess": [ess]})
 
     return draws.select(*keys, "chain", "iteration", "value").groupBy(*keys).applyInPandas(
         per_parameter, schema)
 
 
+def convergence_summary(draws: DataFrame, keys: list[str]) -> DataFrame:
+    """rhat and ess_bulk per parameter, the input of ``convergence_rollup``."""
+    return join_on(rank_rhat(draws, keys), bulk_ess(draws, keys), keys)
+
+
 def convergence_rollup(summary: DataFrame, keys: list[str], contains: str | None = None) -> DataFrame:
     """Worst and mean R-hat and effective size, optionally for variables holding a text."""
     if contains:

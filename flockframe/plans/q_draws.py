@@ -135,6 +135,13 @@ def effective_size(spark, sf):
     return rounded(diagnostics.effective_size(T.stratum_draws(spark, sf), ["species", "strat", "y"]), "ess")
 
 
+@query()
+def convergence_summary(spark, sf):
+    """Rows only: rank-normalised R-hat and bulk effective size of every parameter."""
+    out = diagnostics.convergence_summary(T.stratum_draws(spark, sf), ["species", "strat", "y"])
+    return rounded(out, "rhat", "ess_bulk")
+
+
 @query(sql("dst", f"""SELECT species, round(max(rhat), 6) AS max_rhat, round(avg(rhat), 6) AS mean_rhat,
       round(min(100 + y + strat / 10e0), 6) AS min_ess, round(avg(100 + y + strat / 10e0), 6) AS mean_ess
     FROM ({_SPLIT_RHAT}) WHERE y % 2 = 1 GROUP BY 1"""))

@@ -117,3 +117,11 @@ def test_hex_cells_hold_their_points(spark):
 def test_haversine(spark):
     quarter = one(spark, G.haversine(F.lit(0.0), F.lit(0.0), F.lit(90.0), F.lit(0.0)))
     assert quarter == pytest.approx(6371008.8 * math.pi / 2)
+
+
+@pytest.mark.parametrize("p", [1e-12, 1e-4, 0.02, 0.3, 0.5, 0.9, 0.99999])
+def test_normal_quantile(spark, p):
+    from statistics import NormalDist
+
+    assert one(spark, C.normal_quantile(F.lit(p))) == pytest.approx(NormalDist().inv_cdf(p), rel=1e-12, abs=1e-14)
+    assert one(spark, C.normal_quantile(F.lit(0.0))) is None

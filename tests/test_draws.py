@@ -135,3 +135,37 @@ def test_dense_codes(spark, bound):
     df = spark.createDataFrame([("a", "z"), ("a", "b"), ("a", "z"), ("b", "m"), ("a", None)], "k string, v string")
     assert rows(coverage.dense_codes(df, ["k"], "v", window_bound=bound)) == [("a", "b", 1), ("a", "z", 2), ("b", "m", 1)]
     assert rows(coverage.dense_codes(df, [], "v", window_bound=bound)) == [("b", 1), ("m", 2), ("z", 3)]
+
+
+def scores(x):
+    from statistics import NormalDist
+
+    flat = np.sort(x.ravel())
+    rank = (np.searchsorted(flat, x, "left") + 1 + np.searchsorted(flat, x, "right")) / 2
+    return np.vectorize(NormalDist().inv_cdf)((rank - 0.375) / (x.size + 0.25))
+
+
+def plain_rhat(x):
+    h = x.shape[1] // 2
+    s = np.concatenate([x[:, :h], x[:, -h:]])
+    w = s.var(axis=1, ddof=1).mean()
+    return np.sqrt(((h - 1) / h * w + s.mean(axis=1).var(ddof=1)) / w)
+
+
+def test_rank_rhat_against_its_formula(spark):
+    r = np.random.default_rng(4)
+    for x in (r.standard_cauchy((4, 101)), r.integers(0, 5, (3, 80)).astype(float), r.normal(size=(4, 90)) * [[1], [1], [1], [4]]):
+        want = max(plain_rhat(scores(x)), plain_rhat(scores(np.abs(x - np.median(x)))))
+        got = diagnostics.rank_rhat(chains(spark, x), ["parameter"]).first().rhat
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_bulk_ess_of_heavy_tails(spark):
+    x = np.random.default_rng(5).standard_cauchy((4, 1000))
+    r = diagnostics.convergence_summary(chains(spark, x), ["parameter"]).first()
+    assert r.ess_bulk == pytest.approx(4000, rel=0.2) and r.rhat == pytest.approx(1, abs=0.01)
+
+
+def test_effective_size_of_a_constant_is_undefined(spark):
+    r = diagnostics.effective_size(chains(spark, np.ones((2, 10))), ["parameter"]).first()
+    assert r.ess is None or np.isnan(r.ess)
