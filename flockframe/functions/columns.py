@@ -128,11 +128,11 @@ def bin_ordinal(c: Column, breaks=TREND_BREAKS) -> Column:
 
 
 def trend_annotation(change: Column, start: Column, end: Column, low: Column, high: Column) -> Column:
-    """``-12 % 1980 : 2024 [ -20 : -3 ]`` with three significant digits."""
+    """``-12.3 %  1980 : 2024 [ -20  :  1 ]`` with three significant digits."""
     def num(c):
-        return signif(c, 3).cast("string")
-    return F.concat_ws(" ", num(change), F.lit("%"), start.cast("string"), F.lit(":"),
-                       end.cast("string"), F.lit("["), num(low), F.lit(":"), num(high), F.lit("]"))
+        return F.regexp_replace(signif(c, 3).cast("string"), r"\.0$", "")
+    return F.concat(num(change), F.lit(" %  "), start.cast("string"), F.lit(" : "), end.cast("string"),
+                    F.lit(" [ "), num(low), F.lit("  :  "), num(high), F.lit(" ]"))
 
 
 # --- rates --------------------------------------------------------------------

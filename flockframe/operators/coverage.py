@@ -88,8 +88,11 @@ def dense_codes(df: DataFrame, keys: list[str], value: str, code: str = "code",
 def code_table(surveys: DataFrame, site: str = "site_id", stratum: str = "hex_name") -> DataFrame:
     """species, site and stratum with their integer codes and the species' first year and day."""
     cells = checkpoint(surveys.groupBy("species", site, stratum).agg(
-        (F.min("year") - 1).alias("__year0"), (F.min("doy") - 1).alias("__day0")))
-    base = cells.groupBy("species").agg(F.min("__year0").alias("__year0"), F.min("__day0").alias("__day0"))
+        (F.min("year") - 1).alias("__year0"), (F.min("doy") - 1).alias("__day0"),
+        F.max("year").alias("__last")))
+    base = cells.groupBy("species").agg(
+        F.min("__year0").alias("__year0"), F.min("__day0").alias("__day0"),
+        F.floor((F.max("__last") - F.min("__year0")) / 2).alias("__mid"))
     return (cells.select("species", site, stratum)
             .join(dense_codes(cells, ["species"], site, "site"), ["species", site])
             .join(dense_codes(cells, ["species"], stratum, "strat"), ["species", stratum])
@@ -97,15 +100,27 @@ def code_table(surveys: DataFrame, site: str = "site_id", stratum: str = "hex_na
 
 
 def index_encode(surveys: DataFrame, site: str = "site_id", stratum: str = "hex_name") -> DataFrame:
-    """Add integer yr, date, site and strat codes per species, all starting at 1.
+    """Add integer yr, date, site and strat codes per species, all starting at 1,
+    and ``yr_centred``, the year counted from the middle of the species' series.
 
     The codes come from the distinct species-site-stratum triples and meet the
     surveys in one join.
     """
     return (surveys.join(code_table(surveys, site, stratum), ["species", site, stratum])
             .withColumn("yr", (F.col("year") - F.col("__year0")).cast("int"))
+            .withColumn("yr_centred", (F.col("yr") - F.col("__mid")).cast("int"))
             .withColumn("date", (F.col("doy") - F.col("__day0")).cast("int"))
-            .drop("__year0", "__day0"))
+            .drop("__year0", "__day0", "__mid"))
+
+
+def model_sizes(encoded: DataFrame) -> DataFrame:
+    """Numbers of years, strata, sites, counts, days and the longest site list per species."""
+    lists = (encoded.select("species", "strat", "site").distinct()
+             .groupBy("species", "strat").agg(F.count(F.lit(1)).alias("__k"))
+             .groupBy("species").agg(F.max("__k").alias("max_sites")))
+    return (encoded.groupBy("species").agg(
+        F.max("yr").alias("nyears"), F.max("strat").alias("nstrata"), F.max("site").alias("nsites"),
+        F.count(F.lit(1)).alias("ncounts"), F.max("date").alias("ndays")).join(lists, "species"))
 
 
 def sites_by_stratum(encoded: DataFrame) -> DataFrame:

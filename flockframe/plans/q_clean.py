@@ -186,10 +186,13 @@ def grid_sums(spark, sf):
 @query(sql("site_regions sites", """
     SELECT o_orderkey AS checklist_id, o_custkey AS locality_id, s.locality AS locality,
            round(latitude, 6) AS latitude, round(longitude, 6) AS longitude
-    FROM orders JOIN sites s ON s.locality_id = o_custkey WHERE o_custkey % 3 <> 0"""))
+    FROM orders JOIN sites s ON s.locality_id = o_custkey
+    JOIN customer ON c_custkey = o_custkey WHERE c_acctbal >= 0"""))
 def canonical_site_join(spark, sf):
     ev = T.events(spark, sf).select("checklist_id", "locality_id", F.lit("as reported").alias("locality"))
-    listed = T.sites(spark, sf).filter(F.col("locality_id") % 3 != 0)
+    solvent = T.table(spark, sf, "customer").filter("c_acctbal >= 0").select(
+        F.col("c_custkey").alias("locality_id"))
+    listed = T.sites(spark, sf).join(solvent, "locality_id", "left_semi")
     return clean.canonical_sites(ev, listed).select(
         "checklist_id", "locality_id", "locality", r6("latitude"), r6("longitude"))
 

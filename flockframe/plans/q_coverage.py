@@ -76,16 +76,27 @@ _KEPT = f"""k1 AS (SELECT zfh.* FROM zfh JOIN {_SPAN.format(k='site_id', t='zfh'
       CAST(dense_rank() OVER (PARTITION BY species ORDER BY site_id) AS INTEGER) AS site,
       CAST(dense_rank() OVER (PARTITION BY species ORDER BY hex_name) AS INTEGER) AS strat,
       CAST(year - min(year) OVER (PARTITION BY species) + 1 AS INTEGER) AS yr,
-      CAST(doy - min(doy) OVER (PARTITION BY species) + 1 AS INTEGER) AS date FROM k2)"""
+      CAST(doy - min(doy) OVER (PARTITION BY species) + 1 AS INTEGER) AS date,
+      (max(year) OVER (PARTITION BY species) - min(year) OVER (PARTITION BY species) + 1) // 2 AS mid FROM k2)"""
 
 
 def _kept_sql(body):
     return sql("zfh", "@@").replace("\n@@", f",\n{_KEPT}\n{body}")
 
 
-@query(_kept_sql("SELECT checklist_id, species, site, strat, yr, date, CAST(count AS INTEGER) AS count FROM enc"))
+@query(_kept_sql("""SELECT checklist_id, species, site, strat, yr, CAST(yr - mid AS INTEGER) AS yr_centred, date,
+      CAST(count AS INTEGER) AS count FROM enc"""))
 def index_encode(spark, sf):
-    return _covered(spark, sf).select("checklist_id", "species", "site", "strat", "yr", "date", "count")
+    return _covered(spark, sf).select("checklist_id", "species", "site", "strat", "yr", "yr_centred", "date",
+                                      "count")
+
+
+@query(_kept_sql("""SELECT species, max(yr) AS nyears, max(strat) AS nstrata, max(site) AS nsites,
+      count(*) AS ncounts, max(date) AS ndays, max(k) AS max_sites
+    FROM (SELECT enc.*, k FROM enc JOIN (SELECT species, strat, count(DISTINCT site) AS k FROM enc GROUP BY 1, 2) s
+          USING (species, strat)) GROUP BY 1"""))
+def model_sizes(spark, sf):
+    return coverage.model_sizes(_covered(spark, sf))
 
 
 @query(_kept_sql("""SELECT species, strat, site,

@@ -162,23 +162,22 @@ def _bins(breaks):
 
 
 @query(_with("dst periods dobs site_hex", _regional_sql() + f""",
-    tr AS (SELECT region, trend, mean_abundance FROM ({_SELECT.format(region=', r.region')})
-           WHERE trend_type = 'Long-term' AND species = 'S0'),
+    tr AS (SELECT species, trend_type, region, trend, mean_abundance FROM ({_SELECT.format(region=', r.region')})),
     cells AS (SELECT DISTINCT hex_name, 'R' || CAST((q + 2 * r) % 7 + 1 AS VARCHAR) AS cell_region,
                 (q + r / 2e0) * 300000e0 AS x, r * (1.5e0 * 300000e0 / sqrt(3e0)) AS y FROM site_hex)""",
-             f"""SELECT hex_name, round(x, 3) AS x, round(y, 3) AS y, trend, {_bins(C.TREND_BREAKS)} AS trend_class,
-      mean_abundance AS size_s FROM cells LEFT JOIN tr ON tr.region = cell_region"""))
+             f"""SELECT hex_name, round(x, 3) AS x, round(y, 3) AS y, species, trend_type, trend,
+      {_bins(C.TREND_BREAKS)} AS trend_class, mean_abundance AS size_s
+    FROM cells LEFT JOIN tr ON tr.region = cell_region"""))
 def trend_map_table(spark, sf):
     out = trends.trend_endpoint(T.stratum_draws(spark, sf), _periods(spark, sf),
                                 T.draw_observed(spark, sf), region="region")
-    tr = rounded(out.filter((F.col("trend_type") == "Long-term") & (F.col("species") == "S0")),
-                 "trend", "mean_abundance")
+    tr = rounded(out, "trend", "mean_abundance")
     cells = spatial.hex_grid(T.site_cells(spark, sf), T.HEX_WIDTH)
     centres = cells.select(F.concat(F.lit("R"), ((F.col("q") + 2 * F.col("r")) % 7 + 1).cast("string"))
                            .alias("hex_name"), F.col("hex_name").alias("cell"), "x", "y")
     return trends.trend_map_table(tr, centres).select(
         F.col("cell").alias("hex_name"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"),
-        "trend", "trend_class", "size_s")
+        "species", "trend_type", "trend", "trend_class", "size_s")
 
 
 def _signif(c):
@@ -198,6 +197,21 @@ def share_tables(spark, sf):
                       "mean_n_surveys")
 
 
+def _number_text(c):
+    return f"regexp_replace(CAST({_signif(c).rsplit(' AS ', 1)[0]} AS VARCHAR), '\\.0$', '')"
+
+
+@query(_with("dsv periods dobs", _trend_sql("dsv", "'all'").replace("{obs}", "dobs"),
+             f"""SELECT species, trend_type, {_number_text('percent_change')} || ' %  ' || start_year || ' : '
+      || end_year || ' [ ' || {_number_text('p_ch_lci')} || '  :  ' || {_number_text('p_ch_uci')} || ' ]' AS label
+    FROM ({_SELECT.format(region='')})"""))
+def trend_annotations(spark, sf):
+    out = trends.trend_endpoint(T.survey_draws(spark, sf), _periods(spark, sf))
+    t = rounded(out, *_NUM)
+    return t.select("species", "trend_type", C.trend_annotation(*[F.col(c) for c in (
+        "percent_change", "start_year", "end_year", "p_ch_lci", "p_ch_uci")]).alias("label"))
+
+
 @query(sql("dsv", """SELECT species, 'N_alt' AS variable, year, 'Full' AS smooth_or_full_indices,
     """ + ", ".join(_signif(c).rsplit(" AS ", 1)[0] + f" AS {n}" for c, n in (
         ("median", "predicted_mean_abundance"), ("sd", "sd"), ("lci", "lower_95percent_CL"),
