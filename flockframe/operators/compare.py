@@ -49,18 +49,20 @@ def cross_version_matches(df: DataFrame, keys: list[str], count: str = "count")
             .filter(F.col("n_vers") > 1))
 
 
-def version_diff(old: DataFrame, new: DataFrame, keys: list[str], count: str = "count",
-                 suffixes: tuple[str, str] = ("_old", "_new")) -> DataFrame:
+def version_diff(old: DataFrame, new: DataFrame, keys: list[str], count: str = "count") -> DataFrame:
     """Full join of two versions on ``keys`` with the count difference and a status.
 
-    status: ``changed``, ``same`` or ``missing`` (in one version only).
+    keys, count_old, n_old, count_new, n_new, dif_count, status: ``changed``,
+    ``same`` or ``missing`` (in one version only). Rows of a version that agree in
+    keys and count are one row with their number, so a key with very many records
+    pairs its few distinct counts, not its records.
     """
     def side(df, suffix):
-        return df.withColumnsRenamed({c: c + suffix for c in df.columns if c not in keys})
+        return df.groupBy(*keys, F.col(count).alias("count" + suffix)).agg(
+            F.count(F.lit(1)).alias("n" + suffix))
 
-    a, b = (side(d, s) for d, s in zip((old, new), suffixes))
-    diff = F.col(count + suffixes[1]) - F.col(count + suffixes[0])
-    return (join_on(a, b, keys, "full").withColumn("dif_count", diff)
+    return (join_on(side(old, "_old"), side(new, "_new"), keys, "full")
+            .withColumn("dif_count", F.col("count_new") - F.col("count_old"))
             .withColumn("status", F.when(F.col("dif_count").isNull(), "missing")
                         .when(F.col("dif_count") != 0, "changed").otherwise("same")))
 

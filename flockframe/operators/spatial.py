@@ -162,65 +162,76 @@ def closest(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], *
 # --- points and polygons ------------------------------------------------------
 
 
-def _boxed(polygons, margin, size):
-    """Polygons repeated for the square cells that their box, widened by ``margin``, touches."""
+def _extent(polygons):
+    """Largest and mean box side, and the overall box, of a polygon table."""
     box = G.bbox(F.col("ring"))
+    side = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
+    return polygons.agg(F.max(side).alias("largest"), F.avg(side).alias("mean"),
+                        *[(F.min if n.endswith("min") else F.max)(c).alias(n) for n, c in box.items()]).first()
 
+
+def _cell_size(extent):
+    """Near the mean box side, but with no polygon over more than some 64 cells a side."""
+    return max(extent.mean or 0.0, (extent.largest or 0.0) / 64, 1e-9)
+
+
+def _candidates(points, boxes, radius, size):
+    """Points with the ids of the polygons whose box is within ``radius`` of them."""
     def cells(lo, hi):
-        return F.sequence(F.floor((lo - margin) / size), F.floor((hi + margin) / size))
+        return F.sequence(F.floor((F.col(lo) - radius) / size), F.floor((F.col(hi) + radius) / size))
 
-    return (polygons.withColumn("__cx", F.explode(cells(box["xmin"], box["xmax"])))
-            .withColumn("__cy", F.explode(cells(box["ymin"], box["ymax"]))))
+    spread = (boxes.withColumn("__cx", F.explode(cells("xmin", "xmax")))
+              .withColumn("__cy", F.explode(cells("ymin", "ymax"))))
+    dx = F.greatest(F.col("xmin") - F.col("x"), F.col("x") - F.col("xmax"), F.lit(0.0))
+    dy = F.greatest(F.col("ymin") - F.col("y"), F.col("y") - F.col("ymax"), F.lit(0.0))
+    return (points.withColumns({"__cx": _cell("x", F.lit(size)), "__cy": _cell("y", F.lit(size))})
+            .join(spread, ["__cx", "__cy"]).filter(F.hypot(dx, dy) <= radius)
+            .drop("__cx", "__cy", "xmin", "xmax", "ymin", "ymax"))
 
 
-def _largest_side(polygons):
-    box = G.bbox(F.col("ring"))
-    row = polygons.agg(F.max(F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])),
-                       F.min(box["xmin"]), F.max(box["xmax"]),
-                       F.min(box["ymin"]), F.max(box["ymax"])).first()
-    return row
+def _boxes(polygons):
+    """Rings, and their boxes without the rings; computed once."""
+    rings = checkpoint(polygons.select("poly_id", "ring"))
+    return rings, checkpoint(rings.select("poly_id", *[
+        c.alias(n) for n, c in G.bbox(F.col("ring")).items()]))
 
 
-def contains_join(points: DataFrame, polygons: DataFrame, size: float | None = None) -> DataFrame:
+def contains_join(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Points (x, y) with the polygons (poly_id, ring) that hold them."""
-    size = size or max(float(_largest_side(polygons)[0] or 1.0) / 4, 1e-9)
-    boxed = _boxed(polygons, 0.0, F.lit(size))
-    return (points.withColumns({"__cx": _cell("x", F.lit(size)), "__cy": _cell("y", F.lit(size))})
-            .join(boxed, ["__cx", "__cy"])
-            .filter(G.inside(F.col("x"), F.col("y"), F.col("ring")))
-            .drop("__cx", "__cy", "ring"))
+    rings, boxes = _boxes(polygons)
+    return (_candidates(points, boxes, 0.0, _cell_size(_extent(rings))).join(rings, "poly_id")
+            .filter(G.inside(F.col("x"), F.col("y"), F.col("ring"))).drop("ring"))
 
 
 def nearest_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Add the nearest polygon (``poly_id``) and its distance, 0 inside; ties go to the lesser id.
 
-    Distinct places meet only the polygons whose box, widened by the search
-    radius, covers their square cell; the radius doubles for the places left over.
+    Distinct places meet only the polygons whose box is within the search radius,
+    through square cells; the radius doubles for the places left over.
     """
-    side, xmin, xmax, ymin, ymax = _largest_side(polygons)
-    if side is None:
+    rings, boxes = _boxes(polygons)
+    extent = _extent(rings)
+    if extent.largest is None:
         raise ValueError("no polygons")
-    places = points.select("x", "y").distinct()
-    spot = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    left = checkpoint(points.select("x", "y").distinct())
+    spot = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if spot[0] is None:
         return points.withColumns({"poly_id": F.lit(None).cast(polygons.schema["poly_id"].dataType),
                                    "distance": F.lit(None).cast("double")})
-    extent = ((max(xmax, spot[1]) - min(xmin, spot[0])) ** 2
-              + (max(ymax, spot[3]) - min(ymin, spot[2])) ** 2) ** 0.5
-    radius, found = max(side, 1e-9) / 4, None
-    left = places
+    whole = ((max(extent.xmax, spot[1]) - min(extent.xmin, spot[0])) ** 2
+             + (max(extent.ymax, spot[3]) - min(extent.ymin, spot[2])) ** 2) ** 0.5
+    radius, found = _cell_size(extent) / 4, None
     while True:
-        boxed = _boxed(polygons.select("poly_id", "ring"), radius, F.lit(radius))
-        d = G.distance_to_ring(F.col("x"), F.col("y"), F.col("ring"))
+        near = _candidates(left, boxes, radius, max(radius, _cell_size(extent)))
+        distance = G.distance_to_ring(F.col("x"), F.col("y"), F.col("ring"))
         best = checkpoint(
-            left.withColumns({"__cx": _cell("x", F.lit(radius)), "__cy": _cell("y", F.lit(radius))})
-            .join(boxed, ["__cx", "__cy"]).withColumn("distance", d)
+            near.join(rings, "poly_id").select("x", "y", "poly_id", distance.alias("distance"))
             .filter(F.col("distance") <= radius)
             .groupBy("x", "y").agg(F.min(F.struct("distance", "poly_id")).alias("__b"))
             .select("x", "y", "__b.*"))
         found = best if found is None else found.unionByName(best)
         left = checkpoint(left.join(best, ["x", "y"], "left_anti"))
-        if radius > extent or left.isEmpty():
+        if radius > whole or left.isEmpty():
             return join_on(points, found, ["x", "y"], "left")
         radius *= 2
 
@@ -236,12 +247,22 @@ def overlaps(cells: DataFrame, regions: DataFrame) -> DataFrame:
         c.alias("a_" + n) for n, c in G.bbox(F.col("ring")).items()]))
     b = checkpoint(regions.select("poly_id", F.col("ring").alias("poly_ring"), "ring", *[
         c.alias("b_" + n) for n, c in G.bbox(F.col("ring")).items()]))
-    size = F.lit(max(float(_largest_side(a)[0] or 1.0), 1e-9))
-    pairs = (_boxed(a, 0.0, size).drop("ring").join(_boxed(b, 0.0, size).drop("ring"), ["__cx", "__cy"])
+    size = F.lit(max(_cell_size(_extent(a)), _cell_size(_extent(b))))
+
+    def spread(df, side):
+        def cells(axis):
+            return F.sequence(F.floor(F.col(f"{side}_{axis}min") / size), F.floor(F.col(f"{side}_{axis}max") / size))
+        return (df.drop("ring", "cell_ring", "poly_ring").withColumn("__cx", F.explode(cells("x")))
+                .withColumn("__cy", F.explode(cells("y"))))
+
+    pairs = (spread(a, "a").join(spread(b, "b"), ["__cx", "__cy"])
              .filter((F.col("a_xmin") < F.col("b_xmax")) & (F.col("b_xmin") < F.col("a_xmax"))
                      & (F.col("a_ymin") < F.col("b_ymax")) & (F.col("b_ymin") < F.col("a_ymax")))
              .filter((F.floor(F.greatest("a_xmin", "b_xmin") / size) == F.col("__cx"))
                      & (F.floor(F.greatest("a_ymin", "b_ymin") / size) == F.col("__cy"))))
+    # rings join after the pairs are known, so outlines are not repeated per grid cell
+    pairs = (pairs.select("cell_id", "poly_id").join(a.select("cell_id", "cell_ring"), "cell_id")
+             .join(b.select("poly_id", "poly_ring"), "poly_id"))
     common = G.clip_convex(F.col("poly_ring"), F.col("cell_ring"))
     return (pairs.select("cell_id", "poly_id", common.alias("__common"))
             .select("cell_id", "poly_id", F.when(F.size("__common") > 2, F.abs(

@@ -48,14 +48,16 @@ def annual_counts(spark, sf):
                    "mean_count", "quantile_95_count")
 
 
-@query(_with(_NEED, _V, """SELECT checklist_id, line, species, year, doy, region, round(lat, 2) AS lat,
-      round(lon, 2) AS lon, old.count AS count_old, new.count AS count_new, new.count - old.count AS dif_count,
-      CASE WHEN new.count IS NULL THEN 'missing' WHEN new.count <> old.count THEN 'changed' ELSE 'same' END AS status
-    FROM old LEFT JOIN new USING (checklist_id, line, species, year, doy, region, lat, lon)"""))
+@query(_with(_NEED, _V + """,
+    o AS (SELECT year, lat, lon, doy, species, count AS count_old, count(*) AS n_old FROM old GROUP BY ALL),
+    n AS (SELECT year, lat, lon, doy, species, count AS count_new, count(*) AS n_new FROM new GROUP BY ALL)""", """
+    SELECT year, lat, lon, doy, species, count_old, n_old, count_new, n_new, count_new - count_old AS dif_count,
+      CASE WHEN count_new - count_old IS NULL THEN 'missing' WHEN count_new <> count_old THEN 'changed'
+           ELSE 'same' END AS status
+    FROM o FULL JOIN n USING (year, lat, lon, doy, species)"""))
 def version_diff(spark, sf):
     old, new = _versions(spark, sf)
-    return compare.version_diff(old, new, ["checklist_id", "line", "species", "year", "doy", "region",
-                                           "lat", "lon"])
+    return compare.version_diff(old, new, ["year", "lat", "lon", "doy", "species"])
 
 
 @query(_with(_NEED, _V, """SELECT year, lat, lon, doy, species, count(DISTINCT version) AS n_vers,
