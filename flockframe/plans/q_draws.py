@@ -124,15 +124,72 @@ def split_rhat(spark, sf):
     return rounded(diagnostics.split_rhat(T.stratum_draws(spark, sf), ["species", "strat", "y"]), "rhat")
 
 
-@query()
+def _normal_quantile_sql(p):
+    """The library's rational approximation, written out; its constants are tested against Python's own."""
+    def rational(part, x):
+        top, bottom = (f"{c[-1]!r}" for c in part)
+        for a, b in zip(part[0][-2::-1], part[1][-2::-1]):
+            top, bottom = f"({top} * {x} + {a!r})", f"({bottom} * {x} + {b!r})"
+        return f"CAST({top} AS DOUBLE) / {bottom}"
+
+    middle, near, far = C._AS241
+    q, tail = f"({p} - 0.5e0)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"""CASE WHEN abs({q}) <= 0.425e0 THEN {q} * {rational(middle, f'(0.180625e0 - {q} * {q})')}
+        WHEN {tail} <= 5 THEN sign({q}) * {rational(near, f'({tail} - 1.6e0)')}
+        ELSE sign({q}) * {rational(far, f'({tail} - 5e0)')} END"""
+
+
+def _scores_sql(table):
+    keys = "species, strat, y"
+    return f"""SELECT {keys}, chain, iteration, {_normal_quantile_sql('p')} AS value FROM (
+      SELECT *, (rank() OVER (PARTITION BY {keys} ORDER BY value)
+                 + (count(*) OVER (PARTITION BY {keys}, value) - 1) / 2e0 - 0.375e0)
+                / (count(*) OVER (PARTITION BY {keys}) + 0.25e0) AS p FROM {table})"""
+
+
+@query(_with("dkey", f"""
+    raw AS (SELECT species, strat, chain, iteration, CAST(pos + 1 AS INTEGER) AS y, e AS value FROM dkey),
+    middle AS (SELECT species, strat, y, 0.5e0 * l[(len(l) + 1) // 2] + 0.5e0 * l[len(l) // 2 + 1] AS m
+        FROM (SELECT species, strat, y, list_sort(list(value)) AS l FROM raw GROUP BY ALL)),
+    folded AS (SELECT species, strat, y, chain, iteration, abs(value - m) AS value
+        FROM raw JOIN middle USING (species, strat, y)),
+    z1 AS ({_scores_sql('raw')}), z2 AS ({_scores_sql('folded')})""",
+             f"""SELECT species, strat, y, round(max(rhat), 6) AS rhat FROM (
+      {_SPLIT_RHAT.replace('FROM dst', 'FROM z1')} UNION ALL {_SPLIT_RHAT.replace('FROM dst', 'FROM z2')}) GROUP BY ALL"""))
 def rank_rhat(spark, sf):
-    return rounded(diagnostics.rank_rhat(T.stratum_draws(spark, sf), ["species", "strat", "y"]), "rhat")
-
-
-@query()
+    return rounded(diagnostics.rank_rhat(T.log_draws(spark, sf), ["species", "strat", "y"]), "rhat")
+
+
+_ESS_SQL = """
+    raw AS (SELECT species, strat, chain, iteration, CAST(pos + 1 AS INTEGER) AS y, e AS value FROM dkey),
+    len AS (SELECT species, strat, y, min(k) AS n, count(*) AS m FROM (
+        SELECT species, strat, y, chain, count(*) AS k FROM raw GROUP BY ALL) GROUP BY ALL),
+    cut AS (SELECT raw.*, n, m FROM raw JOIN len USING (species, strat, y) WHERE iteration < n),
+    cen AS (SELECT *, value - avg(value) OVER (PARTITION BY species, strat, y, chain) AS c FROM cut),
+    means AS (SELECT species, strat, y, var_samp(mu) AS vm FROM (
+        SELECT species, strat, y, chain, avg(value) AS mu FROM cut GROUP BY ALL) GROUP BY ALL),
+    lagged AS (SELECT a.species, a.strat, a.y, a.n, a.m, b.iteration - a.iteration AS t,
+        sum(a.c * b.c) / a.n / a.m AS g
+      FROM cen a JOIN cen b ON b.species = a.species AND b.strat = a.strat AND b.y = a.y AND b.chain = a.chain
+        AND b.iteration >= a.iteration
+      GROUP BY a.species, a.strat, a.y, a.n, a.m, b.iteration - a.iteration),
+    rho AS (SELECT l.species, l.strat, l.y, l.n, l.m, t,
+        CASE WHEN t = 0 THEN 1 ELSE 1 - (z.g * l.n / (l.n - 1) - l.g) / (z.g + vm) END AS r
+      FROM lagged l JOIN (SELECT species, strat, y, g FROM lagged WHERE t = 0) z USING (species, strat, y)
+      JOIN means USING (species, strat, y)),
+    pairs AS (SELECT species, strat, y, n, m, t // 2 AS k, sum(r) AS p FROM rho WHERE t < n // 2 * 2 GROUP BY ALL),
+    stops AS (SELECT species, strat, y, coalesce(min(CASE WHEN p <= 0 THEN k END), max(k) + 1) AS stop FROM pairs GROUP BY ALL),
+    tau AS (SELECT species, strat, y, n, m, stop, -1 + 2 * sum(low) AS tau FROM (
+        SELECT *, min(p) OVER (PARTITION BY species, strat, y ORDER BY k) AS low FROM pairs
+        JOIN stops USING (species, strat, y) WHERE k < stop) GROUP BY ALL)"""
+
+
+@query(_with("dkey", _ESS_SQL, """SELECT species, strat, y,
+      round(m * n / greatest(tau + greatest(coalesce(r, 0), 0), 1 / log10(m * n)), 6) AS ess
+    FROM tau LEFT JOIN (SELECT species AS s, strat AS st, y AS yy, t, r FROM rho) q
+      ON s = species AND st = strat AND yy = y AND t = 2 * stop"""))
 def effective_size(spark, sf):
-    """Rows only; the tests compare with independent and autocorrelated series."""
-    return rounded(diagnostics.effective_size(T.stratum_draws(spark, sf), ["species", "strat", "y"]), "ess")
+    return rounded(diagnostics.effective_size(T.log_draws(spark, sf), ["species", "strat", "y"]), "ess")
 
 
 @query()

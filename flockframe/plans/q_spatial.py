@@ -177,9 +177,30 @@ def link_components(spark, sf):
     return neighbours.link_components(nodes, neighbours.contiguity(nodes))
 
 
-@query()
+_VORONOI = """
+    near AS (SELECT a.species, a.id AS i, b.id AS j, a.x AS xi, a.y AS yi, b.x - a.x AS dx, b.y - a.y AS dy,
+        sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS d FROM nodes a JOIN nodes b ON b.species = a.species AND b.id <> a.id),
+    steps AS (SELECT unnest(range(0, 80)) AS k),
+    reach AS (SELECT species, k, min(id) AS id FROM nodes CROSS JOIN steps GROUP BY 1, 2
+      UNION SELECT r.species, r.k, j FROM reach r JOIN near n
+        ON n.species = r.species AND n.i = r.id AND n.d <= 2 * 10000e0 * 1.1e0 ** r.k),
+    radius AS (SELECT species, 10000e0 * 1.1e0 ** min(k) AS b FROM (
+        SELECT species, k, count(*) AS c FROM reach GROUP BY 1, 2)
+      JOIN (SELECT species, count(*) AS c FROM nodes GROUP BY 1) USING (species, c) GROUP BY 1),
+    pair AS (SELECT near.*, b FROM near JOIN radius USING (species) WHERE i < j AND d <= 2 * b),
+    bound AS (SELECT p.species, i, j, any_value(b) AS b, any_value(d) AS d,
+        min(CASE WHEN c > 0 THEN e / c END) AS hi, max(CASE WHEN c < 0 THEN e / c END) AS lo
+      FROM (SELECT pair.*, 2 * (dx * (n.y - yi) - dy * (n.x - xi)) / d AS c,
+              (n.x - xi) ** 2 + (n.y - yi) ** 2 - (dx * (n.x - xi) + dy * (n.y - yi)) AS e
+            FROM pair JOIN nodes n ON n.species = pair.species AND n.id <> i AND n.id <> j) p GROUP BY 1, 2, 3)"""
+
+
+@query(_with("site_hex", _CELLS + "," + _VORONOI, """SELECT species, i AS node1, j AS node2 FROM (
+      SELECT *, sqrt(greatest(b * b - d * d / 4, 0)) AS h FROM bound)
+    WHERE least(h, coalesce(hi, h)) - greatest(-h, coalesce(lo, -h)) > 1e-3""").replace(
+        "WITH ", "WITH RECURSIVE ", 1))
 def voronoi_neighbours(spark, sf):
-    """Rows only; the tests compare with a brute-force diagram."""
+    """The SQL tests every node against every pair; the operator only the near ones."""
     return neighbours.voronoi_neighbours(_nodes(spark, sf))
 
 

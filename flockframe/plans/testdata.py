@@ -167,6 +167,11 @@ def stratum_draws(spark, sf):
         "region", F.concat(F.lit("R"), F.col("strat").cast("string")))
 
 
+def log_draws(spark, sf):
+    """Stratum draws on the log scale, exactly as stored."""
+    return _vec(spark, sf).select(*_stratum_keys(), (F.col("pos") + 1).alias("y"), F.col("e").alias("value"))
+
+
 def param_draws(spark, sf):
     """Parameter slices of the draw vectors: dict of draw tables."""
     p = _vec(spark, sf).select(*_stratum_keys(), "pos", F.col("e").alias("value"))
