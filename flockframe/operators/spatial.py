@@ -267,13 +267,13 @@ def overlaps(cells: DataFrame, regions: DataFrame) -> DataFrame:
     return (pairs.select("cell_id", "poly_id", common.alias("__common"))
             .select("cell_id", "poly_id", F.when(F.size("__common") > 2, F.abs(
                 G.signed_area(F.col("__common")))).otherwise(F.lit(0.0)).alias("area"))
-            .filter(F.col("area") > 0))
+            .filter(F.round("area", 3) > 0))
 
 
 def largest_overlap(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """Each cell with the region of greatest common area; cells outside all regions get null."""
+    """Each cell with the region of greatest common area, ties to the lesser id; else null."""
     best = overlaps(cells, regions).groupBy("cell_id").agg(
-        F.max_by(F.struct("poly_id", "area"), F.struct(F.round("area", 3), F.xxhash64("poly_id")))
+        F.min_by(F.struct("poly_id", "area"), F.struct(-F.round("area", 3), F.col("poly_id")))
         .alias("__b")).select("cell_id", "__b.*")
     return cells.select("cell_id").join(best, "cell_id", "left")
 

@@ -125,12 +125,32 @@ def contains_join(spark, sf):
     return spatial.contains_join(sites, T.regions(spark)).select("locality_id", "poly_id")
 
 
-@query()
+# area of hexagon and rectangle: the common width is linear in y between the breakpoints
+_OVERLAP = _CELLS + ", " + _REGIONS_SQL + """,
+    hx AS (SELECT DISTINCT hex_name, x AS cx, y AS cy, 300000e0 / sqrt(3e0) AS s FROM cells),
+    pr AS (SELECT *, greatest(cy - s, y0) AS lo, least(cy + s, y1) AS hi FROM hx CROSS JOIN regs
+      WHERE cy - s < y1 AND cy + s > y0 AND cx - 150000e0 < x1 AND cx + 150000e0 > x0),
+    cuts AS (SELECT *, unnest([lo, hi, cy - s / 2, cy + s / 2,
+        cy + (s - (x1 - cx) / sqrt(3e0)), cy - (s - (x1 - cx) / sqrt(3e0)),
+        cy + (s - (x0 - cx) / sqrt(3e0)), cy - (s - (x0 - cx) / sqrt(3e0)),
+        cy + (s + (x1 - cx) / sqrt(3e0)), cy - (s + (x1 - cx) / sqrt(3e0)),
+        cy + (s + (x0 - cx) / sqrt(3e0)), cy - (s + (x0 - cx) / sqrt(3e0))]) AS brk FROM pr),
+    wide AS (SELECT hex_name, poly_id, yy, greatest(0, least(cx + w, x1) - greatest(cx - w, x0)) AS len
+      FROM (SELECT *, least(150000e0, (s - abs(yy - cy)) * sqrt(3e0)) AS w
+            FROM (SELECT *, least(greatest(brk, lo), hi) AS yy FROM cuts))),
+    area AS (SELECT hex_name, poly_id, sum(piece) AS a FROM (
+        SELECT hex_name, poly_id, (yy - lag(yy) OVER v) * (len + lag(len) OVER v) / 2 AS piece
+        FROM wide WINDOW v AS (PARTITION BY hex_name, poly_id ORDER BY yy)) GROUP BY 1, 2)"""
+
+
+@query(_with("site_hex", _OVERLAP, """SELECT hx.hex_name AS cell_id, poly_id, round(a / 1e6, 3) AS area_km2
+    FROM hx LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY hex_name ORDER BY round(a, 3) DESC, poly_id) AS rn
+                       FROM area WHERE round(a, 3) > 0) t ON t.hex_name = hx.hex_name AND rn = 1"""))
 def largest_overlap(spark, sf):
-    """Rows only; the tests compare with a plain polygon clip."""
     grid = spatial.hex_grid(T.site_cells(spark, sf), T.HEX_WIDTH)
     cells = grid.select(F.col("hex_name").alias("cell_id"), "ring")
-    return _mm(spatial.largest_overlap(cells, T.regions(spark)), "area")
+    return spatial.largest_overlap(cells, T.regions(spark)).select(
+        "cell_id", "poly_id", F.round(F.col("area") / 1e6, 3).alias("area_km2"))
 
 
 @query(_with("site_hex", _CELLS, "SELECT species, node1, node2 FROM touch"))
