@@ -11,6 +11,7 @@ from .columns import bind
 # WGS84 ellipsoid (fixed values).
 SEMI_MAJOR = 6378137.0
 FLATTENING = 1 / 298.257223563
+MEAN_RADIUS = 6371008.8
 
 
 def _q(sin_phi: Column, e: float) -> Column:
@@ -56,11 +57,17 @@ def equidistant(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.radians(lon) * SEMI_MAJOR, F.radians(lat) * SEMI_MAJOR
 
 
+def on_sphere(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """Point on the mean sphere as (x, y, z) in metres."""
+    out = F.cos(F.radians(lat)) * MEAN_RADIUS
+    return out * F.cos(F.radians(lon)), out * F.sin(F.radians(lon)), F.sin(F.radians(lat)) * MEAN_RADIUS
+
+
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Great-circle distance in metres."""
     a = (F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2.0)
          + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2.0))
-    return F.asin(F.sqrt(F.least(F.lit(1.0), a))) * (2 * 6371008.8)
+    return F.asin(F.sqrt(F.least(F.lit(1.0), a))) * (2 * MEAN_RADIUS)
 
 
 def hex_cell(x: Column, y: Column, width: float) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geometry as G
@@ -51,72 +53,88 @@ def _cell(c, size):
     return F.floor(F.col(c) / size)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius, keys: list[str] = (), hot: int = 2000
-               ) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius, keys: list[str] = (), hot: int = 2000,
+               axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Pairs (id, id2, distance) with distance <= radius; ids and coordinates from
     ``left(id, x, y)`` and ``right(id2, x2, y2)``, both with the ``keys`` columns.
 
     ``radius`` is a number or the name of a column constant within ``keys``. Points
-    are put in square cells of that size and a point meets only the nine cells
-    around it. Cells with more than ``hot`` right-hand points are split in slices
-    that go to different tasks; the left points of such cells are repeated once
-    per slice. Only pairs within the radius come out.
+    are put in square cells of that size and a point meets only its own cell and
+    those around it. Cells with more than ``hot`` right-hand points are split in
+    slices that go to different tasks; the left points of such cells are repeated
+    once per slice. Only pairs within the radius come out. ``axes`` may name three
+    coordinates.
     """
     r = F.lit(float(radius)) if not isinstance(radius, str) else F.col(radius)
-    keys = list(keys)
-    here = right.withColumns({"__cx": _cell("x2", r), "__cy": _cell("y2", r)})
+    keys, cells = list(keys), [f"__c{a}" for a in axes]
+    here = right.withColumns({c: _cell(a + "2", r) for c, a in zip(cells, axes)})
     if isinstance(radius, str):
         here = here.drop(radius)
-    load = (here.groupBy(*keys, "__cx", "__cy").agg(F.count(F.lit(1)).alias("__load"))
-            .select(*keys, "__cx", "__cy",
-                    F.ceil(F.col("__load") / F.lit(float(hot))).cast("int").alias("__slices")))
-    at = [*keys, "__cx", "__cy"]
+    at = [*keys, *cells]
+    load = (here.groupBy(*at).agg(F.count(F.lit(1)).alias("__load"))
+            .select(*at, F.ceil(F.col("__load") / F.lit(float(hot))).cast("int").alias("__slices")))
     here = (here.join(load, at)
             .withColumn("__slice", F.pmod(F.xxhash64("id2"), F.col("__slices")).cast("int"))
             .drop("__slices"))
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    there = (left.withColumn("__r", r)
-             .withColumn("__cx", F.explode(F.transform(near, lambda d: _cell("x", F.col("__r")) + d)))
-             .withColumn("__cy", F.explode(F.transform(near, lambda d: _cell("y", F.col("__r")) + d)))
-             .join(load, at)
+    there, around = left.withColumn("__r", r), F.array(F.lit(-1), F.lit(0), F.lit(1))
+    for c, a in zip(cells, axes):
+        there = there.withColumn(c, F.explode(F.transform(around, lambda d: _cell(a, F.col("__r")) + d)))
+    there = (there.join(load, at)
              .withColumn("__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)))
              .drop("__slices"))
-    d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
+    gaps = [F.col(a) - F.col(a + "2") for a in axes]
+    d = F.hypot(*gaps) if len(gaps) == 2 else F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
     return (there.join(here, [*at, "__slice"]).withColumn("distance", d)
             .filter(F.col("distance") <= F.col("__r"))
-            .drop("__cx", "__cy", "__slice", "__r"))
+            .drop(*cells, "__slice", "__r"))
+
 
+def _place(great_circle):
+    return ["longitude", "latitude"] if great_circle else ["x", "y"]
 
-def near_places(sites: DataFrame, threshold: float = 160.0) -> DataFrame:
+
+def near_places(sites: DataFrame, threshold: float = 160.0, great_circle: bool = False) -> DataFrame:
     """Pairs of distinct places closer than ``threshold``, each with its number of sites.
 
-    x, y, n_sites, x2, y2, n_sites2, distance; every place also pairs with itself.
+    place, n_sites, place2, n_sites2, distance; every place also pairs with itself.
+    A place is planar x, y, or with ``great_circle`` longitude and latitude: then
+    points are cut into cells in space, so poles and the date line need no care.
     Sites at one and the same spot form one place, so a much used spot is
     compared once and its sites are never paired with each other.
     """
-    places = sites.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_sites"))
-    left = places.withColumn("id", F.struct("x", "y"))
-    right = left.select(*[F.col(c).alias(c + "2") for c in ("id", "x", "y", "n_sites")])
-    return near_pairs(left, right, threshold).filter(F.col("distance") < threshold).drop("id", "id2")
+    at = _place(great_circle)
+    places = sites.groupBy(*at).agg(F.count(F.lit(1)).alias("n_sites")).withColumn("id", F.struct(*at))
+    axes, reach, distance = ("x", "y"), threshold, F.col("distance")
+    if great_circle:
+        axes, size = ("x", "y", "z"), 2 * G.MEAN_RADIUS
+        places = places.withColumns(dict(zip(axes, G.on_sphere(F.col("longitude"), F.col("latitude")))))
+        reach = size * math.sin(min(threshold / size, math.pi / 2))
+        distance = F.asin(F.least(distance / size, F.lit(1.0))) * size
+    right = places.select(*[F.col(c).alias(c + "2") for c in places.columns])
+    return (near_pairs(places, right, reach, axes=axes).withColumn("distance", distance)
+            .filter(F.col("distance") < threshold)
+            .select(*at, "n_sites", *[c + "2" for c in at], "n_sites2", "distance"))
 
 
 def near_sites(sites: DataFrame, threshold: float = 160.0, site: str = "locality_id",
-               list_bound: int = 10_000) -> DataFrame:
+               list_bound: int = 10_000, great_circle: bool = False) -> DataFrame:
     """Per site the number and joined ids of the sites closer than ``threshold`` (itself included).
 
-    ``sites``: site id and equidistant x, y. The number is always exact. Ids are
-    joined to a text where there are at most ``list_bound`` of them; beyond that
-    the text is null and ``near_places`` holds the same fact without long lists.
+    ``sites``: site id and equidistant x, y, or longitude, latitude with ``great_circle``.
+    The number is always exact. Ids are joined to a text where there are at most
+    ``list_bound`` of them; beyond that the text is null and ``near_places`` holds
+    the same fact without long lists.
     """
-    pairs = near_places(sites, threshold)
-    number = pairs.groupBy("x", "y").agg(F.sum("n_sites2").alias("n_near"))
-    members = sites.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col(site).alias("__id"))
-    lists = (join_on(pairs.select("x", "y", "x2", "y2"),
-                     number.filter(F.col("n_near") <= list_bound), ["x", "y"])
-             .join(members, ["x2", "y2"]).groupBy("x", "y")
+    at = _place(great_circle)
+    other = [c + "2" for c in at]
+    pairs = near_places(sites, threshold, great_circle)
+    number = pairs.groupBy(*at).agg(F.sum("n_sites2").alias("n_near"))
+    members = sites.select(*[F.col(c).alias(c + "2") for c in at], F.col(site).alias("__id"))
+    lists = (join_on(pairs.select(*at, *other), number.filter(F.col("n_near") <= list_bound), at)
+             .join(members, other).groupBy(*at)
              .agg(F.array_join(F.sort_array(F.collect_list("__id")).cast("array<string>"), "-")
                   .alias("near_ids")))
-    return join_on(join_on(sites, number, ["x", "y"]), lists, ["x", "y"], "left")
+    return join_on(join_on(sites, number, at), lists, at, "left")
 
 
 def closest(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], *, k: int = 1,
@@ -320,8 +338,6 @@ def convex_hull(points: DataFrame, keys: list[str], slice_rows: int = 50_000) ->
 
 def buffered_hull_area(hull: DataFrame, keys: list[str], distance: float) -> DataFrame:
     """Area of a hull grown by ``distance``: A + P d + pi d^2."""
-    import math
-
     ring = F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))),
                        lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     out = hull.groupBy(*keys).agg(ring.alias("ring"))

@@ -103,6 +103,18 @@ def near_places(spark, sf):
     return _mm(spatial.near_places(_plane(spark, sf), 150_000.0), "x", "y", "x2", "y2", "distance")
 
 
+_HAVERSINE = """2 * 6371008.8e0 * asin(sqrt(least(1, sin(radians(b.latitude - a.latitude) / 2) ** 2
+    + cos(radians(a.latitude)) * cos(radians(b.latitude)) * sin(radians(b.longitude - a.longitude) / 2) ** 2)))"""
+
+
+@query(sql("sites", f"""SELECT a.locality_id, count(*) AS n_near,
+      string_agg(CAST(b.locality_id AS VARCHAR), '-' ORDER BY b.locality_id) AS near_ids
+    FROM sites a JOIN sites b ON {_HAVERSINE} < 120000e0 GROUP BY 1"""))
+def near_sites_great_circle(spark, sf):
+    out = spatial.near_sites(T.sites(spark, sf), 120_000.0, great_circle=True)
+    return out.select("locality_id", "n_near", "near_ids")
+
+
 _REGIONS_SQL = "regs(poly_id, x0, y0, x1, y1) AS (VALUES " + ", ".join(
     f"('{n}', {a}, {b}, {c}, {d})" for n, (a, b, c, d) in T.REGIONS.items()) + ")"
 

@@ -52,6 +52,20 @@ def test_near_sites_folds_equal_places(spark):
     assert spatial.near_places(sites).count() == 8
 
 
+def test_great_circle_at_the_poles_and_the_date_line(spark):
+    r = random.Random(9)
+    pts = [(i, r.uniform(-180, 180), r.uniform(89.95, 90.0)) for i in range(25)]
+    pts += [(100 + i, r.choice((-179.99, 179.99)) + r.uniform(-0.01, 0.01), r.uniform(-0.02, 0.02)) for i in range(25)]
+    sites = spark.createDataFrame(pts, "locality_id long, longitude double, latitude double")
+
+    def distance(a, b):
+        (la, pa), (lb, pb) = ((math.radians(v) for v in p[1:]) for p in (a, b))
+        h = math.sin((pb - pa) / 2) ** 2 + math.cos(pa) * math.cos(pb) * math.sin((lb - la) / 2) ** 2
+        return 2 * G.MEAN_RADIUS * math.asin(min(1.0, math.sqrt(h)))
+    got = {r.locality_id: r.n_near for r in spatial.near_sites(sites, 1500.0, great_circle=True).collect()}
+    assert got == {a[0]: sum(distance(a, b) < 1500.0 for b in pts) for a in pts}
+
+
 def test_closest_k_against_brute_force(spark):
     a, b = points(25, 3), [(100 + i, x, y) for i, x, y in points(60, 4)] + [(500, 4000.0, 4000.0)]
     left, right = pair_frames(spark, a, b)
