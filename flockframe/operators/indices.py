@@ -16,8 +16,10 @@ def with_composite(regional: DataFrame, region: str = "region") -> DataFrame:
     """Every row once under its region and once under the overall label.
 
     Meant for rows already summed per region, so that only these few are doubled.
+    The region comes out as text.
     """
-    return regional.withColumn(region, F.explode(F.array(F.col(region), F.lit(COMPOSITE))))
+    return regional.withColumn(region, F.explode(F.array(
+        F.col(region).cast("string"), F.lit(COMPOSITE))))
 
 
 def composite_index(draws: DataFrame, region: str = "region", ci: float = 0.95) -> DataFrame:

@@ -157,9 +157,13 @@ def icar_energy(edges: DataFrame, coefs: DataFrame) -> DataFrame:
 # --- count model --------------------------------------------------------------
 
 
+def _season_keys(encoded: DataFrame) -> list[str]:
+    return ["species", *[c for c in ("seas_strat",) if c in encoded.columns]]
+
+
 def count_model_cells(encoded: DataFrame) -> DataFrame:
-    """Sufficient sums of the count model: one row per species, strat, site, yr, date."""
-    return encoded.groupBy("species", "strat", "site", "yr", "date").agg(
+    """Sufficient sums of the count model: one row per strat, site, yr, date [, season group]."""
+    return encoded.groupBy(*_season_keys(encoded), "strat", "site", "yr", "date").agg(
         F.sum("count").cast("double").alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
@@ -169,11 +173,12 @@ def fit_count_model(encoded: DataFrame, rounds: int = 8) -> dict[str, DataFrame]
     Each factor's likelihood equation is ``effect = sum(count) / sum(n * other
     effects)``; the three are solved in turn. Every round is one aggregation per
     factor over the sums of ``count_model_cells``, with a checkpoint of the small
-    effect tables. Levels without any bird get effect 0. Returns the effect tables
-    (species, level columns, effect) and the fitted cells.
+    effect tables. With a ``seas_strat`` column every season group has its own days.
+    Levels without any bird get effect 0. Returns the effect tables (species, level
+    columns, effect) and the fitted cells.
     """
     factors = {"site": ["species", "site"], "year": ["species", "strat", "yr"],
-               "day": ["species", "date"]}
+               "day": [*_season_keys(encoded), "date"]}
     cells = checkpoint(count_model_cells(encoded))
     effects = {f: checkpoint(cells.select(*k).distinct().withColumn(f"{f}_effect", F.lit(1.0)))
                for f, k in factors.items()}
@@ -212,15 +217,56 @@ def dispersion(cells: DataFrame) -> DataFrame:
 
 
 def model_index(effects: dict[str, DataFrame], site_strata: DataFrame) -> DataFrame:
-    """Index per species, stratum and year: year effect x mean site effect x mean day effect."""
-    size = (site_strata.select("species", "strat", "site").join(effects["site"], ["species", "site"])
-            .groupBy("species", "strat").agg(F.avg("site_effect").alias("__s")))
-    day = effects["day"].groupBy("species").agg(F.avg("day_effect").alias("__d"))
-    return (effects["year"].join(size, ["species", "strat"]).join(day, "species")
+    """Index per species, stratum and year: year effect x mean site effect x mean day effect.
+
+    ``site_strata``: species, strat, site [, seas_strat]; with the season group a
+    stratum takes the mean of its own group's days.
+    """
+    group = _season_keys(site_strata)
+    size = (site_strata.join(effects["site"], ["species", "site"])
+            .groupBy(*group, "strat").agg(F.avg("site_effect").alias("__s")))
+    day = effects["day"].groupBy(*group).agg(F.avg("day_effect").alias("__d"))
+    return (effects["year"].join(size, ["species", "strat"]).join(day, group)
             .select("species", "strat", "yr",
                     (F.col("year_effect") * F.col("__s") * F.col("__d")).alias("value")))
 
 
+def smooth_index(index: DataFrame, basis: DataFrame, keys: list[str], *, penalty: float = 0.1,
+                 weight: str | None = None) -> DataFrame:
+    """Smooth year course of an index: log(value) on a spline basis, per ``keys``.
+
+    index: keys (species among them), yr, value [, weight]; basis: species, x, knot,
+    value. The radial columns are shrunk by ``penalty``, level and straight line are
+    not. Years without a positive value are filled from the smooth; a series
+    without any is left out. One group is one series, so a task sees at most its years.
+    """
+    rows = basis.groupBy("species", F.col("x").alias("yr")).agg(
+        F.sort_array(F.collect_list(F.struct("knot", "value"))).alias("__b")).select(
+        "species", "yr", F.transform("__b", lambda c: c["value"]).alias("__b"))
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    known = index.select(*keys, "yr", F.when(F.col("value") > 0, F.log("value")).alias("__y"), w.alias("__w"))
+    series = known.filter("__y is not null").select(*keys).distinct().join(rows, "species").join(
+        known, [*keys, "yr"], "left")
+    schema = index.select(*keys, "yr").schema.add("value", "double")
+
+    def fit(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("yr")
+        x = np.column_stack([np.ones(len(pdf)), np.stack(pdf["__b"].to_numpy())])
+        y, w = pdf["__y"].to_numpy(dtype=float), pdf["__w"].to_numpy(dtype=float)
+        use = ~np.isnan(y)
+        xw = x[use] * w[use, None]
+        shrink = np.full(x.shape[1], penalty * w[use].mean())
+        shrink[:2] = 1e-9
+        beta = np.linalg.solve(x[use].T @ xw + np.diag(shrink), xw.T @ y[use])
+        out = {k: [pdf[k].iloc[0]] * len(pdf) for k in keys}
+        return pd.DataFrame({**out, "yr": pdf["yr"], "value": np.exp(x @ beta)})
+
+    return series.groupBy(*keys).applyInPandas(fit, schema)
+
+
 def bootstrap_index(surveys: DataFrame, replicates: int = 100, seed: int = 0,
                     site: str = "site", stratum: str = "strat", year: str = "yr") -> DataFrame:
     """Bootstrap draws of the mean count per species, stratum and year.

@@ -129,6 +129,7 @@ def trend_centered(draws: DataFrame, periods: DataFrame, region: str = "region",
     """Regional log trend less the overall log trend per draw, per year of the period."""
     periods = periods.select("species", "trend_type", "start_year", "end_year")
     keys = ["species", "trend_type", "start_year", "end_year"]
+    draws = draws.withColumn(region, F.col(region).cast("string"))
     draw = Window.partitionBy(*keys, "draw")  # one row per region
     ends = (_end_points(draws, periods, [region])
             .withColumn("__start", F.sum("start").over(draw))
@@ -160,6 +161,7 @@ def trend_slope(draws: DataFrame, periods: DataFrame, *, region: str | None = No
             C.slope_percent(log_slope(F.col("value"), F.col("year"))).alias("t"))
 
     if region:
+        draws = draws.withColumn(region, F.col(region).cast("string"))
         totals = draws.groupBy("species", "draw", "year").agg(F.sum("value").alias("value"))
         per_draw = slopes(draws, [region]).unionByName(
             slopes(totals, []).withColumn(region, F.lit(COMPOSITE)))

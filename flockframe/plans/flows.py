@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import clean, coverage, spatial, trends
+from ..operators import clean, coverage, model, spatial, trends
 from ..operators.indices import annual_index, stage_labels
 from ..operators.zero_fill import zero_fill
 from ..session import checkpoint
@@ -56,6 +56,24 @@ def model_tables(surveys: DataFrame, *, first_year: int, last_year: int, min_spa
     return coverage.index_encode(kept)
 
 
+def bootstrap_draws(encoded: DataFrame, *, first_year: int, replicates: int = 100, knots: int | None = None,
+                    seed: int = 0) -> DataFrame:
+    """Full and smooth stratum draws ready for the trend operators.
+
+    species, variable (``n`` or ``nsmooth``), strat, draw, year, value. The number of
+    knots is a quarter of the years unless given.
+    """
+    if knots is None:
+        span = encoded.agg(F.max("yr")).first()[0] or 4
+        knots = -(-span // 4)
+    full = checkpoint(model.bootstrap_index(encoded, replicates, seed))
+    basis = model.spline_basis(encoded, "yr", max(knots, 2))
+    smooth = model.smooth_index(full, basis, ["species", "strat", "draw"])
+    return (full.withColumn("variable", F.lit("n"))
+            .unionByName(smooth.withColumn("variable", F.lit("nsmooth")))
+            .withColumn("year", F.col("yr") + first_year - 1))
+
+
 def trends_and_indices(draws: DataFrame, generations: DataFrame, observed: DataFrame, *,
                        first_year: int, end_year: int) -> dict[str, DataFrame]:
     """Index table, trends of the standard periods and their differences, in three lazy tables."""

@@ -211,6 +211,16 @@ def bootstrap_index(spark, sf):
     return rounded(model.bootstrap_index(T.model_rows(spark, sf), 50, seed=3), "value")
 
 
+@query()
+def smooth_index(spark, sf):
+    """Rows only; the tests compare with plain penalised least squares."""
+    rows = T.model_rows(spark, sf)
+    index = rows.groupBy("species", "strat", "yr").agg(F.avg("count").alias("value"),
+                                                       F.count(F.lit(1)).alias("n"))
+    basis = model.spline_basis(rows, "yr", 4)
+    return rounded(model.smooth_index(index, basis, ["species", "strat"], weight="n"), "value")
+
+
 @query(_with("site_hex", _CELLS, """SELECT species, count(*) AS n_edges,
     (SELECT count(DISTINCT id) FROM (SELECT species AS s, node1 AS id FROM touch UNION ALL SELECT species, node2 FROM touch)
      WHERE s = touch.species) AS n_linked FROM touch GROUP BY 1"""))

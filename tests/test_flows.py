@@ -38,3 +38,18 @@ def test_draws_to_trends(spark, sf):
         assert r.lci <= r.trend <= r.uci
         assert r.prob_decline >= r.prob_decline_GT30 >= r.prob_decline_GT50 >= r.prob_decline_GT70
     assert out["indices"].filter("stage is null").select("year").distinct().count() == 19
+
+
+def test_bootstrap_draws_feed_the_trends(spark, sf):
+    from flockframe.operators import trends
+
+    rows = T.model_rows(spark, sf)
+    draws = flows.bootstrap_draws(rows, first_year=1995, replicates=10, knots=3)
+    periods = rows.select("species").distinct().selectExpr(
+        "species", "'all' trend_type", "1995 start_year", "2001 end_year")
+    for variable in ("n", "nsmooth"):
+        out = trends.trend_endpoint(draws.filter(F.col("variable") == variable), periods,
+                                    rows.select("species", "strat", "year", "count"), region="strat")
+        got = out.collect()
+        assert {r.strat for r in got} == {"1", "2", "3", "4", "5", "Composite"} and len(got) == 12
+        assert all(r.lci <= r.uci and r.mean_n_surveys > 0 for r in got if r.trend is not None)

@@ -130,3 +130,38 @@ def test_season_curve_keeps_groups_apart(spark):
     shift = spark.createDataFrame([("s", 0.0)], "species string, shift double")
     got = rows(indices.season_curve(season, shift, offsets).select("strat", "seas_strat", "day", "mean"))
     assert got == [(1, 1, 1, 2.0), (1, 1, 2, 2.0), (2, 2, 1, 3.0), (2, 2, 2, 3.0)]
+
+
+def test_smooth_index_is_penalised_least_squares(spark):
+    r = np.random.default_rng(6)
+    y = np.exp(0.05 * np.arange(12) + r.normal(size=12) * 0.3)
+    y[4] = 0.0  # a year without birds is filled from the curve
+    index = spark.createDataFrame([("s", 1, i + 1, float(v), float(i + 1)) for i, v in enumerate(y)]
+                                  + [("s", 2, i + 1, 0.0, 1.0) for i in range(12)],
+                                  "species string, strat int, yr int, value double, w double")
+    basis = model.spline_basis(index, "yr", 4)
+    got = model.smooth_index(index, basis, ["species", "strat"], penalty=0.5, weight="w").orderBy("yr").collect()
+    assert {r.strat for r in got} == {1} and len(got) == 12
+    u = np.arange(12) / 11
+    x = np.column_stack([u] + [abs(u - k / 3) ** 3 for k in range(4)])
+    x = np.column_stack([np.ones(12), x - x.mean(axis=0)])
+    use, w = y > 0, np.arange(1, 13.0)
+    pen = np.full(6, 0.5 * w[use].mean())
+    pen[:2] = 1e-9
+    beta = np.linalg.solve(x[use].T @ (x[use] * w[use, None]) + np.diag(pen), x[use].T @ (w[use] * np.log(y[use])))
+    assert np.allclose([r.value for r in got], np.exp(x @ beta))
+
+
+def test_season_groups_have_their_own_days(spark):
+    """Two strata with opposite seasons: each group's day effects follow its own counts."""
+    r = np.random.default_rng(7)
+    day = {1: np.array([1.0, 2.0, 4.0]), 2: np.array([4.0, 2.0, 1.0])}
+    data = [("s", g, g, 10 * g + j, y, d + 1, int(r.poisson(30 * day[g][d])))
+            for g in (1, 2) for j in range(5) for y in (1, 2, 3) for d in range(3)]
+    df = spark.createDataFrame(data, "species string, strat int, seas_strat int, site int, yr int, date int, count int")
+    fit = model.fit_count_model(df, rounds=6)
+    for g in (1, 2):
+        est = [r.day_effect for r in fit["day"].filter(F.col("seas_strat") == g).orderBy("date").collect()]
+        assert np.allclose(np.array(est) / est[1], day[g] / day[g][1], rtol=0.15)
+    idx = model.model_index(fit, df.select("species", "strat", "seas_strat", "site").distinct())
+    assert idx.count() == 6 and all(r.value == pytest.approx(70, rel=0.1) for r in idx.collect())
