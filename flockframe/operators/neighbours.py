@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
 from ..session import checkpoint
@@ -182,7 +182,7 @@ def voronoi_neighbours(nodes: DataFrame, start: float = 10_000.0, growth: float
                         F.col("dx").alias("kx"), F.col("dy").alias("ky"), F.col("d2").alias("k2"))
     pair = near.filter(F.col("node1") < F.col("node2"))
     # condition t * c <= e along the bisector, measured from i
-    c = 2 * (F.col("dx") * F.col("ky") - F.col("dy") * F.col("kx")) / F.sqrt("d2")
+    c = F.try_divide(2 * (F.col("dx") * F.col("ky") - F.col("dy") * F.col("kx")), F.sqrt("d2"))
     e = F.col("k2") - (F.col("dx") * F.col("kx") + F.col("dy") * F.col("ky"))
     limits = (pair.join(third, ["species", "node1"]).filter(F.col("node2") != F.col("node3"))
               .select("species", "node1", "node2", c.alias("c"), e.alias("e"))

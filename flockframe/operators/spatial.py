@@ -40,8 +40,8 @@ def merged_centroids(polygons: DataFrame, label: str) -> DataFrame:
     """Area-weighted centroid, area and bounding box of cells united by a label."""
     return polygon_measures(polygons).groupBy(label).agg(
         F.sum("area").alias("area"),
-        (F.sum(F.col("cx") * F.col("area")) / F.sum("area")).alias("x"),
-        (F.sum(F.col("cy") * F.col("area")) / F.sum("area")).alias("y"),
+        F.try_divide(F.sum(F.col("cx") * F.col("area")), F.sum("area")).alias("x"),
+        F.try_divide(F.sum(F.col("cy") * F.col("area")), F.sum("area")).alias("y"),
         F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"),
         F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
 

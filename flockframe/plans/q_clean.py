@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import clean, coverage, zero_fill as Z
 from . import testdata as T
-from .registry import long, query, r6
+from .registry import query, r6
 from .testdata import sql
 
 DROPPED = ["NATION_3", "NATION_7", "NATION_11"]

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..operators import compare, trends
 from . import testdata as T
 from .q_spatial import _with
 from .q_trends import _NUM, _RATES, _periods
-from .registry import long, query, r6, rounded
+from .registry import query, rounded
 from .testdata import sql
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coverage
 from . import flows, testdata as T
-from .registry import long, query, r6
+from .registry import query, r6
 from .testdata import sql
 
 _SPAN = """(SELECT species, {k}, count(*) AS nyears, max(year) - min(year) AS span_years, min(year) AS fyear,

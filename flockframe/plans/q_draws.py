@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import diagnostics, draws, indices
 from . import testdata as T
-from .registry import long, query, r6, rounded
+from .registry import query, r6, rounded
 from .testdata import sql
 
 _SUMMARY = """round(avg({v}), 6) AS mean, round(quantile_cont({v}, 0.5), 6) AS median,

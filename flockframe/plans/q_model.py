@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import model, neighbours
 from . import testdata as T
 from .q_spatial import _CELLS, _nodes, _with
-from .registry import long, query, r6, rounded
+from .registry import query, r6, rounded
 from .testdata import sql
 
 

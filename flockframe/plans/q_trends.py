@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..operators import spatial, trends
 from . import testdata as T
 from .q_draws import _with
-from .registry import long, query, r6, rounded
+from .registry import query, r6, rounded
 from .testdata import sql
 
 _NUM = ["trend", "lci", "uci", "percent_change", "p_ch_lci", "p_ch_uci", "prob_decline",

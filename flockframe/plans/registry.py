@@ -30,7 +30,3 @@ def r6(c: str | Column, name: str | None = None) -> Column:
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
 
-
-def long(c: str | Column, name: str | None = None) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return col.cast("bigint").alias(name or (c if isinstance(c, str) else ""))

@@ -1,7 +1,6 @@
 import math
 import random
 
-import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
