@@ -102,39 +102,31 @@ def _sets(batches):
 
 
 _MEASURED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("n_both", pa.int64()),
-                       ("n_any", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-
-
-def _measure(percent: int):
-    """Overlap of the sets of a and b, and the prefix of b's set that any set linked with it must share.
-
-    Order the elements with those outside a's set first. Two sets that overlap in ``percent`` of either
-    cannot agree only behind the first n - ceil(n * percent / 100) + 1 elements of this order.
-    """
-    def run(batches):
-        for batch in batches:
-            n, both, any_, prefix = [], [], [], []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
-                common = int(shared.sum())
-                n.append(len(y))
-                both.append(common)
-                any_.append(len(x) + len(y) - common)
-                long = len(y) + (-percent * len(y) // 100) + 1
-                own = y[~shared][:long]
-                prefix.append(np.concatenate([own, y[shared][:long - len(own)]]).view(np.int64))
-            yield X.out(_MEASURED, a=batch.column("a"), b=batch.column("b"), n=n, n_both=both, n_any=any_,
-                        prefix=pa.array(prefix, pa.list_(pa.int64())))
-    return run
-
-
-def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Sizes of intersection and union of the sets of pairs (a, b), size and prefix of b's."""
+                       ("n_any", pa.int64()), ("own", pa.list_(pa.int64()))])
+
+
+def _measure(batches):
+    """Overlap of the sets of a and b, and what b's set has for itself (own)."""
+    for batch in batches:
+        n, both, any_, own = [], [], [], []
+        for x, y in zip(batch.column("left"), batch.column("right")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            shared = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+            common = int(shared.sum())
+            n.append(len(y))
+            both.append(common)
+            any_.append(len(x) + len(y) - common)
+            own.append(y[~shared].view(np.int64))
+        yield X.out(_MEASURED, a=batch.column("a"), b=batch.column("b"), n=n, n_both=both, n_any=any_,
+                    own=pa.array(own, pa.list_(pa.int64())))
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sizes of intersection and union of the sets of pairs (a, b); size and own elements of b's."""
     left = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(
-        _measure(percent), "a long, b long, n long, n_both long, n_any long, prefix array<long>")
+        _measure, "a long, b long, n long, n_both long, n_any long, own array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", percent: int = 85) -> DataFrame:
@@ -146,9 +138,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", percent: int = 8
 
     In each bucket the class that meets most others over all its buckets is the centre of a star: among copies
     of one text that is the text itself. The star's links are confirmed on whole sets and joined into components.
-    Members of one star that are then still in different components are compared too, if a
-    prefix of their sets agrees (see ``_measure``) and neither sizes nor the triangle inequality of the
-    Jaccard distance rule them out. So no link inside a bucket is lost, while near copies cost one pair each.
+    Members of one star that are then still in different components are compared too, where exact bounds
+    allow them a link (see ``_remaining``). So no link inside a bucket is lost, while near copies cost one pair each.
 
     Null, empty and blank texts have an empty set and link with nothing. Fewer than five words count as one
     shingle. Rows without an id take part in links; where all of a group lack one, component_id is null and
@@ -172,11 +163,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", percent: int = 8
     involved = popular.select("cid").join(classes, "cid")
     sets = checkpoint(texts.mapInArrow(_sets, "f1 long, f2 long, hashes binary").join(involved, ["f1", "f2"])
                       .groupBy("cid").agg(F.first("hashes").alias("hashes")))
-    measured = checkpoint(_overlaps(stars, sets, percent))
+    measured = checkpoint(_overlaps(stars, sets))
     linked = f"100 * n_both >= {percent} * n_any"
     links = measured.filter(linked).select("a", "b")
     rest = checkpoint(_remaining(measured, components(links), percent))
-    links = checkpoint(links.union(_overlaps(rest, sets, percent).filter(linked).select("a", "b")))
+    links = checkpoint(links.union(_overlaps(rest, sets).filter(linked).select("a", "b")))
     roots = components(links)
     classes = (classes.join(roots, classes["cid"] == roots["node"], "left")
                .select("f1", "f2", F.coalesce("root", "cid").alias("root")))
@@ -190,17 +181,46 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", percent: int = 8
 
 
 def _remaining(measured: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one star, in different components, that may link."""
-    rooted = (measured.join(roots, F.col("b") == F.col("node"), "left")
-              .select("a", "b", "n", "prefix", (1 - F.col("n_both") / F.col("n_any")).alias("d"),
-                      F.coalesce("root", "b").alias("root")))
+    """Pairs of members of one star, in different components, that may link.
+
+    Order the elements of a star with those outside the centre's set first, rare ones before common ones. Two sets
+    that overlap in ``percent`` of either share one of the first p = n - ceil(n * percent / 100) + 1 elements of each.
+    Either that is an element outside the centre's set: such pairs are joined on it. Elements of a single member
+    take their places in its prefix and need no look-up, and passages that many share come last.
+    Or both prefixes reach into the centre's set, and nothing outside it is shared. Then the sets differ from the
+    centre's by m missing and o own elements, of which at most the lesser number missing can agree, and
+    (centre - greater m) / (centre + both o - lesser m) bounds their similarity: such pairs are joined by their (m, o).
+    """
+    rooted = measured.join(roots, F.col("b") == F.col("node"), "left").select(
+        "a", "b", "n", (F.col("n_any") - F.col("n") + F.col("n_both")).alias("centre"), "own",
+        (F.col("n_any") - F.col("n")).alias("m"), (F.col("n") - F.col("n_both")).alias("o"),
+        (1 - F.col("n_both") / F.col("n_any")).alias("d"),
+        F.expr(f"n - cast(ceil(n * {percent} / 100) as int) + 1").alias("p"), F.coalesce("root", "b").alias("root"))
     split = rooted.groupBy("a").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("a")
-    entries = rooted.join(split, "a").select("a", F.explode("prefix").alias("e"), "b", "n", "d", "root")
-    split = entries.groupBy("a", "e").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("a", "e")
-    entries = checkpoint(entries.join(split, ["a", "e"]))
+    rooted = checkpoint(rooted.join(split, "a"))
+
+    own = rooted.select("a", "b", F.explode("own").alias("e"))
+    common = own.groupBy("a", "e").agg(F.count("*").alias("having")).filter("having > 1")
+    common = (own.join(common, ["a", "e"]).groupBy("a", "b")
+              .agg(F.sort_array(F.collect_list(F.struct("having", "e"))).alias("common")))
+    places = F.greatest(F.col("p") - F.col("o") + F.size("common"), F.lit(0)).cast("int")
+    entries = rooted.join(common, ["a", "b"]).select(
+        "a", "b", "n", "d", "root", F.explode(F.slice("common", F.lit(1), places)["e"]).alias("e"))
+    mixed = entries.groupBy("a", "e").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("a", "e")
+    entries = checkpoint(entries.join(mixed, ["a", "e"]))
     other = entries.select("a", "e", *[F.col(c).alias(f"{c}2") for c in ("b", "n", "d", "root")])
-    return (entries.join(other, ["a", "e"]).filter("b < b2 and root <> root2")
-            .filter(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
-            .filter(f"abs(d - d2) <= {1 - percent / 100 + 1e-9}")
-            .select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
+    outside = (entries.join(other, ["a", "e"]).filter("b < b2 and root <> root2")
+               .filter(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
+               .filter(f"abs(d - d2) <= {1 - percent / 100 + 1e-9}").select("b", "b2"))
+
+    reaching = rooted.filter("o < p").select("a", "b", "centre", "m", "o", "root")
+    kinds = reaching.select("a", "centre", "m", "o").distinct()
+    other = kinds.select("a", F.col("m").alias("m2"), F.col("o").alias("o2"))
+    bound = f"100 * (centre - greatest(m, m2)) >= {percent} * (centre + o + o2 - least(m, m2))"
+    kinds = kinds.join(other, "a").filter(bound).select("a", "m", "o", "m2", "o2")
+    right = reaching.select("a", F.col("m").alias("m2"), F.col("o").alias("o2"), F.col("b").alias("b2"),
+                            F.col("root").alias("root2"))
+    inside = (reaching.join(kinds, ["a", "m", "o"]).join(right, ["a", "m2", "o2"])
+              .filter("b < b2 and root <> root2").select("b", "b2"))
+    return (outside.union(inside).select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
             .join(measured.select("a", "b"), ["a", "b"], "left_anti"))
