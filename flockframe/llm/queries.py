@@ -43,3 +43,28 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION
                 SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(b) AS component_id, d.doc_id = min(b) AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n"""
+
+
+@query
+def op9_wumanber(spark, sf):
+    """Benchmark windows in documents by Wu-Manber search."""
+    from .wumanber import decontaminate
+    return decontaminate(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+_ALNUM = f"""regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+ORACLES["op9_wumanber"] = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+sought AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, w[i:i + least(10, len(w)) - 1] AS g
+           FROM b, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 8))) AS i) WHERE len(w) > 0),
+places AS (SELECT doc_id, k, i, w[i:i + k - 1] AS g FROM d, (SELECT DISTINCT k FROM sought) k,
+             LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+found AS (SELECT doc_id, item_id, i, places.k FROM places JOIN sought ON places.g = sought.g AND places.k = sought.k),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM found, LATERAL (SELECT unnest(range(i, i + k)) AS j) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
