@@ -68,3 +68,10 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+@query
+def op10_subwords(spark, sf):
+    """Quality of documents by supervised subword embeddings."""
+    from .quality import quality
+    return quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
