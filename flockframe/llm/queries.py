@@ -75,3 +75,10 @@ def op10_subwords(spark, sf):
     """Quality of documents by supervised subword embeddings."""
     from .quality import quality
     return quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@query
+def op6_markov(spark, sf):
+    """Secrets in documents: patterns, and runs that Markov models call random."""
+    from .secrets import scan
+    return scan(_table(spark, sf, "documents"))
