@@ -82,3 +82,10 @@ def op6_markov(spark, sf):
     """Secrets in documents: patterns, and runs that Markov models call random."""
     from .secrets import scan
     return scan(_table(spark, sf, "documents"))
+
+
+@query
+def op3_hilbert(spark, sf):
+    """Documents packed into sequences along a Hilbert curve."""
+    from .packing import pack
+    return pack(_table(spark, sf, "documents"))
