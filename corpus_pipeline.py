@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from flockframe.llm import stages
 
 #: (name, function) of each stage; a function takes (spark, docs, sf_dir) and returns the next one's docs.
-STAGES = [("near_copies", stages.near_copies)]
+STAGES = [("quality", stages.quality), ("near_copies", stages.near_copies),
+          ("benchmark_passages", stages.benchmark_passages), ("secret_spans", stages.secret_spans),
+          ("packing", stages.packing)]
 #: No SQL: trained models decide what stays. tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 

@@ -21,6 +21,8 @@ BITS = 17
 _MARKS = 3 << BITS
 #: Marks: the word repeats the one before; it is the same as the one two before; any other word.
 BUCKETS = _MARKS + 3
+#: Least score of an accepted document.
+ACCEPTED = 0.3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,19 +109,24 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings) ->
     return (vectors @ weight).astype(np.float32), float(bias[1] - bias[0])
 
 
+def scores(model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Probability of label 1 of each text of a chunk."""
+    odds, bias = model
+    n = len(offsets) - 1
+    total, count = np.zeros(n), np.zeros(n)
+    for buckets, text in _features(data, offsets):
+        total += np.bincount(text, odds[buckets], n)
+        count += np.bincount(text, minlength=n)
+    return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -700, 700)))
+
+
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
 def _score(model):
     def run(batches):
-        odds, bias = model.value
         for rows, data, offsets in X.chunks(batches):
-            total, n = np.zeros(len(rows)), np.zeros(len(rows))
-            for buckets, text in _features(data, offsets):
-                total += np.bincount(text, odds[buckets], len(rows))
-                n += np.bincount(text, minlength=len(rows))
-            z = total / np.maximum(n, 1) + bias
-            yield X.out(_SCORED, doc_id=rows.column("doc_id").cast(pa.int64()), score=1 / (1 + np.exp(-np.clip(z, -700, 700))))
+            yield X.out(_SCORED, doc_id=rows.column("doc_id").cast(pa.int64()), score=scores(model.value, data, offsets))
     return run
 
 
@@ -162,4 +169,10 @@ def quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     rows = X.documents(docs, F.col("doc_id").cast("long").alias("doc_id"))
     scored = rows.mapInArrow(_score(fit(docs.select("doc_id", "text"), labels, settings)), "doc_id long, score double")
     return scored.select("doc_id", (~learning_rows("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+                         (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, with all columns, that the classifier predicts to be 1; each row by its own text."""
+    model = fit(docs.select("doc_id", "text"), labels, settings)
+    return X.filtered(docs, lambda data, offsets: scores(model.value, data, offsets) >= ACCEPTED)

@@ -149,3 +149,11 @@ def lists(flat: np.ndarray, width: int) -> pa.Array:
 def out(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, schema.field(k).type)
                             for k, c in columns.items()], schema=schema)
+
+
+def filtered(df: DataFrame, keep) -> DataFrame:
+    """Rows, all columns, whose text ``keep(bytes, offsets)`` says true for."""
+    def run(batches):
+        for rows, data, offsets in chunks(batches):
+            yield rows.filter(pa.array(keep(data, offsets)))
+    return df.mapInArrow(run, df.schema)

@@ -167,23 +167,29 @@ def _digest(batches):
                     items_sha256=sha, contaminated=[n > 0 for n in n_hit])
 
 
+def _packs(benchmark: DataFrame, pack_bytes: int):
+    """The different items, in broadcast lists of about ``pack_bytes`` of text; at least one list."""
+    sc = benchmark.sparkSession.sparkContext
+    items = X.documents(benchmark, F.col("item_id").cast("string").alias("item_id")).distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packs = max(1, -(-size // pack_bytes))
+    for k in range(packs):
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(packs)) == k)
+        sent = sc.broadcast(sorted((tuple(r) for r in mine.collect()), key=str))
+        yield _Items(sent, sent._jbroadcast.id())
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """(uid, doc_id, n_words, hits, items): runs of words hit by benchmark windows, and the items found.
 
     ``hits`` holds first and end word of each run, end to end. The items go to the workers in packs of about
     ``pack_bytes`` of text (one longer item makes a longer pack), one pass over the documents each.
     """
-    spark = docs.sparkSession
     rows = X.documents(docs, F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"))
-    items = X.documents(benchmark, F.col("item_id").cast("string").alias("item_id")).distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packs = max(1, -(-size // pack_bytes))
-    found = None
-    for k in range(packs):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(packs)) == k)
-        sent = spark.sparkContext.broadcast(sorted((tuple(r) for r in mine.collect()), key=str))
-        each = rows.mapInArrow(_scan(_Items(sent, sent._jbroadcast.id())), _FOUND)
-        found = each if found is None else found.union(each)
+    found, packs = None, 0
+    for items in _packs(benchmark, pack_bytes):
+        each = rows.mapInArrow(_scan(items), _FOUND)
+        found, packs = each if found is None else found.union(each), packs + 1
     if packs > 1:
         found = checkpoint(found).groupBy("uid").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
@@ -204,3 +210,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, pack_bytes: int = PACK_
     """
     return find_passages(docs, benchmark, pack_bytes).mapInArrow(
         _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all columns, in which no benchmark window occurs; each row by its own text."""
+    for items in _packs(benchmark, pack_bytes):
+        docs = X.filtered(docs, _clean(items))
+    return docs
+
+
+def _clean(items):
+    def keep(data, offsets):
+        data = X.LOWER[data]
+        starts, ends, first = X.word_spans(data, offsets, X.ALNUM)
+        clean = np.ones(len(offsets) - 1, bool)
+        for at, _, _ in _matcher(items).occurrences(data, starts, ends, X.span_hashes(data, starts, ends), first):
+            clean[int(np.searchsorted(first, at, "right")) - 1] = False
+        return clean
+    return keep
