@@ -8,8 +8,11 @@ from ..session import checkpoint
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with the least of a and all its partners."""
-    least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    """Edges (a, b) with the least of a and all its partners.
+
+    The least are written: a join of plain tables is one whose partitions are split at a hub.
+    """
+    least = checkpoint(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return edges.join(least, "a")
 
 

@@ -173,7 +173,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", percent: int = 8
                .select("f1", "f2", F.coalesce("root", "cid").alias("root")))
     whole = checkpoint(signed.select("doc_id", "n_shingles", "f1", "f2", "uid").join(classes, ["f1", "f2"], "left")
                        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"), "uid"))
-    least = whole.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # written, so that the join has a plain table on either side and a large group's partition is split
+    least = checkpoint(whole.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")))
     alone = whole.filter("root is null").withColumn("least", F.col("doc_id"))
     result = whole.filter("root is not null").join(least, "root").unionByName(alone)
     return result.select("doc_id", "n_shingles", F.col("least").alias("component_id"),

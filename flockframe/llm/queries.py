@@ -89,3 +89,10 @@ def op3_hilbert(spark, sf):
     """Documents packed into sequences along a Hilbert curve."""
     from .packing import pack
     return pack(_table(spark, sf, "documents"))
+
+
+@query
+def op2_ppm(spark, sf):
+    """Language of documents by prediction by partial matching."""
+    from .ppm import languages
+    return languages(_table(spark, sf, "documents"))
