@@ -96,3 +96,10 @@ def op2_ppm(spark, sf):
     """Language of documents by prediction by partial matching."""
     from .ppm import languages
     return languages(_table(spark, sf, "documents"))
+
+
+@query
+def op5_splitters(spark, sf):
+    """Documents in eight shards of near equal bytes, by sampled splitters."""
+    from .sharding import shard
+    return shard(_table(spark, sf, "documents"))
