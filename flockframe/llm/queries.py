@@ -103,3 +103,10 @@ def op5_splitters(spark, sf):
     """Documents in eight shards of near equal bytes, by sampled splitters."""
     from .sharding import shard
     return shard(_table(spark, sf, "documents"))
+
+
+@query
+def op8_nndescent(spark, sf):
+    """Near-duplicate vectors by NN-descent."""
+    from .nndescent import near_vectors
+    return near_vectors(_table(spark, sf, "embeddings"))
