@@ -110,3 +110,10 @@ def op8_nndescent(spark, sf):
     """Near-duplicate vectors by NN-descent."""
     from .nndescent import near_vectors
     return near_vectors(_table(spark, sf, "embeddings"))
+
+
+@query
+def op1_gru(spark, sf):
+    """Log-likelihood of documents under a gated recurrent language model."""
+    from .lm import score
+    return score(_table(spark, sf, "documents"))
