@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,32 +34,81 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: ASCII marks that may stand around a word without changing its tokens; not "'" (contractions) or "<" (special tokens).
+_MARKS_AROUND = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+
+
 class Encoder:
     """Ids of texts, word by word: no token of this tokenizer spans ASCII white space.
 
-    Ids of the words met are remembered up to a bound, then forgotten all at once.
+    Ids of the words met are remembered up to a bound, then forgotten all at once. New words of letters only, without
+    the marks around them, are encoded many in one text, which is taken apart where a token ends a word.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.dtype = np.dtype("<u4" if wide else "<u2")
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u4" if size > 1 << 16 else "<u2")
         self.end = np.array([END], self.dtype).tobytes()
+        self.ends_word = np.zeros(size, bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends_word[k] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, the end included, as bytes."""
-        words = [t.split() for t in texts]
-        met = set().union(*words)
-        if len(self.known) + len(met) > REMEMBERED:
-            self.known = {}
-        new = list(met - self.known.keys())
-        ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(new, ids))
-        known = self.known.__getitem__
-        return [b"".join(map(known, w)) + self.end for w in words]
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.parts = {}, {}
+        flat = list(chain.from_iterable(words))
+        ids = list(map(self.known.get, flat))
+        missing = [k for k, i in enumerate(ids) if i is None]
+        self._learn({flat[k] for k in missing})
+        for k in missing:
+            ids[k] = self.known[flat[k]]
+        stops = list(accumulate(map(len, words), initial=0))
+        return [b"".join(ids[a:b]) + self.end for a, b in zip(stops, stops[1:])]
+
+    def _learn(self, new: set[bytes]) -> None:
+        words = list(new)
+        texts = [w.decode("utf-8", "replace") for w in words]
+        cores = [t.strip(_MARKS_AROUND) for t in texts]
+        cut = [k for k, c in enumerate(cores) if c.isalpha()]
+        before = [texts[k][:texts[k].index(cores[k])] for k in cut]
+        after = [texts[k][len(b) + len(cores[k]):] for k, b in zip(cut, before)]
+        parts = self.parts
+        parts[""] = b""
+        self._many([c for c in {cores[k] for k in cut} if c not in parts])
+        self._each([m for m in {*before, *after} if m not in parts])
+        known = self.known
+        for k, b, a in zip(cut, before, after):
+            known[words[k]] = parts[b] + parts[cores[k]] + parts[a]
+        whole = [k for k, c in enumerate(cores) if not c.isalpha()]
+        for k, e in zip(whole, self._batch([texts[k] for k in whole])):
+            known[words[k]] = self._ids(e)
+
+    def _batch(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _ids(self, encoding) -> bytes:
+        return np.array(encoding.ids, self.dtype).tobytes()
+
+    def _each(self, texts: list[str]) -> None:
+        self.parts.update((t, self._ids(e)) for t, e in zip(texts, self._batch(texts)))
+
+    def _many(self, words: list[str]) -> None:
+        groups = [words[k:k + 1000] for k in range(0, len(words), 1000)]
+        for group, e in zip(groups, self._batch([" ".join(g) for g in groups])):
+            ids = np.array(e.ids, self.dtype)
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(stops) != len(group):  # a word fell apart when it was normalised
+                self._each(group)
+                continue
+            raw, stops = ids.tobytes(), (stops * self.dtype.itemsize).tolist()
+            self.parts.update(zip(group, map(raw.__getitem__, map(slice, [0, *stops], stops))))
 
 
 _ENCODERS: dict[str, Encoder] = {}
