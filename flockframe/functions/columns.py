@@ -16,8 +16,9 @@ def bind(value: Column, body) -> Column:
 
 
 def tolerant_int(c: Column) -> Column:
-    """Integer part of a numeric text; null for anything else ("X", "present")."""
-    return c.try_cast("double").try_cast("int")
+    """Integer part of a numeric text; null for anything else ("X", "present", "5d")."""
+    number = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+    return F.when(c.cast("string").rlike(number), c.try_cast("double").try_cast("int"))
 
 
 def composite_key(*cols: Column, sep: str = "_") -> Column:
@@ -31,7 +32,10 @@ def in_list_or_null(c: Column, values) -> Column:
 
 
 def decimal_hours(text: Column) -> Column:
-    """Hours since midnight from ``08:30:15`` or ``8H 30M 15S``; null otherwise."""
+    """Hours since midnight from ``08:30:15`` or ``8H 30M 15S``; null otherwise.
+
+    A clock time with 60 or more minutes, or more than 60 seconds (a leap second), is none.
+    """
     number = r"([0-9]+(?:\.[0-9]+)?)"
 
     def unit(letter):
@@ -43,7 +47,8 @@ def decimal_hours(text: Column) -> Column:
         return F.get(parts, F.lit(i)).try_cast("double")
 
     return (F.when(text.rlike(r"[0-9]\s*[HMS]"), unit("H") + unit("M") / 60 + unit("S") / 3600)
-            .when(F.size(parts) >= 3, part(0) + part(1) / 60 + part(2) / 3600))
+            .when((F.size(parts) >= 3) & (part(1) < 60) & (part(2) <= 60),
+                  part(0) + part(1) / 60 + part(2) / 3600))
 
 
 def in_season(date: Column, first: tuple[int, int], last: tuple[int, int]) -> Column:

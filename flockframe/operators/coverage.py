@@ -7,9 +7,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.aggregates import quantile
 from ..session import checkpoint, join_on
 
-WINDOW_BOUND = 1_000_000  # distinct values numbered by a plain window
-
-
 def spans(surveys: DataFrame, keys: list[str], year: str = "year", count: str = "count",
           weight: str | None = None) -> DataFrame:
     """Years with non-zero counts per key: number, span, first and last.
@@ -58,18 +55,14 @@ def group_category(df: DataFrame, keys: list[str], value: str, which: str = "lea
     return n.groupBy(*keys).agg(F.min_by(value, F.struct(order.alias("n"), F.col(value))).alias(value))
 
 
-def dense_codes(df: DataFrame, keys: list[str], value: str, code: str = "code",
-                window_bound: int = WINDOW_BOUND) -> DataFrame:
-    """Distinct values per group numbered 1, 2, ... in sorted order.
+def dense_codes(df: DataFrame, keys: list[str], value: str, code: str = "code") -> DataFrame:
+    """Distinct values per group numbered 1, 2, ... in sorted order; null values get none.
 
-    Up to ``window_bound`` distinct rows a window numbers them. Above it they are
-    range-sorted over the cluster and numbered by partition offset plus position;
-    the sorted table is checkpointed first, so the numbers hold when tasks rerun.
+    They are range-sorted over the cluster and numbered by partition offset plus position;
+    the sorted table is checkpointed first, so the numbers hold when tasks rerun. Codes are
+    integers: a group of more than 2^31 values fails in the cast.
     """
     domain = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
-    if domain.limit(window_bound + 1).count() <= window_bound:
-        order = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(value)
-        return domain.withColumn(code, F.dense_rank().over(order))
     ranked = checkpoint(domain.orderBy(*keys, value).withColumn("__id", F.monotonically_increasing_id()))
     part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
     # one row per partition of the sorted table

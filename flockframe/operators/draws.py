@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.aggregates import interval, quantile_name, quantiles, ranked_quantiles
 from ..session import join_on
 
-GROUP_BOUND = 1_000_000  # rows of one group whose quantiles one task may hold
-
-
 def parameter_name(c: Column) -> Column:
     """``alpha[3,1]`` -> ``alpha``."""
     return F.regexp_extract(c, r"^([^\[]+)", 1)
@@ -52,18 +49,13 @@ def array_draws(df: DataFrame, ids: list[str], values: str, dim: str) -> DataFra
         *ids, (F.col("__pos") + 1).alias(dim), F.col("value").cast("double").alias("value"))
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return row[0] or 0
-
-
 def summarise(draws: DataFrame, keys: list[str], value: Column | str = "value", *, ci: float = 0.95,
-              probs=(), group_bound: int | None = None) -> DataFrame:
+              probs=(), spread: bool = False) -> DataFrame:
     """mean, median, sd, lci, uci and optional ``Q_*`` quantiles per key, in one pass.
 
-    A group is normally one parameter and holds the retained draws (thousands).
-    With ``group_bound`` the largest group is counted first, and beyond the bound
-    the quantiles come from ``ranked_quantiles``, which spreads a group.
+    A group is normally one parameter and holds the retained draws (thousands). For few keys
+    with very many rows, or none, the caller asks to ``spread`` a group over tasks
+    (``ranked_quantiles``). The rows are the same; a group without values has null quantiles.
     """
     value = F.col(value) if isinstance(value, str) else value
     lo, hi = interval(ci)
@@ -71,9 +63,10 @@ def summarise(draws: DataFrame, keys: list[str], value: Column | str = "value",
     rows = draws.select(*keys, value.alias("__value"))
     moments = [F.avg("__value").alias("mean"), F.stddev_samp("__value").alias("sd")]
     columns = [*keys, "mean", "median", "sd", "lci", "uci", *[quantile_name(p) for p in probs]]
-    if group_bound is not None and largest_group(rows, keys) > group_bound:
-        spread = ranked_quantiles(rows, keys, "__value", names)
-        return join_on(rows.groupBy(*keys).agg(*moments), spread, keys).select(*columns)
+    if spread:
+        rows = rows.withColumn("__all", F.lit(0))
+        ranked = ranked_quantiles(rows, ["__all", *keys], "__value", names)
+        return join_on(rows.groupBy("__all", *keys).agg(*moments), ranked, ["__all", *keys], "left").select(*columns)
     out = rows.groupBy(*keys).agg(*moments, quantiles(F.col("__value"), names.values()).alias("__q"))
     return out.withColumns({n: F.col("__q")[i] for i, n in enumerate(names)}).select(*columns)
 
@@ -100,8 +93,3 @@ def with_final_level(draws: DataFrame, end_year: int, keys: list[str]) -> DataFr
     last = draws.filter(F.col("year") == end_year).groupBy(*keys).agg(
         F.log(F.max("value")).alias("midp"))
     return join_on(draws, last, keys, "left")
-
-
-def scalar_means(draws: DataFrame, keys: list[str]) -> DataFrame:
-    """Posterior mean of scalar parameters, one row per key."""
-    return draws.groupBy(*keys).agg(F.avg("value").alias("mean"))

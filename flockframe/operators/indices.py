@@ -23,14 +23,15 @@ def with_composite(regional: DataFrame, region: str = "region") -> DataFrame:
 
 
 def composite_index(draws: DataFrame, region: str = "region", ci: float = 0.95) -> DataFrame:
-    """Per draw sums by region and year, and over all regions, then their summary."""
-    sums = (draws.groupBy("species", "draw", region, "year").agg(F.sum("value").alias("value")))
+    """Per draw sums by region and year, and over all regions, then their summary; by variable, if any."""
+    of = ["species", *[c for c in ("variable",) if c in draws.columns]]
+    sums = (draws.groupBy(*of, "draw", region, "year").agg(F.sum("value").alias("value")))
     both = (with_composite(sums, region)
-            .groupBy("species", "draw", region, "year").agg(F.sum("value").alias("value")))
+            .groupBy(*of, "draw", region, "year").agg(F.sum("value").alias("value")))
     lo, hi = interval(ci)
-    out = both.groupBy("species", region, "year").agg(
+    out = both.groupBy(*of, region, "year").agg(
         quantiles(F.col("value"), [0.5, lo, hi]).alias("__q"), F.avg("value").alias("mean"))
-    return out.select("species", region, "year", F.col("__q")[0].alias("median"), "mean",
+    return out.select(*of, region, "year", F.col("__q")[0].alias("median"), "mean",
                       F.col("__q")[1].alias("lci"), F.col("__q")[2].alias("uci"))
 
 

@@ -167,13 +167,14 @@ def count_model_cells(encoded: DataFrame) -> DataFrame:
         F.sum("count").cast("double").alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def fit_count_model(encoded: DataFrame, rounds: int = 8) -> dict[str, DataFrame]:
+def fit_count_model(encoded: DataFrame, tolerance: float = 1e-8, most_rounds: int = 200) -> dict[str, DataFrame]:
     """Poisson log-link model site x (stratum, year) x day for all species together.
 
     Each factor's likelihood equation is ``effect = sum(count) / sum(n * other
-    effects)``; the three are solved in turn. Every round is one aggregation per
-    factor over the sums of ``count_model_cells``, with a checkpoint of the small
-    effect tables. With a ``seas_strat`` column every season group has its own days.
+    effects)``; the three are solved in turn until no effect changes by more than
+    ``tolerance`` of itself in a round; an error is raised where ``most_rounds`` do not
+    get there. Every round is one aggregation per factor over the sums of
+    ``count_model_cells``, with a checkpoint of the small effect tables. With a ``seas_strat`` column every season group has its own days.
     Levels without any bird get effect 0. Returns the effect tables (species, level
     columns, effect) and the fitted cells.
     """
@@ -192,13 +193,22 @@ def fit_count_model(encoded: DataFrame, rounds: int = 8) -> dict[str, DataFrame]
                 out = out.join(effects[f], k)
         return out
 
-    for _ in range(rounds):
+    for _ in range(most_rounds):
+        change = None
         for f, k in factors.items():
             others = [F.col(f"{o}_effect") for o in factors if o != f]
             expected = with_effects(skip=f).groupBy(*k).agg(
                 F.sum(F.col("n") * others[0] * others[1]).alias("__e"))
-            effects[f] = checkpoint(totals[f].join(expected, k).select(
-                *k, F.coalesce(F.try_divide("__t", "__e"), F.lit(0.0)).alias(f"{f}_effect")))
+            new, old = F.coalesce(F.try_divide("__t", "__e"), F.lit(0.0)), F.col(f"{f}_effect")
+            solved = checkpoint(totals[f].join(expected, k).join(effects[f], k).select(
+                *k, new.alias(f"{f}_effect"), F.abs(new - old).alias("__by"), F.abs(new).alias("__of")))
+            effects[f] = solved.drop("__by", "__of")
+            moved = solved.select("__by", "__of")
+            change = moved if change is None else change.union(moved)
+        if change.filter(F.col("__by") > F.col("__of") * tolerance).isEmpty():
+            break
+    else:
+        raise RuntimeError(f"the count model did not settle in {most_rounds} rounds")
     fitted = with_effects().withColumn(
         "fitted", F.col("n") * F.col("site_effect") * F.col("year_effect") * F.col("day_effect"))
     return {**effects, "cells": fitted}

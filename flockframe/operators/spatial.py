@@ -116,25 +116,36 @@ def near_places(sites: DataFrame, threshold: float = 160.0, great_circle: bool =
             .select(*at, "n_sites", *[c + "2" for c in at], "n_sites2", "distance"))
 
 
+def near_members(sites: DataFrame, threshold: float = 160.0, site: str = "locality_id",
+                 great_circle: bool = False, name: str | None = None) -> DataFrame:
+    """Place, id2 [, name2]: every site closer to a place than ``threshold``, one row each.
+
+    The long form of ``near_sites``: places and not sites stand on the left, so a
+    much used spot does not multiply its neighbours.
+    """
+    at = _place(great_circle)
+    pairs = near_places(sites, threshold, great_circle).select(*at, *[c + "2" for c in at])
+    extra = [F.col(name).alias("name2")] if name else []
+    members = sites.select(*[F.col(c).alias(c + "2") for c in at], F.col(site).alias("id2"), *extra)
+    return pairs.join(members, [c + "2" for c in at]).drop(*[c + "2" for c in at])
+
+
 def near_sites(sites: DataFrame, threshold: float = 160.0, site: str = "locality_id",
-               list_bound: int = 10_000, great_circle: bool = False) -> DataFrame:
+               great_circle: bool = False, name: str | None = None) -> DataFrame:
     """Per site the number and joined ids of the sites closer than ``threshold`` (itself included).
 
-    ``sites``: site id and equidistant x, y, or longitude, latitude with ``great_circle``.
-    The number is always exact. Ids are joined to a text where there are at most
-    ``list_bound`` of them; beyond that the text is null and ``near_places`` holds
-    the same fact without long lists.
+    ``sites``: site id and equidistant x, y, or longitude, latitude with ``great_circle``. With a
+    ``name`` column ``near_names`` joins the names in the order of the ids. The texts are a view of
+    ``near_members`` and hold all members; a place has one, whatever its number of sites.
     """
     at = _place(great_circle)
-    other = [c + "2" for c in at]
-    pairs = near_places(sites, threshold, great_circle)
-    number = pairs.groupBy(*at).agg(F.sum("n_sites2").alias("n_near"))
-    members = sites.select(*[F.col(c).alias(c + "2") for c in at], F.col(site).alias("__id"))
-    lists = (join_on(pairs.select(*at, *other), number.filter(F.col("n_near") <= list_bound), at)
-             .join(members, other).groupBy(*at)
-             .agg(F.array_join(F.sort_array(F.collect_list("__id")).cast("array<string>"), "-")
-                  .alias("near_ids")))
-    return join_on(join_on(sites, number, at), lists, at, "left")
+    members = near_members(sites, threshold, site, great_circle, name)
+    cells = F.sort_array(F.collect_list(F.struct("id2", *(["name2"] if name else []))))
+    lists = members.groupBy(*at).agg(F.count(F.lit(1)).alias("n_near"), cells.alias("__cells"))
+    joined = {"near_ids": F.array_join(F.col("__cells.id2").cast("array<string>"), "-")}
+    if name:
+        joined["near_names"] = F.array_join(F.col("__cells.name2").cast("array<string>"), "-", "NA")
+    return join_on(sites, lists.withColumns(joined).drop("__cells"), at)
 
 
 def closest(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], *, k: int = 1,

@@ -56,11 +56,16 @@ def standard_comparisons(generations: DataFrame, first_year: int = 1980, end_yea
     ).select("species", "p.*")
 
 
+def of_index(draws: DataFrame) -> list[str]:
+    """Keys that tell one index from another: species, and the variable where the draws have one."""
+    return ["species", *[c for c in ("variable",) if c in draws.columns]]
+
+
 def _end_points(draws, periods, by):
     """Start and end value per period and draw: only the two end years enter the shuffle."""
     at_end = (F.col("year") == F.col("start_year")) | (F.col("year") == F.col("end_year"))
     return (draws.join(periods, "species").filter(at_end)
-            .groupBy("species", "trend_type", "start_year", "end_year", "draw", *by)
+            .groupBy(*of_index(draws), "trend_type", "start_year", "end_year", "draw", *by)
             .agg(F.sum(F.when(F.col("year") == F.col("start_year"), F.col("value"))).alias("start"),
                  F.sum(F.when(F.col("year") == F.col("end_year"), F.col("value"))).alias("end")))
 
@@ -90,13 +95,13 @@ def _mean_of_years(yearly, periods, keys, columns):
 
 def _yearly(df, value, by, composite):
     """Per-year mean and number, by region and (if asked) over all rows."""
-    part = df.groupBy("species", "year", *by).agg(F.sum(value).cast("double").alias("__s"),
+    part = df.groupBy(*of_index(df), "year", *by).agg(F.sum(value).cast("double").alias("__s"),
                                                   F.count(value).alias("__k"),
                                                   F.count(F.lit(1)).alias("__r"))
     if composite:
-        part = (with_composite(part, by[0]).groupBy("species", "year", *by)
+        part = (with_composite(part, by[0]).groupBy(*of_index(part), "year", *by)
                 .agg(*[F.sum(c).alias(c) for c in ("__s", "__k", "__r")]))
-    return part.select("species", "year", *by, F.try_divide("__s", "__k").alias("ym"),
+    return part.select(*of_index(part), "year", *by, F.try_divide("__s", "__k").alias("ym"),
                        F.col("__r").cast("double").alias("n_c"))
 
 
@@ -104,11 +109,13 @@ def trend_endpoint(draws: DataFrame, periods: DataFrame, observed: DataFrame | N
                    *, region: str | None = None, ci: float = 0.95) -> DataFrame:
     """End-point trend of every species and period, by region plus the overall sum if asked.
 
-    draws: species, draw, year, value[, region]; observed: species, year, count[, region].
+    draws: species[, variable], draw, year, value[, region]; observed: species, year, count[, region].
+    Every variable has trends of its own beside the same observed means.
     """
     by = [region] if region else []
     periods = periods.select("species", "trend_type", "start_year", "end_year")
-    keys = ["species", "trend_type", "start_year", "end_year", *by]
+    seen = ["species", "trend_type", "start_year", "end_year", *by]
+    keys = [*of_index(draws), *seen[1:]]
     ends = _end_points(draws, periods, by)
     if region:
         ends = (with_composite(ends, region).groupBy(*keys, "draw")
@@ -118,17 +125,17 @@ def trend_endpoint(draws: DataFrame, periods: DataFrame, observed: DataFrame | N
                           {"ym": "mean_abundance"})
     out = join_on(out, mean, keys, "left")
     if observed is not None:
-        obs = _mean_of_years(_yearly(observed, "count", by, bool(region)), periods, keys,
+        obs = _mean_of_years(_yearly(observed.drop("variable"), "count", by, bool(region)), periods, seen,
                              {"ym": "mean_observed", "n_c": "mean_n_surveys"})
-        out = join_on(out, obs, keys, "left")
+        out = join_on(out, obs, seen, "left")
     return out
 
 
 def trend_centered(draws: DataFrame, periods: DataFrame, region: str = "region", ci: float = 0.95
                    ) -> DataFrame:
-    """Regional log trend less the overall log trend per draw, per year of the period."""
+    """Regional log trend less the overall log trend per draw, per year of the period; by variable, if any."""
     periods = periods.select("species", "trend_type", "start_year", "end_year")
-    keys = ["species", "trend_type", "start_year", "end_year"]
+    keys = [*of_index(draws), "trend_type", "start_year", "end_year"]
     draws = draws.withColumn(region, F.col(region).cast("string"))
     draw = Window.partitionBy(*keys, "draw")  # one row per region
     ends = (_end_points(draws, periods, [region])
@@ -150,9 +157,9 @@ def trend_centered(draws: DataFrame, periods: DataFrame, region: str = "region",
 
 def trend_slope(draws: DataFrame, periods: DataFrame, *, region: str | None = None,
                 ci: float = 0.95) -> DataFrame:
-    """Log-scale least-squares trend per draw, summarised; the overall form uses yearly sums."""
+    """Log-scale least-squares trend per draw, summarised; the overall form uses yearly sums; by variable, if any."""
     periods = periods.select("species", "trend_type", "start_year", "end_year")
-    keys = ["species", "trend_type", "start_year", "end_year"]
+    keys = [*of_index(draws), "trend_type", "start_year", "end_year"]
 
     def slopes(rows, by):
         inside = rows.join(periods, "species").filter(
@@ -162,7 +169,7 @@ def trend_slope(draws: DataFrame, periods: DataFrame, *, region: str | None = No
 
     if region:
         draws = draws.withColumn(region, F.col(region).cast("string"))
-        totals = draws.groupBy("species", "draw", "year").agg(F.sum("value").alias("value"))
+        totals = draws.groupBy(*of_index(draws), "draw", "year").agg(F.sum("value").alias("value"))
         per_draw = slopes(draws, [region]).unionByName(
             slopes(totals, []).withColumn(region, F.lit(COMPOSITE)))
         keys = [*keys, region]
@@ -175,11 +182,11 @@ def trend_slope(draws: DataFrame, periods: DataFrame, *, region: str | None = No
 
 
 def trend_difference(draws: DataFrame, comparisons: DataFrame, ci: float = 0.95) -> DataFrame:
-    """Per draw second trend minus first, its mean, interval and chance of being negative."""
+    """Per draw second trend minus first, its mean, interval and chance of being negative; by variable, if any."""
     years = ["start_year1", "end_year1", "start_year2", "end_year2"]
-    keys = ["species", "trend_type", *years]
+    keys = [*of_index(draws), "trend_type", *years]
     wanted = F.array_contains(F.array(*years), F.col("year"))
-    ends = (draws.join(comparisons.select(*keys), "species").filter(wanted)
+    ends = (draws.join(comparisons.select("species", "trend_type", *years), "species").filter(wanted)
             .groupBy(*keys, "draw")
             .agg(*[F.sum(F.when(F.col("year") == F.col(y), F.col("value"))).alias("v_" + y)
                    for y in years]))
@@ -196,6 +203,14 @@ def trend_difference(draws: DataFrame, comparisons: DataFrame, ci: float = 0.95)
     return out.withColumn("lci", F.col("__q")[0]).withColumn("uci", F.col("__q")[1]).drop("__q")
 
 
+def labelled(trends: DataFrame, parameter: str = "Trend", region: str | None = None) -> DataFrame:
+    """Columns of the written tables: the parameter, and whether a row is one region or all of them."""
+    out = trends.withColumn("parameter", F.lit(parameter))
+    if region is None:
+        return out.withColumn("region_type", F.lit("survey-wide"))
+    return out.withColumn("region_type", F.when(F.col(region) == COMPOSITE, "survey-wide").otherwise(region))
+
+
 def trend_subset(trends: DataFrame, types: list[str]) -> DataFrame:
     """Rows of the named trend types, with their order of presentation."""
     order = F.array_position(F.array(*[F.lit(t) for t in (

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-LIST_BOUND = 10_000  # names that may travel inside the plan as one literal array
+CHUNK = 10_000  # names that one row of the unfolded list holds
 
 
 def zero_fill(events: DataFrame, obs: DataFrame, species: DataFrame, *, key: str = "checklist_id",
               name: str = "common_name", count: str = "observation_count",
-              drop_conflicts: bool = True, list_bound: int = LIST_BOUND, number: str = "int"
-              ) -> DataFrame:
+              drop_conflicts: bool = True, chunk: int = CHUNK, number: str = "int") -> DataFrame:
     """Every event with every listed species; a species not reported counts 0.
 
     The shuffle works on whole checklists: observations are reduced to one short
@@ -18,15 +17,26 @@ def zero_fill(events: DataFrame, obs: DataFrame, species: DataFrame, *, key: str
     the join, so its rows never cross the network. Checklists with two different
     counts of one species are removed whole when ``drop_conflicts`` is set;
     otherwise such a species gives one row per distinct count.
+
+    The species list is a small table of chunks of about ``chunk`` names (one for most lists), which every
+    event meets; null names are no species. The few chunk keys are salted so that the meeting
+    is spread over tasks where it is not broadcast.
     """
-    listed = species.select(F.col(name)).distinct()
-    names = [r[0] for r in listed.limit(list_bound + 1).collect()]
-    if len(names) > list_bound:
-        return _by_chunk(events, obs, listed, key, name, count, drop_conflicts, list_bound, number)
-    every = F.array(*[F.lit(n) for n in sorted(names)]) if names else F.array().cast("array<string>")
-    pairs = _pairs(obs, key, name, count, drop_conflicts, number)
-    lists = _checklist_lists(pairs, F.col(name).isin(*names), key, name)
-    return _unfold(events.join(lists, key, "left"), every, name, count, number)
+    listed = species.select(F.col(name)).filter(F.col(name).isNotNull()).distinct()
+    chunks, salts = max(1, -(-listed.count() // chunk)), 64
+    mine = F.pmod(F.xxhash64(name), F.lit(chunks)).cast("int")
+    parts = (listed.groupBy(mine.alias("__chunk")).agg(F.collect_list(name).alias("__every"))
+             .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    pairs = _pairs(obs, key, name, count, drop_conflicts, number).join(
+        listed.withColumn("__listed", F.lit(True)), name, "left")
+    met = (events.join(_checklist_lists(pairs, F.col("__listed"), key, name), key, "left")
+           .filter(~F.coalesce(F.col("__conflict"), F.lit(False))).drop("__conflict")
+           .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+           .withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+           .join(parts, ["__chunk", "__salt"]))
+    here = F.filter(F.coalesce(F.col("__seen"), _no_cells(number)),
+                    lambda s: F.pmod(F.xxhash64(s["name"]), F.lit(chunks)) == F.col("__chunk"))
+    return _unfold(met.withColumn("__seen", here), name, count, number).drop("__chunk", "__salt")
 
 
 def grid_parts(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[str], *,
@@ -49,8 +59,7 @@ def grid_parts(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[s
 
 
 def grid_sums(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[str], *,
-              key: str = "checklist_id", name: str = "common_name", count: str = "observation_count",
-              list_bound: int = LIST_BOUND) -> DataFrame:
+              key: str = "checklist_id", name: str = "common_name", count: str = "observation_count") -> DataFrame:
     """Sum ``total`` and number ``n`` over the zero-filled grid, per ``by`` group and species.
 
     Groups are filled with the absent species after all sums are made, so the grid
@@ -61,7 +70,7 @@ def grid_sums(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[st
     return zero_fill(sizes.withColumn("__group", F.struct(*by)),
                      totals.select(F.struct(*by).alias("__group"), name, F.col("total").alias("total")),
                      species, key="__group", name=name, count="total", drop_conflicts=False,
-                     list_bound=list_bound, number="bigint").select(*by, name, "total", "n")
+                     number="bigint").select(*by, name, "total", "n")
 
 
 def _pairs(obs, key, name, count, drop_conflicts, number="int"):
@@ -87,37 +96,9 @@ def _no_cells(number):
     return F.array().cast(f"array<struct<name:string,n:{number}>>")
 
 
-def _unfold(joined, every, name, count, number):
-    """One row per listed name: those in ``__seen`` with their number, the others with 0."""
-    df = joined.filter(~F.coalesce(F.col("__conflict"), F.lit(False))).drop("__conflict")
-    seen = F.coalesce(F.col("__seen"), _no_cells(number))
-    absent = F.transform(F.array_except(every, F.transform(seen, lambda s: s["name"])),
+def _unfold(met, name, count, number):
+    """One row per name in ``__every``: those in ``__seen`` with their number, the others with 0."""
+    absent = F.transform(F.array_except("__every", F.transform("__seen", lambda s: s["name"])),
                          lambda s: F.struct(s.alias("name"), F.lit(0).cast(number).alias("n")))
-    return (df.withColumn("__cell", F.explode(F.concat(seen, absent))).drop("__seen")
+    return (met.withColumn("__cell", F.explode(F.concat("__seen", absent))).drop("__seen", "__every")
             .withColumns({name: F.col("__cell.name"), count: F.col("__cell.n")}).drop("__cell"))
-
-
-def _by_chunk(events, obs, listed, key, name, count, drop_conflicts, list_bound, number,
-              salts: int = 64):
-    """Long species lists: the list is cut into chunks and each event meets each chunk.
-
-    The few chunk keys are salted so that the meeting is spread over many tasks.
-    """
-    chunks = max(2, -(-2 * listed.count() // list_bound))
-    chunk = F.pmod(F.xxhash64(name), F.lit(chunks)).cast("int")
-    parts = (listed.groupBy(chunk.alias("__chunk")).agg(F.collect_list(name).alias("__every"))
-             .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    pairs = _pairs(obs, key, name, count, drop_conflicts, number)
-    bad = pairs.filter("__conflict").select(key).distinct()
-    inside = pairs.join(listed, name, "left_semi")
-    lists = (inside.groupBy(key, chunk.alias("__chunk"))
-             .agg(F.collect_list(F.struct(F.col(name).alias("name"),
-                                          F.col("__n").alias("n"))).alias("__seen")))
-    grid = (events.join(bad, key, "left_anti")
-            .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-            .withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-            .join(lists, [key, "__chunk"], "left")
-            .join(parts, ["__chunk", "__salt"])
-            .withColumn("__conflict", F.lit(False))
-            .drop("__chunk", "__salt"))
-    return _unfold(grid, F.col("__every"), name, count, number).drop("__every")

@@ -80,6 +80,7 @@ def trends_and_indices(draws: DataFrame, generations: DataFrame, observed: DataF
     periods = trends.standard_periods(generations, first_year, end_year)
     pairs = trends.standard_comparisons(generations, first_year, end_year)
     stages = stage_labels(generations, first_year, end_year)
-    return {"indices": annual_index(draws, stages, ("species", "year")),
-            "trends": trends.trend_endpoint(draws, periods, observed),
-            "differences": trends.trend_difference(draws, pairs)}
+    of = tuple(trends.of_index(draws))
+    return {"indices": annual_index(draws, stages, (*of, "year")),
+            "trends": trends.labelled(trends.trend_endpoint(draws, periods, observed)),
+            "differences": trends.labelled(trends.trend_difference(draws, pairs), "Difference in trends")}

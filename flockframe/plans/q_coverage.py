@@ -58,9 +58,13 @@ def dense_codes(spark, sf):
       CAST(dense_rank() OVER (PARTITION BY common_name ORDER BY locality_id) AS INTEGER) AS code
     FROM (SELECT DISTINCT common_name, locality_id FROM cnt JOIN ev USING (checklist_id))"""))
 def dense_codes_spread(spark, sf):
-    """The numbering used for domains too large for one window."""
-    seen = T.counts(spark, sf).join(T.events(spark, sf), "checklist_id")
-    return coverage.dense_codes(seen, ["common_name"], "locality_id", window_bound=0)
+    """One numbering over all species, taken back to each species' first."""
+    seen = T.counts(spark, sf).join(T.events(spark, sf), "checklist_id").select("common_name", "locality_id")
+    pair = F.struct("common_name", "locality_id")
+    codes = coverage.dense_codes(seen.select(pair.alias("pair")), [], "pair").select("pair.*", "code")
+    first = codes.groupBy("common_name").agg(F.min("code").alias("first"))
+    return codes.join(first, "common_name").select(
+        "common_name", "locality_id", (F.col("code") - F.col("first") + 1).alias("code"))
 
 
 def _covered(spark, sf):

@@ -53,7 +53,7 @@ def draw_summary_2d(spark, sf):
 @query(sql("dst", f"""SELECT species, {_SUMMARY.format(v='value')} FROM dst GROUP BY 1"""))
 def draw_summary_spread(spark, sf):
     """Quantiles by distributed ranks, as used above the group bound."""
-    return rounded(draws.summarise(T.stratum_draws(spark, sf), ["species"], group_bound=0), *_STATS)
+    return rounded(draws.summarise(T.stratum_draws(spark, sf), ["species"], spread=True), *_STATS)
 
 
 @query(sql("vec", """SELECT 'alpha[' || CAST(pos + 1 AS VARCHAR) || ']' AS parameter,

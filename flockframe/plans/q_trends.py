@@ -271,3 +271,37 @@ def species_trends(spark, sf):
         r6(a, "first_index"), r6(b, "last_index"), r6(C.percent_change(r), "percent_change"),
         r6(C.annual_rate(r, F.lit(last - first)), "trend"),
         (F.col(f"n_{first}") + F.col(f"n_{last}")).alias("n_surveys"))
+
+
+# --- full and smooth index side by side ---------------------------------------
+
+_TWO = """vars AS (SELECT unnest(['n', 'nsmooth']) AS variable),
+    dv AS (SELECT d.* REPLACE (species || '/' || variable AS species,
+             CASE WHEN variable = 'n' THEN value ELSE sqrt(value) END AS value) FROM {draws} d, vars),
+    pv AS (SELECT p.* REPLACE (species || '/' || variable AS species) FROM {per_species} p, vars)"""
+_APART = """SELECT * REPLACE (split_part(species, '/', 1) AS species), split_part(species, '/', 2) AS variable
+    FROM ({inner})"""
+
+
+def _two(draws):
+    """Every draw under the full index and, with other numbers, under the smooth one."""
+    return draws.withColumn("variable", F.explode(F.array(F.lit("n"), F.lit("nsmooth")))).withColumn(
+        "value", F.when(F.col("variable") == "n", F.col("value")).otherwise(F.sqrt("value")))
+
+
+@query(_with("dsv periods dobs", _TWO.format(draws="dsv", per_species="periods") + """,
+    ov AS (SELECT o.* REPLACE (species || '/' || variable AS species) FROM dobs o, vars),"""
+             + _trend_sql("dv", "'all'").replace("periods", "pv").replace("{obs}", "ov"),
+             _APART.format(inner=_SELECT.format(region="") ) ))
+def trend_endpoint_by_variable(spark, sf):
+    out = trends.trend_endpoint(_two(T.survey_draws(spark, sf)), _periods(spark, sf), T.draw_observed(spark, sf))
+    return rounded(out.drop("n_draws_dropped"), *_NUM, *_MEANS)
+
+
+@query(_with("dsv g3", _TWO.format(draws="dsv", per_species="g3") + ", "
+             + _PAIRS.replace("FROM g3", "FROM pv").replace("dsv d", "dv d"),
+             _APART.format(inner="""SELECT *, 'Difference in trends' AS parameter, 'survey-wide' AS region_type FROM difs""")))
+def trend_difference_by_variable(spark, sf):
+    pairs = trends.standard_comparisons(T.draw_generations(spark, sf), 1980, 2024)
+    out = trends.labelled(trends.trend_difference(_two(T.survey_draws(spark, sf)), pairs), "Difference in trends")
+    return rounded(out, "trend_dif", "lci", "uci", "prob_neg")

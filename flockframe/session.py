@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,17 +21,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints: the cluster's, or a local one in local mode."""
+    """Folder for reliable checkpoints: ``spark.checkpoint.dir``, or else one in the session's warehouse,
+    which a cluster shares too."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="flockframe-checkpoint-")
-    sc.setCheckpointDir(shared)
+    sc.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     return sc.getCheckpointDir()
 
 

@@ -27,12 +27,19 @@ def test_ranked_quantiles_with_missing_keys_and_values(spark):
         "Row(g='a', m=2.0)", "Row(g=None, m=2.0)"]
 
 
-def test_summary_is_the_same_above_and_below_the_bound(spark):
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_summary_is_the_same_when_spread(spark, keys):
     df = spark.range(4000).select((F.col("id") % 3).alias("k"), F.randn(5).alias("value"))
-    a, b = (rows(draws.summarise(df, ["k"], probs=(0.1,), group_bound=n)) for n in (10, 10 ** 6))
+    a, b = (rows(draws.summarise(df, keys, probs=(0.1,), spread=s)) for s in (True, False))
     assert np.allclose(a, b)
 
 
+def test_a_group_without_values_keeps_its_row(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None), ("b", None), (None, 2.0)], "k string, value double")
+    a, b = (sorted(map(str, draws.summarise(df, ["k"], spread=s).collect())) for s in (True, False))
+    assert a == b and len(a) == 3
+
+
 def test_summary_takes_any_number_of_dimensions(spark):
     df = spark.createDataFrame([(1, 1, 1, 1, 2.0), (1, 1, 1, 1, 4.0)], "a int, b int, c int, d int, value double")
     r = draws.summarise(df, ["a", "b", "c", "d"]).first()
@@ -130,11 +137,10 @@ def test_group_sample_is_exact_in_a_dominant_group(spark, share):
     assert got == want
 
 
-@pytest.mark.parametrize("bound", [0, 10 ** 6])
-def test_dense_codes(spark, bound):
+def test_dense_codes(spark):
     df = spark.createDataFrame([("a", "z"), ("a", "b"), ("a", "z"), ("b", "m"), ("a", None)], "k string, v string")
-    assert rows(coverage.dense_codes(df, ["k"], "v", window_bound=bound)) == [("a", "b", 1), ("a", "z", 2), ("b", "m", 1)]
-    assert rows(coverage.dense_codes(df, [], "v", window_bound=bound)) == [("b", 1), ("m", 2), ("z", 3)]
+    assert rows(coverage.dense_codes(df, ["k"], "v")) == [("a", "b", 1), ("a", "z", 2), ("b", "m", 1)]
+    assert rows(coverage.dense_codes(df, [], "v")) == [("b", 1), ("m", 2), ("z", 3)]
 
 
 def scores(x):

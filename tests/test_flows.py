@@ -53,3 +53,39 @@ def test_bootstrap_draws_feed_the_trends(spark, sf):
         got = out.collect()
         assert {r.strat for r in got} == {"1", "2", "3", "4", "5", "Composite"} and len(got) == 12
         assert all(r.lci <= r.uci and r.mean_n_surveys > 0 for r in got if r.trend is not None)
+
+
+def test_variables_have_indices_and_trends_of_their_own(spark, sf):
+    """Each operator gives for two variables in one table what it gives for each alone."""
+    from flockframe.operators import indices, trends
+
+    part = T.stratum_draws(spark, sf).filter("draw < 4")
+    other = part.withColumn("value", F.sqrt("value"))
+    both = part.withColumn("variable", F.lit("n")).unionByName(other.withColumn("variable", F.lit("nsmooth")))
+    periods = trends.standard_periods(T.draw_generations(spark, sf), 1980, 2024)
+    pairs = trends.standard_comparisons(T.draw_generations(spark, sf), 1980, 2024)
+    observed = T.draw_observed(spark, sf)
+    one = both.filter("strat = 1")
+    for fn, draws in ((lambda d: trends.trend_endpoint(d, periods, observed, region="region"), both),
+                      (lambda d: trends.trend_centered(d, periods), both),
+                      (lambda d: trends.trend_slope(d, periods, region="region"), both),
+                      (lambda d: trends.trend_difference(d, pairs), one),
+                      (lambda d: indices.composite_index(d), both)):
+        got = fn(draws)
+        for name in ("n", "nsmooth"):
+            alone = fn(draws.filter(F.col("variable") == name).drop("variable"))
+            mine = got.filter(F.col("variable") == name).select(alone.columns)
+            digits = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in alone.dtypes]
+            assert sorted(map(str, mine.select(digits).collect())) == sorted(map(str, alone.select(digits).collect()))
+
+
+def test_bootstrap_draws_flow_into_all_tables(spark, sf):
+    rows = T.model_rows(spark, sf)
+    draws = flows.bootstrap_draws(rows, first_year=1995, replicates=6, knots=3)
+    total = draws.groupBy("species", "variable", "draw", "year").agg(F.sum("value").alias("value"))
+    generations = rows.select("species").distinct().withColumn("gen_length", F.lit(2.0))
+    out = flows.trends_and_indices(total, generations, rows.select("species", "year", "count"), first_year=1995, end_year=2001)
+    assert {r.variable for r in out["trends"].collect()} == {"n", "nsmooth"}
+    assert {(r.parameter, r.region_type) for r in out["differences"].collect()} == {("Difference in trends", "survey-wide")}
+    index = out["indices"].groupBy("species", "variable", "year").count()
+    assert index.filter("count > 1").isEmpty() and index.count() == 2 * 2 * 7

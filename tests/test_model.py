@@ -24,7 +24,7 @@ def world(spark):
 
 def test_count_model_recovers_effects(world):
     df, site, year, day = world
-    fit = model.fit_count_model(df, rounds=10)
+    fit = model.fit_count_model(df)
     cells = fit["cells"]
     for level in (["site"], ["strat", "yr"], ["date"]):
         for r in cells.groupBy("species", *level).agg(F.sum("fitted").alias("f"), F.sum("total").alias("t")).collect():
@@ -41,7 +41,7 @@ def test_count_model_recovers_effects(world):
 
 def test_model_index_follows_the_years(world):
     df, site, year, day = world
-    fit = model.fit_count_model(df, rounds=10)
+    fit = model.fit_count_model(df)
     idx = {(r.strat, r.yr): r.value for r in model.model_index(
         fit, df.select("species", "strat", "site").distinct()).filter("species = 's'").collect()}
     for s in (0, 1):
@@ -53,7 +53,7 @@ def test_model_index_follows_the_years(world):
 
 def test_dispersion_is_large_for_poisson_counts(world):
     df = world[0]
-    d = model.dispersion(model.fit_count_model(df, rounds=6)["cells"]).filter("species = 's'").first()
+    d = model.dispersion(model.fit_count_model(df)["cells"]).filter("species = 's'").first()
     assert d.phi is None or d.phi > 50
     assert d.deviance > 0
 
@@ -159,7 +159,7 @@ def test_season_groups_have_their_own_days(spark):
     data = [("s", g, g, 10 * g + j, y, d + 1, int(r.poisson(30 * day[g][d])))
             for g in (1, 2) for j in range(5) for y in (1, 2, 3) for d in range(3)]
     df = spark.createDataFrame(data, "species string, strat int, seas_strat int, site int, yr int, date int, count int")
-    fit = model.fit_count_model(df, rounds=6)
+    fit = model.fit_count_model(df)
     for g in (1, 2):
         est = [r.day_effect for r in fit["day"].filter(F.col("seas_strat") == g).orderBy("date").collect()]
         assert np.allclose(np.array(est) / est[1], day[g] / day[g][1], rtol=0.15)

@@ -47,8 +47,9 @@ def test_near_sites_folds_equal_places(spark):
     sites = spark.createDataFrame(a, "locality_id long, x double, y double")
     got = rows(spatial.near_sites(sites).select("locality_id", "n_near", "near_ids"))
     assert got == [(1, 3, "1-2-3"), (2, 3, "1-2-3"), (3, 4, "1-2-3-10"), (4, 1, "4"), (10, 2, "3-10")]
-    got = {r.locality_id: (r.n_near, r.near_ids) for r in spatial.near_sites(sites, list_bound=3).collect()}
-    assert got[3] == (4, None) and got[1] == (3, "1-2-3")
+    named = sites.withColumn("name", F.when(F.col("locality_id") != 2, F.concat(F.lit("s"), "locality_id")))
+    got = {r.locality_id: r.near_names for r in spatial.near_sites(named, name="name").collect()}
+    assert got[3] == "s1-NA-s3-s10" and got[4] == "s4"
     assert spatial.near_places(sites).count() == 8
 
 

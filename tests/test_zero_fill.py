@@ -31,14 +31,14 @@ def plain(events, obs, species, drop=True):
 @pytest.mark.parametrize("drop", [True, False])
 @pytest.mark.parametrize("bound", [10, 1])
 def test_matches_definition(tables, drop, bound):
-    got = zero_fill(*tables, drop_conflicts=drop, list_bound=bound)
+    got = zero_fill(*tables, drop_conflicts=drop, chunk=bound)
     assert got.columns == ["checklist_id", "site", "common_name", "observation_count"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain(*tables, drop=drop)
 
 
 def test_chunked_list_gives_the_same_rows(tables):
     events, obs, species = tables
-    a, b = (sorted(map(str, zero_fill(events, obs, species, list_bound=n).collect())) for n in (10, 1))
+    a, b = (sorted(map(str, zero_fill(events, obs, species, chunk=n).collect())) for n in (10, 1))
     assert a == b
 
 
