@@ -160,10 +160,12 @@ def survey_effort(events: DataFrame, region: str = "region", site: str = "locali
         quantile(F.col("__n").cast("double"), 0.95).alias("q95_surveys"))
 
 
-def site_year_means(surveys: DataFrame, site: str = "site_id") -> DataFrame:
-    """log(mean count + 1) per species, site and year."""
+def site_year_means(surveys: DataFrame, site: str = "site_id", weight: str | None = None) -> DataFrame:
+    """log(mean count + 1) per species, site and year; ``weight``: surveys behind a row, if rows are values."""
+    w = F.lit(1) if weight is None else F.col(weight)
+    known = F.sum(F.when(F.col("count").isNotNull(), w))
     return surveys.groupBy("species", site, "year").agg(
-        F.log1p(F.avg("count")).alias("log_mean"))
+        F.log1p(F.try_divide(F.sum(F.col("count") * w), known)).alias("log_mean"))
 
 
 def zero_bird_surveys(events: DataFrame, obs: DataFrame, key: str = "checklist_id",

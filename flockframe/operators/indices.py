@@ -91,12 +91,20 @@ def index_with_observed(index: DataFrame, observed: DataFrame, keys: list[str],
     return out
 
 
-def observed_quartiles(surveys: DataFrame, keys: list[str], value: str = "count") -> DataFrame:
-    """n, mean and quartiles of the counts per key."""
-    q = quantiles(F.col(value).cast("double"), [0.25, 0.75])
+def _weighted(value: str, weight: str | None, probs) -> tuple[Column, Column, Column]:
+    """Number, mean and quantiles of values, each counted ``weight`` times (once without)."""
+    w = F.lit(1) if weight is None else F.col(weight)
+    known = F.sum(F.when(F.col(value).isNotNull(), w))
+    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]), w)
+    return F.sum(w), F.try_divide(F.sum(F.col(value) * w), known), q
+
+
+def observed_quartiles(surveys: DataFrame, keys: list[str], value: str = "count",
+                       weight: str | None = None) -> DataFrame:
+    """n, mean and quartiles of the counts per key; ``weight``: surveys behind a row, if rows are values."""
+    n, mean, q = _weighted(value, weight, [0.25, 0.75])
     return (surveys.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n_counts"), F.avg(value).alias("mean_counts"),
-                 q.alias("__q"))
+            .agg(n.alias("n_counts"), mean.alias("mean_counts"), q.alias("__q"))
             .withColumns({"lqrt_counts": F.col("__q")[0], "uqrt_counts": F.col("__q")[1]})
             .drop("__q"))
 
@@ -165,9 +173,10 @@ def season_curve(season_draws: DataFrame, shift: DataFrame, offsets: DataFrame)
             .withColumns({c: F.col(c) * F.col("adjs") for c in ("mean", "lci", "uci")}))
 
 
-def season_profile(surveys: DataFrame, keys: list[str], value: str = "count") -> DataFrame:
-    """Observed mean, median, 5 % and 95 % quantile by day [and season group]."""
-    q = quantiles(F.col(value).cast("double"), [0.5, 0.05, 0.95])
-    return (surveys.groupBy(*keys).agg(F.avg(value).alias("mean"), q.alias("__q"))
+def season_profile(surveys: DataFrame, keys: list[str], value: str = "count",
+                   weight: str | None = None) -> DataFrame:
+    """Observed mean, median, 5 % and 95 % quantile by day [and season group]; ``weight`` as above."""
+    _, mean, q = _weighted(value, weight, [0.5, 0.05, 0.95])
+    return (surveys.groupBy(*keys).agg(mean.alias("mean"), q.alias("__q"))
             .withColumns({"median": F.col("__q")[0], "lqrt": F.col("__q")[1],
                           "uqrt": F.col("__q")[2]}).drop("__q"))

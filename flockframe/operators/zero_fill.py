@@ -39,6 +39,38 @@ def zero_fill(events: DataFrame, obs: DataFrame, species: DataFrame, *, key: str
     return _unfold(met.withColumn("__seen", here), name, count, number).drop("__chunk", "__salt")
 
 
+def kept_events(events: DataFrame, obs: DataFrame, *, key: str = "checklist_id", name: str = "common_name",
+                count: str = "observation_count") -> DataFrame:
+    """Events without two different counts of one species: those the grid is made of."""
+    return events.join(_pairs(obs, key, name, count, True).filter("__conflict").select(key).distinct(), key, "left_anti")
+
+
+def reported(events: DataFrame, obs: DataFrame, species: DataFrame, *, key: str = "checklist_id",
+             name: str = "common_name", count: str = "observation_count") -> DataFrame:
+    """The grid's rows of reported listed species, without its zeros: events, name, count."""
+    kept = kept_events(events, obs, key=key, name=name, count=count)
+    pairs = _pairs(obs, key, name, count, True).select(key, name, F.col("__n").alias(count))
+    return kept.join(pairs, key).join(species.select(name).distinct(), name, "left_semi")
+
+
+def grid_values(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[str], *,
+                key: str = "checklist_id", name: str = "common_name", count: str = "observation_count") -> DataFrame:
+    """The grid as frequencies: by, name, count, n = its rows with that count.
+
+    Zeros are one row per group and species, found as the group's events less those that
+    report the species; the grid itself is never built.
+    """
+    seen = (reported(events.select(key, *by), obs, species, key=key, name=name, count=count)
+            .groupBy(*by, name, count).agg(F.count(F.lit(1)).alias("n")))
+    sizes = (kept_events(events.select(key, *by), obs, key=key, name=name, count=count)
+             .groupBy(*by).agg(F.count(F.lit(1)).alias("__all")).withColumn("__group", F.struct(*by)))
+    number = seen.groupBy(F.struct(*by).alias("__group"), name).agg(F.sum("n").alias("__seen_n"))
+    zeros = zero_fill(sizes, number, species, key="__group", name=name, count="__seen_n", drop_conflicts=False,
+                      number="bigint").select(
+        *by, name, F.lit(0).cast(seen.schema[count].dataType).alias(count), (F.col("__all") - F.col("__seen_n")).alias("n"))
+    return seen.unionByName(zeros.filter("n > 0"))
+
+
 def grid_parts(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[str], *,
                key: str = "checklist_id", name: str = "common_name", count: str = "observation_count"
                ) -> tuple[DataFrame, DataFrame]:
@@ -48,14 +80,10 @@ def grid_parts(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[s
     of the group. A mean over the grid is sum(total) / sum(n), so the zeros need no
     rows. Conflicting checklists are left out of both.
     """
-    pairs = _pairs(obs, key, name, count, True)
-    bad = pairs.filter("__conflict").select(key).distinct()
-    kept = events.select(key, *by).join(bad, key, "left_anti")
-    listed = species.select(F.col(name)).distinct()
-    totals = (pairs.join(kept, key).groupBy(*by, name)
-              .agg(F.sum("__n").alias("total"))
-              .join(listed, name, "left_semi"))
-    return totals.select(*by, name, "total"), kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    own = events.select(key, *by)
+    totals = (reported(own, obs, species, key=key, name=name, count=count)
+              .groupBy(*by, name).agg(F.sum(count).alias("total")))
+    return totals, kept_events(own, obs, key=key, name=name, count=count).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def grid_sums(events: DataFrame, obs: DataFrame, species: DataFrame, by: list[str], *,

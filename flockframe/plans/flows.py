@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import clean, coverage, model, spatial, trends
 from ..operators.indices import annual_index, stage_labels
-from ..operators.zero_fill import zero_fill
+from ..operators.zero_fill import kept_events, reported, zero_fill
 from ..session import checkpoint
 
 
@@ -56,6 +56,42 @@ def model_tables(surveys: DataFrame, *, first_year: int, last_year: int, min_spa
     return coverage.index_encode(kept)
 
 
+def encoded_grid(events: DataFrame, obs: DataFrame, species: DataFrame, *, first_year: int, last_year: int,
+                 min_span: int = 10, stratum_share: float = 0.67) -> DataFrame:
+    """``model_tables`` from events (checklist_id, site_id, hex_name, year, doy) and clean observations.
+
+    Coverage and codes come from the reported pairs. Each site then has one short list of the species
+    that are covered there, with their codes; events meet the list of their site and unfold only that,
+    so rows of the full grid that coverage drops are never made and nothing large is written.
+    """
+    key, place = "checklist_id", ["site_id", "hex_name"]
+    seen = checkpoint(reported(events, obs, species).withColumnRenamed("common_name", "species")
+                      .filter("observation_count > 0").groupBy("species", *place, "year")
+                      .agg(F.count(F.lit(1)).alias("n")))
+    columns = {"count": "n", "weight": "n"}
+    sites = coverage.site_coverage(seen, min_span, **columns).select("species", "site_id")
+    rows = checkpoint(coverage.keep_covered(seen, sites, ["species", "site_id"]))
+    strata = coverage.stratum_coverage(rows, first_year, last_year, stratum_share, **columns)
+    kept = kept_events(events, obs)
+    # first and last year and day of all surveys at a place, reported or not
+    spans = kept.groupBy(*place).agg(F.min("year").alias("year"), F.max("year").alias("__last"), F.min("doy").alias("doy"))
+    placed = sites.join(spans, "site_id").join(strata.select("species", "hex_name"), ["species", "hex_name"], "left_semi")
+    both = F.array(F.struct(F.col("year"), F.col("doy")), F.struct(F.col("__last").alias("year"), F.col("doy")))
+    codes = coverage.code_table(placed.select("species", *place, F.explode(both).alias("b")).select("species", *place, "b.*"))
+    lists = codes.groupBy(*place).agg(F.collect_list(F.struct(
+        "species", "site", "strat", "__year0", "__day0", "__mid")).alias("__covered"))
+    counts = (reported(events.select(key), obs, species).groupBy(key)
+              .agg(F.map_from_entries(F.collect_list(F.struct("common_name", "observation_count"))).alias("__counts")))
+    met = (kept.join(lists, place).join(counts, key, "left")
+           .withColumn("__c", F.explode("__covered")).select("*", "__c.*").drop("__c", "__covered"))
+    there = F.coalesce(F.map_contains_key("__counts", F.col("species")), F.lit(False))
+    return (met.withColumn("count", F.when(there, F.element_at("__counts", F.col("species"))).otherwise(0))
+            .withColumn("yr", (F.col("year") - F.col("__year0")).cast("int"))
+            .withColumn("yr_centred", (F.col("yr") - F.col("__mid")).cast("int"))
+            .withColumn("date", (F.col("doy") - F.col("__day0")).cast("int"))
+            .drop("__year0", "__day0", "__mid", "__counts"))
+
+
 def bootstrap_draws(encoded: DataFrame, *, first_year: int, replicates: int = 100, knots: int | None = None,
                     seed: int = 0) -> DataFrame:
     """Full and smooth stratum draws ready for the trend operators.

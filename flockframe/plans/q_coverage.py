@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import coverage
+from ..operators import coverage, zero_fill
 from . import flows, testdata as T
 from .registry import query, r6
 from .testdata import sql
@@ -17,13 +17,13 @@ _SPAN = """(SELECT species, {k}, count(*) AS nyears, max(year) - min(year) AS sp
 @query(sql("zf", f"""SELECT species, site_id, nyears, CAST(span_years AS INTEGER) AS span_years, fyear, lyear,
     CAST(nobs AS BIGINT) AS nobs FROM {_SPAN.format(k='site_id', t='zf')} WHERE span_years >= 4 AND nyears >= 2"""))
 def site_coverage(spark, sf):
-    return coverage.site_coverage(T.surveys(spark, sf), min_span=4)
+    return coverage.site_coverage(T.reported(spark, sf), min_span=4)
 
 
 @query(sql("zfh", f"""SELECT species, hex_name, nyears, CAST(span_years AS INTEGER) AS span_years, fyear, lyear,
     CAST(nobs AS BIGINT) AS nobs FROM {_SPAN.format(k='hex_name', t='zfh')} WHERE span_years >= 0.67e0 * 7"""))
 def stratum_coverage(spark, sf):
-    return coverage.stratum_coverage(T.surveys_hex(spark, sf), T.FIRST_YEAR, T.LAST_YEAR)
+    return coverage.stratum_coverage(T.reported_hex(spark, sf), T.FIRST_YEAR, T.LAST_YEAR)
 
 
 _CAT = """SELECT species, hex_name, region FROM (
@@ -33,7 +33,7 @@ _CAT = """SELECT species, hex_name, region FROM (
 
 
 def _present(spark, sf):
-    return T.surveys_hex(spark, sf, ("region",)).filter("count > 0")
+    return T.reported_hex(spark, sf, ("region",)).filter("count > 0")
 
 
 @query(sql("zfh site_regions", _CAT.format(o="")))
@@ -68,8 +68,8 @@ def dense_codes_spread(spark, sf):
 
 
 def _covered(spark, sf):
-    return flows.model_tables(T.surveys_hex(spark, sf), first_year=T.FIRST_YEAR,
-                              last_year=T.LAST_YEAR, min_span=4)
+    return flows.encoded_grid(T.hex_events(spark, sf), T.counts(spark, sf), T.species(spark, sf),
+                              first_year=T.FIRST_YEAR, last_year=T.LAST_YEAR, min_span=4)
 
 
 _KEPT = f"""k1 AS (SELECT zfh.* FROM zfh JOIN {_SPAN.format(k='site_id', t='zfh')} s
@@ -118,7 +118,11 @@ def sites_by_stratum(spark, sf):
     FROM (SELECT DISTINCT species, region FROM zf JOIN site_regions ON site_id = locality_id) z
     JOIN splist ON splist.species = z.species"""))
 def season_strata(spark, sf):
-    strata = T.surveys(spark, sf, ("region",)).select("species", "region").distinct()
+    # every listed species meets every region of a kept event: the grid over regions, not over events
+    regions = zero_fill.kept_events(T.events_geo(spark, sf), T.counts(spark, sf)).select("region").distinct()
+    none = spark.createDataFrame([], "region string, common_name string, observation_count int")
+    strata = zero_fill.zero_fill(regions, none, T.species(spark, sf), key="region").select(
+        F.col("common_name").alias("species"), "region")
     return coverage.season_strata(strata, T.species_list(spark, sf))
 
 
@@ -133,7 +137,7 @@ def survey_effort(spark, sf):
 @query(sql("zf", """SELECT species, site_id, year, round(ln(avg(count) + 1), 6) AS log_mean
     FROM zf GROUP BY 1, 2, 3"""))
 def site_year_means(spark, sf):
-    return coverage.site_year_means(T.surveys(spark, sf)).select(
+    return coverage.site_year_means(T.survey_values(spark, sf, ["site_id", "year"]), weight="n").select(
         "species", "site_id", "year", r6("log_mean"))
 
 

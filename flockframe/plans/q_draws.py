@@ -297,7 +297,7 @@ def observed_summary_by_stratum(spark, sf):
       round(quantile_cont(CAST(count AS DOUBLE), 0.25), 6) AS lqrt_counts,
       round(quantile_cont(CAST(count AS DOUBLE), 0.75), 6) AS uqrt_counts FROM zf GROUP BY 1, 2"""))
 def observed_quartiles(spark, sf):
-    out = indices.observed_quartiles(T.surveys(spark, sf), ["species", "year"])
+    out = indices.observed_quartiles(T.survey_values(spark, sf, ["year"]), ["species", "year"], weight="n")
     return rounded(out, "mean_counts", "lqrt_counts", "uqrt_counts")
 
 
@@ -370,5 +370,5 @@ def season_curve(spark, sf):
       round(quantile_cont(CAST(count AS DOUBLE), 0.05), 6) AS lqrt,
       round(quantile_cont(CAST(count AS DOUBLE), 0.95), 6) AS uqrt FROM zf GROUP BY 1, 2"""))
 def season_profile(spark, sf):
-    out = indices.season_profile(T.surveys(spark, sf), ["species", "doy"])
+    out = indices.season_profile(T.survey_values(spark, sf, ["doy"]), ["species", "doy"], weight="n")
     return rounded(out, "mean", "median", "lqrt", "uqrt")

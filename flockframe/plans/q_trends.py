@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import spatial, trends
+from ..operators import spatial, trends, zero_fill
 from . import testdata as T
 from .q_draws import _with
 from .registry import query, r6, rounded
@@ -229,7 +229,8 @@ def share_index_tables(spark, sf):
 @query(sql("zf site_xy", """SELECT site_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
     count(DISTINCT year) AS n_years FROM zf JOIN site_xy ON site_id = locality_id GROUP BY ALL"""))
 def site_years(spark, sf):
-    rows = T.surveys(spark, sf).select("site_id", "year").distinct().join(
+    kept = zero_fill.kept_events(T.events(spark, sf), T.counts(spark, sf))
+    rows = kept.select(F.col("locality_id").alias("site_id"), "year").distinct().join(
         T.sites(spark, sf).withColumnRenamed("locality_id", "site_id"), "site_id")
     return rounded(trends.site_years(rows, ["site_id", "latitude", "longitude"]), "latitude", "longitude")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import clean, spatial
+from ..operators import zero_fill as zf
 from ..operators.zero_fill import zero_fill
 
 HEX_WIDTH = 300_000.0
@@ -110,6 +111,36 @@ def surveys(spark, sf, extra: tuple[str, ...] = ()):
     return grid.withColumnsRenamed({"common_name": "species", "observation_count": "count"})
 
 
+def _named(rows):
+    return rows.withColumnsRenamed({"common_name": "species", "observation_count": "count"})
+
+
+def reported(spark, sf, extra: tuple[str, ...] = ()):
+    """The grid's reported rows: checklist_id, site_id, year, doy [, extra], species, count."""
+    base = events_geo(spark, sf) if extra else events(spark, sf)
+    ev = base.select("checklist_id", F.col("locality_id").alias("site_id"), "year", "doy", *extra)
+    return _named(zf.reported(ev, counts(spark, sf), species(spark, sf)))
+
+
+def reported_hex(spark, sf, extra: tuple[str, ...] = ()):
+    """The same with the cell of the site."""
+    cells = site_cells(spark, sf).select(F.col("locality_id").alias("site_id"), "hex_name")
+    return reported(spark, sf, extra).join(cells, "site_id")
+
+
+def survey_values(spark, sf, by: list[str]):
+    """The grid as frequencies: by, species, count, n."""
+    ev = events(spark, sf).withColumn("site_id", F.col("locality_id"))
+    return _named(zf.grid_values(ev, counts(spark, sf), species(spark, sf), by))
+
+
+def hex_events(spark, sf):
+    """Events that the grid by cell is made of, not unfolded."""
+    cells = site_cells(spark, sf).select("locality_id", "hex_name")
+    return events(spark, sf).join(cells, "locality_id").select(
+        "checklist_id", F.col("locality_id").alias("site_id"), "hex_name", "year", "doy")
+
+
 def site_cells(spark, sf):
     return spatial.hex_assign(spatial.project_laea(sites(spark, sf)), HEX_WIDTH)
 

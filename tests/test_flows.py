@@ -89,3 +89,12 @@ def test_bootstrap_draws_flow_into_all_tables(spark, sf):
     assert {(r.parameter, r.region_type) for r in out["differences"].collect()} == {("Difference in trends", "survey-wide")}
     index = out["indices"].groupBy("species", "variable", "year").count()
     assert index.filter("count > 1").isEmpty() and index.count() == 2 * 2 * 7
+
+
+def test_encoded_grid_is_the_unfolded_one_without_unfolding(spark, sf):
+    names = ["checklist_id", "species", "site_id", "hex_name", "year", "doy", "count", "site", "strat", "yr", "yr_centred", "date"]
+    years = {"first_year": T.FIRST_YEAR, "last_year": T.LAST_YEAR, "min_span": 2, "stratum_share": 0.3}
+    got = flows.encoded_grid(T.hex_events(spark, sf), T.counts(spark, sf), T.species(spark, sf), **years).select(names)
+    want = flows.model_tables(T.surveys_hex(spark, sf), **years).select(names)
+    a, b = (sorted(map(tuple, (tuple(map(str, r)) for r in df.collect()))) for df in (got, want))
+    assert a == b and a
