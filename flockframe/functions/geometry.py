@@ -108,10 +108,6 @@ def hex_ring(q: Column, r: Column, width: float) -> Column:
     return F.transform(corners, lambda o: F.struct((cx + o["x"]).alias("x"), (cy + o["y"]).alias("y")))
 
 
-def rectangle(xmin: float, ymin: float, xmax: float, ymax: float) -> list[tuple[float, float]]:
-    return [(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax)]
-
-
 RING_TYPE = "array<struct<x:double,y:double>>"
 
 

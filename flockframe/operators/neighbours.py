@@ -28,17 +28,21 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("species").agg(F.count(F.lit(1)).alias("n_edges")).join(nodes, "species")
 
 
-def contiguity(nodes: DataFrame, digits: int = 0) -> DataFrame:
+def contiguity(nodes: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     """Cells that share a whole edge (corner contact is not enough).
 
-    Edges are direction-free keys of rounded corner coordinates; in a grid an
-    edge has at most two owners, so the join gives one row per real neighbour.
+    Edges are direction-free keys of corner coordinates, rounded to ``tolerance`` of the mean
+    edge length of all cells; in a grid an edge has at most two owners, so the join gives
+    one row per real neighbour.
     """
+    edges = nodes.select("species", "id", F.explode(G.ring_edges(F.col("ring"))).alias("e"))
+    side = F.avg(F.hypot(F.col("e.a.x") - F.col("e.b.x"), F.col("e.a.y") - F.col("e.b.y")))
+    unit = (edges.agg(side.alias("s")).first()["s"] or 1.0) * tolerance
+
     def corner(p):
-        return F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y"))
+        return F.struct(F.round(p["x"] / unit).alias("x"), F.round(p["y"] / unit).alias("y"))
 
-    sides = (nodes.select("species", "id", F.explode(G.ring_edges(F.col("ring"))).alias("e"))
-             .select("species", "id", corner(F.col("e.a")).alias("a"), corner(F.col("e.b")).alias("b"))
+    sides = (edges.select("species", "id", corner(F.col("e.a")).alias("a"), corner(F.col("e.b")).alias("b"))
              .select("species", "id", F.struct(F.least("a", "b").alias("a"),
                                                F.greatest("a", "b").alias("b")).alias("side")))
     other = sides.select("species", F.col("id").alias("node2"), "side")

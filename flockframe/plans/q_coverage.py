@@ -154,3 +154,14 @@ def group_sample_sizes(spark, sf):
     ev = T.events_geo(spark, sf).select("checklist_id", "region", "year")
     return coverage.group_sample(ev, ["region", "year"], ["checklist_id"], 0.1).groupBy(
         "region", "year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_kept_sql("""SELECT species, strat, site,
+      CAST(dense_rank() OVER (PARTITION BY species, strat ORDER BY site) AS INTEGER) AS slot
+    FROM (SELECT DISTINCT species, strat, site FROM enc)"""))
+def unrolled_site_lists(spark, sf):
+    """Zero-padded lists, as a model takes them, and back to one row per site."""
+    sites = coverage.sites_by_stratum(_covered(spark, sf))
+    lists = sites.groupBy("species", "strat").agg(F.sort_array(F.collect_list(F.struct("slot", "site"))).alias("l"))
+    padded = lists.select("species", "strat", F.concat(F.col("l.site"), F.array(F.lit(0), F.lit(0))).alias("sites"))
+    return coverage.unroll_sites(padded).select("species", "strat", "site", "slot")

@@ -372,3 +372,12 @@ def season_curve(spark, sf):
 def season_profile(spark, sf):
     out = indices.season_profile(T.survey_values(spark, sf, ["doy"]), ["species", "doy"], weight="n")
     return rounded(out, "mean", "median", "lqrt", "uqrt")
+
+
+@query(sql("vec", """SELECT CAST(pos + 1 AS INTEGER) AS s, round(quantile_cont(e, 0.025), 6) AS "PI2_5",
+      round(quantile_cont(e, 0.975), 6) AS "PI97_5", round(avg(e), 6) AS mean FROM vec WHERE pos < 16 GROUP BY 1"""))
+def quantile_columns(spark, sf):
+    """Columns named by percentage come out under plain names."""
+    d = draws.summarise(draws.draws_long(_wide(spark, sf), ["draw"], "alpha", ["s"]), ["s"])
+    percent = d.select("s", F.col("lci").alias("2.5%"), F.col("uci").alias("97.5%"), "mean")
+    return rounded(percent.toDF(*[C.rename_quantile(c) for c in percent.columns]), "PI2_5", "PI97_5", "mean")

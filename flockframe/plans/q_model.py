@@ -226,3 +226,10 @@ def smooth_index(spark, sf):
      WHERE s = touch.species) AS n_linked FROM touch GROUP BY 1"""))
 def edge_counts(spark, sf):
     return neighbours.edge_counts(neighbours.contiguity(_nodes(spark, sf)))
+
+
+@query(sql("p_Y p_effect p_scalar", f"""SELECT species, draw, yr, round(exp(base + eff + seas + 0.5e0 * sdnoise ** 2), 6) AS "N",
+      round(exp(base + seas + 0.5e0 * sdnoise ** 2), 6) AS "NSmooth" {_SURVEY}"""))
+def survey_index_simple(spark, sf):
+    p = T.param_draws(spark, sf)
+    return rounded(model.survey_index_from_params(p["Y_pred"], p["year_effect"], _scalars(p), simple=True), "N", "NSmooth")

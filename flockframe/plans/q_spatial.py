@@ -115,6 +115,15 @@ def near_sites_great_circle(spark, sf):
     return out.select("locality_id", "n_near", "near_ids")
 
 
+@query(_with("sites", _EQ, """SELECT a.locality_id, count(*) AS n_near,
+      string_agg('site ' || CAST(b.locality_id AS VARCHAR), '-' ORDER BY b.locality_id) AS near_names
+    FROM eq a JOIN eq b ON abs(a.x - b.x) < 150000 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 150000
+    GROUP BY 1"""))
+def near_site_names(spark, sf):
+    named = _plane(spark, sf).withColumn("locality", F.concat(F.lit("site "), "locality_id"))
+    return spatial.near_sites(named, 150_000.0, name="locality").select("locality_id", "n_near", "near_names")
+
+
 _REGIONS_SQL = "regs(poly_id, x0, y0, x1, y1) AS (VALUES " + ", ".join(
     f"('{n}', {a}, {b}, {c}, {d})" for n, (a, b, c, d) in T.REGIONS.items()) + ")"
 

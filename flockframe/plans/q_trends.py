@@ -306,3 +306,16 @@ def trend_difference_by_variable(spark, sf):
     pairs = trends.standard_comparisons(T.draw_generations(spark, sf), 1980, 2024)
     out = trends.labelled(trends.trend_difference(_two(T.survey_draws(spark, sf)), pairs), "Difference in trends")
     return rounded(out, "trend_dif", "lci", "uci", "prob_neg")
+
+
+@query(_with("dst periods", """
+    ends AS (SELECT p.species, trend_type, region, draw, end_year - start_year AS n,
+        sum(CASE WHEN year = end_year THEN value END) / sum(CASE WHEN year = start_year THEN value END) AS r
+      FROM dst d JOIN periods p ON p.species = d.species GROUP BY ALL),
+    tr AS (SELECT species, trend_type, region, round(avg((r ** (1e0 / n) - 1) * 100), 6) AS trend FROM ends GROUP BY ALL)""",
+             f"SELECT species, trend_type, region, trend, {_bins(C.TREND_BREAKS_FINE)} AS trend_class FROM tr"))
+def trend_classes_fine(spark, sf):
+    """The finer legend, over regional trends."""
+    out = trends.trend_endpoint(T.stratum_draws(spark, sf), _periods(spark, sf), region="region")
+    tr = rounded(out.filter("region <> 'Composite'"), "trend").select("species", "trend_type", "region", "trend")
+    return tr.withColumn("trend_class", C.trend_bin(F.col("trend"), C.TREND_BREAKS_FINE))

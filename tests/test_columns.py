@@ -125,3 +125,13 @@ def test_normal_quantile(spark, p):
 
     assert one(spark, C.normal_quantile(F.lit(p))) == pytest.approx(NormalDist().inv_cdf(p), rel=1e-12, abs=1e-14)
     assert one(spark, C.normal_quantile(F.lit(0.0))) is None
+
+
+@pytest.mark.parametrize("text, value", [("5d", None), ("5f", None), (" 7 ", 7), ("3.9", 3), ("1e2", 100), ("X", None), (".5", 0), ("-2", -2)])
+def test_only_plain_numbers_count(spark, text, value):
+    assert one(spark, C.tolerant_int(F.lit(text))) == value
+
+
+@pytest.mark.parametrize("text", ["25:61:99", "08:75:00", "08:00:99"])
+def test_impossible_clock_times(spark, text):
+    assert one(spark, C.decimal_hours(F.lit(text))) is None

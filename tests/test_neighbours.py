@@ -152,3 +152,13 @@ def test_car_edges_and_segments(spark):
     assert rows(N.edge_counts(edges)) == [("a", 2, 3)]
     seg = rows(N.neighbour_segments(nodes, edges).select("from", "to", "x_from", "x_to"))
     assert seg == [(1, 2, 0, 1), (2, 1, 1, 0), (2, 3, 1, 2), (3, 2, 2, 1)]
+
+
+def test_contiguity_holds_for_small_units(spark):
+    """Overlapping squares of 0.4 degrees, 0.05 apart, share no edge; those side by side do."""
+    def square(i, x):
+        return ("s", i, [(x, 0.0), (x + 0.4, 0.0), (x + 0.4, 0.4), (x, 0.4)])
+    nodes = spark.createDataFrame([square(1, 0.0), square(2, 0.05), square(3, 0.4)],
+                                  "species string, id long, ring array<struct<x:double,y:double>>")
+    from flockframe.operators import neighbours as N
+    assert sorted(map(tuple, N.contiguity(nodes).collect())) == [("s", 1, 3)]
