@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import checkpoint
 from . import text as X
 
 WINDOW = 10
@@ -115,13 +114,16 @@ class _Items:
         return self.broadcast.value
 
 
-_FOUND = "uid long, doc_id long, n_words long, hits array<long>, items array<string>"
-_FOUND_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
+_FOUND = "doc_id long, n_words long, hits array<long>, items array<string>"
+_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
                           ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
-def _scan(items):
-    """Words hit in each text (first and end word of each run, end to end) and the items found."""
+def _scan(items, last: bool):
+    """Words hit in each text (first and end word of each run, end to end) and the items found, after those found before.
+
+    The text goes along to the next pack of items.
+    """
     def run(batches):
         matcher = _matcher(items)
         for rows, data, offsets in X.chunks(batches):
@@ -135,15 +137,14 @@ def _scan(items):
                 hit[at + length] -= 1
                 names.setdefault(int(np.searchsorted(first, at, "right")) - 1, set()).update(found)
             covered = np.cumsum(hit) > 0
-            runs = []
-            for k in range(len(rows)):
-                own = np.zeros(0, np.int64)
-                if k in names:
-                    own = np.flatnonzero(np.diff(np.concatenate(([0], covered[first[k]:first[k + 1]].view(np.int8), [0]))))
-                runs.append(own)
-            yield X.out(_FOUND_ARROW, uid=rows.column("uid"), doc_id=rows.column("doc_id").cast(pa.int64()),
-                        n_words=np.diff(first), hits=pa.array(runs, pa.list_(pa.int64())),
-                        items=[sorted(x for x in names.get(k, ()) if x is not None) for k in range(len(rows))])
+            runs, found = rows.column("hits").to_pylist(), rows.column("items").to_pylist()
+            for k, own in names.items():
+                inside = np.concatenate(([0], covered[first[k]:first[k + 1]].view(np.int8), [0]))
+                runs[k] = [*runs[k], *np.flatnonzero(np.diff(inside)).tolist()]
+                found[k] = [*found[k], *sorted(x for x in own if x is not None)]
+            out = X.out(_FOUND_ARROW, doc_id=rows.column("doc_id"), n_words=np.diff(first),
+                        hits=pa.array(runs, pa.list_(pa.int64())), items=pa.array(found, pa.list_(pa.string())))
+            yield out if last else out.append_column("text", rows.column("text"))
     return run
 
 
@@ -167,33 +168,32 @@ def _digest(batches):
                     items_sha256=sha, contaminated=[n > 0 for n in n_hit])
 
 
-def _packs(benchmark: DataFrame, pack_bytes: int):
+def _packs(benchmark: DataFrame, pack_bytes: int) -> list:
     """The different items, in broadcast lists of about ``pack_bytes`` of text; at least one list."""
     sc = benchmark.sparkSession.sparkContext
     items = X.documents(benchmark, F.col("item_id").cast("string").alias("item_id")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packs = max(1, -(-size // pack_bytes))
+    packs, out = max(1, -(-size // pack_bytes)), []
     for k in range(packs):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(packs)) == k)
         sent = sc.broadcast(sorted((tuple(r) for r in mine.collect()), key=str))
-        yield _Items(sent, sent._jbroadcast.id())
+        out.append(_Items(sent, sent._jbroadcast.id()))
+    return out
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
-    """(uid, doc_id, n_words, hits, items): runs of words hit by benchmark windows, and the items found.
+    """(doc_id, n_words, hits, items): runs of words hit by benchmark windows, and the items found.
 
     ``hits`` holds first and end word of each run, end to end. The items go to the workers in packs of about
-    ``pack_bytes`` of text (one longer item makes a longer pack), one pass over the documents each.
+    ``pack_bytes`` of text (one longer item makes a longer pack); a text passes one after the other, without an exchange.
     """
-    rows = X.documents(docs, F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"))
-    found, packs = None, 0
-    for items in _packs(benchmark, pack_bytes):
-        each = rows.mapInArrow(_scan(items), _FOUND)
-        found, packs = each if found is None else found.union(each), packs + 1
-    if packs > 1:
-        found = checkpoint(found).groupBy("uid").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    packs = _packs(benchmark, pack_bytes)
+    found = X.documents(docs, F.col("doc_id").cast("long").alias("doc_id")).select(
+        "*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"),
+        F.array().cast("array<string>").alias("items"))
+    for k, items in enumerate(packs):
+        last = k == len(packs) - 1
+        found = found.mapInArrow(_scan(items, last), _FOUND if last else _FOUND + ", text string")
     return found
 
 
