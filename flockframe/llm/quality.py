@@ -28,9 +28,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Settings:
-    """Bounds of the labelled sample (rows, MB of features on the driver) and of the training."""
+    """Bound of the labelled sample and settings of the training."""
     rows: int = 5000
-    megabytes: int = 96
     dimensions: int = 16
     epochs: int = 8
     rate: float = 0.5
@@ -82,17 +81,20 @@ def _bags(batches):
                               names=["place", "label", "buckets", "counts"])
 
 
-def train(bags: list[tuple[int, np.ndarray, np.ndarray]], settings: Settings) -> tuple[np.ndarray, float]:
-    """Log-odds of label 1 by bucket, and their bias, from (label, buckets, counts) of each document."""
+def train(bags, n: int, settings: Settings) -> tuple[np.ndarray, float]:
+    """Log-odds of label 1 by bucket, and their bias.
+
+    ``bags(k)`` gives (label, buckets, counts) of each of ``n`` documents for pass k, in an order of its own; only one
+    is held at a time.
+    """
     rng = np.random.default_rng(settings.seed)
     d = settings.dimensions
     vectors = rng.uniform(-1 / d, 1 / d, (BUCKETS, d)).astype(np.float32)
     layer, bias = np.zeros((2, d), np.float32), np.zeros(2, np.float32)
-    bags = [(y, b, (c / max(1, c.sum())).astype(np.float32)) for y, b, c in bags]
-    steps, step = max(1, settings.epochs * len(bags)), 0
-    for _ in range(settings.epochs):
-        for k in rng.permutation(len(bags)):
-            label, buckets, share = bags[k]
+    steps, step = max(1, settings.epochs * n), 0
+    for k in range(settings.epochs):
+        for label, buckets, counts in bags(k):
+            share = (counts / max(1, counts.sum())).astype(np.float32)
             rate, step = settings.rate * (1 - step / steps), step + 1
             own = vectors[buckets]
             mean = share @ own
@@ -138,8 +140,8 @@ def learning_rows(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()):
     """Broadcast (log-odds by bucket, bias), trained on a bounded sample of the labelled documents.
 
-    The model has a fixed size (1.5 MB). Rows are taken by a hash of the id, about ``rows`` of them, and on the driver until
-    their features have ``megabytes``; without any, the odds are even.
+    The model has a fixed size (1.5 MB). Rows are taken by a hash of the id, about ``rows`` of them. Each pass of the
+    training streams their features from the table they are written to; without any, the odds are even.
     """
     known = (labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id")
              .agg((F.avg("quality") > 0.5).cast("int").alias("label")).filter(learning_rows("doc_id"))
@@ -149,13 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()):
     taken = checkpoint(known.filter(F.col("place") < int(share * 2 ** 64) - 2 ** 63 if share < 1 else F.lit(True)))
     sample = X.documents(docs.join(taken, "doc_id"), "place", "label").mapInArrow(
         _bags, "place long, label int, buckets binary, counts binary")
-    bags, size = [], 0
-    for row in checkpoint(sample).orderBy("place").toLocalIterator():
-        size += len(row["buckets"]) + len(row["counts"])
-        if size > settings.megabytes << 20:
-            break
-        bags.append((row["label"], np.frombuffer(row["buckets"], np.int32), np.frombuffer(row["counts"], np.int32)))
-    return docs.sparkSession.sparkContext.broadcast(train(bags, settings))
+    sample = checkpoint(sample)
+
+    def bags(k):
+        for row in sample.orderBy(F.xxhash64("place", F.lit(k))).toLocalIterator():
+            yield row["label"], np.frombuffer(row["buckets"], np.int32), np.frombuffer(row["counts"], np.int32)
+
+    return docs.sparkSession.sparkContext.broadcast(train(bags, sample.count(), settings))
 
 
 def quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:

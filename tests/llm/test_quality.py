@@ -33,7 +33,7 @@ def test_without_labels_or_documents(spark, odd, none):
 def test_linear_scores_are_those_of_the_mean_vector():
     rng = np.random.default_rng(0)
     bags = [(k % 2, rng.integers(0, 50, 8) + 50 * (k % 2), np.ones(8, np.int32)) for k in range(40)]
-    odds, bias = Q.train(bags, Q.Settings(epochs=20))
+    odds, bias = Q.train(lambda k: bags, len(bags), Q.Settings(epochs=20))
     scores = [odds[b].mean() + bias for _, b, _ in bags]
     assert all((s > 0) == bool(y) for s, (y, _, _) in zip(scores, bags))
 
