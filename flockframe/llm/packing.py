@@ -25,8 +25,8 @@ HASHED, DIMENSIONS, DEPTH = 64, 4, 11
 _TIES = 63 - DIMENSIONS * DEPTH
 #: Tokens in a range of the curve, which one task sorts.
 RANGE_TOKENS = 4_000_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Words whose ids a worker remembers, and words without the marks around them.
+REMEMBERED, REMEMBERED_PARTS = 600_000, 100_000
 
 
 def default_vocabulary() -> str:
@@ -62,7 +62,9 @@ class Encoder:
         """Ids of each text, the end included, as bytes."""
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known, self.parts = {}, {}
+            self.known = {}
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts = {}
         flat = list(chain.from_iterable(words))
         ids = list(map(self.known.get, flat))
         missing = [k for k, i in enumerate(ids) if i is None]
