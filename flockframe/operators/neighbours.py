@@ -99,32 +99,50 @@ def knn_fill(nodes: DataFrame, edges: DataFrame, k: int = 2) -> DataFrame:
 def link_components(nodes: DataFrame, edges: DataFrame, factor: float = 1.2) -> DataFrame:
     """Join separate components by distance until each species has one.
 
-    In each round the component with the least node is linked from its node
+    Again and again the component with the least node is linked from its node
     nearest to the outside, to that outside node and to all outside nodes less
-    than ``factor`` times as far from it. Species take their rounds together.
+    than ``factor`` times as far from it, and takes their components in. The components are labelled
+    once by Spark; the linking itself follows one order, so a task does it for a species of several
+    components. It holds the species' cells, whose number the grid sets and not the surveys.
     """
-    edges = checkpoint(edges.select("species", "node1", "node2"))
-    left, right = _sides(nodes)
-    while True:
-        labels = connected_components(nodes, edges)
-        main = labels.groupBy("species").agg(F.min("label").alias("__main"))
-        marked = labels.join(main, "species").withColumn("in_main", F.col("label") == F.col("__main"))
-        outside = marked.filter(~F.col("in_main")).select("species", F.col("id").alias("id2"))
-        if outside.isEmpty():
-            return edges
-        open_species = outside.select("species").distinct()
-        inside = (marked.filter("in_main").select("species", "id")
-                  .join(open_species, "species", "left_semi"))
-        a = left.join(inside, ["species", "id"])
-        b = right.join(outside, ["species", "id2"])
-        nearest = closest(a, b, ["species"], ["species"])
-        reach = (nearest.join(left, ["species", "id"])
-                 .select("species", "id", "x", "y", F.col("distance").alias("__d")))
-        d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-        links = (b.join(reach, "species")  # one linking node per species
-                 .filter((d <= F.col("__d")) | (d < F.col("__d") * factor))
-                 .select("species", F.col("id").alias("node1"), F.col("id2").alias("node2")))
-        edges = checkpoint(car_edges(edges.unionByName(links)))
+    labels = checkpoint(connected_components(nodes, edges))
+    several = (labels.groupBy("species").agg(F.min("label").alias("__a"), F.max("label").alias("__b"))
+               .filter(F.col("__a") != F.col("__b")).select("species"))
+    cells = (nodes.select("species", "id", "x", "y").join(labels, ["species", "id"])
+             .join(several, "species", "left_semi"))
+    kind = nodes.schema["id"].dataType
+    schema = nodes.select("species").schema.add("node1", kind).add("node2", kind)
+
+    def link(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("id")
+        ids, x, y, label = (pdf[c].to_numpy() for c in ("id", "x", "y", "label"))
+        outside = np.ones(len(ids), bool)
+        # nearest inside node of each outside one; equal to the millimetre counts as equal, then the lesser id
+        near, length = np.zeros(len(ids), int), np.full(len(ids), np.inf)
+        joining, found = np.flatnonzero(label == label.min()), []
+        while True:
+            outside[joining] = False
+            for i in joining:
+                d = np.hypot(x - x[i], y - y[i])
+                gap = np.round(d, 3) - np.round(length, 3)
+                closer = (gap < 0) | ((gap == 0) & (i < near))
+                near, length = np.where(closer, i, near), np.where(closer, d, length)
+            rest = np.flatnonzero(outside)
+            if not len(rest):
+                break
+            j = rest[np.lexsort((rest, near[rest], np.round(length[rest], 3)))[0]]
+            i, reach = near[j], length[j]
+            d = np.hypot(x[rest] - x[i], y[rest] - y[i])
+            met = rest[(d <= reach) | (d < reach * factor)]
+            found += [(ids[i], ids[k]) for k in met]
+            joining = np.flatnonzero(outside & np.isin(label, label[met]))
+        return pd.DataFrame({"species": pdf["species"].iloc[0], "node1": [a for a, _ in found], "node2": [b for _, b in found]})
+
+    links = cells.groupBy("species").applyInPandas(link, schema)
+    return car_edges(edges.select("species", "node1", "node2").unionByName(links))
 
 
 def connecting_radius(nodes: DataFrame, start: float = 10_000.0, growth: float = 1.1) -> DataFrame:
