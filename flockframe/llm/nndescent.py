@@ -3,7 +3,8 @@
 Each vector keeps a list of its nearest found so far. The lists start from blocks of vectors that agree in
 signs of random projections; in each round the neighbours of a vector, both ways, are compared with each other. Rounds
 go on until a query set compared with all vectors finds its links in the lists. Where a list is
-full of links its vector is saturated: its list is enlarged to the whole component it is in, which is compared in blocks.
+full of links its vector is saturated, and links may be missing from it: the components of such vectors are compared whole,
+in blocks, within themselves and with each other.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ ROUNDS = 6
 RECALL = 0.98
 #: Vectors of the query set at most (ids divisible by 100, by a hash), compared with all.
 QUERIES = 2048
-#: Vectors of a saturated component that one block holds.
+#: Vectors of a saturated component that one block holds, and balls about blocks that are compared at a time.
 LARGE_BLOCK = 512
+BALLS = 4096
 
 
 def _groups(batches, *keys: str):
@@ -131,7 +133,11 @@ def _rows(found):
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
-    """Lists (a, b, cosine) of the k nearest different b of each a."""
+    """Lists (a, b, cosine) of the k nearest different b of each a.
+
+    A pair that met in several blocks may differ in its cosine's last bits; it has one place.
+    """
+    found = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     best = found.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("cosine", "b")), False), 1, k).alias("l"))
     return best.select("a", F.explode("l").alias("n")).select("a", "n.b", "n.cosine")
 
@@ -169,7 +175,7 @@ def _round(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 def _audit(lists: DataFrame, vectors: DataFrame, threshold: float) -> float:
     """Share of the links of the query set, found by comparing it with all vectors, that the lists have.
 
-    A vector whose list is full of links counts as found: it is enlarged later.
+    A link of two vectors whose lists are both full of links counts as found: their components are compared whole later.
     """
     queries = vectors.filter(F.col("vec_id") % 100 == 0).withColumn("place", F.xxhash64("vec_id")).orderBy("place").limit(QUERIES)
     rows = queries.select("cid", "dim", "vector").collect()
@@ -196,43 +202,115 @@ def _audit(lists: DataFrame, vectors: DataFrame, threshold: float) -> float:
     known = links.union(links.select("b", "a")).distinct().withColumn("known", F.lit(1))
     full = lists.groupBy("a").agg(F.min("cosine").alias("least"), F.count("*").alias("n")).filter(
         (F.col("least") >= threshold) & (F.col("n") >= NEIGHBOURS)).select("a").withColumn("full", F.lit(1))
-    joined = true.join(known, ["a", "b"], "left").join(full, "a", "left")
-    n, hit = joined.agg(F.count("*"), F.sum(F.when(F.col("known").isNotNull() | F.col("full").isNotNull(), 1).otherwise(0))).first()
+    other = full.select(F.col("a").alias("b"), F.col("full").alias("full_b"))
+    joined = true.join(known, ["a", "b"], "left").join(full, "a", "left").join(other, "b", "left")
+    both = F.col("full").isNotNull() & F.col("full_b").isNotNull()
+    n, hit = joined.agg(F.count("*"), F.sum(F.when(F.col("known").isNotNull() | both, 1).otherwise(0))).first()
     return hit / n if n else 1.0
 
 
+def _balls(batches):
+    """For each block of vectors its least cid, and the ball about it: mean direction and greatest angle."""
+    schema = pa.schema([("root", pa.int64()), ("dim", pa.int32()), ("part", pa.int64()), ("block", pa.int64()),
+                        ("centre", pa.binary()), ("radius", pa.float64())])
+    for group in _groups(batches, "root", "dim", "part"):
+        v = _vectors(group.column("vector"))
+        centre = v.sum(axis=0)
+        centre = centre / np.linalg.norm(centre) if centre.any() else v[0]
+        radius = float(np.arccos(np.clip(v @ centre, -1, 1)).max())
+        head = group.slice(0, 1)
+        yield pa.record_batch([*[head.column(c).combine_chunks() for c in ("root", "dim", "part", "cid")],
+                               pa.array([centre.tobytes()], pa.binary()), pa.array([radius])], schema=schema)
+
+
+def _may_link(threshold: float):
+    """Pairs of blocks (x <= y) whose balls are near enough for a link between them."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def run(batches):
+        for group in _groups(batches, "dim", "i", "j"):
+            own, i, j = (group.column(c).to_numpy() for c in ("own", "i", "j"))
+            ids, radius, v = group.column("block").to_numpy(), group.column("radius").to_numpy(), _vectors(group.column("centre"))
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            for k in range(0, len(left), 512):
+                part = left[k:k + 512]
+                angles = np.arccos(np.clip(_cosines(v[part], v[right]), -1, 1))
+                p, q = np.nonzero(angles <= radius[part][:, None] + radius[right] + reach)
+                x, y = ids[part[p]], ids[right[q]]
+                once = (x <= y) | (i[0] != j[0])  # within one group each pair comes both ways
+                yield pa.record_batch([pa.array(np.minimum(x, y)[once]), pa.array(np.maximum(x, y)[once])], schema=schema)
+    return run
+
+
+def _least_reached(linked: np.ndarray, square: bool) -> np.ndarray:
+    """For each row, and after them each column, the first one reachable over links; a square's rows are its columns."""
+    p, q = linked.shape
+    label = np.arange(p if square else p + q)
+    while True:
+        before = label.copy()
+        rows, columns = label[:p], label if square else label[p:]
+        rows = np.minimum(rows, np.where(linked, columns, len(label)).min(axis=1))
+        if square:
+            label = rows
+        else:
+            label = np.concatenate([rows, np.minimum(columns, np.where(linked, rows[:, None], len(label)).min(axis=0))])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def _counted(threshold: float):
-    """Links of each vector of a pair of blocks to the other block, weighted by copies."""
-    schema = pa.schema([("cid", pa.int64()), ("links", pa.int64())])
+    """Links of each vector of a pair of blocks to the other block, weighted by copies, and a vector they lead to."""
+    schema = pa.schema([("cid", pa.int64()), ("to", pa.int64()), ("links", pa.int64())])
 
     def run(batches):
-        for group in _groups(batches, "root", "dim", "x", "y"):
-            side = group.column("block").to_numpy()
+        for group in _groups(batches, "x", "y"):
+            block = group.column("block").to_numpy()
             x, y = int(group.column("x")[0].as_py()), int(group.column("y")[0].as_py())
             ids, copies, v = group.column("cid").to_numpy(), group.column("copies").to_numpy(), _vectors(group.column("vector"))
-            left, right = np.flatnonzero(side == x), np.flatnonzero(side == y)
+            left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
             linked = _cosines(v[left], v[right]) >= threshold
             if x == y:
                 np.fill_diagonal(linked, False)
-                yield pa.record_batch([pa.array(ids[left]), pa.array(linked @ copies[right])], schema=schema)
+                every, links = ids[left], linked @ copies[right]
             else:
-                yield pa.record_batch([pa.array(np.concatenate([ids[left], ids[right]])),
-                                       pa.array(np.concatenate([linked @ copies[right], copies[left] @ linked]))], schema=schema)
+                every, links = ids[np.concatenate([left, right])], np.concatenate([linked @ copies[right], copies[left] @ linked])
+            if not links.any():
+                continue
+            to = every[_least_reached(linked, x == y)]
+            some = links > 0
+            yield pa.record_batch([pa.array(every[some]), pa.array(to[some]), pa.array(links[some])], schema=schema)
     return run
 
 
-def _enlarged(classes: DataFrame, rooted: DataFrame, threshold: float) -> DataFrame:
-    """(cid, links) within components (cid, root) with a saturated vector: blocks of members, each pair of blocks in a task."""
+def _enlarged(classes: DataFrame, rooted: DataFrame, threshold: float, size: int | None = None) -> DataFrame:
+    """(cid, to, links): all links among the vectors of ``rooted`` (cid, root), within components and between them.
+
+    Members of a component go in blocks. Two blocks are compared, each pair in a task, unless the balls
+    about them are too far apart for a link: what is left out holds none. A block's rows of ``to`` join its linked vectors.
+    """
     members = rooted.join(classes, "cid").select("cid", "root", "dim", "copies", "vector")
-    sizes = checkpoint(members.groupBy("root", "dim").agg(F.ceil(F.count("*") / LARGE_BLOCK).alias("blocks")))
-    members = members.join(sizes, ["root", "dim"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    # a block meets itself and each other one once: it goes to every pair (x <= y) that has it
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-                        lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    met = members.withColumn("p", F.explode(pairs)).select("root", "dim", "p.x", "p.y", "block", "cid", "copies", "vector")
-    keys = ("root", "dim", "x", "y")
-    return (met.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(_counted(threshold), "cid long, links long")
-            .groupBy("cid").agg(F.sum("links").alias("links")))
+    parts = checkpoint(members.groupBy("root", "dim").agg(F.ceil(F.count("*") / (size or LARGE_BLOCK)).alias("parts")))
+    members = checkpoint(members.join(parts, ["root", "dim"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).drop("parts"))
+    keys = ("root", "dim", "part")
+    balls = checkpoint(members.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(
+        _balls, "root long, dim int, part long, block long, centre binary, radius double"))
+    groups = max(1, -(-balls.count() // BALLS))
+    # a group of balls meets itself and each other one once: it goes to every pair (i <= j) that has it
+    own = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("long")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")),
+                        lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    met = balls.withColumn("own", own).withColumn("p", F.explode(pairs)).select(
+        "dim", "p.i", "p.j", "own", "block", "radius", "centre")
+    keys = ("dim", "i", "j")
+    pairs = checkpoint(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_may_link(threshold), "x long, y long"))
+    sides = pairs.select(F.col("x").alias("block"), "x", "y").union(pairs.filter("x < y").select(F.col("y").alias("block"), "x", "y"))
+    members = checkpoint(members.join(balls.select("root", "dim", "part", "block"), ["root", "dim", "part"]).select(
+        "block", "cid", "copies", "vector"))
+    met = members.join(sides, "block").select("x", "y", "block", "cid", "copies", "vector")
+    return checkpoint(met.repartition("x", "y").sortWithinPartitions("x", "y", "cid").mapInArrow(
+        _counted(threshold), "cid long, to long, links long"))
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = 0.95, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -265,7 +343,10 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, neighbours: int
     full = links.groupBy("a").count().filter(F.col("count") >= neighbours).select(F.col("a").alias("cid"))
     saturated = roots.join(full, "cid").select("root").distinct()
     inside = checkpoint(roots.join(checkpoint(saturated), "root"))
-    enlarged = _enlarged(classes, inside.select("cid", "root"), threshold)
+    compared = _enlarged(classes, inside.select("cid", "root"), threshold)
+    enlarged = compared.groupBy("cid").agg(F.sum("links").alias("links"))
+    roots = checkpoint(components(roots.select(F.col("cid").alias("a"), F.col("root").alias("b")).union(
+        compared.filter("cid <> to").select("cid", "to").distinct())).withColumnRenamed("node", "cid"))
     plain = (links.join(inside.select(F.col("cid").alias("a")), "a", "left_anti")
              .join(classes.select(F.col("cid").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("links")))
     counted = enlarged.union(plain)

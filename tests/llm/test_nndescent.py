@@ -58,3 +58,36 @@ def test_components_in_blocks(spark, monkeypatch, block):
     vectors = [(k, (np.ones(8) + rng.standard_normal(8) * 0.2).tolist()) for k in range(40)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     assert answer(N.near_vectors(df)) == brute(vectors)
+
+
+def subgroups(number, size, seed=7):
+    """Sub-groups of more vectors than a list holds, tight in themselves and within 0.95 of one another; and lone vectors."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal(48)
+    base /= np.linalg.norm(base)
+    unit = lambda scale: scale * rng.standard_normal(48) / 48 ** 0.5
+    centres = [base + unit(0.15) for _ in range(number)]
+    vectors = [(c + unit(0.01)).tolist() for c in centres for _ in range(size)]
+    vectors += [rng.standard_normal(48).tolist() for _ in range(40)]
+    return list(enumerate(vectors))
+
+
+@pytest.mark.parametrize("balls", [5, 4096])
+def test_links_between_tight_subgroups(spark, monkeypatch, balls):
+    """Lists are full of a sub-group's own; links between sub-groups are found all the same."""
+    monkeypatch.setattr(N, "BALLS", balls)
+    vectors = subgroups(12, 30)
+    want = brute(vectors)
+    assert max(v[0] for v in want.values()) == 359
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert answer(N.near_vectors(df)) == want
+
+
+def test_audit_misses_a_link_of_a_full_list_to_another(spark):
+    """One end full of links is not enough for a link to count as found."""
+    rng = np.random.default_rng(2)
+    x = np.ones(16) + rng.standard_normal((10, 16)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(k, k * 100, 16, bytearray(v.tobytes())) for k, v in enumerate(x)], "cid long, vec_id long, dim int, vector binary")
+    lists = spark.createDataFrame([(0, b, 0.99) for b in range(1, 9)], "a long, b long, cosine double")
+    assert N._audit(lists, classes, 0.95) == pytest.approx(16 / 90)
