@@ -100,23 +100,28 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # half by bytes, half by count: neither large texts nor very many small ones fill a range
     weight = F.col("size") / total + 1 / F.lit(float(n))
     splitters = Splitters(_quantiles(_sample(rows, weight, SAMPLED * ranges, 0), ranges))
-    for again in range(1, 6):
+    again = 0
+    while True:
         ranged = rows.mapInArrow(_deal(spark.sparkContext.broadcast(splitters)), "range long, " + _KEYED)
         sums = {r[0]: r[1:] for r in ranged.groupBy("range").agg(
-            F.sum(weight), F.count("*"), F.sum("size")).collect()}
-        overfull = [k for k, (w, c, _) in sums.items() if w > 2 * 2 / ranges and c > 1]
+            F.sum(weight), F.count("*"), F.sum("size"), F.max(weight)).collect()}
+        # what the heaviest record of a range weighs cannot be divided
+        overfull = [k for k, (w, c, _, most) in sums.items() if w - most > 2 * 2 / ranges and c > 1]
         if not overfull:
             break
+        again += 1
         share = sum(sums[k][0] for k in overfull) / 2
         new, full = [], ranged.filter(F.col("range").isin(overfull))
-        drawn = Splitters(splitters.points)
         by_range: dict[int, list] = {}
         for key, tie, w in _sample(full, weight, max(SAMPLED, int(SAMPLED * ranges * share)), again):
-            by_range.setdefault(int(drawn.place(np.array([key]), np.array([tie]))[0]), []).append((key, tie, w))
+            by_range.setdefault(int(splitters.place(np.array([key]), np.array([tie]))[0]), []).append((key, tie, w))
         for k, sample in by_range.items():
             new += _quantiles(sample, max(2, round(sums[k][0] * ranges / 2)))
-        splitters = Splitters(splitters.points + new)
-    ranged = rows.mapInArrow(_deal(spark.sparkContext.broadcast(splitters)), "range long, " + _KEYED)
+        divided = Splitters(splitters.points + new)
+        if divided.points == splitters.points:
+            break
+        splitters = divided
+    # `sums` and `ranged` are of the same, last splitters
 
     table, size_before, rows_before = [], 0, 0
     for k in sorted(sums):
@@ -133,6 +138,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = checkpoint(placed.join(base, "range").select(
         "doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("nth") - 1).alias("nth"),
         F.least(F.floor(at / share), F.lit(shards - 1)).cast("int").alias("shard")))
+    if placed.count() != n:
+        raise RuntimeError(f"{placed.count()} of {n} documents were dealt into shards")
     firsts = placed.groupBy("shard").agg(F.min("nth").alias("first"))
     return placed.join(firsts, "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") - F.col("first")).alias("slot"),

@@ -40,3 +40,21 @@ def test_splitters_divide_a_key_by_its_ties():
     s = S.Splitters([(5, 10), (5, 20), (9, 3)])
     key, tie = np.array([4, 5, 5, 5, 9, 9, 10]), np.array([0, -4, 19, 20, -9, 7, 0])
     assert s.place(key, tie).tolist() == [0, 1, 1, 2, 3, 3, 3]
+
+
+def test_boundaries_that_come_slowly(spark, monkeypatch):
+    """However many rounds it takes, offsets belong to the last boundaries and no row is lost."""
+    quantiles = S._quantiles
+    monkeypatch.setattr(S, "_quantiles", lambda sample, parts: quantiles(sample, 2))
+    rng = np.random.default_rng(1)
+    docs = [(i, "x" * int(rng.integers(1, 60)) + str(i)) for i in range(4000)]
+    sizes = check(S.shard(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+    assert max(sizes) / min(sizes) < 1.05
+
+
+def test_very_long_documents(spark):
+    """A range that starts with one stays heavy in every round."""
+    rng = np.random.default_rng(0)
+    docs = [(i, "x" * int(rng.integers(20, 80)) + str(i)) for i in range(20_000)]
+    docs += [(20_000 + k, chr(97 + k) * 60_000) for k in range(8)]
+    check(S.shard(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
