@@ -2,7 +2,8 @@
 
 Each vector keeps a list of its nearest found so far. The lists start from blocks of vectors that agree in
 signs of random projections; in each round the neighbours of a vector, both ways, are compared with each other. Rounds
-go on until a query set compared with all vectors finds its links in the lists. Where a list is
+go on until the links in the lists stand still and a query set compared with all vectors finds its links there. Where
+the query set has too few links to tell, or misses them when nothing moves any more, all vectors are compared in blocks. Where a list is
 full of links its vector is saturated, and links may be missing from it: the components of such vectors are compared whole,
 in blocks, within themselves and with each other.
 """
@@ -17,14 +18,17 @@ from ..session import checkpoint
 from .components import components
 
 NEIGHBOURS = 8
-TABLES, BLOCK = 4, 64
-ROUNDS = 6
-RECALL = 0.98
-#: Vectors of the query set at most (ids divisible by 100, by a hash), compared with all.
+#: Sign tables at least; more where a pair at the threshold would meet in none with a chance above MISSED.
+TABLES, BLOCK, MISSED = 4, 64, 0.02
+#: Share of the query set's links to be found, and links without which it is no evidence.
+RECALL, EVIDENCE = 0.98, 100
+#: Vectors of the query set (all with an id divisible by 100) that are compared with all at a time.
 QUERIES = 2048
 #: Vectors of a saturated component that one block holds, and balls about blocks that are compared at a time.
 LARGE_BLOCK = 512
 BALLS = 4096
+#: Vectors of a block where all are compared.
+EXACT_BLOCK = 2048
 
 
 def _groups(batches, *keys: str):
@@ -78,21 +82,30 @@ def _unit(batches):
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], schema=schema)
 
 
-def _signs(batches):
+def _tables(bits: int, threshold: float) -> int:
+    """Sign tables in which a pair at ``threshold`` agrees in all bits at least once, but for a chance of MISSED."""
+    together = (1 - np.arccos(threshold) / np.pi) ** bits
+    return max(TABLES, int(np.ceil(np.log(MISSED) / np.log1p(-together)))) if together < 1 else TABLES
+
+
+def _signs(tables: int):
     """For each table, the signs of a vector's random projections."""
     schema = pa.schema([("t", pa.int32()), ("dim", pa.int32()), ("code", pa.int64()), ("cid", pa.int64()), ("vector", pa.binary())])
-    for batch in batches:
-        dims = batch.column("dim").to_numpy()
-        for dim in np.unique(dims):
-            own = np.flatnonzero(dims == dim)
-            rows = batch.take(pa.array(own))
-            x = _vectors(rows.column("vector"))
-            planes = np.random.default_rng([8, int(dim)]).standard_normal((int(dim), TABLES * 30))
-            signs = (x @ planes > 0).reshape(len(own), TABLES, 30)
-            for t in range(TABLES):
-                code = signs[:, t] @ (1 << np.arange(29, -1, -1, dtype=np.int64))
-                yield pa.record_batch([pa.array(np.full(len(own), t, np.int32)), rows.column("dim"), pa.array(code),
-                                       rows.column("cid"), rows.column("vector")], schema=schema)
+
+    def run(batches):
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                own = np.flatnonzero(dims == dim)
+                rows = batch.take(pa.array(own))
+                x = _vectors(rows.column("vector"))
+                planes = np.random.default_rng([8, int(dim)])
+                for t in range(tables):
+                    signs = x @ planes.standard_normal((int(dim), 30)) > 0
+                    code = signs @ (1 << np.arange(29, -1, -1, dtype=np.int64))
+                    yield pa.record_batch([pa.array(np.full(len(own), t, np.int32)), rows.column("dim"), pa.array(code),
+                                           rows.column("cid"), rows.column("vector")], schema=schema)
+    return run
 
 
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
@@ -142,10 +155,11 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
     return best.select("a", F.explode("l").alias("n")).select("a", "n.b", "n.cosine")
 
 
-def _start(vectors: DataFrame, n: int, k: int) -> DataFrame:
+def _start(vectors: DataFrame, n: int, k: int, threshold: float) -> DataFrame:
     """Lists from blocks of vectors with the same signs, of about BLOCK where signs are even; crowded blocks are dealt out."""
     bits = max(0, int(np.log2(max(1, n / BLOCK))))
-    coded = vectors.select("cid", "dim", "vector").mapInArrow(_signs, "t int, dim int, code long, cid long, vector binary")
+    coded = vectors.select("cid", "dim", "vector").mapInArrow(
+        _signs(_tables(bits, threshold)), "t int, dim int, code long, cid long, vector binary")
     coded = coded.withColumn("code", F.shiftright("code", 30 - min(30, bits)))
     crowd = checkpoint(coded.select("t", "dim", "code").groupBy("t", "dim", "code").count())
     coded = coded.join(crowd, ["t", "dim", "code"])
@@ -172,41 +186,76 @@ def _round(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return checkpoint(_nearest(lists.union(found), k))
 
 
-def _audit(lists: DataFrame, vectors: DataFrame, threshold: float) -> float:
-    """Share of the links of the query set, found by comparing it with all vectors, that the lists have.
+def _audit(lists: DataFrame, vectors: DataFrame, threshold: float) -> tuple[int, int]:
+    """Links of the query set, found by comparing it with all vectors, and how many of them the lists have.
 
-    A link of two vectors whose lists are both full of links counts as found: their components are compared whole later.
+    The query set is all vectors with an id divisible by 100 (``asked``), and goes to the workers in packs. A link of two
+    vectors whose lists are both full of links counts as found: their components are compared whole later. Such are only counted.
     """
-    queries = vectors.filter(F.col("vec_id") % 100 == 0).withColumn("place", F.xxhash64("vec_id")).orderBy("place").limit(QUERIES)
-    rows = queries.select("cid", "dim", "vector").collect()
-    sent = vectors.sparkSession.sparkContext.broadcast([(r["cid"], r["dim"], bytes(r["vector"])) for r in rows])
+    links = lists.filter(F.col("cosine") >= threshold).select("a", "b")
+    full = links.groupBy("a").count().filter(F.col("count") >= NEIGHBOURS).select(F.col("a").alias("cid"), F.lit(True).alias("full"))
+    vectors = checkpoint(vectors.join(full, "cid", "left").select("cid", "dim", "vector", "asked", F.coalesce("full", F.lit(False)).alias("full")))
+    known = checkpoint(links.union(links.select("b", "a")).distinct().withColumn("known", F.lit(1)))
+    asked = vectors.filter("asked")
+    packs = max(1, -(-asked.count() // QUERIES))
+    n = found = 0
+    for k in range(packs):
+        pack = asked.filter(F.pmod(F.xxhash64("cid"), F.lit(packs)) == k).select("cid", "dim", "vector", "full").toArrow()
+        sent = vectors.sparkSession.sparkContext.broadcast(pack)
+        true = vectors.select("cid", "dim", "vector", "full").mapInArrow(_true(sent, threshold), "a long, b long, k long")
+        row = true.join(known, ["a", "b"], "left").agg(
+            F.sum("k"), F.sum(F.when(F.col("known").isNotNull() | F.col("a").isNull(), F.col("k")))).first()
+        n, found = n + (row[0] or 0), found + (row[1] or 0)
+        sent.unpersist()
+    return n, found
+
+
+def _true(sent, threshold: float):
+    """Links (a, b) of a pack of vectors to all; of links whose ends both have full lists only the number, without ends."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64())])
 
     def run(batches):
+        pack = sent.value
+        dims = pack.column("dim").to_numpy()
         by_dim = {}
-        for cid, dim, v in sent.value:
-            by_dim.setdefault(dim, []).append((cid, np.frombuffer(v, np.float64)))
+        for dim in np.unique(dims):
+            rows = pack.take(pa.array(np.flatnonzero(dims == dim)))
+            by_dim[int(dim)] = rows.column("cid").to_numpy(), _vectors(rows.column("vector")), np.array(rows.column("full").to_pylist(), bool)
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 if int(dim) not in by_dim:
                     continue
-                rows = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                ids = np.array([c for c, _ in by_dim[int(dim)]], np.int64)
-                cosines = _cosines(np.stack([v for _, v in by_dim[int(dim)]]), _vectors(rows.column("vector")))
-                i, j = np.nonzero(cosines >= threshold)
-                a, b = ids[i], rows.column("cid").to_numpy()[j]
-                yield pa.record_batch([pa.array(a[a != b]), pa.array(b[a != b]), pa.array(cosines[i, j][a != b])], schema=_FOUND)
-
-    true = vectors.select("cid", "dim", "vector").mapInArrow(run, "a long, b long, cosine double").select("a", "b")
-    links = lists.filter(F.col("cosine") >= threshold).select("a", "b")
-    known = links.union(links.select("b", "a")).distinct().withColumn("known", F.lit(1))
-    full = lists.groupBy("a").agg(F.min("cosine").alias("least"), F.count("*").alias("n")).filter(
-        (F.col("least") >= threshold) & (F.col("n") >= NEIGHBOURS)).select("a").withColumn("full", F.lit(1))
-    other = full.select(F.col("a").alias("b"), F.col("full").alias("full_b"))
-    joined = true.join(known, ["a", "b"], "left").join(full, "a", "left").join(other, "b", "left")
-    both = F.col("full").isNotNull() & F.col("full_b").isNotNull()
-    n, hit = joined.agg(F.count("*"), F.sum(F.when(F.col("known").isNotNull() | both, 1).otherwise(0))).first()
-    return hit / n if n else 1.0
+                ids, queries, full = by_dim[int(dim)]
+                own = np.flatnonzero(dims == dim)
+                for at in range(0, len(own), QUERIES):
+                    rows = batch.take(pa.array(own[at:at + QUERIES]))
+                    i, j = np.nonzero(_cosines(queries, _vectors(rows.column("vector"))) >= threshold)
+                    a, b = ids[i], rows.column("cid").to_numpy()[j]
+                    both = full[i] & np.array(rows.column("full").to_pylist(), bool)[j]
+                    counted, listed = int((both & (a != b)).sum()), ~both & (a != b)
+                    yield pa.record_batch([pa.array([*a[listed].tolist(), None], pa.int64()), pa.array([*b[listed].tolist(), None], pa.int64()),
+                                           pa.array([1] * int(listed.sum()) + [counted], pa.int64())], schema=schema)
+    return run
+
+
+def _settled(classes: DataFrame, n: int, k: int, threshold: float) -> DataFrame | None:
+    """Lists after as many rounds as it takes, or None where the audit has no evidence that they hold the links."""
+    lists, before = _start(classes, n, k, threshold), None
+    while True:
+        lists = _round(lists, classes, k)
+        link = F.col("cosine") >= threshold
+        entry = F.xxhash64("a", "b") % (1 << 31)
+        now = tuple(lists.agg(F.sum(F.when(link, 1)), F.sum(F.when(link, entry)), F.count("*"), F.sum(entry)).first())
+        if before and now[:2] == before[:2]:
+            links, found = _audit(lists, classes, threshold)
+            if links < EVIDENCE:
+                return None
+            if found >= RECALL * links:
+                return lists
+            if now == before:
+                return None
+        before = now
 
 
 def _balls(batches):
@@ -284,14 +333,14 @@ def _counted(threshold: float):
     return run
 
 
-def _enlarged(classes: DataFrame, rooted: DataFrame, threshold: float, size: int | None = None) -> DataFrame:
+def _enlarged(classes: DataFrame, rooted: DataFrame, threshold: float, size: int) -> DataFrame:
     """(cid, to, links): all links among the vectors of ``rooted`` (cid, root), within components and between them.
 
     Members of a component go in blocks. Two blocks are compared, each pair in a task, unless the balls
     about them are too far apart for a link: what is left out holds none. A block's rows of ``to`` join its linked vectors.
     """
     members = rooted.join(classes, "cid").select("cid", "root", "dim", "copies", "vector")
-    parts = checkpoint(members.groupBy("root", "dim").agg(F.ceil(F.count("*") / (size or LARGE_BLOCK)).alias("parts")))
+    parts = checkpoint(members.groupBy("root", "dim").agg(F.ceil(F.count("*") / size).alias("parts")))
     members = checkpoint(members.join(parts, ["root", "dim"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).drop("parts"))
     keys = ("root", "dim", "part")
     balls = checkpoint(members.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(
@@ -318,7 +367,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, neighbours: int
 
     Vectors link at a cosine (double precision) of ``threshold`` or more. Equal vectors are one class that counts as many
     as it has; no pairs of copies are made. ``n_links`` counts other rows, ``component_id`` is the least vec_id reachable,
-    ``kept`` marks it. Rounds go on until the audited recall is 0.98, six at most; the links found are exact.
+    ``kept`` marks it. Rounds go on until the links found stand still and the audited recall is 0.98; without that, or with
+    fewer than 100 audited links, all vectors are compared. The links found are exact.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
     length never link. Rows without an id take part, with a null id; a group of such only has a null component
@@ -329,21 +379,22 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, neighbours: int
                       .withColumn("uid", F.monotonically_increasing_id()))
     usable = rows.filter("dim > 0")
     classes = checkpoint(usable.groupBy("dim", "vector").agg(
-        F.min("uid").alias("cid"), F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
+        F.min("uid").alias("cid"), F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"),
+        F.coalesce(F.max(F.col("vec_id") % 100 == 0), F.lit(False)).alias("asked")))
     n = classes.count()
-    lists = _start(classes, n, neighbours)
-    for _ in range(ROUNDS):
-        lists = _round(lists, classes, neighbours)
-        if _audit(lists, classes, threshold) >= RECALL:
-            break
-
-    links = lists.filter(F.col("cosine") >= threshold).select("a", "b")
-    links = checkpoint(links.union(links.select("b", "a")).distinct())
-    roots = checkpoint(components(links).withColumnRenamed("node", "cid"))
-    full = links.groupBy("a").count().filter(F.col("count") >= neighbours).select(F.col("a").alias("cid"))
-    saturated = roots.join(full, "cid").select("root").distinct()
-    inside = checkpoint(roots.join(checkpoint(saturated), "root"))
-    compared = _enlarged(classes, inside.select("cid", "root"), threshold)
+    lists = _settled(classes, n, neighbours, threshold)
+    if lists is None:  # all vectors are as one component to compare
+        links = classes.selectExpr("cid a", "cid b").limit(0)
+        roots = classes.selectExpr("cid", "cid root").limit(0)
+        inside, size = classes.select("cid", F.lit(0).cast("long").alias("root")), EXACT_BLOCK
+    else:
+        links = lists.filter(F.col("cosine") >= threshold).select("a", "b")
+        links = checkpoint(links.union(links.select("b", "a")).distinct())
+        roots = checkpoint(components(links).withColumnRenamed("node", "cid"))
+        full = links.groupBy("a").count().filter(F.col("count") >= neighbours).select(F.col("a").alias("cid"))
+        saturated = roots.join(full, "cid").select("root").distinct()
+        inside, size = checkpoint(roots.join(checkpoint(saturated), "root")), LARGE_BLOCK
+    compared = _enlarged(classes, inside.select("cid", "root"), threshold, size)
     enlarged = compared.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = checkpoint(components(roots.select(F.col("cid").alias("a"), F.col("root").alias("b")).union(
         compared.filter("cid <> to").select("cid", "to").distinct())).withColumnRenamed("node", "cid"))

@@ -88,6 +88,44 @@ def test_audit_misses_a_link_of_a_full_list_to_another(spark):
     rng = np.random.default_rng(2)
     x = np.ones(16) + rng.standard_normal((10, 16)) * 0.01
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    classes = spark.createDataFrame([(k, k * 100, 16, bytearray(v.tobytes())) for k, v in enumerate(x)], "cid long, vec_id long, dim int, vector binary")
+    classes = spark.createDataFrame([(k, True, 16, bytearray(v.tobytes())) for k, v in enumerate(x)], "cid long, asked boolean, dim int, vector binary")
     lists = spark.createDataFrame([(0, b, 0.99) for b in range(1, 9)], "a long, b long, cosine double")
-    assert N._audit(lists, classes, 0.95) == pytest.approx(16 / 90)
+    assert N._audit(lists, classes, 0.95) == (90, 16)
+
+
+def rare(rng, n=3000, pairs=40):
+    """Lone vectors, and pairs at a cosine just above 0.95 with ids that are not divisible by 100."""
+    v = rng.standard_normal((n, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for k in range(pairs):
+        a, b = 100 * (k % 30) + 1 + 2 * (k // 30), 100 * (k % 30) + 2 + 2 * (k // 30)
+        away = v[b] - (v[b] @ v[a]) * v[a]
+        v[b] = 0.951 * v[a] + (1 - 0.951 ** 2) ** 0.5 * away / np.linalg.norm(away)
+    return [(i, x.tolist()) for i, x in enumerate(v)]
+
+
+def test_rare_pairs_that_no_query_shows(spark, monkeypatch):
+    """An audit without links is no evidence: one poor sign table is not taken for the answer."""
+    monkeypatch.setattr(N, "TABLES", 1)
+    monkeypatch.setattr(N, "MISSED", 1.0)
+    vectors = rare(np.random.default_rng(4))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = answer(N.near_vectors(df))
+    assert sum(v[0] for v in got.values()) == 80 and all(got[i][0] for i in got if got[i][1] != i)
+
+
+@pytest.mark.parametrize("pack", [3, 2048])
+def test_audit_asks_all_ids_in_packs(spark, monkeypatch, pack):
+    monkeypatch.setattr(N, "QUERIES", pack)
+    rng = np.random.default_rng(2)
+    x = np.ones(16) + rng.standard_normal((10, 16)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(k, k < 7, 16, bytearray(v.tobytes())) for k, v in enumerate(x)], "cid long, asked boolean, dim int, vector binary")
+    lists = spark.createDataFrame([(0, 1, 0.99)], "a long, b long, cosine double")
+    assert N._audit(lists, classes, 0.95) == (63, 2)
+
+
+def test_sign_tables_grow_with_the_bits():
+    for bits in range(0, 25):
+        together = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert (1 - together) ** N._tables(bits, 0.95) <= N.MISSED + 1e-9
