@@ -23,11 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without near copies: of each linked group the one with the least doc_id stays.
+    """Documents without near copies (similarity of 0.8 or more): of each linked group the one with the least doc_id stays.
 
     Rows of one doc_id are one document, of which one row stays. Rows without an id all stay.
     """
-    found = checkpoint(near_duplicates(docs))
+    found = checkpoint(near_duplicates(docs, percent=80))
     dropped = found.filter("not kept").select("doc_id").distinct()
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     single = docs.join(dropped.union(repeated).distinct(), "doc_id", "left_anti")

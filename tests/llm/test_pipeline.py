@@ -43,3 +43,18 @@ def test_odd_rows(spark, odd, none):
 def test_one_row_of_each_group_stays(spark, odd):
     kept = [r["doc_id"] for r in stages.near_copies(spark, odd, SF).collect()]
     assert sorted(i for i in kept if i is not None) == [1, 4, 5, 6, 7, 9, 10, 12, 13, 14, 15, 16, 17] and kept.count(None) == 2
+
+
+def test_near_copies_link_at_four_fifths(spark):
+    """Sets of shingles with a similarity from 0.80 to 0.85 are near copies to the pipeline."""
+    texts = {}
+    for k in range(8):
+        words = [f"w{k}x{i}" for i in range(104)]  # 100 shingles
+        texts[2 * k] = " ".join(words)
+        texts[2 * k + 1] = " ".join(words[:94 - k] + [f"v{k}x{i}" for i in range(10 + k)])
+    want, strict = R.near(texts, 80), R.near(texts)
+    kept = {i for i, (_, root) in want.items() if root == i}
+    assert len(kept) < sum(root == i for i, (_, root) in strict.items()) and len(kept) > 8
+    rows = [(i, t, "en", "src", len(t)) for i, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in stages.near_copies(spark, df, SF).collect()} == kept
