@@ -17,7 +17,7 @@ def test_stages_take_effect(spark, documents):
             want = quality.quality(documents, spark.read.parquet(f"{SF}/labels.parquet")).filter("predicted = 1")
             assert set(after) == {r["doc_id"] for r in want.collect()}
         if name == "near_copies":
-            near = R.near({i: r["text"] for i, r in before.items()})
+            near = R.near({i: r["text"] for i, r in before.items()}, 80)
             assert set(after) == {i for i, (_, root) in near.items() if root == i}
         if name == "benchmark_passages":
             found = wumanber.decontaminate(spark.createDataFrame(list(before.values()), documents.schema), spark.read.parquet(f"{SF}/benchmark.parquet"))
