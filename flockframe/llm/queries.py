@@ -119,6 +119,13 @@ def op1_gru(spark, sf):
     return score(_table(spark, sf, "documents"))
 
 
+@query
+def op12_matching(spark, sf):
+    """Documents packed into few sequences by large-item matching and best fit."""
+    from .matching import pack
+    return pack(_table(spark, sf, "documents"))
+
+
 @query
 def op4_tfidf(spark, sf):
     """Licences of documents, laid out in directories by source and thousands and hundreds of the id."""
