@@ -126,6 +126,49 @@ def op12_matching(spark, sf):
     return pack(_table(spark, sf, "documents"))
 
 
+@query
+def op13_cholesky(spark, sf):
+    """Whitened vectors by shifted Cholesky QR."""
+    from .whitening import whiten
+    return whiten(_table(spark, sf, "embeddings"))
+
+
+@query
+def op11_bands(spark, sf):
+    """Prefix trie of rebuilt conversations by depth-band rollup."""
+    from .trie import prefix_trie
+    return prefix_trie(_table(spark, sf, "conversations"))
+
+
+ORACLES["op11_bands"] = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        sha256(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, '')))) AS place
+    FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT conv_id, count(*) AS n, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+      lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS ops FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, n, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295, ops),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 9 AS h FROM bits),
+l AS (SELECT c.*, least(h, coalesce(b.n, 0)) AS shared FROM c LEFT JOIN (SELECT conv_id, n FROM c) b ON b.conv_id = c.base),
+r AS (SELECT l.conv_id, place AS depth, role, text FROM l JOIN t ON t.conv_id = l.base AND place <= h
+      UNION ALL SELECT l.conv_id, place - h + shared, role, text FROM l JOIN t ON t.conv_id = l.conv_id AND place > h),
+p AS (SELECT conv_id, depth, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix,
+        octet_length(encode(text)) AS n_bytes FROM r
+      UNION ALL SELECT conv_id, 0, [], 0 FROM l),
+m AS (SELECT p.*, min(conv_id) OVER (PARTITION BY depth, prefix) AS node, p.depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+node AS (SELECT node, depth, count(*) AS n_convs, any_value(n_bytes) AS n_bytes, count(*) FILTER (ends) AS n_ends,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM m GROUP BY 1, 2),
+up AS (SELECT c.node, c.depth, any_value(d.node) AS parent FROM m c JOIN m d ON d.conv_id = c.conv_id AND d.depth = c.depth - 1 GROUP BY 1, 2),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY 1, 2),
+below AS (SELECT m.node, m.depth, sum(CASE WHEN n_ends = n_convs THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * b.n_bytes) AS saved
+      FROM m JOIN node b ON b.node = m.conv_id AND b.depth >= m.depth GROUP BY 1, 2)
+SELECT node.node AS conv_id, node.depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM node LEFT JOIN up ON up.node = node.node AND up.depth = node.depth LEFT JOIN kids ON kids.node = node.node AND kids.depth = node.depth
+JOIN below ON below.node = node.node AND below.depth = node.depth"""
+
+
 @query
 def op4_tfidf(spark, sf):
     """Licences of documents, laid out in directories by source and thousands and hundreds of the id."""
