@@ -31,14 +31,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_names() -> dict[str, int]:
-    """The byte that each character of the vocabulary's tokens stands for: printable ones for themselves, the others
-    for characters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 _ENCODERS: dict = {}
 
 
@@ -46,7 +38,7 @@ def encoder(vocabulary: str):
     """Byte-level encoder over a vocabulary file whose ids follow the order of its merges."""
     if vocabulary not in _ENCODERS:
         import tiktoken
-        names = _byte_names()
+        names = X.byte_names()
         with open(vocabulary, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         ranks = {bytes(names[c] for c in token): k for token, k in vocab.items() if token != SPECIAL}

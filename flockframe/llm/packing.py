@@ -7,8 +7,11 @@ share sequences, and as documents are cut freely nothing is padded.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
+from functools import lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
@@ -42,7 +45,8 @@ class Encoder:
     """Ids of texts, word by word: no token of this tokenizer spans ASCII white space.
 
     Ids of the words met are remembered up to a bound, then forgotten all at once. New words of letters only, without
-    the marks around them, are encoded many in one text, which is taken apart where a token ends a word.
+    the marks around them, are encoded many in one text, which is taken apart where a token ends a word. Those that
+    normalising leaves as they are go straight to the byte pair merging, which takes the end of a word for one more byte.
     """
 
     def __init__(self, vocabulary: str):
@@ -57,6 +61,21 @@ class Encoder:
             self.ends_word[k] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.merging = self._merging(vocabulary)
+
+    @staticmethod
+    def _merging(vocabulary: str):
+        """Byte pair merging of words that end in a zero byte: a token that ends a word has that byte, too."""
+        import tiktoken
+        with open(vocabulary, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        names, ranks = X.byte_names(), {}
+        for token, k in model["vocab"].items():
+            ends = token.endswith("</w>")
+            token = token[:-4] if ends else token
+            if all(c in names for c in token) and not token.startswith("<|"):
+                ranks[bytes(names[c] for c in token) + b"\0" * ends] = k
+        return tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, the end included, as bytes."""
@@ -68,14 +87,13 @@ class Encoder:
         flat = list(chain.from_iterable(words))
         ids = list(map(self.known.get, flat))
         missing = [k for k, i in enumerate(ids) if i is None]
-        self._learn({flat[k] for k in missing})
+        self._learn(list({flat[k] for k in missing}))
         for k in missing:
             ids[k] = self.known[flat[k]]
         stops = list(accumulate(map(len, words), initial=0))
         return [b"".join(ids[a:b]) + self.end for a, b in zip(stops, stops[1:])]
 
-    def _learn(self, new: set[bytes]) -> None:
-        words = list(new)
+    def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         cores = [t.strip(_MARKS_AROUND) for t in texts]
         cut = [k for k, c in enumerate(cores) if c.isalpha()]
@@ -102,6 +120,13 @@ class Encoder:
         self.parts.update((t, self._ids(e)) for t, e in zip(texts, self._batch(texts)))
 
     def _many(self, words: list[str]) -> None:
+        plain = [w for w in words if w == w.lower() and unicodedata.is_normalized("NFC", w)]
+        if plain:
+            ids = self.merging.encode_to_numpy("\0".join(plain) + "\0", disallowed_special=()).astype(self.dtype)
+            raw = ids.tobytes()
+            stops = ((np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize).tolist()
+            self.parts.update(zip(plain, map(raw.__getitem__, map(slice, [0, *stops], stops))))
+        words = [w for w in words if w not in self.parts]
         groups = [words[k:k + 1000] for k in range(0, len(words), 1000)]
         for group, e in zip(groups, self._batch([" ".join(g) for g in groups])):
             ids = np.array(e.ids, self.dtype)
@@ -143,12 +168,18 @@ def hilbert(axes: np.ndarray, depth: int) -> np.ndarray:
     return key
 
 
+@lru_cache
+def _cells(bits: int) -> np.ndarray:
+    """Cell of each id below 2 ** bits: the ids of negative sign first, then the others."""
+    h = X.mix(np.arange(1, (1 << bits) + 1, dtype=np.uint64))
+    return (h % np.uint64(HASHED) + np.uint64(HASHED) * (h >> np.uint64(63))).astype(np.int64)
+
+
 def curve_keys(ids: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """Curve place of each text from its ids: signed feature hashing, unit length, fixed random projection."""
-    h = X.mix(ids.astype(np.uint64) + np.uint64(1))
-    cell = text * HASHED + (h % np.uint64(HASHED)).astype(np.int64)
-    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-    vectors = np.bincount(cell, sign, n * HASHED).reshape(n, HASHED)
+    cell = text * (2 * HASHED) + _cells(int(ids.max(initial=0)).bit_length())[ids]
+    counts = np.bincount(cell, minlength=2 * n * HASHED).reshape(n, 2, HASHED)
+    vectors = (counts[:, 1] - counts[:, 0]).astype(np.float64)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     projection = np.random.default_rng(3).standard_normal((HASHED, DIMENSIONS))
     top = 1 << DEPTH
