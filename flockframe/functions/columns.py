@@ -199,9 +199,18 @@ def negbinom_loglik(count: Column, log_mean: Column, phi: Column) -> Column:
             + n * (log_mean - total) + phi * (F.log(phi) - total))
 
 
+def digest_number(*cols: Column) -> Column:
+    """Deterministic whole number below 2^52: the first 13 hexadecimal digits of the MD5 of the columns' texts, joined by ``|``.
+
+    Any database with MD5 computes the same, so samples can be drawn and checked elsewhere. Nulls are left out of the text.
+    """
+    text = F.concat_ws("|", *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def unit_hash(*cols: Column) -> Column:
-    """Deterministic uniform number in [0, 1) from the column values."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / float(1 << 53)
+    """Deterministic uniform number in [0, 1) from the column values (see ``digest_number``)."""
+    return digest_number(*cols).cast("double") / float(1 << 52)
 
 
 def poisson_one(u: Column, terms: int = 18) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import columns as C
 from ..functions.aggregates import quantile
 from ..session import checkpoint, join_on
 
@@ -179,14 +180,14 @@ def zero_bird_surveys(events: DataFrame, obs: DataFrame, key: str = "checklist_i
 
 def group_sample(df: DataFrame, group: list[str], ids: list[str], share: float, seed: int = 0
                  ) -> DataFrame:
-    """Exactly floor(share * n) rows of every group, chosen by hash of ``ids``.
+    """Exactly floor(share * n) rows of every group: those of the least digests of ``seed`` and ``ids`` (``digest_number``).
 
-    Rows fall into 4096 hash bins per group; bins below the quota are taken whole
+    Rows fall into 4096 bins of digests per group; bins below the quota are taken whole
     and only the one bin at the border is ordered, so large groups stay spread.
     """
-    h = F.xxhash64(F.lit(seed), *ids)
     keys = [*group, "__bin"]
-    rows = df.withColumns({"__h": h, "__bin": F.shiftrightunsigned(h, 52).cast("int")})
+    rows = df.withColumn("__h", C.digest_number(F.lit(seed), *[F.col(i) for i in ids]))
+    rows = rows.withColumn("__bin", F.shiftright("__h", 40).cast("int"))
     by_bin = Window.partitionBy(*group).orderBy("__bin")
     bins = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__bn"))
             .withColumn("__upto", F.sum("__bn").over(by_bin))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.aggregates import interval, quantile_name, quantiles, ranked_quantiles
+from ..functions.columns import digest_number
 from ..session import join_on
 
 def parameter_name(c: Column) -> Column:
@@ -82,9 +83,9 @@ def param_extract(summary: DataFrame, variable: str, dims: list[str], *, exp: bo
 
 
 def sample_draws(draws: DataFrame, n: int = 100, seed: int = 0, draw: str = "draw") -> DataFrame:
-    """``n`` whole draws, chosen by hash of the draw number; the same draws for all species."""
+    """``n`` whole draws, those of the least digests of ``seed`` and draw number; the same draws for all species."""
     chosen = (draws.select(draw).distinct()
-              .orderBy(F.xxhash64(F.lit(seed), F.col(draw)), draw).limit(n))
+              .orderBy(digest_number(F.lit(seed), F.col(draw)), draw).limit(n))
     return draws.join(chosen, draw, "left_semi")
 
 

@@ -281,7 +281,7 @@ def bootstrap_index(surveys: DataFrame, replicates: int = 100, seed: int = 0,
                     site: str = "site", stratum: str = "strat", year: str = "yr") -> DataFrame:
     """Bootstrap draws of the mean count per species, stratum and year.
 
-    Sites are resampled with Poisson(1) weights hashed from (site, replicate), so
+    Sites are resampled with Poisson(1) weights made from digests of (seed, species, site, replicate), so
     a replicate needs no shuffle of its own and reruns give the same draws. Counts
     are summed per site before the replicates unfold, and the unfolded rows are
     combined on the map side.

@@ -5,13 +5,11 @@ nodes: species, id (integer), x, y [, ring]; edges: species, node1 < node2.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
 from ..session import checkpoint
-from .spatial import closest, near_pairs
+from .spatial import closest
 
 
 def car_edges(pairs: DataFrame) -> DataFrame:
@@ -145,80 +143,6 @@ def link_components(nodes: DataFrame, edges: DataFrame, factor: float = 1.2) ->
     return car_edges(edges.select("species", "node1", "node2").unionByName(links))
 
 
-def connecting_radius(nodes: DataFrame, start: float = 10_000.0, growth: float = 1.1) -> DataFrame:
-    """Least ``start * growth^n`` whose discs around the nodes form one piece: species, steps, radius.
-
-    Every component must bridge the gap to its nearest outsider, so each round
-    jumps straight to the step that closes the widest of these gaps and at least
-    halves the number of components; no smaller step can do.
-    """
-    left, right = _sides(nodes)
-    steps = checkpoint(nodes.groupBy("species").agg(F.lit(0).alias("steps")))
-
-    def with_radius(s):
-        return s.withColumn("radius", F.lit(start) * F.pow(F.lit(growth), F.col("steps")))
-
-    while True:
-        links = _within(left, right, with_radius(steps), 2.0)
-        labels = connected_components(nodes, links)
-        several = (labels.groupBy("species").agg(F.min("label").alias("__a"), F.max("label").alias("__b"))
-                   .filter(F.col("__a") != F.col("__b")).select("species"))
-        if several.isEmpty():
-            return with_radius(steps)
-        a = left.join(labels, ["species", "id"]).join(several, "species", "left_semi")
-        b = (right.join(labels.select("species", F.col("id").alias("id2"), F.col("label").alias("label2")),
-                        ["species", "id2"]).join(several, "species", "left_semi"))
-        gaps = closest(a, b, ["species"], ["label"], apart="label")
-        need = gaps.groupBy("species").agg(F.max("distance").alias("__gap"))
-        jump = F.ceil(F.log(F.col("__gap") / (2 * start)) / math.log(growth) - 1e-9).cast("int")
-        wider = F.when(F.col("__gap").isNotNull(), F.greatest(jump, F.col("steps") + 1))
-        steps = checkpoint(steps.join(need, "species", "left").select(
-            "species", F.coalesce(wider, F.col("steps")).alias("steps")))
-
-
-def _within(left, right, radii, times):
-    """Directed pairs of different nodes no further apart than ``times`` the species' radius."""
-    reach = radii.select("species", (F.col("radius") * times).alias("reach"))
-    return (near_pairs(left.join(reach, "species"), right.join(reach, "species"), "reach", ["species"])
-            .filter(F.col("id") != F.col("id2"))
-            .withColumnsRenamed({"id": "node1", "id2": "node2"}))
-
-
-def voronoi_neighbours(nodes: DataFrame, start: float = 10_000.0, growth: float = 1.1,
-                       min_length: float = 1e-3) -> DataFrame:
-    """Edges between nodes whose Voronoi cells, clipped to the discs' union, share a border.
-
-    The border of i and j lies on their bisector. A disc radius b limits it to
-    ``|t| <= sqrt(b^2 - d^2/4)`` around the midpoint and every other node k limits
-    it from one side; the cells touch if an interval is left. Only nodes within
-    2b of i can matter, so all joins are local. Holes in the union are not closed.
-    """
-    radii = checkpoint(connecting_radius(nodes, start, growth))
-    left, right = _sides(nodes)
-    d2 = F.col("distance") * F.col("distance")
-    near = checkpoint(_within(left, right, radii, 2.0).select(
-        "species", "node1", "node2", (F.col("x2") - F.col("x")).alias("dx"),
-        (F.col("y2") - F.col("y")).alias("dy"), d2.alias("d2")))
-    # a third node k close to i, as seen from i
-    third = near.select("species", "node1", F.col("node2").alias("node3"),
-                        F.col("dx").alias("kx"), F.col("dy").alias("ky"), F.col("d2").alias("k2"))
-    pair = near.filter(F.col("node1") < F.col("node2"))
-    # condition t * c <= e along the bisector, measured from i
-    c = F.try_divide(2 * (F.col("dx") * F.col("ky") - F.col("dy") * F.col("kx")), F.sqrt("d2"))
-    e = F.col("k2") - (F.col("dx") * F.col("kx") + F.col("dy") * F.col("ky"))
-    limits = (pair.join(third, ["species", "node1"]).filter(F.col("node2") != F.col("node3"))
-              .select("species", "node1", "node2", c.alias("c"), e.alias("e"))
-              .groupBy("species", "node1", "node2")
-              .agg(F.min(F.when(F.col("c") > 0, F.col("e") / F.col("c"))).alias("__hi"),
-                   F.max(F.when(F.col("c") < 0, F.col("e") / F.col("c"))).alias("__lo"),
-                   F.max((F.col("c") == 0) & (F.col("e") < 0)).alias("__shut")))
-    half = F.sqrt(F.greatest(F.col("radius") * F.col("radius") - F.col("d2") / 4, F.lit(0.0)))
-    length = (F.least(half, F.coalesce("__hi", half)) - F.greatest(-half, F.coalesce("__lo", -half)))
-    return (pair.join(limits, ["species", "node1", "node2"], "left").join(radii, "species")
-            .filter(~F.coalesce(F.col("__shut"), F.lit(False)) & (length > min_length))
-            .select("species", "node1", "node2"))
-
-
 def unlinked_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without a neighbour; must be empty before a spatial model is fitted."""
     linked = edges.select("species", F.explode(F.array("node1", "node2")).alias("id")).distinct()

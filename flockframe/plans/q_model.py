@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..operators import model, neighbours
+from ..operators import model, neighbours, spatial_model
 from . import testdata as T
 from .q_spatial import _CELLS, _nodes, _with
 from .registry import query, r6, rounded
@@ -205,12 +207,49 @@ def count_model_fit(spark, sf):
         F.round("deviance", 2).alias("deviance"))
 
 
-@query()
+def _poisson_sql(u, terms=18):
+    """Poisson(1) quantile of a uniform number: how many cumulated probabilities it reaches."""
+    steps, cdf, p = [], 0.0, math.exp(-1.0)
+    for k in range(terms):
+        cdf += p
+        p /= k + 1
+        steps.append(f"CAST({u} >= {cdf!r}e0 AS INTEGER)")
+    return " + ".join(steps)
+
+
+@query(sql("mrow", f"""SELECT species, strat, yr, draw, round(sum(w * t) / nullif(sum(w * n), 0), 6) AS value FROM (
+      SELECT *, {_poisson_sql("u")} AS w FROM (
+        SELECT *, CAST('0x' || substr(md5('3|' || species || '|' || site || '|' || draw), 1, 13) AS BIGINT) / 4503599627370496e0 AS u
+        FROM (SELECT species, strat, yr, site, CAST(sum(count) AS DOUBLE) AS t, count(*) AS n FROM mrow GROUP BY ALL)
+        CROSS JOIN (SELECT CAST(unnest(range(1, 51)) AS INTEGER) AS draw))) GROUP BY 1, 2, 3, 4"""))
 def bootstrap_index(spark, sf):
-    """Rows only: hashed weights; the tests compare mean and point estimate."""
     return rounded(model.bootstrap_index(T.model_rows(spark, sf), 50, seed=3), "value")
 
 
+@query()
+def spatial_count_index(spark, sf):
+    """Rows only (Newton steps): index of the model with shrunk sites, strata in a row and two season groups."""
+    rows = T.model_rows(spark, sf).withColumn("seas_strat", F.col("strat") % 2)
+    strata = rows.select("species", F.col("strat").alias("node1")).distinct()
+    chain = strata.withColumn("node2", F.col("node1") + 1)
+    fit = spatial_model.fit_spatial_model(rows, chain, spatial_model.Penalties(phi=2.0))
+    return rounded(spatial_model.spatial_index(fit), "value")
+
+
+@query(sql("mrow", "SELECT species, CAST(sum(count) AS BIGINT) AS total, true AS settled FROM mrow GROUP BY 1"))
+def spatial_count_scores(spark, sf):
+    """At the mode of the Poisson fit, expected and counted birds of a species differ by the pull on its levels alone."""
+    rows, p = T.model_rows(spark, sf), spatial_model.Penalties()
+    fit = spatial_model.fit_spatial_model(rows, rows.selectExpr("species", "strat AS node1", "strat + 1 AS node2").distinct(), p)
+    mean = rows.groupBy("species").agg(F.log((F.sum("count") + 0.5) / (F.count("*") + 1)).alias("mean"), F.sum("count").alias("total"))
+    expected = (rows.join(fit["level"], ["species", "strat", "yr"]).join(fit["site"], ["species", "strat", "site"])
+                .join(fit["season"].withColumnRenamed("value", "s"), ["species", "seas", "date"])
+                .groupBy("species").agg(F.sum(F.exp(F.col("value") + F.col("effect") + F.col("s"))).alias("expected")))
+    pull = (fit["level"].join(mean, "species").groupBy("species").agg(F.sum(p.level * (F.col("value") - F.col("mean"))).alias("pull")))
+    return mean.join(expected, "species").join(pull, "species").select(
+        "species", "total", (F.abs(F.col("total") - F.col("expected") - F.col("pull")) < 1e-4).alias("settled"))
+
+
 @query()
 def smooth_index(spark, sf):
     """Rows only; the tests compare with plain penalised least squares."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import coverage, neighbours, spatial
+from ..operators import coverage, neighbours, spatial, voronoi
 from . import testdata as T
 from .registry import query
 from .testdata import sql
@@ -218,31 +218,87 @@ def link_components(spark, sf):
     return neighbours.link_components(nodes, neighbours.contiguity(nodes))
 
 
-_VORONOI = """
+# borders of all cells, and corners at their ends, each at the least of the nodes around it
+_BORDERS = """
     near AS (SELECT a.species, a.id AS i, b.id AS j, a.x AS xi, a.y AS yi, b.x - a.x AS dx, b.y - a.y AS dy,
         sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS d FROM nodes a JOIN nodes b ON b.species = a.species AND b.id <> a.id),
+    bound AS (SELECT * FROM (SELECT p.species, i, j, any_value(xi) AS xi, any_value(yi) AS yi, any_value(dx) AS dx, any_value(dy) AS dy,
+        any_value(d) AS d, coalesce(min(CASE WHEN c > 0 THEN e / c END), 'inf'::DOUBLE) AS hi,
+        coalesce(max(CASE WHEN c < 0 THEN e / c END), '-inf'::DOUBLE) AS lo, coalesce(bool_or(c = 0 AND e < 0), false) AS shut
+      FROM (SELECT near.*, 2 * (dx * (n.y - yi) - dy * (n.x - xi)) / d AS c,
+              (n.x - xi) ** 2 + (n.y - yi) ** 2 - (dx * (n.x - xi) + dy * (n.y - yi)) AS e
+            FROM near LEFT JOIN nodes n ON n.species = near.species AND n.id <> i AND n.id <> j) p GROUP BY 1, 2, 3)
+      WHERE NOT shut AND hi - lo > 1e-3)"""
+_VORONOI = _BORDERS + """,
+    ends AS (SELECT species, i, xi + dx / 2 - hi * dy / d AS x, yi + dy / 2 + hi * dx / d AS y, sqrt(d * d / 4 + hi * hi) AS r
+      FROM bound WHERE isfinite(hi)),
+    corners AS (SELECT species, r FROM ends WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.species = ends.species AND n.id < ends.i
+      AND abs(sqrt((n.x - ends.x) ** 2 + (n.y - ends.y) ** 2) - ends.r) <= 2e-3)),
+    edges AS (SELECT species, i, j, d, lo, hi, sqrt(d * d / 4 + greatest(lo, -hi, 0) ** 2) AS r FROM bound WHERE i < j),
     steps AS (SELECT unnest(range(0, 80)) AS k),
+    links AS (SELECT species, i AS a, j AS b, r FROM edges UNION ALL SELECT species, j, i, r FROM edges),
     reach AS (SELECT species, k, min(id) AS id FROM nodes CROSS JOIN steps GROUP BY 1, 2
-      UNION SELECT r.species, r.k, j FROM reach r JOIN near n
-        ON n.species = r.species AND n.i = r.id AND n.d <= 2 * 10000e0 * 1.1e0 ** r.k),
+      UNION SELECT q.species, q.k, b FROM reach q JOIN links l
+        ON l.species = q.species AND l.a = q.id AND l.r <= 10000e0 * 1.1e0 ** q.k),
     radius AS (SELECT species, 10000e0 * 1.1e0 ** min(k) AS b FROM (
         SELECT species, k, count(*) AS c FROM reach GROUP BY 1, 2)
-      JOIN (SELECT species, count(*) AS c FROM nodes GROUP BY 1) USING (species, c) GROUP BY 1),
-    pair AS (SELECT near.*, b FROM near JOIN radius USING (species) WHERE i < j AND d <= 2 * b),
-    bound AS (SELECT p.species, i, j, any_value(b) AS b, any_value(d) AS d,
-        min(CASE WHEN c > 0 THEN e / c END) AS hi, max(CASE WHEN c < 0 THEN e / c END) AS lo
-      FROM (SELECT pair.*, 2 * (dx * (n.y - yi) - dy * (n.x - xi)) / d AS c,
-              (n.x - xi) ** 2 + (n.y - yi) ** 2 - (dx * (n.x - xi) + dy * (n.y - yi)) AS e
-            FROM pair JOIN nodes n ON n.species = pair.species AND n.id <> i AND n.id <> j) p GROUP BY 1, 2, 3)"""
+      JOIN (SELECT species, count(*) AS c FROM nodes GROUP BY 1) n USING (species, c)
+      WHERE c - (SELECT count(*) FROM edges e WHERE e.species = n.species AND e.r <= 10000e0 * 1.1e0 ** k)
+              + (SELECT count(*) FROM corners o WHERE o.species = n.species AND o.r <= 10000e0 * 1.1e0 ** k) = 1 GROUP BY 1)"""
 
 
 @query(_with("site_hex", _CELLS + "," + _VORONOI, """SELECT species, i AS node1, j AS node2 FROM (
-      SELECT *, sqrt(greatest(b * b - d * d / 4, 0)) AS h FROM bound)
-    WHERE least(h, coalesce(hi, h)) - greatest(-h, coalesce(lo, -h)) > 1e-3""").replace(
-        "WITH ", "WITH RECURSIVE ", 1))
+      SELECT edges.*, sqrt(greatest(b * b - d * d / 4, 0)) AS h FROM edges JOIN radius USING (species))
+    WHERE least(h, hi) - greatest(-h, lo) > 1e-3""").replace("WITH ", "WITH RECURSIVE ", 1))
 def voronoi_neighbours(spark, sf):
     """The SQL tests every node against every pair; the operator only the near ones."""
-    return neighbours.voronoi_neighbours(_nodes(spark, sf))
+    return voronoi.voronoi_neighbours(_nodes(spark, sf))
+
+
+# where a bisector runs within 200 km of the nodes' convex hull: the hull, and all points so near one of its sides or corners
+_HULL = _BORDERS + """,
+    sides AS (SELECT a.species, a.x AS ax, a.y AS ay, (b.x - a.x) / l AS wx, (b.y - a.y) / l AS wy, l
+      FROM (SELECT a.species, a.id AS i, b.id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS l
+            FROM nodes a JOIN nodes b ON a.species = b.species AND a.id <> b.id) p
+      JOIN nodes a ON a.species = p.species AND a.id = i JOIN nodes b ON b.species = p.species AND b.id = j
+      WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.species = p.species
+        AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) / l < -1e-3)),
+    met AS (SELECT b.species, i, j, lo, hi, l, (px * wx + py * wy) AS s0, ux * wx + uy * wy AS s1, px * wy - py * wx AS q0,
+        ux * wy - uy * wx AS q1, px * ux + py * uy AS b, px * px + py * py AS c
+      FROM (SELECT b.*, s.*, xi + dx / 2 - ax AS px, yi + dy / 2 - ay AS py, -dy / d AS ux, dx / d AS uy
+            FROM bound b JOIN sides s ON s.species = b.species WHERE i < j) b)"""
+
+
+def _linear(p, v, low, high):
+    """SQL of from and to of the t with low <= p + t v <= high."""
+    flat = f"{p} >= {low} AND {p} <= {high}"
+    return (f"CASE WHEN {v} <> 0 THEN least(({low} - {p}) / {v}, ({high} - {p}) / {v}) WHEN {flat} THEN '-inf'::DOUBLE ELSE 'inf'::DOUBLE END",
+            f"CASE WHEN {v} <> 0 THEN greatest(({low} - {p}) / {v}, ({high} - {p}) / {v}) WHEN {flat} THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END")
+
+
+_IN, _UP, _ALONG = (_linear("q0", "q1", "'-inf'::DOUBLE", "0"), _linear("q0", "q1", "0", "200000e0"), _linear("s0", "s1", "0", "l"))
+_HULL += f""",
+    part AS (SELECT species, i, j, lo, hi, {_IN[0]} AS in0, {_IN[1]} AS in1, greatest({_UP[0]}, {_ALONG[0]}) AS a0,
+        least({_UP[1]}, {_ALONG[1]}) AS a1, b, b * b - c + 200000e0 ** 2 AS root FROM met),
+    clipped AS (SELECT species, i, j, lo, hi,
+        least(CASE WHEN max(in0) <= min(in1) THEN max(in0) END, min(a0) FILTER (a0 <= a1), min(-b - sqrt(root)) FILTER (root >= 0)) AS t0,
+        greatest(CASE WHEN max(in0) <= min(in1) THEN min(in1) END, max(a1) FILTER (a0 <= a1), max(-b + sqrt(root)) FILTER (root >= 0)) AS t1
+      FROM part GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@query(_with("site_hex", _CELLS + "," + _HULL, """SELECT species, i AS node1, j AS node2, round(greatest(lo, t0), 2) AS from_m,
+    round(least(hi, t1), 2) AS to_m FROM clipped WHERE least(hi, t1) - greatest(lo, t0) > 1e-3"""))
+def voronoi_hull_borders(spark, sf):
+    """Borders of cells clipped to the buffered convex hull, as places along their bisectors."""
+    nodes = _nodes(spark, sf)
+    cut = voronoi.within_hull(nodes, voronoi.voronoi_cells(nodes)[0], 200_000.0).filter("hi - lo > 1e-3")
+    return cut.select("species", "node1", "node2", F.round("lo", 2).alias("from_m"), F.round("hi", 2).alias("to_m"))
+
+
+@query(_with("site_hex", _CELLS + "," + _HULL, """SELECT species, i AS node1, j AS node2 FROM clipped
+    WHERE least(hi, t1) - greatest(lo, t0) > 1e-3"""))
+def voronoi_hull_neighbours(spark, sf):
+    return voronoi.voronoi_neighbours(_nodes(spark, sf), 200_000.0, clip="hull")
 
 
 @query(_with("site_xy", """pts AS (SELECT c_nationkey AS species, x, y FROM site_xy

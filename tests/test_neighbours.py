@@ -1,11 +1,12 @@
 import math
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from flockframe.functions import geometry as G
-from flockframe.operators import neighbours as N
+from flockframe.operators import neighbours as N, voronoi as V
 
 
 def node_frame(spark, groups):
@@ -111,29 +112,129 @@ def voronoi(pts, b, eps=1e-3):
     return out
 
 
+def corners(pts):
+    """Radii of the circles through three or more points that hold no other, each circle once."""
+    n, out = len(pts), {}
+    for i in range(n):
+        for j in range(i):
+            for k in range(j):
+                (ax, ay), (bx, by), (cx, cy) = pts[i], pts[j], pts[k]
+                t = 2 * ((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+                if abs(t) < 1e-9:
+                    continue
+                b2, c2 = (bx - ax) ** 2 + (by - ay) ** 2, (cx - ax) ** 2 + (cy - ay) ** 2
+                x, y = ((cy - ay) * b2 - (by - ay) * c2) / t, ((bx - ax) * c2 - (cx - ax) * b2) / t
+                r = math.hypot(x, y)
+                gaps = [math.hypot(ax + x - px, ay + y - py) - r for px, py in pts]
+                if min(gaps) > -1e-3:
+                    out[tuple(q for q, g in enumerate(gaps) if g < 1e-3)] = r
+    return list(out.values())
+
+
 def steps_needed(pts, start, growth):
-    n = 0
+    """Steps until the discs are one piece and their Euler number says that there is no hole."""
+    n, circles = 0, corners(pts)
     while True:
         b = start * growth ** n
         near = [(i, j) for i, p in enumerate(pts, 1) for j, q in enumerate(pts, 1)
                 if i < j and math.hypot(p[0] - q[0], p[1] - q[1]) <= 2 * b]
-        if len(set(components(len(pts), near).values())) == 1:
+        euler = len(pts) - len(voronoi(pts, b, 0.0)) + sum(r <= b for r in circles)
+        if len(set(components(len(pts), near).values())) == 1 and euler == 1:
             return n
         n += 1
 
 
+def ring(n=12, seed=8, a=100_000.0, b=70_000.0, jitter=3000.0):
+    r = random.Random(seed)
+    return [(a * math.cos(2 * math.pi * k / n) + r.uniform(-jitter, jitter),
+             b * math.sin(2 * math.pi * k / n) + r.uniform(-jitter, jitter)) for k in range(n)]
+
+
 def test_voronoi_neighbours_against_brute_force(spark):
-    groups = {"a": cloud(25, 5), "b": cloud(12, 6, 300.0), "c": [(0, 0), (500, 0), (500, 500), (900, 450)]}
+    lattice = [(x + (y % 2) / 2, y * 0.75 ** 0.5) for x in range(5) for y in range(4) if (x, y) not in ((2, 1), (2, 2))]
+    groups = {"a": cloud(25, 5), "b": cloud(12, 6, 300.0), "c": [(0, 0), (500, 0), (500, 500), (900, 450)],
+              "ring": [(x / 100, y / 100) for x, y in ring()], "lattice": [(300 * x, 300 * y) for x, y in lattice],
+              "one": [(5, 5)], "line": [(0, 0), (100, 0), (350, 0)], "two": [(0, 0), (30, 40)],
+              "remote": [*cloud(15, 7, 500.0), (20_000, 9_000)]}
     nodes = node_frame(spark, groups)
-    radii = {r.species: (r.steps, r.radius) for r in N.connecting_radius(nodes, 10.0, 1.1).collect()}
+    borders, corner = V.voronoi_cells(nodes)
+    radii = {r.species: r.steps for r in V.whole_radius(nodes, borders, corner, 10.0, 1.1).collect()}
     want = set()
     for s, pts in groups.items():
         n = steps_needed(pts, 10.0, 1.1)
-        assert radii[s][0] == n
+        assert (s, radii[s]) == (s, n)
         want |= {(s, *e) for e in voronoi(pts, 10.0 * 1.1 ** n)}
-    got = {tuple(r) for r in N.voronoi_neighbours(nodes, 10.0, 1.1).collect()}
+    got = {tuple(r) for r in V.voronoi_neighbours(nodes, 10.0, 1.1).collect()}
     assert got == want
-    assert N.unlinked_nodes(nodes, N.voronoi_neighbours(nodes, 10.0, 1.1)).isEmpty()
+    assert rows(N.unlinked_nodes(nodes, V.voronoi_neighbours(nodes, 10.0, 1.1)).select("species")) == [("one",)]
+    with pytest.raises(ValueError, match="one"):
+        V.voronoi_neighbours(nodes, 10.0, 1.1, strict=True)
+
+
+def test_a_ring_of_cells_closes(spark):
+    """The discs grow until the middle of the ring is covered; then opposite cells meet there."""
+    pts = ring()
+    nodes = node_frame(spark, {"ring": pts})
+    radius = V.whole_radius(nodes, *V.voronoi_cells(nodes)).first()["radius"]
+    assert radius > 60_000
+    side = [i * 1000.0 for i in range(-200, 201, 5)]
+    dry = {(x, y) for x in side for y in side if all(math.hypot(x - a, y - b) > radius for a, b in pts)}
+    reached, todo = set(), [(side[0], side[0])]
+    while todo:
+        x, y = todo.pop()
+        if (x, y) in dry and (x, y) not in reached:
+            reached.add((x, y))
+            todo += [(x + 5000, y), (x - 5000, y), (x, y + 5000), (x, y - 5000)]
+    assert reached == dry
+    edges = {tuple(r)[1:] for r in V.voronoi_neighbours(nodes).collect()}
+    assert {(i, i + 1) for i in range(1, 12)} | {(1, 12)} < edges and len(edges) > 12
+
+
+def test_a_remote_cell_leaves_the_others_corners(spark):
+    pts = cloud(60, 9, 50_000.0)
+    near, far = ({(r["node1"], r["node2"]): (r["lo"], r["hi"]) for r in V.voronoi_cells(node_frame(spark, {"a": p}))[0].collect()}
+                 for p in (pts, [*pts, (9e6, 9e6)]))
+    kept = [e for e, (lo, hi) in near.items() if max(abs(lo), abs(hi)) < 20_000]
+    assert len(kept) > 100 and all(abs(near[e][0] - far[e][0]) + abs(near[e][1] - far[e][1]) < 1e-6 for e in kept)
+
+
+def hull_gap(pts, x, y):
+    """Distance of a point from the convex hull, by its sides and all points."""
+    sides = []
+    for ax, ay in pts:
+        for bx, by in pts:
+            if (ax, ay) != (bx, by) and all((bx - ax) * (cy - ay) - (by - ay) * (cx - ax) >= -1e-9 for cx, cy in pts):
+                sides.append((ax, ay, bx, by))
+    if sides and all((bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0 for ax, ay, bx, by in sides):
+        return 0.0
+    gaps = [math.hypot(x - a, y - b) for a, b in pts]
+    for ax, ay, bx, by in sides:
+        d2 = (bx - ax) ** 2 + (by - ay) ** 2
+        t = min(1, max(0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / d2))
+        gaps.append(math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+    return min(gaps)
+
+
+def test_cells_clipped_to_the_buffered_hull(spark):
+    groups = {"a": cloud(20, 11), "b": cloud(7, 12), "line": [(0, 0), (100, 0), (350, 0)]}
+    nodes = node_frame(spark, groups)
+    borders, _ = V.voronoi_cells(nodes)
+    cut = {(r["species"], r["node1"], r["node2"]): (r["lo"], r["hi"]) for r in V.within_hull(nodes, borders, 40.0).collect()}
+    assert len(cut) == borders.count()
+    for r in borders.collect():
+        pts = groups[r["species"]]
+        (ax, ay), (bx, by) = pts[r["node1"] - 1], pts[r["node2"] - 1]
+        lo, hi = cut[r["species"], r["node1"], r["node2"]]
+
+        def gap(t):
+            return hull_gap(pts, (ax + bx) / 2 - t * (by - ay) / r["d"], (ay + by) / 2 + t * (bx - ax) / r["d"])
+        if lo < hi:
+            assert all(abs(gap(t) - 40) < 1e-6 for t, own in ((lo, r["lo"]), (hi, r["hi"])) if t != own)
+            assert gap((lo + hi) / 2) < 40 + 1e-6 and gap(lo) < 40 + 1e-6 and gap(hi) < 40 + 1e-6
+        else:
+            assert all(gap(max(r["lo"], -1e5) + k * (min(r["hi"], 1e5) - max(r["lo"], -1e5)) / 50) > 40 - 1e-6 for k in range(51))
+    edges = {tuple(r) for r in V.voronoi_neighbours(nodes, 40.0, clip="hull").collect()}
+    assert edges == {e for e, (lo, hi) in cut.items() if hi - lo > 1e-3}
 
 
 def test_contiguity_needs_a_whole_edge(spark):
