@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import checkpoint
 
@@ -10,10 +10,11 @@ from ..session import checkpoint
 def _least(edges: DataFrame) -> DataFrame:
     """Edges (a, b) with the least of a and all its partners.
 
-    The least are written: a join of plain tables is one whose partitions are split at a hub.
+    The least are written: a join of plain tables is one whose partitions are split at a hub. It is a merge join
+    at every size, so no rounds of broadcasts pile up in the driver.
     """
     least = checkpoint(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-    return edges.join(least, "a")
+    return edges.join(least.hint("merge"), "a")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,10 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = _least(large)  # here all partners are lesser
         small = (small.select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        edges = checkpoint(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
+        seen = Observation()
+        edges = checkpoint(small.observe(seen, F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("s")))
+        now = seen.get
         if now == before:
             break
         before = now
-    return (nodes.join(edges, nodes["node"] == edges["a"], "left")
+    return (nodes.join(edges.hint("merge"), nodes["node"] == edges["a"], "left")
             .select("node", F.coalesce("b", "node").alias("root")))

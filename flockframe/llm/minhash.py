@@ -3,7 +3,8 @@
 One hash a shingle: the hash's place in its range picks a bin, the least hash of a bin is its
 entry, and an empty bin borrows from the bin that a fixed probe sequence of its own finds first.
 Bands of bins are the buckets; each bucket proposes only the pairs of its members with one centre,
-and the links are confirmed on the whole shingle sets.
+and the links are confirmed on the whole shingle sets. Joins are merge joins at every size: each side grows with
+the documents, and the driver would hold the broadcasts of all rounds.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Sizes of intersection and union of the sets of pairs (a, b); size and own elements of b's."""
     left = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right").mapInArrow(
         _measure, "a long, b long, n long, n_both long, n_any long, own array<long>")
 
 
@@ -155,13 +156,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", percent: int = 8
         F.min("uid").alias("cid"), F.min("n_shingles").alias("n"))
     entries = (signed.filter("n_shingles > 0").select("f1", "f2", F.explode("bands").alias("key")).distinct())
     crowded = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = checkpoint(entries.join(crowded, "key").join(classes, ["f1", "f2"]).select("key", "size", "cid"))
+    members = checkpoint(entries.join(crowded.hint("merge"), "key").join(classes.hint("merge"), ["f1", "f2"]).select("key", "size", "cid"))
     popular = members.groupBy("cid").agg(F.sum("size").alias("met"))
-    centres = (members.join(popular, "cid").groupBy("key").agg(F.min(F.struct(-F.col("met"), "cid")).alias("c"))
+    centres = (members.join(popular.hint("merge"), "cid").groupBy("key").agg(F.min(F.struct(-F.col("met"), "cid")).alias("c"))
                .select("key", F.col("c.cid").alias("a")))
-    stars = checkpoint(members.join(centres, "key").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct())
-    involved = popular.select("cid").join(classes, "cid")
-    sets = checkpoint(texts.mapInArrow(_sets, "f1 long, f2 long, hashes binary").join(involved, ["f1", "f2"])
+    stars = checkpoint(members.join(centres.hint("merge"), "key").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct())
+    involved = popular.select("cid").join(classes.hint("merge"), "cid")
+    sets = checkpoint(texts.mapInArrow(_sets, "f1 long, f2 long, hashes binary").join(involved.hint("merge"), ["f1", "f2"])
                       .groupBy("cid").agg(F.first("hashes").alias("hashes")))
     measured = checkpoint(_overlaps(stars, sets))
     linked = f"100 * n_both >= {percent} * n_any"
@@ -169,14 +170,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", percent: int = 8
     rest = checkpoint(_remaining(measured, components(links), percent))
     links = checkpoint(links.union(_overlaps(rest, sets).filter(linked).select("a", "b")))
     roots = components(links)
-    classes = (classes.join(roots, classes["cid"] == roots["node"], "left")
+    classes = (classes.join(roots.hint("merge"), classes["cid"] == roots["node"], "left")
                .select("f1", "f2", F.coalesce("root", "cid").alias("root")))
-    whole = checkpoint(signed.select("doc_id", "n_shingles", "f1", "f2", "uid").join(classes, ["f1", "f2"], "left")
+    whole = checkpoint(signed.select("doc_id", "n_shingles", "f1", "f2", "uid").join(classes.hint("merge"), ["f1", "f2"], "left")
                        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"), "uid"))
     # written, so that the join has a plain table on either side and a large group's partition is split
     least = checkpoint(whole.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")))
     alone = whole.filter("root is null").withColumn("least", F.col("doc_id"))
-    result = whole.filter("root is not null").join(least, "root").unionByName(alone)
+    result = whole.filter("root is not null").join(least.hint("merge"), "root").unionByName(alone)
     return result.select("doc_id", "n_shingles", F.col("least").alias("component_id"),
                          F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False)).alias("kept"))
 
@@ -192,25 +193,25 @@ def _remaining(measured: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     centre's by m missing and o own elements, of which at most the lesser number missing can agree, and
     (centre - greater m) / (centre + both o - lesser m) bounds their similarity: such pairs are joined by their (m, o).
     """
-    rooted = measured.join(roots, F.col("b") == F.col("node"), "left").select(
+    rooted = measured.join(roots.hint("merge"), F.col("b") == F.col("node"), "left").select(
         "a", "b", "n", (F.col("n_any") - F.col("n") + F.col("n_both")).alias("centre"), "own",
         (F.col("n_any") - F.col("n")).alias("m"), (F.col("n") - F.col("n_both")).alias("o"),
         (1 - F.col("n_both") / F.col("n_any")).alias("d"),
         F.expr(f"n - cast(ceil(n * {percent} / 100) as int) + 1").alias("p"), F.coalesce("root", "b").alias("root"))
     split = rooted.groupBy("a").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("a")
-    rooted = checkpoint(rooted.join(split, "a"))
+    rooted = checkpoint(rooted.join(split.hint("merge"), "a"))
 
     own = rooted.select("a", "b", F.explode("own").alias("e"))
     common = own.groupBy("a", "e").agg(F.count("*").alias("having")).filter("having > 1")
-    common = (own.join(common, ["a", "e"]).groupBy("a", "b")
+    common = (own.join(common.hint("merge"), ["a", "e"]).groupBy("a", "b")
               .agg(F.sort_array(F.collect_list(F.struct("having", "e"))).alias("common")))
     places = F.greatest(F.col("p") - F.col("o") + F.size("common"), F.lit(0)).cast("int")
-    entries = rooted.join(common, ["a", "b"]).select(
+    entries = rooted.join(common.hint("merge"), ["a", "b"]).select(
         "a", "b", "n", "d", "root", F.explode(F.slice("common", F.lit(1), places)["e"]).alias("e"))
     mixed = entries.groupBy("a", "e").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("a", "e")
-    entries = checkpoint(entries.join(mixed, ["a", "e"]))
+    entries = checkpoint(entries.join(mixed.hint("merge"), ["a", "e"]))
     other = entries.select("a", "e", *[F.col(c).alias(f"{c}2") for c in ("b", "n", "d", "root")])
-    outside = (entries.join(other, ["a", "e"]).filter("b < b2 and root <> root2")
+    outside = (entries.join(other.hint("merge"), ["a", "e"]).filter("b < b2 and root <> root2")
                .filter(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
                .filter(f"abs(d - d2) <= {1 - percent / 100 + 1e-9}").select("b", "b2"))
 
@@ -218,10 +219,10 @@ def _remaining(measured: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     kinds = reaching.select("a", "centre", "m", "o").distinct()
     other = kinds.select("a", F.col("m").alias("m2"), F.col("o").alias("o2"))
     bound = f"100 * (centre - greatest(m, m2)) >= {percent} * (centre + o + o2 - least(m, m2))"
-    kinds = kinds.join(other, "a").filter(bound).select("a", "m", "o", "m2", "o2")
+    kinds = kinds.join(other.hint("merge"), "a").filter(bound).select("a", "m", "o", "m2", "o2")
     right = reaching.select("a", F.col("m").alias("m2"), F.col("o").alias("o2"), F.col("b").alias("b2"),
                             F.col("root").alias("root2"))
-    inside = (reaching.join(kinds, ["a", "m", "o"]).join(right, ["a", "m2", "o2"])
+    inside = (reaching.join(kinds.hint("merge"), ["a", "m", "o"]).join(right.hint("merge"), ["a", "m2", "o2"])
               .filter("b < b2 and root <> root2").select("b", "b2"))
     return (outside.union(inside).select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
-            .join(measured.select("a", "b"), ["a", "b"], "left_anti"))
+            .join(measured.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))

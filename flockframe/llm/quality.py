@@ -89,7 +89,9 @@ def train(bags, n: int, settings: Settings) -> tuple[np.ndarray, float]:
     """
     rng = np.random.default_rng(settings.seed)
     d = settings.dimensions
-    vectors = rng.uniform(-1 / d, 1 / d, (BUCKETS, d)).astype(np.float32)
+    vectors = np.empty((BUCKETS, d), np.float32)
+    for at in range(0, BUCKETS, 1 << 14):  # no second table of doubles
+        vectors[at:at + (1 << 14)] = rng.uniform(-1 / d, 1 / d, (min(1 << 14, BUCKETS - at), d))
     layer, bias = np.zeros((2, d), np.float32), np.zeros(2, np.float32)
     steps, step = max(1, settings.epochs * n), 0
     for k in range(settings.epochs):

@@ -30,8 +30,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = checkpoint(near_duplicates(docs, percent=80))
     dropped = found.filter("not kept").select("doc_id").distinct()
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
-    single = docs.join(dropped.union(repeated).distinct(), "doc_id", "left_anti")
-    again = docs.join(repeated, "doc_id", "left_semi").join(dropped, "doc_id", "left_anti")
+    single = docs.join(dropped.union(repeated).distinct().hint("merge"), "doc_id", "left_anti")
+    again = docs.join(repeated.hint("merge"), "doc_id", "left_semi").join(dropped.hint("merge"), "doc_id", "left_anti")
     first = again.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__row = 1")
     return single.unionByName(first.drop("__row")).select(docs.columns)
 
