@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from ..session import join_on
+from ..session import checkpoint, join_on
 
 
 def quantiles(c: Column, probs) -> Column:
@@ -36,31 +36,24 @@ def quantile_name(p: float) -> str:
     return "Q_" + f"{p:g}".replace("0.", "", 1)
 
 
-def ranked_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                     bins: int = 2048) -> DataFrame:
+def ranked_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact grouped quantiles for groups too large for one task.
 
-    Equal values are counted first, so a group is spread by value. Each group is
-    cut into bins of a monotone scale of its own range; bin totals (at most
-    ``bins`` rows per group) tell which bins hold the wanted ranks, and only
-    those few bins are ordered.
+    Equal values are counted first. The different values are dealt out by range, between splitters that Spark
+    samples, so parts are alike in size however the values lie, outliers included. The parts' totals (a row for each
+    part that a group touches) give the rank that each part starts at and tell which parts hold the wanted ranks;
+    only those few are ordered.
     """
     if not keys:
         raise ValueError("ranked_quantiles needs at least one key")
     freq = (df.filter(F.col(value).isNotNull())
             .groupBy(*keys, F.col(value).cast("double").alias("__v"))
             .agg(F.count(F.lit(1)).alias("__n")))
-    scale = F.signum("__v") * F.log1p(F.abs("__v"))
-    span = freq.groupBy(*keys).agg(F.min(scale).alias("__lo"), F.max(scale).alias("__hi"),
-                                   F.sum("__n").alias("__total"))
-    width = F.col("__hi") - F.col("__lo")
-    binned = join_on(freq, span, keys).withColumn(
-        "__bin", F.when(width > 0, F.least(F.floor((scale - F.col("__lo")) / width * bins),
-                                           F.lit(bins - 1))).otherwise(0).cast("int"))
-    order = Window.partitionBy(*keys).orderBy("__bin")
-    totals = (binned.groupBy(*keys, "__bin")
-              .agg(F.sum("__n").alias("__bn"), F.first("__total").alias("__total"))
-              .withColumn("__before", F.sum("__bn").over(order) - F.col("__bn")))
+    parted = checkpoint(freq.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id()))
+    order, group = Window.partitionBy(*keys).orderBy("__part"), Window.partitionBy(*keys)
+    totals = (parted.groupBy(*keys, "__part").agg(F.sum("__n").alias("__bn"))
+              .withColumn("__before", F.sum("__bn").over(order) - F.col("__bn"))
+              .withColumn("__total", F.sum("__bn").over(group)))
 
     def position(p):
         return (F.col("__total") - 1) * float(p)
@@ -69,9 +62,9 @@ def ranked_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str
     wanted = (totals
               .filter(F.exists(ranks, lambda r: (r >= F.col("__before"))
                                & (r < F.col("__before") + F.col("__bn"))))
-              .select(*keys, "__bin", "__before"))
-    within = Window.partitionBy(*keys, "__bin").orderBy("__v")
-    rows = (join_on(binned, wanted, [*keys, "__bin"])
+              .select(*keys, "__part", "__before", "__total"))
+    within = Window.partitionBy(*keys, "__part").orderBy("__v")
+    rows = (join_on(parted, wanted, [*keys, "__part"])
             .withColumn("__end", F.col("__before") + F.sum("__n").over(within))
             .withColumn("__start", F.col("__end") - F.col("__n")))
 

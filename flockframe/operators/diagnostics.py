@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import columns as C
+from ..functions.aggregates import quantiles
 from ..session import join_on
 
 
@@ -109,9 +110,40 @@ def effective_size(draws: DataFrame, keys: list[str]) -> DataFrame:
         per_parameter, schema)
 
 
+#: Makes the median absolute deviation of normal values their standard deviation (fixed value).
+MAD_SCALE = 1.4826
+
+
+def tail_ess(draws: DataFrame, keys: list[str], tails: tuple[float, ...] = (0.05, 0.95)) -> DataFrame:
+    """Effective sample size in the tails: the least of those of the indicators of lying at or below a tail's quantile.
+
+    Each half chain is a chain of its own. A tail with all values on one side has no size.
+    """
+    draws = draws.select(*keys, "chain", "iteration", "value")
+    ends = draws.groupBy(*keys).agg(quantiles(F.col("value"), tails).alias("__q"))
+    marks = join_on(_halves(draws, keys), ends, keys).select(
+        *keys, (F.col("chain") * 2 + F.col("__half")).alias("chain"), "iteration", "value", F.posexplode("__q").alias("__tail", "__end"))
+    marks = marks.withColumn("value", (F.col("value") <= F.col("__end")).cast("double"))
+    return effective_size(marks, [*keys, "__tail"]).groupBy(*keys).agg(F.min("ess").alias("ess_tail"))
+
+
+def draw_statistics(draws: DataFrame, keys: list[str]) -> DataFrame:
+    """mean, median, sd, mad, q5 and q95 of each parameter's draws."""
+    rows = draws.select(*keys, "value")
+    whole = rows.groupBy(*keys).agg(F.avg("value").alias("mean"), quantiles(F.col("value"), (0.5, 0.05, 0.95)).alias("__q"),
+                                    F.stddev_samp("value").alias("sd"))
+    whole = whole.select(*keys, "mean", F.col("__q")[0].alias("median"), "sd", F.col("__q")[1].alias("q5"), F.col("__q")[2].alias("q95"))
+    away = join_on(rows, whole.select(*keys, "median"), keys).groupBy(*keys).agg(
+        (F.median(F.abs(F.col("value") - F.col("median"))) * MAD_SCALE).alias("mad"))
+    return join_on(whole, away, keys).select(*keys, "mean", "median", "sd", "mad", "q5", "q95")
+
+
 def convergence_summary(draws: DataFrame, keys: list[str]) -> DataFrame:
-    """rhat and ess_bulk per parameter, the input of ``convergence_rollup``."""
-    return join_on(rank_rhat(draws, keys), bulk_ess(draws, keys), keys)
+    """mean, median, sd, mad, q5, q95, rhat, ess_bulk and ess_tail per parameter, the input of ``convergence_rollup``."""
+    out = draw_statistics(draws, keys)
+    for part in (rank_rhat(draws, keys), bulk_ess(draws, keys), tail_ess(draws, keys)):
+        out = join_on(out, part, keys)
+    return out
 
 
 def convergence_rollup(summary: DataFrame, keys: list[str], contains: str | None = None) -> DataFrame:

@@ -148,14 +148,58 @@ def near_sites(sites: DataFrame, threshold: float = 160.0, site: str = "locality
     return join_on(sites, lists.withColumns(joined).drop("__cells"), at)
 
 
+#: Cell sides of a pyramid: from an eighth of the mean spacing, doubling.
+FINEST = 1 / 8
+
+
+def _pyramid(low, high, n: int) -> list[float]:
+    """Sides of the cells of each level; a block of 3 x 3 cells of the last one covers the box ``low`` to ``high``."""
+    extent = max(math.hypot(high[0] - low[0], high[1] - low[1]), 1e-6)
+    finest = extent / max(n, 1) ** 0.5 * FINEST
+    return [finest * 2.0 ** i for i in range(max(1, math.ceil(math.log2(extent / finest))) + 1)]
+
+
+def _at_levels(sides: list[float], x, y):
+    """Array of a point's cell at each level."""
+    return F.array(*[F.struct(F.lit(i).alias("__level"), F.floor(F.col(x) / s).alias("__px"), F.floor(F.col(y) / s).alias("__py"))
+                     for i, s in enumerate(sides)])
+
+
+def sure_levels(left: DataFrame, right: DataFrame, keys: list[str], sides: list[float], k: int = 1,
+                apart: str | None = None) -> DataFrame:
+    """Left points with ``__level``: the finest one at which the 3 x 3 cells around the point hold ``k`` right points (the
+    last one where none does).
+
+    All of these lie within 2 sqrt(2) sides, so a search with that radius is sure to find the ``k`` closest. The counts of all levels
+    are made in one aggregation. With ``apart`` right points of the same ``apart`` value do not count.
+    """
+    cell, around = [*keys, "__level", "__px", "__py"], F.array(F.lit(-1), F.lit(0), F.lit(1))
+    label = [apart + "2"] if apart else []
+    counts = (right.select(*keys, *label, F.explode(_at_levels(sides, "x2", "y2")).alias("__c")).select(*keys, *label, "__c.*")
+              .groupBy(*cell, *label).agg(F.count(F.lit(1)).alias("__n"))
+              .withColumn("__px", F.explode(F.transform(around, lambda d: F.col("__px") + d)))
+              .withColumn("__py", F.explode(F.transform(around, lambda d: F.col("__py") + d))))
+    blocks = counts.groupBy(*cell).agg(F.sum("__n").alias("__n"))
+    if apart:
+        own = counts.groupBy(*cell, *label).agg(F.sum("__n").alias("__own"))
+    at = left.withColumn("__row", F.monotonically_increasing_id())
+    at = checkpoint(at)
+    told = (at.select("__row", *keys, *([apart] if apart else []), F.explode(_at_levels(sides, "x", "y")).alias("__c"))
+            .select("__row", *keys, *([apart] if apart else []), "__c.*").join(blocks, cell))
+    if apart:
+        told = told.join(own.withColumnRenamed(apart + "2", apart), [*cell, apart], "left").withColumn(
+            "__n", F.col("__n") - F.coalesce("__own", F.lit(0)))
+    found = told.filter(F.col("__n") >= k).groupBy("__row").agg(F.min("__level").alias("__level"))
+    return at.join(found, "__row", "left").drop("__row").fillna(len(sides) - 1, "__level")
+
+
 def closest(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], *, k: int = 1,
-            apart: str | None = None, start: float | None = None) -> DataFrame:
+            apart: str | None = None) -> DataFrame:
     """For each ``by`` group of left points its ``k`` closest right points (exact).
 
-    A search radius per ``keys`` group doubles until every ``by`` group has its
-    ``k`` points or the radius covers everything; each round handles only the
-    groups still open. Left: keys, by, id, x, y; right: keys, id2, x2, y2. With
-    ``apart`` only pairs differing in that column (``apart`` left, ``apart``2 right) count.
+    Each point searches once, with a radius that is sure to hold its ``k`` closest (``sure_levels``), among the points of its level.
+    Left: keys, by, id, x, y; right: keys, id2, x2, y2. With ``apart`` only pairs differing in that column (``apart`` left,
+    ``apart``2 right) count.
     """
     left, right = checkpoint(left), checkpoint(right)
     spread = right.agg(F.min("x2"), F.max("x2"), F.min("y2"), F.max("y2"), F.count(F.lit(1))).first()
@@ -165,27 +209,20 @@ def closest(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], *
         empty = left.limit(0)
         return (empty.join(right.limit(0), keys) if keys else empty.withColumn(
             "id2", F.lit(None))).withColumn("distance", F.lit(0.0)).select(*out_cols)
-    dx = max(spread[1], other[1]) - min(spread[0], other[0])
-    dy = max(spread[3], other[3]) - min(spread[2], other[2])
-    extent = (dx * dx + dy * dy) ** 0.5
-    radius = start or max(extent, 1.0) / max(spread[4], 1) ** 0.5
+    sides = _pyramid((min(spread[0], other[0]), min(spread[2], other[2])), (max(spread[1], other[1]), max(spread[3], other[3])), spread[4])
+    radius = F.element_at(F.array(*[F.lit(2.0 ** 1.5 * s * (1 + 1e-9)) for s in sides]), F.col("__level") + 1)
+    left = checkpoint(sure_levels(left, right, keys, sides, k, apart).withColumn("__radius", radius))
+    levels = left.select(*keys, "__level", "__radius").distinct()
+    if keys:
+        right = right.join(levels, keys)
+    else:
+        right = right.withColumn("__level", F.explode(F.array(*[F.lit(i) for i in range(len(sides))]))).join(levels, "__level")
+    pairs = near_pairs(left, right, "__radius", [*keys, "__level"]).filter(
+        F.lit(True) if apart is None else F.col(apart) != F.col(apart + "2"))
     group = list(dict.fromkeys([*keys, *by]))
     # equal to the millimetre counts as equal
     order = Window.partitionBy(*group).orderBy(F.round("distance", 3), "id", "id2")
-    open_left, done = left, None
-    while True:
-        pairs = near_pairs(open_left, right, radius, keys).filter(
-            F.lit(True) if apart is None else F.col(apart) != F.col(apart + "2"))
-        top = checkpoint(pairs.withColumn("__rn", F.row_number().over(order))
-                         .filter(F.col("__rn") <= k).select(*out_cols, "__rn"))
-        last = radius > extent
-        full = top if last else top.join(
-            top.filter(F.col("__rn") == k).select(*group), group, "left_semi")
-        done = full if done is None else done.unionByName(full)
-        open_left = checkpoint(join_on(open_left, full.select(*group).distinct(), group, "left_anti"))
-        if last or open_left.isEmpty():
-            return done.drop("__rn")
-        radius *= 2
+    return pairs.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= k).select(*out_cols)
 
 
 # --- points and polygons ------------------------------------------------------
@@ -204,8 +241,11 @@ def _cell_size(extent):
     return max(extent.mean or 0.0, (extent.largest or 0.0) / 64, 1e-9)
 
 
-def _candidates(points, boxes, radius, size):
-    """Points with the ids of the polygons whose box is within ``radius`` of them."""
+def _candidates(points, boxes, radius, size, keys=()):
+    """Points with the ids of the polygons whose box is within ``radius`` of them. ``radius`` and ``size`` of the cells may be
+    columns that ``keys``, in both tables, determine."""
+    radius, size = (F.lit(v) if isinstance(v, float) else v for v in (radius, size))
+
     def cells(lo, hi):
         return F.sequence(F.floor((F.col(lo) - radius) / size), F.floor((F.col(hi) + radius) / size))
 
@@ -213,8 +253,8 @@ def _candidates(points, boxes, radius, size):
               .withColumn("__cy", F.explode(cells("ymin", "ymax"))))
     dx = F.greatest(F.col("xmin") - F.col("x"), F.col("x") - F.col("xmax"), F.lit(0.0))
     dy = F.greatest(F.col("ymin") - F.col("y"), F.col("y") - F.col("ymax"), F.lit(0.0))
-    return (points.withColumns({"__cx": _cell("x", F.lit(size)), "__cy": _cell("y", F.lit(size))})
-            .join(spread, ["__cx", "__cy"]).filter(F.hypot(dx, dy) <= radius)
+    return (points.withColumns({"__cx": F.floor(F.col("x") / size), "__cy": F.floor(F.col("y") / size)})
+            .join(spread, [*keys, "__cx", "__cy"]).filter(F.hypot(dx, dy) <= radius)
             .drop("__cx", "__cy", "xmin", "xmax", "ymin", "ymax"))
 
 
@@ -235,8 +275,8 @@ def contains_join(points: DataFrame, polygons: DataFrame) -> DataFrame:
 def nearest_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Add the nearest polygon (``poly_id``) and its distance, 0 inside; ties go to the lesser id.
 
-    Distinct places meet only the polygons whose box is within the search radius,
-    through square cells; the radius doubles for the places left over.
+    A polygon is no further than the nearest of its corners, so each distinct place searches once, with a radius that is sure to
+    reach a corner (``sure_levels``), among the polygons whose box is that near.
     """
     rings, boxes = _boxes(polygons)
     extent = _extent(rings)
@@ -247,22 +287,18 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     if spot[0] is None:
         return points.withColumns({"poly_id": F.lit(None).cast(polygons.schema["poly_id"].dataType),
                                    "distance": F.lit(None).cast("double")})
-    whole = ((max(extent.xmax, spot[1]) - min(extent.xmin, spot[0])) ** 2
-             + (max(extent.ymax, spot[3]) - min(extent.ymin, spot[2])) ** 2) ** 0.5
-    radius, found = _cell_size(extent) / 4, None
-    while True:
-        near = _candidates(left, boxes, radius, max(radius, _cell_size(extent)))
-        distance = G.distance_to_ring(F.col("x"), F.col("y"), F.col("ring"))
-        best = checkpoint(
-            near.join(rings, "poly_id").select("x", "y", "poly_id", distance.alias("distance"))
-            .filter(F.col("distance") <= radius)
-            .groupBy("x", "y").agg(F.min(F.struct("distance", "poly_id")).alias("__b"))
-            .select("x", "y", "__b.*"))
-        found = best if found is None else found.unionByName(best)
-        left = checkpoint(left.join(best, ["x", "y"], "left_anti"))
-        if radius > whole or left.isEmpty():
-            return join_on(points, found, ["x", "y"], "left")
-        radius *= 2
+    corners = checkpoint(rings.select(F.explode("ring").alias("c")).select(F.col("c.x").alias("x2"), F.col("c.y").alias("y2")))
+    sides = _pyramid((min(extent.xmin, spot[0]), min(extent.ymin, spot[2])), (max(extent.xmax, spot[1]), max(extent.ymax, spot[3])),
+                     corners.count())
+    radius = F.element_at(F.array(*[F.lit(2.0 ** 1.5 * s * (1 + 1e-9)) for s in sides]), F.col("__level") + 1)
+    left = checkpoint(sure_levels(left, corners, [], sides))
+    level = F.explode(F.array(*[F.lit(i) for i in range(len(sides))]))
+    used = boxes.withColumn("__level", level).join(left.select("__level").distinct(), "__level")
+    near = _candidates(left, used, radius, F.greatest(radius, F.lit(_cell_size(extent))), ["__level"])
+    distance = G.distance_to_ring(F.col("x"), F.col("y"), F.col("ring"))
+    best = (near.join(rings, "poly_id").select("x", "y", "poly_id", distance.alias("distance"))
+            .groupBy("x", "y").agg(F.min(F.struct("distance", "poly_id")).alias("__b")).select("x", "y", "__b.*"))
+    return join_on(points, best, ["x", "y"], "left")
 
 
 def overlaps(cells: DataFrame, regions: DataFrame) -> DataFrame:

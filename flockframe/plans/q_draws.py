@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -34,7 +36,7 @@ def draws_long(spark, sf):
 @query(sql("vec", f"SELECT {_SUMMARY.format(v='e')} FROM vec WHERE pos = 32"))
 def draw_summary_0d(spark, sf):
     d = draws.draws_long(_wide(spark, sf), ["draw"], "ALPHA1")
-    return rounded(draws.summarise(d, []), *_STATS)
+    return rounded(draws.summarise(d, [], spread=True), *_STATS)
 
 
 @query(sql("vec", f"""SELECT CAST(pos + 1 AS INTEGER) AS s, {_SUMMARY.format(v='e')},
@@ -192,11 +194,48 @@ def effective_size(spark, sf):
     return rounded(diagnostics.effective_size(T.log_draws(spark, sf), ["species", "strat", "y"]), "ess")
 
 
-@query()
+def _ess_sql(source, p):
+    """CTEs of the effective sizes of ``source``'s chains; their names begin with ``p``, the last is ``p``ess."""
+    body = _ESS_SQL[_ESS_SQL.index("    len AS"):]
+    for name in ("len", "cut", "cen", "means", "lagged", "rho", "pairs", "stops", "tau"):
+        body = re.sub(rf"\b(FROM|JOIN) {name}\b|\b{name}( AS \()", lambda m: f"{m[1]} {p}{name}" if m[1] else f"{p}{name}{m[2]}", body)
+    body = body.replace("FROM raw", f"FROM {source}").replace("raw.*", f"{source}.*")
+    return body + f""",
+    {p}ess AS (SELECT species, strat, y, m * n / greatest(tau + greatest(coalesce(r, 0), 0), 1 / log10(m * n)) AS ess
+      FROM {p}tau LEFT JOIN (SELECT species AS s, strat AS st, y AS yy, t, r FROM {p}rho) q
+        ON s = species AND st = strat AND yy = y AND t = 2 * stop)"""
+
+
+def _halved(source):
+    """Each half chain of a table as a chain of its own, iterations from 0."""
+    return f"""SELECT species, strat, y, chain * 2 + half AS chain, value,
+        row_number() OVER (PARTITION BY species, strat, y, chain, half ORDER BY iteration) - 1 AS iteration FROM (
+          SELECT *, CASE WHEN iteration - i0 < k // 2 THEN 0 WHEN iteration - i0 >= k - k // 2 THEN 1 END AS half
+          FROM (SELECT *, min(iteration) OVER (PARTITION BY species, strat, y, chain) AS i0,
+                       count(*) OVER (PARTITION BY species, strat, y, chain) AS k FROM {source})) WHERE half IS NOT NULL"""
+
+
+@query(_with("dkey", f"""
+    raw AS (SELECT species, strat, chain, iteration, CAST(pos + 1 AS INTEGER) AS y, e AS value FROM dkey),
+    stat AS (SELECT species, strat, y, avg(value) AS mean, quantile_cont(value, 0.5) AS median, stddev_samp(value) AS sd,
+        quantile_cont(value, 0.05) AS q5, quantile_cont(value, 0.95) AS q95 FROM raw GROUP BY ALL),
+    folded AS (SELECT species, strat, y, chain, iteration, abs(value - median) AS value FROM raw JOIN stat USING (species, strat, y)),
+    z1 AS ({_scores_sql('raw')}), z2 AS ({_scores_sql('folded')}),
+    halves AS ({_halved('raw')}), scored AS ({_halved('z1')}),
+    low AS (SELECT h.* REPLACE (CAST(value <= q5 AS DOUBLE) AS value) FROM halves h JOIN stat USING (species, strat, y)),
+    high AS (SELECT h.* REPLACE (CAST(value <= q95 AS DOUBLE) AS value) FROM halves h JOIN stat USING (species, strat, y)),
+    {_ess_sql('scored', 'b_')}, {_ess_sql('low', 'l_')}, {_ess_sql('high', 'h_')}""", f"""
+    SELECT species, strat, y, round(mean, 6) AS mean, round(median, 6) AS median, round(sd, 6) AS sd, round(mad, 6) AS mad,
+      round(q5, 6) AS q5, round(q95, 6) AS q95, round(rhat, 6) AS rhat, round(b_ess.ess, 6) AS ess_bulk,
+      round(least(l_ess.ess, h_ess.ess), 6) AS ess_tail
+    FROM stat JOIN (SELECT species, strat, y, 1.4826e0 * quantile_cont(value, 0.5) AS mad FROM folded GROUP BY ALL) USING (species, strat, y)
+    JOIN (SELECT species, strat, y, max(rhat) AS rhat FROM ({_SPLIT_RHAT.replace('FROM dst', 'FROM z1')} UNION ALL
+          {_SPLIT_RHAT.replace('FROM dst', 'FROM z2')}) GROUP BY ALL) USING (species, strat, y)
+    JOIN b_ess USING (species, strat, y) JOIN l_ess USING (species, strat, y) JOIN h_ess USING (species, strat, y)"""))
 def convergence_summary(spark, sf):
-    """Rows only: rank-normalised R-hat and bulk effective size of every parameter."""
-    out = diagnostics.convergence_summary(T.stratum_draws(spark, sf), ["species", "strat", "y"])
-    return rounded(out, "rhat", "ess_bulk")
+    """All columns of a sampler's fit summary."""
+    out = diagnostics.convergence_summary(T.log_draws(spark, sf), ["species", "strat", "y"])
+    return rounded(out, "mean", "median", "sd", "mad", "q5", "q95", "rhat", "ess_bulk", "ess_tail")
 
 
 @query(sql("dst", f"""SELECT species, round(max(rhat), 6) AS max_rhat, round(avg(rhat), 6) AS mean_rhat,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from flockframe.functions.aggregates import ranked_quantiles
 from flockframe.operators import coverage, diagnostics, draws, indices, trends
+from flockframe.session import checkpoint
 
 
 def test_ranked_quantiles_with_a_dominant_group(spark):
@@ -14,11 +15,23 @@ def test_ranked_quantiles_with_a_dominant_group(spark):
             "same": np.full(50, 2.5), "one": np.array([7.0]), "neg": -np.exp(r.normal(size=101) * 3)}
     df = spark.createDataFrame([(k, float(v)) for k, a in data.items() for v in a], "g string, v double")
     probs = {"lo": 0.025, "q1": 0.25, "med": 0.5, "hi": 0.975, "max": 1.0}
-    for bins in (4, 2048):
-        got = {x.g: x for x in ranked_quantiles(df, ["g"], "v", probs, bins=bins).collect()}
-        for k, a in data.items():
-            for n, p in probs.items():
-                assert got[k][n] == pytest.approx(np.quantile(a, p), rel=1e-12)
+    got = {x.g: x for x in ranked_quantiles(df, ["g"], "v", probs).collect()}
+    for k, a in data.items():
+        for n, p in probs.items():
+            assert got[k][n] == pytest.approx(np.quantile(a, p), rel=1e-12)
+
+
+def test_an_outlier_leaves_the_parts_alike(spark, monkeypatch):
+    """With one 1e300 among the values, no part that is written holds over twice the median."""
+    from flockframe.functions import aggregates
+    written = []
+    monkeypatch.setattr(aggregates, "checkpoint", lambda df: written.append(checkpoint(df)) or written[-1])
+    df = spark.range(200_000).select(F.lit("a").alias("g"), F.when(F.col("id") == 7, 1e300).otherwise(F.exp(F.randn(3))).alias("v"))
+    got = ranked_quantiles(df, ["g"], "v", {"m": 0.5, "max": 1.0}).first()
+    values = [r.v for r in df.select("v").collect()]
+    assert got.m == pytest.approx(np.median(values), rel=1e-12) and got["max"] == 1e300
+    sizes = sorted(r["count"] for r in written[0].groupBy("__part").count().collect())
+    assert len(sizes) == 1 or sizes[-1] <= 2 * sizes[len(sizes) // 2]
 
 
 def test_ranked_quantiles_with_missing_keys_and_values(spark):
@@ -170,6 +183,18 @@ def test_bulk_ess_of_heavy_tails(spark):
     x = np.random.default_rng(5).standard_cauchy((4, 1000))
     r = diagnostics.convergence_summary(chains(spark, x), ["parameter"]).first()
     assert r.ess_bulk == pytest.approx(4000, rel=0.2) and r.rhat == pytest.approx(1, abs=0.01)
+    assert r.ess_tail == pytest.approx(4000, rel=0.25)
+    assert [r.median, r.q5, r.q95] == pytest.approx(np.quantile(x, [0.5, 0.05, 0.95]).tolist(), rel=1e-9)
+    assert r.mad == pytest.approx(1.4826 * np.median(np.abs(x - np.median(x))), rel=1e-9)
+
+
+def test_tail_ess_sees_what_the_middle_hides(spark):
+    """Chains whose extremes come in runs have few effective draws in the tails and many in the middle."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4, 1000))
+    x = np.where((np.arange(1000) // 50 % 5 == 0), x * 6, x * 0.5)
+    got = diagnostics.convergence_summary(chains(spark, x), ["parameter"]).first()
+    assert got.ess_tail < 0.25 * got.ess_bulk
 
 
 def test_effective_size_of_a_constant_is_undefined(spark):
