@@ -1,8 +1,9 @@
 """Licences of files: sparse TF-IDF cosine of their statements to templates, and inheritance down directories.
 
-DataFrame and SQL functions only. A text falls into statements (lines, and sentences within them); those with a
-term without which no template can be near enough are compared with all templates. A file without a statement
-of its own takes the licence of the nearest ancestor directory that holds a licence file.
+DataFrame and SQL functions only. A text falls into statements (lines, and sentences within them), sentences across line ends
+(headers are often wrapped) and itself as a whole; those with a term without which no template can be near enough are
+compared with all templates. A file without a licence of its own takes that of the nearest ancestor directory that holds a
+licence file: one that is named so, or whose whole text is near a template.
 """
 
 from __future__ import annotations
@@ -37,12 +38,38 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("proprietary", "All rights reserved"),
+    # headers and whole licences
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+     "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+     "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+     "License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the "
+     "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or "
+     "agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF "
+     "ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+     "files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, "
+     "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+     "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
+     "or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING "
+     "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+     "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+     "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+     "that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR "
+     "DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
+     "SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+     "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+     "THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 ]
 #: Least cosine of a statement with its template.
 LEAST = 0.7
-#: Names of licence files, and the words that a nameless file with a statement has at most to count as one.
+#: Names of licence files.
 LICENSE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)([.-].*)?$"
-SHORT = 40
+#: Kinds of parts of a text.
+STATEMENT, SENTENCE, WHOLE = 0, 1, 2
 _WORD = "[a-z0-9]+(?:[.][0-9]+)*"
 
 
@@ -57,62 +84,73 @@ def template_table(spark, templates=TEMPLATES) -> DataFrame:
     return checkpoint(table.select("t.name", "t.number", _words(F.col("t.text")).alias("words")))
 
 
-def term_weights(docs: DataFrame, templates: DataFrame, least: float) -> tuple[DataFrame, int, list[str]]:
-    """(term, idf) of the templates' terms over all documents, the number of documents, and the anchors.
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_docs): in how many documents each term occurs, over all terms and documents."""
+    return docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
 
-    The anchors of a template are its heaviest terms, until the rest of its unit vector is shorter than ``least``: a
-    statement without any of them cannot reach that cosine. What comes to the driver are the templates' own terms, a few
-    hundred whatever the corpus.
+
+def _idf(n_docs, n: int) -> Column:
+    return F.log((F.lit(float(n)) + 1) / (F.coalesce(n_docs, F.lit(0)) + 1)) + 1
+
+
+def anchors(templates: DataFrame, counts: DataFrame, n: int, least: float) -> list[str]:
+    """The heaviest terms of each template, until the rest of its unit vector is shorter than ``least``: a statement without any
+    of them cannot reach that cosine. What comes to the driver are the templates' own terms, a few hundred whatever the corpus.
     """
     lists = [r[0] for r in templates.select("words").collect()]
     terms = sorted({t for words in lists for t in words})
-    found = docs.select(F.explode(F.array_intersect(_words(F.col("text")), F.array(*[F.lit(t) for t in terms]))).alias("term"))
-    counts = dict(found.groupBy("term").count().collect())
-    n = docs.count()
-    idf = {t: math.log((n + 1) / (counts.get(t, 0) + 1)) + 1 for t in terms}
-    anchors = set()
+    met = dict(counts.filter(F.col("term").isin(terms)).collect())
+    idf = {t: math.log((n + 1) / (met.get(t, 0) + 1)) + 1 for t in terms}
+    found = set()
     for words in lists:
         squares = sorted(((words.count(t) * idf[t]) ** 2, t) for t in set(words))
         total, rest = sum(w for w, _ in squares), 0.0
         for w, t in squares:
             rest += w
             if rest >= 0.999 * least * least * total:
-                anchors.add(t)
-    rows = json.dumps([{"term": t, "idf": w} for t, w in idf.items()])
-    table = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<term:string,idf:double>>")).alias("t"))
-    return checkpoint(table.select("t.*")), n, sorted(anchors)
+                found.add(t)
+    return sorted(found)
 
 
-def statements(anchors: list[str]) -> Column:
-    """The lines of ``text``, and the sentences within them, that have one of the anchors."""
+def parts(anchors: list[str]) -> Column:
+    """(kind, part) of ``text``: its lines and the sentences within them, its sentences across line ends, and itself; those
+    that have one of the anchors."""
     anchor = "(?i)\\b(?:" + "|".join(t.replace(".", "[.]") for t in anchors) + ")\\b"
-    parts = F.split(F.regexp_replace("text", r"([.!?;])\s+", "$1\n"), "\n")
-    return F.when(F.col("text").rlike(anchor), F.filter(parts, lambda p: p.rlike(anchor)))
+    lines = F.split(F.regexp_replace("text", r"([.!?;])\s+", "$1\n"), "\n")
+    joined = F.regexp_replace(F.regexp_replace("text", r"\n\s*\n", "\x01"), "\n", " ")
+    sentences = F.split(F.regexp_replace(joined, r"([.!?;])\s+", "$1\x01"), "\x01")
+
+    def of(kind, found):
+        return F.transform(F.filter(found, lambda p: p.rlike(anchor)), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("part")))
+    whole = F.array(F.struct(F.lit(WHOLE).alias("kind"), F.col("text").alias("part")))
+    return F.when(F.col("text").rlike(anchor), F.concat(of(STATEMENT, lines), of(SENTENCE, sentences), whole))
 
 
-def matched(parts: DataFrame, templates: DataFrame, idf: DataFrame, n: int, least: float = LEAST) -> DataFrame:
-    """uid, place, name, score: the template nearest to each statement, where the cosine is ``least`` or more.
+def matched(parts: DataFrame, templates: DataFrame, counts: DataFrame, n: int, least: float = LEAST) -> DataFrame:
+    """uid, kind, place, name, score: the template nearest to each part, where the cosine is ``least`` or more.
 
-    Weights are term frequency times idf; terms that no template has count as never seen. Ties go to the first name.
+    Weights are term frequency times ln((n + 1) / (documents with the term + 1)) + 1. Ties go to the first name.
     """
-    unseen = F.log(F.lit(float(n)) + 1) + 1
+    keys = ["uid", "kind", "place"]
 
-    def weighted(df, keys):
-        terms = df.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-        return terms.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
+    def frequencies(df, keys):
+        return checkpoint(df.select(*keys, F.explode("words").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")))
 
     def norms(weights, keys, name):
         return weights.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
 
-    own = weighted(templates, ["name", "number"])
+    own, rows = frequencies(templates, ["name", "number"]), frequencies(parts, keys)
+    needed = own.select("term").union(rows.select("term")).distinct()
+    idf = checkpoint(needed.join(counts, "term", "left").select("term", _idf(F.col("n_docs"), n).alias("idf")))
+    own, rows = (df.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")) for df in (own, rows))
     own = checkpoint(own.join(norms(own, ["number"], "norm"), "number").select(
         "name", "number", "term", (F.col("w") / F.col("norm")).alias("tw")))
-    rows = checkpoint(weighted(parts, ["uid", "place"]).select("uid", "place", "term", "w"))
-    dots = rows.join(own, "term").groupBy("uid", "place", "number", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(norms(rows, ["uid", "place"], "norm"), ["uid", "place"]).select(
-        "uid", "place", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= least)
-    best = scored.groupBy("uid", "place").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
-    return best.select("uid", "place", F.col("b.name").alias("name"), (-F.col("b.s")).alias("score"))
+    rows = checkpoint(rows.select(*keys, "term", "w"))
+    dots = rows.join(own, "term").groupBy(*keys, "number", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norms(rows, keys, "norm"), keys).select(
+        *keys, "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= least)
+    best = scored.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
+    return best.select(*keys, F.col("b.name").alias("name"), (-F.col("b.s")).alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -143,29 +181,29 @@ def scan(files: DataFrame, least: float = LEAST, templates=TEMPLATES) -> DataFra
     """One row for each file: doc_id, path, n_statements, license, score, is_license_file, inherited, inherited_from,
     distance, effective.
 
-    ``files``: doc_id, path, text. ``license`` is the name with the best statement of the file itself; ``inherited`` that
-    of the nearest ancestor directory (its own first) with a licence file, ``distance`` levels up; ``effective`` the first
-    of the two that is known. A licence file is named so, or has a statement and at most 40 words.
+    ``files``: doc_id, path, text. ``license`` is the name that a part of the file is nearest to, ``n_statements`` counts
+    lines and sentences within them; ``inherited`` is the licence of the nearest ancestor directory (its own first) with a licence
+    file, ``distance`` levels up; ``effective`` the first of the two that is known. A licence file is named so and has a licence, or
+    its whole text is near a template, whatever its length.
 
     Null and empty texts have no statement. A null path is the root directory's nameless file. Repeated rows each get
     their answer; a null id stays null. Other columns are not looked at; an empty table gives no rows.
     """
     rows = X.documents(files, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"))
     known = template_table(files.sparkSession, templates)
-    idf, n, anchors = term_weights(rows, known, least)
+    counts, n = checkpoint(term_counts(rows)), rows.count()
     # one pass over the texts takes what is needed of them, and gives each row its number
-    short = F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")) <= SHORT
-    thin = checkpoint(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "path", short.alias("short"),
-                                  statements(anchors).alias("parts")))
-    parts = thin.select("uid", F.posexplode("parts").alias("place", "part")).select("uid", "place", _words(F.col("part")).alias("words"))
-    found = checkpoint(matched(parts, known, idf, n, least))
-    best = found.groupBy("uid").agg(F.count("*").alias("n_statements"),
-                                    F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
-    best = best.select("uid", "n_statements", F.col("b.name").alias("license"), (-F.col("b.s")).alias("score"))
+    thin = checkpoint(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "path",
+                                  parts(anchors(known, counts, n, least)).alias("parts")))
+    split = thin.select("uid", F.posexplode("parts").alias("place", "p")).select("uid", "p.kind", "place", _words(F.col("p.part")).alias("words"))
+    found = checkpoint(matched(split, known, counts, n, least))
+    best = found.groupBy("uid").agg(F.count_if(F.col("kind") == STATEMENT).alias("n_statements"),
+                                    F.max(F.col("kind") == WHOLE).alias("near"), F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
+    best = best.select("uid", "n_statements", "near", F.col("b.name").alias("license"), (-F.col("b.s")).alias("score"))
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENSE_FILE)
     whole = checkpoint(thin.drop("parts").join(best, "uid", "left").select(
         "doc_id", "path", directory(F.col("path")).alias("dir"), F.coalesce("n_statements", F.lit(0)).cast("long").alias("n_statements"),
-        "license", "score", ((named | F.col("short")) & F.col("license").isNotNull()).alias("is_license_file")))
+        "license", "score", (F.col("license").isNotNull() & (named | F.col("near"))).alias("is_license_file")))
     return whole.join(checkpoint(inherited(whole)), "dir", "left").select(
         "doc_id", "path", "n_statements", "license", "score", "is_license_file", "inherited", "inherited_from", "distance",
         F.coalesce("license", "inherited").alias("effective"))

@@ -181,7 +181,7 @@ def op4_tfidf(spark, sf):
 
 
 def _license_sql() -> str:
-    from .licenses import LEAST, SHORT, TEMPLATES
+    from .licenses import LEAST, TEMPLATES
 
     words = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[.][0-9]+)*')"
     values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
@@ -189,27 +189,29 @@ def _license_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text,
       concat_ws('/', coalesce(source, 'none'), doc_id // 1000, doc_id // 100, doc_id) AS path FROM documents),
 t AS (SELECT number, name, {words.format('text')} AS words FROM (VALUES {values}) v(number, name, text)),
-terms AS (SELECT DISTINCT unnest(words) AS term FROM t),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
 seen AS (SELECT uid, unnest(list_distinct({words.format('text')})) AS term FROM d),
-idf AS (SELECT terms.term, ln((n + 1) / (count(uid) + 1)) + 1 AS idf
-        FROM terms CROSS JOIN n LEFT JOIN seen ON seen.term = terms.term GROUP BY terms.term, n),
-parts AS (SELECT row_number() OVER () AS part, uid, {words.format('p')} AS words FROM (
-    SELECT uid, unnest(string_split(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS p FROM d)),
-weights AS (SELECT part, uid, term, tf * coalesce(idf, ln(n + 1) + 1) AS w FROM (
-    SELECT part, uid, term, count(*) AS tf FROM (SELECT part, uid, unnest(words) AS term FROM parts) GROUP BY ALL)
-    CROSS JOIN n LEFT JOIN idf USING (term)),
-own AS (SELECT number, name, term, count(*) * any_value(idf) AS w FROM (SELECT number, name, unnest(words) AS term FROM t)
-        JOIN idf USING (term) GROUP BY ALL),
-scored AS (SELECT a.uid, a.part, o.name, o.number, round(sum(a.w * o.w) / any_value(x.norm) / any_value(y.norm), 6) AS score
+counts AS (SELECT term, count(*) AS k FROM seen GROUP BY 1),
+cut AS (SELECT uid, text, regexp_replace(regexp_replace(text, '\\n\\s*\\n', chr(1), 'g'), '\\n', ' ', 'g') AS joined FROM d),
+parts AS (SELECT row_number() OVER () AS part, uid, kind, {words.format('p')} AS words FROM (
+    SELECT uid, 0 AS kind, unnest(string_split(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS p FROM cut
+    UNION ALL SELECT uid, 1, unnest(string_split(regexp_replace(joined, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1))) FROM cut
+    UNION ALL SELECT uid, 2, text FROM cut)),
+weights AS (SELECT part, uid, kind, term, tf * (ln((n + 1) / (coalesce(k, 0) + 1)) + 1) AS w FROM (
+    SELECT part, uid, kind, term, count(*) AS tf FROM (SELECT part, uid, kind, unnest(words) AS term FROM parts) GROUP BY ALL)
+    CROSS JOIN n LEFT JOIN counts USING (term)),
+own AS (SELECT number, name, term, tf * (ln((n + 1) / (coalesce(k, 0) + 1)) + 1) AS w FROM (
+    SELECT number, name, term, count(*) AS tf FROM (SELECT number, name, unnest(words) AS term FROM t) GROUP BY ALL)
+    CROSS JOIN n LEFT JOIN counts USING (term)),
+scored AS (SELECT a.uid, a.part, a.kind, o.name, o.number, round(sum(a.w * o.w) / any_value(x.norm) / any_value(y.norm), 6) AS score
     FROM weights a JOIN own o USING (term)
     JOIN (SELECT part, sqrt(sum(w * w)) AS norm FROM weights GROUP BY 1) x ON x.part = a.part
     JOIN (SELECT number, sqrt(sum(w * w)) AS norm FROM own GROUP BY 1) y ON y.number = o.number GROUP BY ALL),
-best AS (SELECT uid, part, name, score FROM scored WHERE score >= {LEAST}
+best AS (SELECT uid, part, kind, name, score FROM scored WHERE score >= {LEAST}
          QUALIFY row_number() OVER (PARTITION BY part ORDER BY score DESC, name) = 1),
 files AS (SELECT d.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, coalesce(k, 0) AS n_statements, b.name AS license, b.score,
-      len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) <= {SHORT} AND b.name IS NOT NULL AS is_license_file
-    FROM d LEFT JOIN (SELECT uid, count(*) AS k FROM best GROUP BY 1) USING (uid)
+      coalesce(near, false) AS is_license_file
+    FROM d LEFT JOIN (SELECT uid, count(*) FILTER (kind = 0) AS k, bool_or(kind = 2) AS near FROM best GROUP BY 1) USING (uid)
     LEFT JOIN (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, name) = 1) b USING (uid)),
 holders AS (SELECT dir, license FROM files WHERE is_license_file
             QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),

@@ -30,8 +30,7 @@ def slow(files):
     """Licences by plain dictionaries: all statements against all templates."""
     n = len(files)
     df = Counter(w for _, _, t in files for w in set(words(t)))
-    known = {w for _, t in L.TEMPLATES for w in words(t)}
-    weight = lambda w: math.log((n + 1) / ((df[w] if w in known else 0) + 1)) + 1
+    weight = lambda w: math.log((n + 1) / (df[w] + 1)) + 1
 
     def vector(text):
         v = {w: k * weight(w) for w, k in Counter(words(text)).items()}
@@ -40,13 +39,17 @@ def slow(files):
     templates = [(name, vector(t)) for name, t in L.TEMPLATES]
     out = []
     for i, path, text in files:
-        found = []
-        for part in re.sub(r"([.!?;])\s+", "\\1\n", text or "").split("\n"):
+        text, found, statements = text or "", [], 0
+        joined = re.sub("\n", " ", re.sub(r"\n\s*\n", "\x01", text))
+        pieces = [(p, True) for p in re.sub(r"([.!?;])\s+", "\\1\n", text).split("\n")]
+        pieces += [(p, False) for p in [*re.sub(r"([.!?;])\s+", "\\1\x01", joined).split("\x01"), text]]
+        for part, statement in pieces:
             v = vector(part)
             s, name = min((-round(sum(v[w] * t.get(w, 0) for w in v), 6), name) for name, t in templates)
             if -s >= L.LEAST:
                 found.append((s, name))
-        out.append((i, path or "", len(found), min(found)[1] if found else None))
+                statements += statement
+        out.append((i, path or "", statements, min(found)[1] if found else None))
     return out
 
 
@@ -77,6 +80,37 @@ def test_documents_with_a_licence_line(documents):
     assert {r["doc_id"]: r["license"] for r in L.scan(documents.withColumn("path", F.lit("x"))).collect()} == want
 
 
+HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+
+def run():
+    return 1
+"""
+
+
+def test_headers_and_whole_licences(spark):
+    """A wrapped header, and licence texts of any length under any name."""
+    whole = {name: text for name, text in L.TEMPLATES if len(text) > 600}
+    apache = "Apache License\nVersion 2.0, January 2004\n" + "terms and conditions for use reproduction and distribution\n" * 300 + (
+        "APPENDIX: How to apply.\n\n   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file")
+    texts = [(1, "a/run.py", HEADER + "".join(f"def f{i}(a{i}):\n    return b{i}\n" for i in range(60))), (2, "b/terms", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + whole["MIT"].replace(", ", ",\n")),
+             (3, "b/x.py", "x"), (4, "c/text.md", whole["ISC"]), (5, "c/d/y", "y"), (6, "e/LICENSE", apache), (7, "e/z", "z")]
+    texts += [(100 + i, f"f/{i}", f"plain words {i} of the program and the software") for i in range(40)]
+    got = {r["doc_id"]: (r["is_license_file"], r["effective"]) for r in L.scan(spark.createDataFrame(texts, "doc_id long, path string, text string")).collect()}
+    assert got[1] == (False, "GPL-3.0") and got[2] == (True, "MIT") and got[3] == (False, "MIT")
+    assert got[4] == (True, "ISC") and got[5] == (False, "ISC") and got[6] == (True, "Apache-2.0") and got[7] == (False, "Apache-2.0")
+    assert got[100] == (False, None)
+
+
+def test_a_common_word_beside_a_statement_weighs_little_at_any_size(spark):
+    for n in (30, 3000):
+        texts = spark.range(n).selectExpr("id AS doc_id", "concat('d/', id) AS path", "concat('project word', id % 700) AS text")
+        more = spark.createDataFrame([(n, "e/x", "This project is released under the MIT License")], "doc_id long, path string, text string")
+        assert L.scan(texts.union(more)).filter(f"doc_id = {n}").first()["license"] == "MIT"
+
+
 def test_empty_table(none):
     assert L.scan(none.withColumn("path", F.lit("a/b"))).collect() == []
 
