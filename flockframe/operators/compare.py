@@ -17,6 +17,14 @@ def stack_versions(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def tag_versions(records: DataFrame, versions: dict[str, tuple[Column, Column]], count: str = "count") -> DataFrame:
+    """Versions that can be told from one and the same records, as a stacked table: ``versions`` gives for each label the
+    condition under which it holds a record, and the record's count there. The records are read once."""
+    entries = F.array(*[F.when(keep, F.struct(F.lit(label).alias("version"), value.alias(count))) for label, (keep, value) in versions.items()])
+    rest = [c for c in records.columns if c != count]
+    return records.select(*rest, F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("__e")).select(*rest, "__e.*")
+
+
 def collapse_regions(region: Column, keep, rest: str) -> Column:
     """Region names outside ``keep`` (or unknown) become ``rest``."""
     return F.when(region.isin(*keep), region).otherwise(F.lit(rest))
@@ -49,20 +57,23 @@ def cross_version_matches(df: DataFrame, keys: list[str], count: str = "count")
             .filter(F.col("n_vers") > 1))
 
 
-def version_diff(old: DataFrame, new: DataFrame, keys: list[str], count: str = "count") -> DataFrame:
-    """Full join of two versions on ``keys`` with the count difference and a status.
+def version_diff(both: DataFrame, keys: list[str], count: str = "count", old: str = "v_old", new: str = "v_new") -> DataFrame:
+    """Two versions of a stacked table, key by key, with the count difference and a status.
 
-    keys, count_old, n_old, count_new, n_new, dif_count, status: ``changed``,
-    ``same`` or ``missing`` (in one version only). Rows of a version that agree in
-    keys and count are one row with their number, so a key with very many records
-    pairs its few distinct counts, not its records.
+    keys, count_old, n_old, count_new, n_new, dif_count, status: ``changed``, ``same`` or ``missing`` (in one version
+    only). One aggregation counts the records of either version by key and count; a key's few different counts, not its
+    records, are then paired as a full join would.
     """
-    def side(df, suffix):
-        return df.groupBy(*keys, F.col(count).alias("count" + suffix)).agg(
-            F.count(F.lit(1)).alias("n" + suffix))
+    here = both.filter(F.col("version").isin(old, new)).groupBy(*keys, F.col(count).alias("__c")).agg(
+        F.count_if(F.col("version") == old).alias("__old"), F.count_if(F.col("version") == new).alias("__new"))
+
+    def side(name):
+        n = F.col(f"__{name}")
+        return F.collect_list(F.when(n > 0, F.struct(F.col("__c").alias(f"count_{name}"), n.alias(f"n_{name}")))).alias(f"__s_{name}")
 
-    return (join_on(side(old, "_old"), side(new, "_new"), keys, "full")
-            .withColumn("dif_count", F.col("count_new") - F.col("count_old"))
+    pairs = here.groupBy(*keys).agg(side("old"), side("new")).withColumn("__o", F.explode_outer("__s_old")).withColumn(
+        "__n", F.explode_outer("__s_new"))
+    return (pairs.select(*keys, "__o.*", "__n.*").withColumn("dif_count", F.col("count_new") - F.col("count_old"))
             .withColumn("status", F.when(F.col("dif_count").isNull(), "missing")
                         .when(F.col("dif_count") != 0, "changed").otherwise("same")))
 

@@ -12,18 +12,24 @@ from .registry import query, rounded
 from .testdata import sql
 
 
-def _versions(spark, sf):
-    """Old version: all counts. New version: line 3 missing, some counts one higher."""
-    base = (T.counts(spark, sf)
+def _records(spark, sf):
+    return (T.counts(spark, sf)
             .join(T.events_geo(spark, sf).select("checklist_id", "locality_id", "year", "doy", "region"),
                   "checklist_id")
             .join(T.sites(spark, sf).select("locality_id", "latitude", "longitude"), "locality_id")
             .select("checklist_id", "line", F.col("common_name").alias("species"), "year", "doy", "region",
                     F.round("latitude", 2).alias("lat"), F.round("longitude", 2).alias("lon"),
                     F.col("observation_count").alias("count")))
-    new = base.filter(F.col("line") != 3).withColumn(
-        "count", F.col("count") + F.when(F.col("checklist_id") % 11 == 0, 1).otherwise(0))
-    return base, new
+
+
+def _later(count):
+    return count + F.when(F.col("checklist_id") % 11 == 0, 1).otherwise(0)
+
+
+def _both(spark, sf):
+    """Old version: all counts. New version: line 3 missing, some counts one higher. Stacked, from one reading of the records."""
+    return compare.tag_versions(_records(spark, sf), {
+        "v_old": (F.lit(True), F.col("count")), "v_new": (F.col("line") != 3, _later(F.col("count")))})
 
 
 _V = """old AS (SELECT checklist_id, line, common_name AS species, year, doy, region, round(latitude, 2) AS lat,
@@ -40,8 +46,7 @@ _NEED = "cnt ev_geo sites"
     FROM (SELECT *, CASE WHEN region IN ('ASIA', 'EUROPE') THEN region ELSE 'ISS' END AS reg FROM both_v)
     GROUP BY ALL"""))
 def annual_counts(spark, sf):
-    old, new = _versions(spark, sf)
-    both = compare.stack_versions({"v_old": old, "v_new": new}).withColumn(
+    both = _both(spark, sf).withColumn(
         "region", compare.collapse_regions(F.col("region"), ["ASIA", "EUROPE"], "ISS"))
     return rounded(compare.annual_counts(both, ["version", "year", "region", "species"]),
                    "mean_count", "quantile_95_count")
@@ -55,22 +60,20 @@ def annual_counts(spark, sf):
            ELSE 'same' END AS status
     FROM o FULL JOIN n USING (year, lat, lon, doy, species)"""))
 def version_diff(spark, sf):
-    old, new = _versions(spark, sf)
-    return compare.version_diff(old, new, ["year", "lat", "lon", "doy", "species"])
+    return compare.version_diff(_both(spark, sf), ["year", "lat", "lon", "doy", "species"])
 
 
 @query(_with(_NEED, _V, """SELECT year, lat, lon, doy, species, count(DISTINCT version) AS n_vers,
       round(stddev_samp(count), 6) AS sd_count FROM both_v GROUP BY ALL HAVING count(DISTINCT version) > 1"""))
 def cross_version_matches(spark, sf):
-    old, new = _versions(spark, sf)
-    both = compare.stack_versions({"v_old": old, "v_new": new})
-    return rounded(compare.cross_version_matches(both, ["year", "lat", "lon", "doy", "species"]), "sd_count")
+    return rounded(compare.cross_version_matches(_both(spark, sf), ["year", "lat", "lon", "doy", "species"]), "sd_count")
 
 
 @query(_with(_NEED, _V, """SELECT a.checklist_id, a.line, a.species, a.count, b.count AS count_2024
     FROM old a JOIN new b ON a.checklist_id = b.checklist_id AND a.line = b.line AND a.species = b.species"""))
 def old_with_new(spark, sf):
-    old, new = _versions(spark, sf)
+    old = _records(spark, sf)
+    new = old.filter("line <> 3").withColumn("count", _later(F.col("count")))
     renamed = new.select(*[F.col(c).alias(c + "_2024") for c in ("checklist_id", "line", "species", "count")])
     return compare.old_with_new(old.select("checklist_id", "line", "species", "count"), renamed, {
         "checklist_id": "checklist_id_2024", "line": "line_2024", "species": "species_2024"})
@@ -79,8 +82,8 @@ def old_with_new(spark, sf):
 @query(_with(_NEED, _V, """SELECT region, version, lat, lon, count(DISTINCT year) AS n_years FROM both_v
     GROUP BY ALL HAVING count(DISTINCT year) > 4"""))
 def long_sites(spark, sf):
-    old, new = _versions(spark, sf)
-    both = compare.stack_versions({"v_old": old, "v_new": new})
+    old = _records(spark, sf)
+    both = compare.stack_versions({"v_old": old, "v_new": old.filter("line <> 3")})
     return compare.long_sites(both, ["region", "version", "lat", "lon"], 4)
 
 

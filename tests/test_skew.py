@@ -80,7 +80,27 @@ def test_latest_record_and_duplicates(world):
 
 def test_version_diff_pairs_counts_not_records(world):
     obs = world[1].withColumnRenamed("observation_count", "count")
-    out = compare.version_diff(obs, obs.withColumn("count", F.col("count") + 1), ["common_name"])
+    both = compare.tag_versions(obs, {"v_old": (F.lit(True), F.col("count")), "v_new": (F.lit(True), F.col("count") + 1)})
+    out = compare.version_diff(both, ["common_name"])
     per_name = obs.select("common_name", "count").distinct().groupBy("common_name").count().collect()
     assert out.count() == sum(r["count"] ** 2 for r in per_name)
     assert out.select("common_name", "count_old", "n_old").distinct().agg(F.sum("n_old")).first()[0] == N
+
+
+def test_tagged_versions_are_the_stacked_ones(world):
+    obs = world[1].withColumnRenamed("observation_count", "count")
+    new = obs.filter("count > 3").withColumn("count", F.col("count") * 2)
+    tagged = compare.tag_versions(obs, {"a": (F.lit(True), F.col("count")), "b": (F.col("count") > 3, F.col("count") * 2)})
+    stacked = compare.stack_versions({"a": obs, "b": new})
+    columns = sorted(stacked.columns)
+    assert tagged.select(columns).exceptAll(stacked.select(columns)).isEmpty() and tagged.count() == stacked.count()
+    keys = ["common_name"]
+    got = compare.version_diff(tagged, keys, old="a", new="b").groupBy("status").count()
+    sides = [compare_side(df, keys, n) for df, n in ((obs, "old"), (new, "new"))]
+    want = sides[0].join(sides[1], keys, "full").withColumn("status", F.expr(
+        "CASE WHEN c_new - c_old IS NULL THEN 'missing' WHEN c_new <> c_old THEN 'changed' ELSE 'same' END")).groupBy("status").count()
+    assert rows(got) == rows(want)
+
+
+def compare_side(df, keys, name):
+    return df.groupBy(*keys, F.col("count").alias(f"c_{name}")).count().drop("count")
