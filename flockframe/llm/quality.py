@@ -7,13 +7,14 @@ is linear, a trained model scores with one number for each bucket.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, ensure_checkpoint_dir
 from . import text as X
 
 #: Buckets of words, of character 3-grams and of 4-grams each; then the marks below.
@@ -23,6 +24,8 @@ _MARKS = 3 << BITS
 BUCKETS = _MARKS + 3
 #: Least score of an accepted document.
 ACCEPTED = 0.3
+#: Rows of the sample in a file.
+BLOCK = 400
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()):
     """Broadcast (log-odds by bucket, bias), trained on a bounded sample of the labelled documents.
 
     The model has a fixed size (1.5 MB). Rows are taken by a hash of the id, about ``rows`` of them. Each pass of the
-    training streams their features from the table they are written to; without any, the odds are even.
+    training reads their features from the files they are written to, one file at a time, files and rows in an order of
+    the pass's own; without any, the odds are even.
     """
     known = (labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id")
              .agg((F.avg("quality") > 0.5).cast("int").alias("label")).filter(learning_rows("doc_id"))
@@ -153,13 +157,21 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()):
     taken = checkpoint(known.filter(F.col("place") < int(share * 2 ** 64) - 2 ** 63 if share < 1 else F.lit(True)))
     sample = X.documents(docs.join(taken, "doc_id"), "place", "label").mapInArrow(
         _bags, "place long, label int, buckets binary, counts binary")
-    sample = checkpoint(sample)
+    spark = docs.sparkSession
+    # the bounded sample, by a hash of the id, in files of some rows: a pass reads a file after the other
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    (sample.repartition(1).sortWithinPartitions("place", "label", "buckets").write.option("maxRecordsPerFile", BLOCK).parquet(path))
+    blocks = sorted(spark.read.schema(sample.schema).parquet(path).inputFiles())
 
     def bags(k):
-        for row in sample.orderBy(F.xxhash64("place", F.lit(k))).toLocalIterator():
-            yield row["label"], np.frombuffer(row["buckets"], np.int32), np.frombuffer(row["counts"], np.int32)
-
-    return docs.sparkSession.sparkContext.broadcast(train(bags, sample.count(), settings))
+        rng = np.random.default_rng((settings.seed, k))
+        for b in rng.permutation(len(blocks)):
+            rows = spark.read.schema(sample.schema).parquet(blocks[b]).collect()
+            for r in rng.permutation(len(rows)):
+                yield rows[r]["label"], np.frombuffer(rows[r]["buckets"], np.int32), np.frombuffer(rows[r]["counts"], np.int32)
+
+    n = spark.read.schema(sample.schema).parquet(path).count()
+    return spark.sparkContext.broadcast(train(bags, n, settings))
 
 
 def quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
