@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 from check_oracle import compare, duck
 from flockframe.plans import catalogue
 
-# several minutes of small rounds on the sparse test tables; covered by test_neighbours.py
-SLOW = {"link_components", "voronoi_neighbours"}
+# minutes of small rounds on the sparse test tables; covered by test_neighbours.py
+SLOW = {"link_components"}
 QUERIES, ORACLES = ({k: v for k, v in found.items() if k in catalogue.QUERIES} for found in (entry.queries(), entry.oracle_sql()))
 
 
