@@ -7,14 +7,14 @@ is linear, a trained model scores with one number for each bucket.
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import checkpoint, ensure_checkpoint_dir
+from ..session import checkpoint
 from . import text as X
 
 #: Buckets of words, of character 3-grams and of 4-grams each; then the marks below.
@@ -24,7 +24,7 @@ _MARKS = 3 << BITS
 BUCKETS = _MARKS + 3
 #: Least score of an accepted document.
 ACCEPTED = 0.3
-#: Rows of the sample in a file.
+#: Rows of the sample that are shuffled together in a pass.
 BLOCK = 400
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,6 +127,38 @@ def scores(model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -700, 700)))
 
 
+def _fit(settings: Settings):
+    """Training on the rows of a task, which wait in a file without a name: a row with the model."""
+    def run(batches):
+        labels, sizes = [], []
+        with tempfile.TemporaryFile() as kept:
+            for batch in batches:
+                for label, buckets, counts in zip(*(batch.column(k) for k in ("label", "buckets", "counts"))):
+                    labels.append(label.as_py())
+                    sizes.append(len(buckets.as_buffer()) // 4)
+                    kept.write(buckets.as_buffer())
+                    kept.write(counts.as_buffer())
+            if not labels:
+                return
+            kept.flush()
+            first = np.cumsum([0, *sizes]) * 8
+
+            def row(i):
+                kept.seek(first[i])
+                both = np.frombuffer(kept.read(8 * sizes[i]), np.int32)
+                return labels[i], both[:sizes[i]], both[sizes[i]:]
+
+            def bags(k):
+                rng = np.random.default_rng((settings.seed, k))
+                starts = range(0, len(labels), BLOCK)
+                for b in rng.permutation(len(starts)):
+                    for r in rng.permutation(min(BLOCK, len(labels) - starts[b])):
+                        yield row(starts[b] + r)
+            odds, bias = train(bags, len(labels), settings)
+        yield pa.record_batch([pa.array([odds.tobytes()], pa.binary()), pa.array([bias])], names=["odds", "bias"])
+    return run
+
+
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -145,9 +177,8 @@ def learning_rows(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()):
     """Broadcast (log-odds by bucket, bias), trained on a bounded sample of the labelled documents.
 
-    The model has a fixed size (1.5 MB). Rows are taken by a hash of the id, about ``rows`` of them. Each pass of the
-    training reads their features from the files they are written to, one file at a time, files and rows in an order of
-    the pass's own; without any, the odds are even.
+    Rows are taken by a hash of the id, about ``rows`` of them. One task trains on their features; what comes to the
+    driver is the model, of a fixed size (1.5 MB). Without any rows, the odds are even.
     """
     known = (labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id")
              .agg((F.avg("quality") > 0.5).cast("int").alias("label")).filter(learning_rows("doc_id"))
@@ -157,21 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()):
     taken = checkpoint(known.filter(F.col("place") < int(share * 2 ** 64) - 2 ** 63 if share < 1 else F.lit(True)))
     sample = X.documents(docs.join(taken, "doc_id"), "place", "label").mapInArrow(
         _bags, "place long, label int, buckets binary, counts binary")
-    spark = docs.sparkSession
-    # the bounded sample, by a hash of the id, in files of some rows: a pass reads a file after the other
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    (sample.repartition(1).sortWithinPartitions("place", "label", "buckets").write.option("maxRecordsPerFile", BLOCK).parquet(path))
-    blocks = sorted(spark.read.schema(sample.schema).parquet(path).inputFiles())
-
-    def bags(k):
-        rng = np.random.default_rng((settings.seed, k))
-        for b in rng.permutation(len(blocks)):
-            rows = spark.read.schema(sample.schema).parquet(blocks[b]).collect()
-            for r in rng.permutation(len(rows)):
-                yield rows[r]["label"], np.frombuffer(rows[r]["buckets"], np.int32), np.frombuffer(rows[r]["counts"], np.int32)
-
-    n = spark.read.schema(sample.schema).parquet(path).count()
-    return spark.sparkContext.broadcast(train(bags, n, settings))
+    trained = (sample.repartition(1).sortWithinPartitions("place", "label", "buckets")
+               .mapInArrow(_fit(settings), "odds binary, bias double").collect())
+    model = (np.frombuffer(trained[0]["odds"], np.float32), trained[0]["bias"]) if trained else (np.zeros(BUCKETS, np.float32), 0.0)
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -43,3 +45,14 @@ def test_repeats_and_n_grams():
     words, marks, three, four = Q._features(data, np.array([0, 8]))
     assert (marks[0] - Q._MARKS).tolist() == [2, 0, 2] and len(words[0]) == 3
     assert len(three[0]) == 4 and len(four[0]) == 1  # "ab ", " ab", "ab ", " cd"; " ab "
+
+
+def test_no_training_in_the_driver(spark, documents, monkeypatch):
+    driver, train = os.getpid(), Q.train
+
+    def spied(*args):
+        assert os.getpid() != driver
+        return train(*args)
+    labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    monkeypatch.setattr(Q, "train", spied)
+    assert len({r["score"] for r in Q.quality(documents, labels).collect()}) > 10
