@@ -94,8 +94,8 @@ def _idf(n_docs, n: int) -> Column:
 
 
 def anchors(templates: DataFrame, counts: DataFrame, n: int, least: float) -> list[str]:
-    """The heaviest terms of each template, until the rest of its unit vector is shorter than ``least``: a statement without any
-    of them cannot reach that cosine. What comes to the driver are the templates' own terms, a few hundred whatever the corpus.
+    """The rarest terms of each template, until the rest of its unit vector is shorter than ``least``: a statement without any
+    of them cannot reach that cosine. Words that most texts have stay in the rest, however heavy their number makes them. What comes to the driver are the templates' own terms, a few hundred whatever the corpus.
     """
     lists = [r[0] for r in templates.select("words").collect()]
     terms = sorted({t for words in lists for t in words})
@@ -103,9 +103,9 @@ def anchors(templates: DataFrame, counts: DataFrame, n: int, least: float) -> li
     idf = {t: math.log((n + 1) / (met.get(t, 0) + 1)) + 1 for t in terms}
     found = set()
     for words in lists:
-        squares = sorted(((words.count(t) * idf[t]) ** 2, t) for t in set(words))
-        total, rest = sum(w for w, _ in squares), 0.0
-        for w, t in squares:
+        squares = sorted((idf[t], (words.count(t) * idf[t]) ** 2, t) for t in set(words))
+        total, rest = sum(w for _, w, _ in squares), 0.0
+        for _, w, t in squares:
             rest += w
             if rest >= 0.999 * least * least * total:
                 found.add(t)

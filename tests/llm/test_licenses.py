@@ -120,3 +120,15 @@ def test_a_line_that_most_files_have(spark):
     texts = [(i, f"d/{i}.py", "Licensed under CC BY-NC 4.0." if i % 3 else "the end of this work") for i in range(60)]
     got = {r["doc_id"]: r["license"] for r in L.scan(spark.createDataFrame(texts, "doc_id long, path string, text string")).collect()}
     assert got == {i: "CC-BY-NC-4.0" if i % 3 else None for i in range(60)}
+
+
+def test_words_of_most_texts_are_no_anchors(spark):
+    """Else most texts are compared whole: ``the`` is heavy in long templates by its number alone."""
+    texts = spark.range(2000).selectExpr("id AS doc_id", "concat('the word', id, ' of the end') AS text")
+    known, counts = L.template_table(spark), L.term_counts(texts)
+    found = L.anchors(known, counts, 2000, L.LEAST)
+    assert found and not {"the", "of"} & set(found)
+    idf = {r["term"]: math.log(2001 / (r["n_docs"] + 1)) + 1 for r in counts.filter("term in ('the', 'of')").collect()}
+    for words in (r["words"] for r in known.collect()):  # what is left of each template is too short
+        square = {t: (words.count(t) * idf.get(t, math.log(2001) + 1)) ** 2 for t in words}
+        assert sum(w for t, w in square.items() if t not in found) < L.LEAST ** 2 * sum(square.values())
