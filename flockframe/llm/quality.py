@@ -26,6 +26,8 @@ BUCKETS = _MARKS + 3
 ACCEPTED = 0.3
 #: Rows of the sample that are shuffled together in a pass.
 BLOCK = 400
+#: Bytes of text looked at together: each has two n-grams, and these take some 100 bytes of memory.
+CHUNK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,7 +75,7 @@ def _features(data: np.ndarray, offsets: np.ndarray):
 
 def _bags(batches):
     """Distinct buckets and counts of each labelled text."""
-    for rows, data, offsets in X.chunks(batches):
+    for rows, data, offsets in X.chunks(batches, limit=CHUNK):
         parts = list(_features(data, offsets))
         buckets, text = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         keys, counts = np.unique(text * BUCKETS + buckets, return_counts=True)
@@ -138,6 +140,7 @@ def _fit(settings: Settings):
                     sizes.append(len(buckets.as_buffer()) // 4)
                     kept.write(buckets.as_buffer())
                     kept.write(counts.as_buffer())
+                batch = label = buckets = counts = None  # no batch is held while the model is trained
             if not labels:
                 return
             kept.flush()
@@ -164,7 +167,7 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 def _score(model):
     def run(batches):
-        for rows, data, offsets in X.chunks(batches):
+        for rows, data, offsets in X.chunks(batches, limit=CHUNK):
             yield X.out(_SCORED, doc_id=rows.column("doc_id").cast(pa.int64()), score=scores(model.value, data, offsets))
     return run
 
@@ -211,4 +214,4 @@ def quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
 def accepted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, with all columns, that the classifier predicts to be 1; each row by its own text."""
     model = fit(docs.select("doc_id", "text"), labels, settings)
-    return X.filtered(docs, lambda data, offsets: scores(model.value, data, offsets) >= ACCEPTED)
+    return X.filtered(docs, lambda data, offsets: scores(model.value, data, offsets) >= ACCEPTED, CHUNK)

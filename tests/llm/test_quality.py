@@ -1,9 +1,12 @@
 import os
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flockframe.llm import quality as Q
+from flockframe.llm import quality as Q, text as X
 
 
 def test_held_out_accuracy(spark):
@@ -56,3 +59,51 @@ def test_no_training_in_the_driver(spark, documents, monkeypatch):
     labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     monkeypatch.setattr(Q, "train", spied)
     assert len({r["score"] for r in Q.quality(documents, labels).collect()}) > 10
+
+
+def _batch(n: int) -> pa.RecordBatch:
+    """About 3 kB of text a row."""
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 5003}" for j in range(500)) for i in range(n)]
+    ids = pa.array(range(n), pa.int64())
+    return pa.record_batch([ids, ids, pa.array([i % 2 for i in range(n)], pa.int32()), pa.array(texts)],
+                           names=["doc_id", "place", "label", "text"])
+
+
+def test_memory_of_features_is_bounded():
+    batch, model = _batch(1000), SimpleNamespace(value=(np.ones(Q.BUCKETS, np.float32), 0.0))
+    Q.scores(model.value, np.frombuffer(b"a b", np.uint8), np.array([0, 3]))  # tables that stay
+    for step in (Q._bags, Q._score(model)):
+        tracemalloc.start()
+        for _ in step([batch]):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40_000_000
+
+
+def test_scores_do_not_depend_on_the_chunk(monkeypatch):
+    batch = _batch(200)
+    model = SimpleNamespace(value=(np.random.default_rng(0).normal(size=Q.BUCKETS).astype(np.float32), 0.1))
+
+    def both():
+        return [pa.Table.from_batches(list(f([batch]))).to_pylist() for f in (Q._bags, Q._score(model))]
+    want = both()
+    for limit in (1, 5000, 1 << 20):
+        monkeypatch.setattr(Q, "CHUNK", limit)
+        assert both() == want
+
+
+def test_no_batch_is_held_in_training(monkeypatch):
+    train, before, held = Q.train, pa.total_allocated_bytes(), []
+
+    def spied(*args):
+        held.append(pa.total_allocated_bytes() - before)
+        return train(*args)
+    monkeypatch.setattr(Q, "train", spied)
+
+    def sample():
+        for k in range(2):
+            buckets = X.binary([np.arange(20_000, dtype=np.int32)] * 50)
+            yield pa.record_batch([pa.array([k] * 50, pa.int32()), buckets, buckets], names=["label", "buckets", "counts"])
+    assert len(list(Q._fit(Q.Settings(epochs=1))(sample()))) == 1
+    assert held[0] < 1_000_000
