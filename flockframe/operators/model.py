@@ -47,38 +47,103 @@ def smooth_predict(basis: DataFrame, coefs: DataFrame, by: tuple[str, ...] = ())
             .agg(F.sum(F.col("value") * F.col("__b")).alias("value")))
 
 
+#: Slices of the draws, and blocks of the sites, of one species: each of their pairs is the work of one join key.
+_SLICES, _BLOCKS = 32, 4
+
+
+def _codes(params: DataFrame, keys: list[str], code: str) -> DataFrame:
+    """Places 0, 1, ... of the keys that a species has parameters for, and their number ``__n``."""
+    for k in keys:
+        params = params.filter(F.col(k).isNotNull())
+    listed = params.groupBy("species").agg(F.sort_array(F.collect_set(F.struct(*keys))).alias("__keys"))
+    return listed.select("species", F.size("__keys").alias("__n"), F.posexplode("__keys").alias(code, "__key")).select(
+        "species", "__n", code, "__key.*")
+
+
+def _vectors(params: DataFrame, keys: list[str], codes: DataFrame, code: str, name: str) -> DataFrame:
+    """species, draw and an array with, at the place of each key, the list of its values: none where the draw lacks the key."""
+    at, n = F.struct(F.col(code).alias("i"), F.col("value").alias("v")), F.col("__n")
+    own = params.join(codes, ["species", *keys]).groupBy("species", "draw").agg(
+        F.max("__n").alias("__n"), F.sort_array(F.collect_list(at)).alias("__own"))
+    places = F.sequence(F.lit(0), n - 1)
+    full = F.transform("__own", lambda x: F.array(x.v))
+    gaps = F.transform(places, lambda i: F.transform(F.filter("__own", lambda x: x.i == i), lambda x: x.v))
+    return own.select("species", "draw", F.when(F.col("__own.i") == places, full).otherwise(gaps).alias(name))
+
+
+def _dispersion_terms(counts: DataFrame, scalars: DataFrame) -> DataFrame:
+    """species, draw, phi = 1 / sqrt(sdnoise) and log_rising: lgamma(count + phi) - lgamma(phi) by the place of the count.
+
+    These terms depend on the count and the draw alone, so they are computed once for each pair.
+    """
+    own = scalars.join(counts, "species").select("species", "draw", "__counts", F.try_divide(F.lit(1.0), F.sqrt("sdnoise")).alias("phi"))
+    return own.withColumn("__base", C.lgamma(F.col("phi"))).select("species", "draw", "phi", F.transform(
+        "__counts", lambda c: C.lgamma(c.cast("double") + F.col("phi")) - F.col("__base")).alias("log_rising"))
+
+
 def linear_predictor(encoded: DataFrame, year_pred: DataFrame, alpha: DataFrame,
-                     year_effect: DataFrame, season: DataFrame) -> DataFrame:
+                     year_effect: DataFrame, season: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
     """Log-scale expectation of every count under every draw.
 
-    Equal rows (same species, stratum, year, site, day, count) are counted first
-    and predicted once, with their number ``n_rows``.
+    Rows of the same species, stratum, year, site and day have one expectation: they are predicted once, with
+    their number ``n_rows`` and the list ``counts`` of their different counts: count, n_rows, log_factorial. With
+    ``scalars`` (species, draw, sdnoise) the terms of a negative binomial go along with each draw, and a count has its
+    place among those of the species.
+
+    The parameters of a draw are laid out as arrays by place, so that a row meets a draw and looks its values up. Only
+    the rows, once a slice of the draws, and the draws, once a block of the sites, are shuffled, never their product. As in
+    joins, a row without a value under a draw is not predicted under it, and one with several values as often.
+    """
+    group = [c for c in ("seas_strat",) if c in season.columns]
+    cell = ["species", "strat", "yr", "site", "date", *[c for c in group if c != "strat"]]
+    rows = encoded.groupBy(*cell, "count").agg(F.count(F.lit(1)).alias("n_rows"))
+    listed = ["count", "n_rows", "log_factorial"]
+    if scalars is not None:
+        counts = rows.groupBy("species").agg(F.sort_array(F.collect_set("count")).alias("__counts"))
+        rows = rows.join(counts.select("species", F.posexplode("__counts").alias("place", "count")), ["species", "count"], "left")
+        listed.append("place")
+    rows = rows.withColumn("log_factorial", C.lgamma(F.col("count").cast("double") + 1.0)).groupBy(*cell).agg(
+        F.sum("n_rows").alias("n_rows"), F.collect_list(F.struct(*listed)).alias("counts"))
+    years = year_pred.join(year_effect.withColumnRenamed("value", "__e"), ["species", "draw", "yr"]).withColumn(
+        "value", F.col("value") + F.col("__e"))
+    draws = None
+    for params, keys, code in ((years, ["strat", "yr"], "__yi"), (alpha, ["site"], "__ai"), (season, [*group, "date"], "__si")):
+        codes = _codes(params, keys, code)
+        rows = rows.join(codes.drop("__n"), ["species", *keys])
+        own = _vectors(params, keys, codes, code, code + "v")
+        draws = own if draws is None else draws.join(own, ["species", "draw"])
+    if scalars is not None:
+        draws = draws.join(_dispersion_terms(counts, scalars), ["species", "draw"])
+
+    def several(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    draws = draws.withColumn("__slice", F.pmod(F.xxhash64("draw"), F.lit(_SLICES)).cast("int")).withColumn("__block", several(_BLOCKS))
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64("site"), F.lit(_BLOCKS)).cast("int")).withColumn("__slice", several(_SLICES))
+    met, found = draws.join(rows, ["species", "__slice", "__block"]), []
+    for code in ("__yi", "__ai", "__si"):
+        met = met.withColumn(code + "x", F.explode(F.get(code + "v", F.col(code))))
+        found.append(F.col(code + "x"))
+    others = ["phi", "log_rising"] if scalars is not None else []
+    return met.select(*cell, "draw", "n_rows", "counts", *others, (found[0] + found[1] + found[2]).alias("log_mean"))
+
+
+def pointwise_loglik(predicted: DataFrame) -> DataFrame:
+    """Log likelihood per count and draw: Poisson, or negative binomial where ``linear_predictor`` was given the scalars.
+
+    ``predicted`` is a table of ``linear_predictor``. Its lists of counts are unfolded: one row for each different count
+    of a cell under a draw, ``n_rows`` being the number of equal counts.
     """
-    season_keys = ["species", "draw", *[c for c in ("seas_strat",) if c in season.columns], "date"]
-    keep = ["species", "strat", "yr", "site", "date", "count",
-            *[c for c in ("seas_strat",) if c in season.columns]]
-    rows = encoded.groupBy(*keep).agg(F.count(F.lit(1)).alias("n_rows"))
-
-    def part(df, name):
-        return df.withColumnRenamed("value", name)
-
-    return (rows
-            .join(part(year_pred, "__y"), ["species", "strat", "yr"])
-            .join(part(alpha, "__a"), ["species", "draw", "site"])
-            .join(part(year_effect, "__e"), ["species", "draw", "yr"])
-            .join(part(season, "__s"), season_keys)
-            .withColumn("log_mean", F.col("__y") + F.col("__a") + F.col("__e") + F.col("__s"))
-            .drop("__y", "__a", "__e", "__s"))
-
-
-def pointwise_loglik(predicted: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
-    """Log likelihood per row and draw: Poisson, or negative binomial with ``scalars.sdnoise``."""
-    if scalars is None:
-        return predicted.withColumn("log_lik", C.poisson_loglik(F.col("count"), F.col("log_mean")))
-    phi = F.try_divide(F.lit(1.0), F.sqrt("sdnoise"))
-    return (predicted.join(scalars.select("species", "draw", "sdnoise"), ["species", "draw"])
-            .withColumn("log_lik", C.negbinom_loglik(F.col("count"), F.col("log_mean"), phi))
-            .drop("sdnoise"))
+    mean, rest = F.exp("log_mean"), [c for c in predicted.columns if c not in ("n_rows", "counts", "phi", "log_rising")]
+    count = F.col("__c.count").cast("double")
+    if "phi" in predicted.columns:
+        phi, total = F.col("phi"), F.log(mean + F.col("phi"))
+        each = {"__slope": F.col("log_mean") - total, "__level": phi * (F.log(phi) - total)}
+        value = F.get("log_rising", F.col("__c.place")) + (count * F.col("__slope") + F.col("__level"))
+    else:
+        each, value = {"__level": mean}, count * F.col("log_mean") - F.col("__level")
+    points = predicted.withColumns(each).withColumn("__c", F.explode("counts"))
+    return points.select(*rest, "__c.count", "__c.n_rows", (value - F.col("__c.log_factorial")).alias("log_lik"))
 
 
 def season_level(season: DataFrame, how: str = "half_max", by: tuple[str, ...] = ()) -> DataFrame:
