@@ -70,15 +70,15 @@ def test_points_as_brute_force(spark, gaps):
                 assert p.log_lik == pytest.approx(n * m - math.exp(m) - math.lgamma(n + 1))
 
 
-def shuffled(df):
-    """Largest number of rows that an exchange of the plan wrote."""
+def shuffled(df, metric="shuffleRecordsWritten"):
+    """Largest number of rows, or of bytes, that an exchange of the plan wrote."""
     run = df._jdf.queryExecution()
     run.toRdd().count()
     nodes, most = [run.executedPlan()], 0
     while nodes:
         node = nodes.pop()
         if node.nodeName() == "Exchange":
-            most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+            most = max(most, node.metrics().apply(metric).value())
         nodes += [node.children().apply(i) for i in range(node.children().size())]
     return most
 
